@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrion.llm.exact_dedup import exact_groups
+from quarrion.llm.mixing import mix
+from quarrion.llm.secrets import scan_secrets
 from quarrion.llm.shared import table
 
 
@@ -12,12 +14,87 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_exact_dedup,)}
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_mixing, op10_exact_dedup)}
 
 #: Lower-cases A-Z only, in DuckDB.
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The kinds of op1 for RE2: name, pattern, group of the value, least length.
+_KINDS = (
+    ("assign", """((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]{24,}", 0, 24),
+    ("owned", "[A-Za-z0-9+/_-]{24,}", 0, 24),
+)
+
+
+def _op1_kind(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+        select rid, {rank} as rank, '{kind}' as kind, value, begin as start, begin + len(m) as stop from (
+            select rid, m[i] as m, v[i] as value, list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) as begin
+            from (select rid, m, v, g, unnest(range(1, len(m) + 1)) as i from (
+                select rid, regexp_extract_all(text, '{pattern}') as m, regexp_extract_all(text, '{pattern}', {group}) as v, string_split_regex(text, '{pattern}') as g from d)))
+        where len(value) >= {least}"""
+
+
 ORACLE = {
+    "op1_secret_scan": f"""
+        with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents),
+        found as ({" union all ".join(_op1_kind(i, *k) for i, k in enumerate(_KINDS))}),
+        mixed as (select rid from d where len(list_filter(regexp_extract_all(text, '[A-Za-z0-9+/_-]{{24,}}'), lambda x: regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Za-z]'))) > 0),
+        cand as (
+            select f.* from found f where kind <> 'owned' or (rid in (select rid from mixed) and not exists (
+                select 1 from found b where b.rid = f.rid and b.kind <> 'owned' and b.start < f.stop and f.start < b.stop))),
+        owners as (select value, count(distinct coalesce(source, chr(0))) as n from cand join d using (rid) group by value),
+        judged as (select c.*, n <= 1 as live from cand c join owners using (value)),
+        per as (
+            select rid, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+                   string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank, stop) filter (where kind <> 'owned') as base,
+                   string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank, stop) filter (where kind <> 'owned' or live) as spans,
+                   count(*) filter (where live) as n_live, count(*) filter (where not live) as n_example
+            from judged group by rid)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
+               coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example
+        from d left join per using (rid)""",
+    "op3_mixing": """
+        with sized as (
+            select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
+                   md5(concat_ws('|', 'mix', doc_id::varchar, md5(coalesce(text, '')))) as key
+            from documents),
+        per as (
+            select source, sum(size)::bigint as source_size, 3 * sum(size)::bigint as cap,
+                   (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight
+            from sized group by source),
+        lev as (
+            select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
+                      / (sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following))::double as level
+            from per),
+        tgt as (
+            select source, source_size,
+                   case when level * weight > cap then cap::double
+                        else (first_value(level) over (order by level * weight > cap, cap / weight, source nulls last)) * weight end as target
+            from lev),
+        served as (
+            select doc_id, source, size, sum(size) over w as served, row_number() over w as rank from sized
+            window w as (partition by source order by key, doc_id, size rows unbounded preceding)),
+        copies as (
+            select s.*, t.source_size, t.target, c.copy, (c.copy * t.source_size + s.served)::double / t.target as finish
+            from served s join tgt t on s.source is not distinct from t.source, (values (0), (1), (2)) c(copy) where size > 0),
+        queue as (
+            select *, sum(size) over (order by finish, source nulls last, rank, copy rows unbounded preceding) as done, (select sum(size) from sized) as budget
+            from copies),
+        n as (select source, rank, count(*) as n from queue where 2 * done - size <= 2 * budget group by all)
+        select s.doc_id, s.size, t.source_size, t.target, (s.size * coalesce(n.n, 0))::bigint as taken
+        from served s join tgt t on s.source is not distinct from t.source
+        left join n on s.source is not distinct from n.source and s.rank = n.rank""",
     "op10_exact_dedup": f"""
         with n as (select doc_id, {LOW.format("coalesce(text, '')")} as norm from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
