@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrion.llm.decontamination import contamination
 from quarrion.llm.exact_dedup import exact_groups
 from quarrion.llm.mixing import mix
 from quarrion.llm.secrets import scan_secrets
 from quarrion.llm.shared import table
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -22,7 +27,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_mixing, op5_decontamination, op10_exact_dedup)}
 
 #: Lower-cases A-Z only, in DuckDB.
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -95,6 +100,19 @@ ORACLE = {
         select s.doc_id, s.size, t.source_size, t.target, (s.size * coalesce(n.n, 0))::bigint as taken
         from served s join tgt t on s.source is not distinct from t.source
         left join n on s.source is not distinct from n.source and s.rank = n.rank""",
+    "op5_decontamination": f"""
+        with d as (select doc_id, regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+        i as (select item_id::varchar as item, regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+        win as (select item, least(10, len(w)) as n, array_to_string(w[k:k + 9], ' ') as s
+                from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as k from i where len(w) > 0)),
+        sizes as (select distinct n from win),
+        places as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
+        occ as (select p.doc_id, p.p, s.n, win.item from places p, sizes s, win
+                where p.p + s.n - 1 <= len(p.w) and win.n = s.n and win.s = array_to_string(p.w[p.p:p.p + s.n - 1], ' ')),
+        hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from occ) group by doc_id),
+        its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from occ) group by doc_id)
+        select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (doc_id) left join its using (doc_id)""",
     "op10_exact_dedup": f"""
         with n as (select doc_id, {LOW.format("coalesce(text, '')")} as norm from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
