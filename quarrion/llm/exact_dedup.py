@@ -97,6 +97,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy(texts.digest)
         .agg(F.first("norm").alias("model"))
     )
+    model = written(model)  # so that the join below can split a large group
     bad = texts.join(model, "digest").filter("norm != model").select("doc_id", "digest", "h2", "norm")
     # Rows that share a digest but not the text: none with SHA-256. They're grouped by the text itself.
     bad = written(bad.dropDuplicates(["doc_id", "digest", "h2"]))
