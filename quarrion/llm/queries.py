@@ -9,12 +9,18 @@ from quarrion.llm.exact_dedup import exact_groups
 from quarrion.llm.mixing import mix
 from quarrion.llm.secrets import scan_secrets
 from quarrion.llm.shared import table
+from quarrion.llm.substring_dedup import substring_dedup
+from quarrion.llm.suffix_dedup import suffix_dedup
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -23,11 +29,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_mixing, op5_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op5_decontamination, op8_substring_dedup, op10_exact_dedup)}
 
 #: Lower-cases A-Z only, in DuckDB.
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,6 +123,15 @@ ORACLE = {
         its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from occ) group by doc_id)
         select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join hit using (doc_id) left join its using (doc_id)""",
+    "op8_substring_dedup": """
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        win as (select doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) as s from (select doc_id, w, unnest(range(1, len(w) - 33)) as p from d where len(w) >= 35)),
+        again as (select doc_id, p from win where s in (select s from win group by s having count(*) > 1)),
+        gone as (select doc_id, list(distinct q) as g from (select doc_id, unnest(range(p, p + 35)) as q from again) group by doc_id),
+        kept as (select d.doc_id, len(w) as n_words, coalesce(len(g), 0) as n_removed,
+                        array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda q: g is null or not list_contains(g, q)), lambda q: w[q]), ' ') as k
+                 from d left join gone using (doc_id))
+        select doc_id, n_words, n_removed, sha256(k) as kept_sha256 from kept""",
     "op10_exact_dedup": f"""
         with n as (select doc_id, {LOW.format("coalesce(text, '')")} as norm from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,

@@ -1,0 +1,279 @@
+"""Finding all windows of a fixed length that start more than once in a corpus: the part that substring
+deduplication by suffixes and by seeds has in common.
+
+Every window of W units (bytes or words) is assigned to its anchor: the k-gram of least hash in it, the leftmost of
+equals. Equal windows have equal anchors at equal offsets, and the windows of one anchor are consecutive starts. So
+1. seeds: all anchors' hashes are counted; a window can only repeat if its anchor does;
+2. contexts: each anchor whose hash repeats gives one context, the stretch that holds all its windows; equal contexts
+   are pre-aggregated with their count, so copies cost one context;
+3. the contexts are range-partitioned and decided in their bucket (the two operators differ here); a group of equal
+   anchors that may go on in the next bucket is left open, and its windows are compared over all buckets by counting
+   128-bit fingerprints with partial aggregation;
+4. the verdicts go back to the documents as spans.
+
+No step gathers a group: hot anchors are split over buckets, hot contexts and fingerprints are pre-aggregated.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarrion.llm.arrow import slices, texts
+from quarrion.llm.shared import written
+
+#: Units of a text that are hashed at once; longer texts are taken in overlapping pieces.
+PIECE = 1 << 20
+_MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _MULTIPLIERS[0]
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def doubled(h: np.ndarray, length: int, times: int) -> np.ndarray:
+    """Hashes of grams of length * 2**times from the hashes of grams of the given length."""
+    for _ in range(times):
+        if len(h) <= length:
+            return h[:0]
+        h = _mixed(h[:-length] * _MULTIPLIERS[1] + h[length:])
+        length *= 2
+    return h
+
+
+def byte_grams(text: bytes) -> np.ndarray:
+    """Hashes of all 64-byte grams."""
+    if len(text) < 64:
+        return np.empty(0, np.uint64)
+    eight = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    return doubled(_mixed(eight), 8, 3)
+
+
+class WordHashes(dict):
+    """Hash of each word, kept for the words seen lately."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.MOST:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = WordHashes()
+
+
+def word_grams(words: Sequence[bytes]) -> np.ndarray:
+    """Hashes of all 8-word grams."""
+    return doubled(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), 1, 3)
+
+
+@dataclass(frozen=True)
+class Units:
+    """What a text is cut into: `cut` gives the sequence of units, `joined` turns a stretch of it into bytes and back."""
+
+    window: int
+    gram: int
+    cut: Callable[[bytes], Sequence]
+    grams: Callable[[Sequence], np.ndarray]
+    joined: Callable[[Sequence], bytes]
+    parted: Callable[[bytes], Sequence]
+
+
+def anchors(units: Sequence, kind: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place, first and last window start of each anchor."""
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    w = kind.window - kind.gram + 1
+    for at in range(0, max(0, len(units) - kind.window + 1), PIECE):
+        grams = kind.grams(units[at : at + PIECE + kind.window - 1])
+        n = len(grams) - w + 1
+        key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+        padded = np.full(-(-len(key) // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
+        padded[: len(key)] = key
+        rows = padded.reshape(-1, w)
+        ahead = np.minimum.accumulate(rows, axis=1).ravel()
+        behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+        place = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        last = np.append(first[1:], n) - 1
+        for out, x in zip(found, (grams[place[first]].view(np.int64), place[first] + at, first + at, last + at), strict=True):
+            out.append(x)
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
+
+
+def _seeds(batches: Iterator[pa.RecordBatch], kind: Units) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        each = [anchors(kind.cut(t), kind)[0] for t in texts(batch.column("text"))]
+        of = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+        yield pa.record_batch([batch.column("doc_id").take(of), batch.column("h").take(of), pa.array(np.concatenate(each))], ["doc_id", "h", "seed"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in slices(batches):
+        yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(map(pack, texts(batch.column("text"))), pa.binary())], ["doc_id", "h", "z"])
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
+
+
+CONTEXT = "doc_id long, h long, place int, seed long, context binary, hash binary, most int, least int, weight int"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], kind: Units) -> Iterator[pa.RecordBatch]:
+    """most and least: how far before the anchor the first and last of its windows start."""
+    for batch in slices(batches, 64):
+        of, place, seed, context, most, least = [], [], [], [], [], []
+        for row, (text, wanted) in enumerate(zip(unpacked(batch.column("z")), batch.column("seeds"), strict=True)):
+            units = kind.cut(text)
+            found = anchors(units, kind)
+            keep = np.isin(found[0], wanted.values.to_numpy())
+            for h, s, lo, hi in zip(*(x[keep].tolist() for x in found), strict=True):
+                of.append(row)
+                seed.append(h)
+                place.append(s)
+                context.append(kind.joined(units[lo : hi + kind.window]))
+                most.append(s - lo)
+                least.append(s - hi)
+        at = pa.array(of, pa.int32())
+        hashes = [xxhash.xxh3_128_digest(b"%d %d " % x[:2] + x[2]) for x in zip(most, least, context, strict=True)]
+        columns = [batch.column("doc_id").take(at), batch.column("h").take(at), *(pa.array(x, t) for x, t in ((place, pa.int32()), (seed, pa.int64()), (context, pa.binary()), (hashes, pa.binary()), (most, pa.int32()), (least, pa.int32())))]
+        yield pa.record_batch([*columns, batch.column("weight").take(at)], ["doc_id", "h", "place", "seed", "context", "hash", "most", "least", "weight"])
+
+
+@dataclass(slots=True)
+class Member:
+    """A distinct context: its units, the offsets of its windows before the anchor, and how often it occurs."""
+
+    hash: bytes
+    units: Sequence
+    most: int
+    least: int
+    count: int
+
+
+def _same(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common prefix."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def repeated_offsets(group: list[Member], window: int) -> Iterator[tuple[Member, int, int]]:
+    """Of contexts with the same anchor: (member, lowest, highest) offsets of windows that occur more than once.
+
+    The members are put in the order of what follows the anchor. Each is extended to both sides against its
+    neighbours, which settles almost all windows; offsets that stay unsettled somewhere are settled by the windows
+    themselves.
+    """
+    tails = sorted(((m.units[m.most :], i) for i, m in enumerate(group)))
+    order = [group[i] for _, i in tails]
+    ahead = [_same(a, b) for (a, _), (b, _) in zip(tails, tails[1:], strict=False)]
+    done: list[set[int]] = [set(range(m.least, m.most + 1)) if m.count > 1 else set() for m in order]
+    for i, right in enumerate(ahead):
+        a, b = order[i], order[i + 1]
+        left = _same(a.units[: a.most][::-1], b.units[: b.most][::-1])
+        for k, m in ((i, a), (i + 1, b)):
+            done[k].update(range(max(m.least, window - right), min(m.most, left) + 1))
+    if len(order) > 2:
+        unsettled = set()
+        for i, m in enumerate(order):
+            reach = max(ahead[i - 1] if i else 0, ahead[i] if i < len(ahead) else 0)
+            unsettled.update(o for o in range(max(m.least, window - reach), m.most + 1) if o not in done[i])
+        for o in unsettled:
+            seen = defaultdict(list)
+            for i, m in enumerate(order):
+                if m.least <= o <= m.most:
+                    seen[m.units[m.most - o : m.most - o + window]].append(i)
+            for same in seen.values():
+                if len(same) > 1:
+                    for i in same:
+                        done[i].add(o)
+    for m, offsets in zip(order, done, strict=True):
+        run = sorted(offsets)
+        for k, o in enumerate(run):
+            if not k or run[k - 1] + 1 < o:
+                low = o
+            if k + 1 == len(run) or run[k + 1] > o + 1:
+                yield m, low, o
+
+
+VERDICT = "hash binary, low int, high int, print binary"
+
+
+def decided(groups: Iterator[tuple[bool, list[Member]]], kind: Units) -> Iterator[pa.RecordBatch]:
+    """Of a bucket's groups: offsets that repeat, or, if the group is open, a fingerprint for each offset."""
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["hash", "low", "high", "print"])
+
+    for is_open, group in groups:
+        if is_open:
+            for m in group:
+                for o in range(m.least, m.most + 1):
+                    print_ = xxhash.xxh3_128_digest(kind.joined(m.units[m.most - o : m.most - o + kind.window]))
+                    out.append((m.hash, o, o, print_))
+                if m.count > 1:
+                    out.append((m.hash, m.least, m.most, None))
+        else:
+            out += [(m.hash, low, high, None) for m, low, high in repeated_offsets(group, kind.window)]
+        if len(out) > 50_000:
+            yield batch()
+            out.clear()
+    yield batch()
+
+
+def repeated_spans(docs: DataFrame, kind: Units, decide: Callable[[DataFrame], DataFrame], id_col: str, text_col: str, finish: Callable, result: str) -> DataFrame:
+    """finish over all rows of docs, each with its packed text and the spans [a, b) of units that repeated windows cover.
+
+    decide maps distinct contexts (seed, hash, context, most, least, n) to rows of VERDICT.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    seeds = written(rows.mapInArrow(partial(_seeds, kind=kind), "doc_id long, h long, seed long"))
+    twice = seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    wanted = seeds.join(twice, "seed").groupBy(F.col("doc_id").alias("w_id"), F.col("h").alias("w_h")).agg(F.collect_set("seed").alias("seeds"))
+
+    packed = rows.mapInArrow(_packed, "doc_id long, h long, z binary")
+    has = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))
+    marked = packed.join(wanted.hint("shuffle_hash"), has).select("doc_id", "h", "z", "seeds", F.lit(1).alias("weight"))
+    contexts = written(marked.mapInArrow(partial(_contexts, kind=kind), CONTEXT))
+    distinct = contexts.groupBy("hash").agg(*(F.first(c).alias(c) for c in ("seed", "context", "most", "least")), F.sum("weight").cast("int").alias("n"))
+    verdicts = written(decide(distinct))
+
+    prints = verdicts.filter("print is not null")
+    again = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+    sure = verdicts.filter("print is null").select("hash", "low", "high").unionByName(prints.join(again, "print").select("hash", "low", "high"))
+    spans = contexts.select("doc_id", "h", "place", "hash").join(sure, "hash")
+    span = F.struct((F.col("place") - F.col("high")).alias("a"), (F.col("place") - F.col("low") + kind.window).alias("b"))
+    spans = spans.groupBy(F.col("doc_id").alias("w_id"), F.col("h").alias("w_h")).agg(F.collect_set(span).alias("spans"))
+    return packed.join(spans.hint("shuffle_hash"), has, "left").select("doc_id", "z", "spans").mapInArrow(finish, result)
+
+
+def covered(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
+    """Maximal runs of the units that spans cover."""
+    runs: list[list[int]] = []
+    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, min(b, n)])
+    return [(a, b) for a, b in runs]
