@@ -44,7 +44,7 @@ def multikey_order(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.arange(n)
     starts = np.zeros(n, bool)
     starts[:1] = True
-    todo = order
+    todo = np.arange(n)
     for d in range(depth):
         part = np.cumsum(starts)[todo]
         char = lead[order[todo], d]
