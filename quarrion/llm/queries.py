@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrion.llm.decontamination import contamination
 from quarrion.llm.exact_dedup import exact_groups
 from quarrion.llm.mixing import mix
+from quarrion.llm.near_dedup import near_groups
 from quarrion.llm.secrets import scan_secrets
 from quarrion.llm.shared import table
 from quarrion.llm.substring_dedup import substring_dedup
@@ -17,6 +18,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), size=4).drop("h")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op5_decontamination, op8_substring_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op5_decontamination, op6_near_dedup, op8_substring_dedup, op10_exact_dedup)}
 
 #: Lower-cases A-Z only, in DuckDB.
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,6 +128,17 @@ ORACLE = {
         its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from occ) group by doc_id)
         select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join hit using (doc_id) left join its using (doc_id)""",
+    "op6_near_dedup": f"""
+        with recursive d as (select doc_id, regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+        sh as (select distinct doc_id, hash(array_to_string(w[k:k + 3], ' ')) as s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) as k from d where len(w) > 0)),
+        n as (select doc_id, count(*) as n from sh group by doc_id),
+        pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+        link as (select a, b from pair join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 80 * (x.n + y.n - c)),
+        edge as (select a, b from link union all select b, a from link),
+        reach as (select doc_id, doc_id as c from d union select r.doc_id, e.b from reach r join edge e on r.c = e.a),
+        comp as (select doc_id, min(c) as component_id from reach group by doc_id)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+        from d left join n using (doc_id) join comp using (doc_id)""",
     "op8_substring_dedup": """
         with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
         win as (select doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) as s from (select doc_id, w, unnest(range(1, len(w) - 33)) as p from d where len(w) >= 35)),
