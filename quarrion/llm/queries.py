@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrion.llm.decontamination import contamination
 from quarrion.llm.exact_dedup import exact_groups
+from quarrion.llm.lm_scoring import lm_scores
 from quarrion.llm.mixing import mix
 from quarrion.llm.near_dedup import near_groups
 from quarrion.llm.secrets import scan_secrets
@@ -22,6 +23,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), size=4).drop("h")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op5_decontamination, op6_near_dedup, op8_substring_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_substring_dedup, op10_exact_dedup)}
 
 #: Lower-cases A-Z only, in DuckDB.
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
