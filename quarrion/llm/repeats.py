@@ -63,7 +63,7 @@ def byte_grams(text: bytes) -> np.ndarray:
 class WordHashes(dict):
     """Hash of each word, kept for the words seen lately."""
 
-    MOST = 500_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.MOST:
@@ -115,9 +115,10 @@ def anchors(units: Sequence, kind: Units) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _seeds(batches: Iterator[pa.RecordBatch], kind: Units) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        each = [anchors(kind.cut(t), kind)[0] for t in texts(batch.column("text"))]
-        of = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
-        yield pa.record_batch([batch.column("doc_id").take(of), batch.column("h").take(of), pa.array(np.concatenate(each))], ["doc_id", "h", "seed"])
+        each = [np.unique(anchors(kind.cut(t), kind)[0], return_counts=True) for t in texts(batch.column("text"))]
+        of = pa.array(np.repeat(np.arange(len(each)), [len(x) for x, _ in each]))
+        seed, times = (np.concatenate(x) for x in zip(*each, strict=True))
+        yield pa.record_batch([batch.column("doc_id").take(of), batch.column("h").take(of), pa.array(seed), pa.array(times.astype(np.int32))], ["doc_id", "h", "seed", "times"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +249,9 @@ def repeated_spans(docs: DataFrame, kind: Units, decide: Callable[[DataFrame], D
     decide maps distinct contexts (seed, hash, context, most, least, n) to rows of VERDICT.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    seeds = written(rows.mapInArrow(partial(_seeds, kind=kind), "doc_id long, h long, seed long"))
-    twice = seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    seeds = written(rows.mapInArrow(partial(_seeds, kind=kind), "doc_id long, h long, seed long, times int"))
+    # Written, so that the join can split a hot anchor.
+    twice = written(seeds.groupBy("seed").agg(F.sum("times").alias("n")).filter("n > 1").select("seed"))
     wanted = seeds.join(twice, "seed").groupBy(F.col("doc_id").alias("w_id"), F.col("h").alias("w_h")).agg(F.collect_set("seed").alias("seeds"))
 
     packed = rows.mapInArrow(_packed, "doc_id long, h long, z binary")
@@ -260,7 +262,7 @@ def repeated_spans(docs: DataFrame, kind: Units, decide: Callable[[DataFrame], D
     verdicts = written(decide(distinct))
 
     prints = verdicts.filter("print is not null")
-    again = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+    again = written(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"))
     sure = verdicts.filter("print is null").select("hash", "low", "high").unionByName(prints.join(again, "print").select("hash", "low", "high"))
     spans = contexts.select("doc_id", "h", "place", "hash").join(sure, "hash")
     span = F.struct((F.col("place") - F.col("high")).alias("a"), (F.col("place") - F.col("low") + kind.window).alias("b"))
