@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrion.llm.decontamination import contamination
 from quarrion.llm.exact_dedup import exact_groups
 from quarrion.llm.html_extraction import extract_pages
+from quarrion.llm.language_id import language_spans
 from quarrion.llm.lm_scoring import lm_scores
 from quarrion.llm.mixing import mix
 from quarrion.llm.near_dedup import near_groups
@@ -16,6 +17,10 @@ from quarrion.llm.substring_dedup import substring_dedup
 from quarrion.llm.suffix_dedup import suffix_dedup
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_spans(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +57,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_substring_dedup, op9_html_extraction, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op4_language_id, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_substring_dedup, op9_html_extraction, op10_exact_dedup)}
 
 #: Lower-cases A-Z only, in DuckDB.
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
