@@ -220,7 +220,11 @@ VERDICT = "hash binary, low int, high int, print binary"
 
 
 def decided(groups: Iterator[tuple[bool, list[Member]]], kind: Units) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's groups: offsets that repeat, or, if the group is open, a fingerprint for each offset."""
+    """Of a bucket's groups: offsets that repeat, and, if the group is open, fingerprints.
+
+    A window of an open group that repeats in its bucket is settled; its fingerprint goes on once, without a context,
+    to meet the windows of other buckets that aren't.
+    """
     out: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
@@ -228,15 +232,19 @@ def decided(groups: Iterator[tuple[bool, list[Member]]], kind: Units) -> Iterato
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["hash", "low", "high", "print"])
 
     for is_open, group in groups:
+        settled = [(m.hash, low, high, None) for m, low, high in repeated_offsets(group, kind.window)]
+        out += settled
         if is_open:
+            done = {(h, o) for h, low, high, _ in settled for o in range(low, high + 1)}
+            once = set()
             for m in group:
                 for o in range(m.least, m.most + 1):
                     print_ = xxhash.xxh3_128_digest(kind.joined(m.units[m.most - o : m.most - o + kind.window]))
-                    out.append((m.hash, o, o, print_))
-                if m.count > 1:
-                    out.append((m.hash, m.least, m.most, None))
-        else:
-            out += [(m.hash, low, high, None) for m, low, high in repeated_offsets(group, kind.window)]
+                    if (m.hash, o) in done:
+                        once.add(print_)
+                    else:
+                        out.append((m.hash, o, o, print_))
+            out += [(None, None, None, x) for x in once]
         if len(out) > 50_000:
             yield batch()
             out.clear()
@@ -263,7 +271,7 @@ def repeated_spans(docs: DataFrame, kind: Units, decide: Callable[[DataFrame], D
 
     prints = verdicts.filter("print is not null")
     again = written(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"))
-    sure = verdicts.filter("print is null").select("hash", "low", "high").unionByName(prints.join(again, "print").select("hash", "low", "high"))
+    sure = verdicts.filter("print is null").select("hash", "low", "high").unionByName(prints.filter("hash is not null").join(again, "print").select("hash", "low", "high"))
     spans = contexts.select("doc_id", "h", "place", "hash").join(sure, "hash")
     span = F.struct((F.col("place") - F.col("high")).alias("a"), (F.col("place") - F.col("low") + kind.window).alias("b"))
     spans = spans.groupBy(F.col("doc_id").alias("w_id"), F.col("h").alias("w_h")).agg(F.collect_set(span).alias("spans"))
