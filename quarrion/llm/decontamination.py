@@ -22,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,21 +115,25 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def contamination_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: doc_id, h (a hash of its text), n_words, runs of hit words as starts and ends, and the ids of the items found."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+def _item_blocks(rows: DataFrame, items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list:
+    """Broadcast blocks of items, with the corpus counts of their words."""
+    spark = rows.sparkSession
     wanted = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("item is not null and text is not null")
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    passes = []
+    blocks, sent = max(1, -(-total // block_bytes)), []
     for block in range(blocks):
         own = [(r.item, r.text.encode()) for r in wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()]
         vocabulary = spark.sparkContext.broadcast(frozenset(w for _, t in own for w in words_of(t)))
         counts = rows.select("text").mapInArrow(partial(_counted, vocabulary=vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-        sent = spark.sparkContext.broadcast((own, {bytes(r.word): r.n for r in counts}))
-        passes.append(rows.mapInArrow(partial(_hits, sent=sent, name=uuid.uuid4().hex), HITS))
-    if blocks == 1:
+        sent.append(spark.sparkContext.broadcast((own, {bytes(r.word): r.n for r in counts})))
+    return sent
+
+
+def contamination_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row: doc_id, h (a hash of its text), n_words, runs of hit words as starts and ends, and the ids of the items found."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    passes = [rows.mapInArrow(partial(_hits, sent=sent, name=uuid.uuid4().hex), HITS) for sent in _item_blocks(rows, items, **options)]
+    if len(passes) == 1:
         return passes[0]
     first = passes[0]
     rest = passes[1].filter("size(starts) > 0").withColumn("block", F.lit(1))
@@ -145,6 +150,16 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return contamination_spans(docs, items, **options).mapInArrow(_results, RESULT)
 
 
-def clean_keys(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """doc_id and h of the rows in which no window occurs, each once."""
-    return contamination_spans(docs, items, **options).filter("size(starts) = 0").select("doc_id", "h").distinct()
+def _clean(batches: Iterator[pa.RecordBatch], sent, name: str, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        rows = pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col)], ["doc_id", "h", "text"])
+        (found,) = _hits(iter([rows]), sent, name)
+        yield batch.filter(pc.equal(pc.list_value_length(found.column("starts")), 0))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows in which a window occurs, columns unchanged."""
+    blocks = _item_blocks(docs.select(F.col(text_col).cast("string").alias("text")), items, **options)
+    for k, sent in enumerate(blocks):
+        docs = (written(docs) if k else docs).mapInArrow(partial(_clean, sent=sent, name=uuid.uuid4().hex, text_col=text_col), docs.schema)
+    return docs

@@ -118,12 +118,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups drops, columns unchanged."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    groups = written(exact_groups(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"))
+    # Rows that repeat with id and text can't be told apart by them: of these, all match, and one is taken.
+    kept = groups.groupBy(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")).agg(F.max("kept").alias("stays"), F.count("*").alias("times")).filter("stays")
+    kept = written(kept.select("k_id", "k_sha", "times"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(ascii_lower(doc_text(text_col)), 256).alias("sha"))
-    kept = written(kept)
-    same = rows.join(kept.hint("shuffle_hash"), rows.id.eqNullSafe(kept.k_id) & (rows.sha == kept.k_sha), "left_semi")
-    # Repeated rows have id and text in common: one of them stays.
-    again = written(same.groupBy("id", "sha").agg(F.count("*").alias("m")).filter("m > 1").select("id", "sha"))
-    once = same.join(again, same.id.eqNullSafe(again.id) & (same.sha == again.sha), "left_anti").select("row.*")
-    first = same.join(again, same.id.eqNullSafe(again.id) & (same.sha == again.sha), "left_semi").groupBy("id", "sha").agg(F.first("row").alias("row")).select("row.*")
-    return once.unionByName(first)
+    same = rows.join(kept.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")))
+    once = same.filter("times = 1").select("row.*")
+    if not kept.filter("times > 1").limit(1).count():
+        return once
+    return once.unionByName(same.filter("times > 1").groupBy("id", "sha").agg(F.first("row").alias("row")).select("row.*"))

@@ -32,6 +32,8 @@ from quarrion.llm.arrow import slices, texts
 from quarrion.llm.shared import crc_mod5
 
 TRAIN_ROWS, GRAM_BITS, SWITCH, SCRIPT_SHARE = 2000, 16, 12.0, 0.01
+#: Share of its letters that a text's language needs, to be kept in a filtering stage.
+LEAST_SCORE = 0.4
 #: Words times languages that are held at once (a longer text is taken whole).
 CELLS = 5_000_000
 
@@ -157,52 +159,77 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return path
 
 
+#: The scorer of the model that this worker last used.
 _scorers: dict[str, Scorer] = {}
 RESULT = "doc_id long, h long, held_out boolean, lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
 
 
-def _labelled(batches: Iterator[pa.RecordBatch], sent, name: str, switch: float) -> Iterator[pa.RecordBatch]:
-    model = sent.value
+def _predicted(texts_: list[list[str]], scorer: Scorer, switch: float) -> Iterator[tuple[str, float, np.ndarray]]:
+    """Language, score and language of each word, per text (as words)."""
+    langs = scorer.model.langs
+    full = [w for w in texts_ if w]
+    at = scorer([w for words in full for w in words])
+    lengths = np.array(list(map(len, full)), np.int64)
+    scores = scorer.scores[at]
+    letters = np.fromiter((len(w) for words in full for w in words), np.int64, len(at))
+    path = viterbi(scores, lengths, switch)
+    of = np.repeat(np.arange(len(full)), lengths)
+    share = np.zeros((len(full), len(langs)))
+    np.add.at(share, (of, path), letters * (scores != 0).any(1))
+    whole = np.bincount(of, letters, len(full))
+    ends, k = np.cumsum(lengths), 0
+    for words in texts_:
+        if not words:
+            yield "und", 0.0, path[:0]
+            continue
+        best = share[k].argmax()
+        yield langs[best], float(share[k, best] / whole[k]), path[ends[k] - lengths[k] : ends[k]]
+        k += 1
+
+
+def _portions(batches: Iterator[pa.RecordBatch], text_col: str, langs: int) -> Iterator[tuple[list[pa.RecordBatch], list[list[str]]]]:
+    """Batches and their texts as words, about CELLS at a time."""
+    held, words, cells = [], [], 0
+    for batch in slices(batches, 64):
+        held.append(batch)
+        words += (_WORD.findall(t.decode().lower()) if langs else [] for t in texts(batch.column(text_col)))
+        cells += sum(len(w) + 8 for w in words[-batch.num_rows :]) * max(1, langs)
+        if cells >= CELLS:
+            yield held, words
+            held, words, cells = [], [], 0
+    if held:
+        yield held, words
+
+
+def _scorer(sent, name: str) -> Scorer:
     if name not in _scorers:
         _scorers.clear()
-        _scorers[name] = Scorer(model)
-    scorer = _scorers[name]
-
-    def results(rows: list[tuple]) -> pa.RecordBatch:
-        full = [r for r in rows if len(r[3])]
-        at = scorer([w for r in full for w in r[3]])
-        lengths = np.array([len(r[3]) for r in full], np.int64)
-        scores = scorer.scores[at]
-        letters = np.fromiter((len(w) for r in full for w in r[3]), np.int64, len(at))
-        path = viterbi(scores, lengths, switch)
-        of = np.repeat(np.arange(len(full)), lengths)
-        share = np.zeros((len(full), len(model.langs)))
-        np.add.at(share, (of, path), letters * (scores != 0).any(1))
-        whole = np.bincount(of, letters, len(full))
-        best = share.argmax(1)
-        found = iter(zip(best, share[np.arange(len(full)), best] / whole, np.split(path, np.cumsum(lengths)[:-1]) if len(full) else (), strict=True))
-        out: list[tuple] = []
-        for doc, h, held, words in rows:
-            if not len(words):
-                out.append((doc, h, held, "und", 0.0, []))
-                continue
-            k, score, own = next(found)
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-            out.append((doc, h, held, model.langs[k], float(score), [{"first": a, "last": b, "lang": model.langs[own[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]))
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])))
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "h", "held_out", "lang_pred", "score", "spans"])
-
-    rows, cells = [], 0
-    for batch in slices(batches):
-        for doc, h, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "held")), texts(batch.column("text")), strict=True):
-            words = _WORD.findall(text.decode().lower()) if model.langs else []
-            rows.append((doc, h, held, words))
-            cells += (len(words) + 8) * max(1, len(model.langs))
-            if cells >= CELLS:
-                yield results(rows)
-                rows, cells = [], 0
-    if rows:
-        yield results(rows)
+        _scorers[name] = Scorer(sent.value)
+    return _scorers[name]
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], sent, name: str, switch: float) -> Iterator[pa.RecordBatch]:
+    scorer = _scorer(sent, name)
+    langs = scorer.model.langs
+    kinds = (pa.string(), pa.float64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])))
+    for held, words in _portions(batches, "text", len(langs)):
+        out = []
+        for lang, score, own in _predicted(words, scorer, switch):
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else [0]
+            out.append((lang, score, [{"first": a, "last": b, "lang": langs[own[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]))
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        found = (pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))
+        yield pa.record_batch([rows.column("doc_id"), rows.column("h"), rows.column("held"), *found], ["doc_id", "h", "held_out", "lang_pred", "score", "spans"])
+
+
+def _accepted(batches: Iterator[pa.RecordBatch], sent, name: str, switch: float, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
+    scorer = _scorer(sent, name)
+    for held, words in _portions(batches, text_col, len(scorer.model.langs)):
+        keep = [lang != "und" and score >= least for lang, score, _ in _predicted(words, scorer, switch)]
+        at = 0
+        for batch in held:
+            yield batch.filter(pa.array(keep[at : at + batch.num_rows], pa.bool_()))
+            at += batch.num_rows
 
 
 def language_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, switch: float = SWITCH) -> DataFrame:
@@ -211,3 +238,15 @@ def language_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), (crc_mod5(id_col) == 0).alias("held"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(partial(_labelled, sent=sent, name=uuid.uuid4().hex, switch=switch), RESULT)
+
+
+def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE, train_rows: int = TRAIN_ROWS, switch: float = SWITCH) -> DataFrame:
+    """docs without texts that have no letters or no language with the least share of them, columns unchanged.
+
+    Without any labelled row nothing can be identified, and docs stay as they are.
+    """
+    model = fit(docs, id_col, text_col, lang_col, train_rows)
+    if not model.langs:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_accepted, sent=sent, name=uuid.uuid4().hex, switch=switch, text_col=text_col, least=least), docs.schema)

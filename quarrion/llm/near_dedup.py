@@ -189,3 +189,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(classes.join(least, "root").select("node", "component_id"))
     out = sets.join(classes, "node", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each component, columns unchanged."""
+    kept = written(near_groups(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    return rows.join(kept.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")), "left_semi").select("row.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quarrion.llm.decontamination import contamination
 from quarrion.llm.exact_dedup import exact_groups
 from quarrion.llm.html_extraction import extract_pages
@@ -57,7 +58,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op4_language_id, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_substring_dedup, op9_html_extraction, op10_exact_dedup)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op4_language_id, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_substring_dedup, op9_html_extraction, op10_exact_dedup, pipeline)}
 
 #: Lower-cases A-Z only, in DuckDB.
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
