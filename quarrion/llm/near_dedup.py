@@ -1,15 +1,17 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
-A document's set is that of the hashes of its distinct word shingles; its sketch the K least of them. Documents with
-equal sets are one node. The inverted lists are keyed by two neighbouring retained values (of the first LISTED): the
-rank order of a pair with similarity s or more has two neighbours that both have with probability 1 - 0.512**32 at
-s = 0.8, and for sets within the sketch always. In a list, pairs that aren't connected yet are filtered by the
-similarity that their united sketches estimate (six standard deviations below the threshold pass) and verified
-on the full sets, which are computed from the whole texts again.
-
-Lists with the same members are one list. A list of more than BLOCK members is dealt out in blocks; what isn't then
-connected to the list's main component is compared with all blocks, so that no pair of a list goes untested unless
-it is connected already. Pairs are compared inside a task and never emitted; only links that connect something are.
+A document's set is that of the hashes of its distinct word shingles. Documents with equal sets are one node. A node's
+LISTED least hashes are its retained values, and the inverted lists of these generate the candidates. Two sets with the
+asked similarity share at least SHARED retained values (with all but about 1e-9 probability; sets that are retained
+whole, as many as the similarity says, always). So only the LISTED - SHARED + 1 rarest values of a node are looked up:
+common passages list a document only if they make up nearly half of it.
+
+Candidates are compared in two rounds. First every list's members with its least member, each such pair once over all
+lists; what is linked gets one label. Then, in lists whose members still have several labels, all members that aren't
+in the list's largest label are compared with all others, in blocks of bounded size, each pair in the first list that
+has both. Pairs are compared inside a task and never emitted; only links that connect something are. In a comparison,
+the similarity that the united sketches (K values) estimate must pass the threshold less six standard deviations;
+then the full sets, computed from the whole texts again, decide.
 
 Defined results: a null or empty text has an empty set, no links, and is kept. A null id never gives a component its
 id unless all are null; kept compares ids null-safely. Rows with the same id and text get the same result. Only the
@@ -25,7 +27,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import list_of, slices, texts
@@ -34,7 +36,7 @@ from quarrion.llm.repeats import WordHashes, _packed, doubled, unpacked
 from quarrion.llm.shared import written
 
 SHINGLE, PERCENT = 5, 80
-K, LISTED = 128, 32
+K, LISTED, SHARED = 128, 64, 28
 ESTIMATE = 0.2
 BLOCK = 512
 
@@ -63,10 +65,6 @@ def doubled_step(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return doubled(both, 1, 1)[::2]
 
 
-def list_keys(hashes: np.ndarray) -> np.ndarray:
-    return doubled(hashes[:LISTED], 1, 1).view(np.int64)
-
-
 SETS = "doc_id long, h long, n long, node binary, keys array<long>"
 
 
@@ -75,7 +73,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         sets = [shingle_set(t, size) for t in texts(batch.column("text"))]
         nodes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         yield pa.record_batch(
-            [batch.column("doc_id"), batch.column("h"), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), list_of([list_keys(s) for s in sets], pa.int64())],
+            [batch.column("doc_id"), batch.column("h"), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), list_of([s[:LISTED].view(np.int64) for s in sets], pa.int64())],
             ["doc_id", "h", "n", "node", "keys"],
         )
 
@@ -105,13 +103,23 @@ class Forest:
         self.label[self.label == self.label[j]] = self.label[i]
 
 
-def links(sets: list[np.ndarray], forest: Forest, turns: list[int], percent: int) -> Iterator[tuple[int, int]]:
-    """Links of each member in turns to members that it isn't connected with yet."""
-    sketches = np.full((len(sets), K), np.iinfo(np.uint64).max)
+def links(sets: list[np.ndarray], forest: Forest, turns: list[int], percent: int, earlier: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """Links of each member in turns to members that it isn't connected with yet.
+
+    earlier: per member, the lists before this one that have it; pairs that share one of these are compared there.
+    """
+    full = np.iinfo(np.uint64).max
+    sketches = np.full((len(sets), K), full)
     for row, s in zip(sketches, sets, strict=True):
         row[: min(K, len(s))] = s[:K]
+    before = np.zeros((len(sets), max([0, *map(len, earlier or ())])), np.int64)
+    has = np.zeros(before.shape, bool)
+    for row, there, own in zip(before, has, earlier or (), strict=False):
+        row[: len(own)], there[: len(own)] = own, True
     for i in turns:
         others = np.flatnonzero(forest.label != forest.label[i])
+        if earlier and len(earlier[i]):
+            others = others[~(np.isin(before[others], earlier[i]) & has[others]).any(1)]
         if not len(others):
             continue
         like = estimates(sketches[i], sketches[others]) if len(others) > 4 else np.ones(len(others))
@@ -121,10 +129,13 @@ def links(sets: list[np.ndarray], forest: Forest, turns: list[int], percent: int
                 yield i, j
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+DEALT = ("key", "i", "j", "node", "root", "turn", "before", "z")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     def rows() -> Iterator[tuple]:
         for batch in slices(batches, 256):
-            yield from zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "root", "turn")), unpacked(batch.column("z")), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in DEALT[:-1]), unpacked(batch.column("z")), strict=True)
 
     for _, own in groupby(rows(), lambda r: r[:3]):
         yield [r[3:] for r in own]
@@ -133,57 +144,79 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches):
         members = {}
-        for node, root, turn, text in group:
-            members[node] = (root, turn or (node in members and members[node][1]), text)
-        if len(members) < 2:
-            continue
-        nodes = list(members)
-        sets = [shingle_set(members[n][2], size) for n in nodes]
+        for node, root, turn, before, text in group:
+            members[node] = (root, turn or (node in members and members[node][1]), before, text)
+        nodes, at = list(members), {}
         forest = Forest(len(nodes))
-        at: dict = {}
         for k, n in enumerate(nodes):
             forest.label[k] = at.setdefault(members[n][0], k)
-        found = list(links(sets, forest, [k for k, n in enumerate(nodes) if members[n][1]], percent))
+        if len(at) < 2:
+            continue
+        sets = [shingle_set(members[n][3], size) for n in nodes]
+        earlier = [np.array(members[n][2] or (), np.int64) for n in nodes]
+        found = list(links(sets, forest, [k for k, n in enumerate(nodes) if members[n][1]], percent, earlier))
         if found:
             yield pa.record_batch([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], ["u", "v"])
 
 
+def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """Nodes that share a rare enough retained value: node, at, and these values as keys."""
+    size, n = F.size("keys"), F.col("n")
+    # How many of the rarest values must hold a shared one, where a pair has the similarity.
+    must = F.when(n <= LISTED, n - F.ceil(n * percent / 100) + 1).otherwise(LISTED - SHARED + 1).cast("int")
+    listed = nodes.select("node", "at", size.alias("size"), must.alias("must"), F.explode("keys").alias("key"))
+    shared = written(listed.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"))
+    per = listed.join(shared, "key").groupBy("node").agg(F.first("at").alias("at"), F.first("size").alias("size"), F.first("must").alias("must"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("rare"))
+    # Values that nobody else has are the rarest.
+    left = F.col("must") - (F.col("size") - F.size("rare"))
+    return per.filter(left > 0).select("node", "at", F.transform(F.slice("rare", 1, left), lambda x: x["key"]).alias("keys"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, h (a hash of its text), n_shingles, component_id, kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     sets = written(rows.mapInArrow(partial(_sets, size=size), SETS))
-    nodes = written(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "h")).alias("at"), F.first("keys").alias("keys")))
-
-    postings = nodes.select("node", F.explode("keys").alias("key"))
-    h1, h2 = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
-    lists = postings.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(h1).alias("x"), F.sum(F.shiftright(h2, 24)).alias("s")).filter("c > 1")
-    lists = lists.groupBy("c", "x", "s").agg(F.min("key").alias("key")).select("key", "c")
-    members = postings.join(lists, "key").groupBy("node").agg(F.collect_list(F.struct("key", "c")).alias("lists"))
-    members = members.join(nodes.select("node", "at"), "node").select("node", "lists", F.col("at.doc_id").alias("w_id"), F.col("at.h").alias("w_h"))
+    nodes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "h")).alias("at"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    nodes = written(nodes)
     packed = rows.mapInArrow(_packed, "doc_id long, h long, z binary")
-    shipped = packed.join(members.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")))
-    shipped = shipped.select("node", "z", F.explode("lists").alias("l")).select("node", "z", "l.key", "l.c")
 
     def compared(dealt: DataFrame) -> DataFrame:
-        dealt = dealt.select("key", "i", "j", "node", "root", "turn", "z").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return dealt.mapInArrow(partial(_linked, size=size, percent=percent), "u binary, v binary")
+        """Links among the rows of each (key, i, j). dealt has at, by which the texts are found."""
+        dealt = dealt.withColumns({"w_id": F.col("at.doc_id"), "w_h": F.col("at.h")}).drop("at").hint("shuffle_hash")
+        whole = packed.join(dealt, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select(*DEALT)
+        return written(whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_linked, size=size, percent=percent), "u binary, v binary"))
 
-    def dealt_to(count) -> F.Column:
+    def part_of(count) -> Column:
         return F.pmod(F.xxhash64("node"), F.ceil(count / block)).cast("int")
 
-    edges = written(compared(shipped.select("*", dealt_to(F.col("c")).alias("i"), F.lit(0).alias("j"), F.col("node").alias("root"), F.lit(True).alias("turn"))))
+    def parts(count) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.ceil(count / block).cast("int") - 1))
+
+    candidates = written(_candidates(nodes, percent))
+    listed = candidates.select("node", "at", F.explode("keys").alias("key"))
+    lists = listed.groupBy("key").agg(F.min(F.struct("node", "at")).alias("least"), F.count("*").alias("c")).filter("c > 1")
+    lists = written(lists)
+    pairs = listed.join(lists, "key").filter("node != least.node").groupBy(F.col("least.node").alias("other"), "node").agg(F.first("least.at").alias("other_at"), F.first("at").alias("at"))
+    pairs = written(pairs)
+    per = pairs.groupBy("other").agg(F.first("other_at").alias("at"), F.count("*").alias("c"))
+    none = F.lit(None).cast("array<long>")
+    stars = per.select(F.xxhash64("other").alias("key"), parts(F.col("c")).alias("i"), F.lit(0).alias("j"), F.col("other").alias("node"), F.col("other").alias("root"), F.lit(True).alias("turn"), none.alias("before"), "at")
+    rays = pairs.join(per.select("other", "c"), "other").select(
+        F.xxhash64("other").alias("key"), part_of(F.col("c")).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("root"), F.lit(False).alias("turn"), none.alias("before"), "at"
+    )
+    edges = compared(stars.unionByName(rays))
     labels = components(edges)
-    if lists.filter(F.col("c") > block).limit(1).count():
-        large = postings.join(lists.filter(F.col("c") > block), "key").join(labels, "node", "left").select("key", "c", "node", F.coalesce("root", "node").alias("root"))
-        large = written(large)
-        per = large.groupBy("key", "root").agg(F.count("*").alias("m"), F.max("c").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.max("c") - F.max("m")).alias("left"))
-        per = per.filter(F.col("left") > 0)
-        texts_of = shipped.filter(F.col("c") > block).select("key", "c", "node", "z").join(large.select("key", "node", "root"), ["key", "node"]).join(per, "key")
-        parts, rest = F.ceil(F.col("c") / block).cast("int"), F.ceil(F.col("left") / block).cast("int")
-        turns = texts_of.filter("root != main").select("key", "node", "root", "z", F.lit(True).alias("turn"), dealt_to(F.col("left")).alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
-        against = texts_of.select("key", "node", "root", "z", F.lit(False).alias("turn"), dealt_to(F.col("c")).alias("j"), F.explode(F.sequence(F.lit(0), rest - 1)).alias("i"))
-        more = written(compared(turns.unionByName(against)))
-        labels = components(edges.unionByName(more))
+
+    labelled = candidates.join(labels, "node", "left").select("node", "at", "keys", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    labelled = written(labelled.join(lists.select("key", "c"), "key"))
+    per = labelled.groupBy("key", "root").agg(F.count("*").alias("m"), F.max("c").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.max("c") - F.max("m")).alias("left"))
+    open_ = written(per.filter(F.col("left") > 0))
+    if open_.limit(1).count():
+        before = F.array_sort(F.filter("keys", lambda k: k < F.col("key")))
+        rest = labelled.join(open_, "key").withColumn("before", before).drop("keys")
+        turns = rest.filter("root != main").select("key", part_of(F.col("left")).alias("i"), parts(F.col("c")).alias("j"), "node", "root", F.lit(True).alias("turn"), "before", "at")
+        against = rest.select("key", parts(F.col("left")).alias("i"), part_of(F.col("c")).alias("j"), "node", "root", F.lit(False).alias("turn"), "before", "at")
+        labels = components(edges.unionByName(compared(turns.unionByName(against))))
     classes = nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = written(classes.join(least, "root").select("node", "component_id"))
