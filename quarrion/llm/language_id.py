@@ -35,7 +35,7 @@ TRAIN_ROWS, GRAM_BITS, SWITCH, SCRIPT_SHARE = 2000, 16, 12.0, 0.01
 #: Share of its letters that a text's language needs, to be kept in a filtering stage.
 LEAST_SCORE = 0.4
 #: Words times languages that are held at once (a longer text is taken whole).
-CELLS = 5_000_000
+CELLS = 3_000_000
 
 # Where each script's main ranges start.
 SCRIPTS = (
@@ -105,21 +105,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 class Scorer:
-    """Score vectors of words, kept for the words seen lately."""
+    """Score vectors and letters of words, kept for the words seen lately."""
 
-    MOST = 200_000
+    MOST = 150_000
 
     def __init__(self, model: Model):
         self.model = model
+        self.clear()
+
+    def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.scores = np.empty((0, len(model.langs)), np.float32)
+        self.scores = np.empty((0, len(self.model.langs)), np.float32)
+        self.letters = np.empty(0, np.int32)
+
+    def full(self) -> bool:
+        return len(self.place) > self.MOST
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        """Row of each word in the scores."""
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Row of each word in scores and letters; rows hold until clear."""
         new = list(dict.fromkeys(w for w in words if w not in self.place))
-        if len(self.place) + len(new) > self.MOST:
-            self.place, self.scores = {}, self.scores[:0]
-            new = list(dict.fromkeys(words))
         if new:
             cells, of = gram_cells([w.encode() for w in new])
             order = np.argsort(of, kind="stable")
@@ -130,7 +134,8 @@ class Scorer:
             sums[~known] = 0
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.scores = np.concatenate([self.scores, sums.astype(np.float32)])
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            self.letters = np.concatenate([self.letters, np.fromiter(map(len, new), np.int32, len(new))])
+        return np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -140,8 +145,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     order = np.argsort(-lengths, kind="stable")
     first = (np.cumsum(lengths) - lengths)[order]
     reach = np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left").tolist()
-    came = np.empty(scores.shape, np.int16)
-    own = np.arange(scores.shape[1], dtype=np.int16)
+    came = np.empty(scores.shape, np.int8 if scores.shape[1] < 128 else np.int16)
+    own = np.arange(scores.shape[1], dtype=came.dtype)
     value = scores[first].copy()
     for t in range(1, len(reach)):
         m = reach[t]
@@ -150,7 +155,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
         best = v[np.arange(m), top][:, None] - switch
         came[at] = np.where(v >= best, own, top[:, None])
         value[:m] = np.maximum(v, best) + scores[at]
-    path, state = np.empty(len(scores), np.int64), value.argmax(1)
+    path, state = np.empty(len(scores), np.int16), value.argmax(1)
     for t in range(len(reach) - 1, -1, -1):
         at = first[: reach[t]] + t
         path[at] = state[: reach[t]]
@@ -164,22 +169,21 @@ _scorers: dict[str, Scorer] = {}
 RESULT = "doc_id long, h long, held_out boolean, lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
 
 
-def _predicted(texts_: list[list[str]], scorer: Scorer, switch: float) -> Iterator[tuple[str, float, np.ndarray]]:
-    """Language, score and language of each word, per text (as words)."""
+def _predicted(rows: list[np.ndarray], scorer: Scorer, switch: float) -> Iterator[tuple[str, float, np.ndarray]]:
+    """Language, score and language of each word, per text (as the scorer's rows of its words)."""
     langs = scorer.model.langs
-    full = [w for w in texts_ if w]
-    at = scorer([w for words in full for w in words])
+    full = [x for x in rows if len(x)]
+    at = np.concatenate([np.empty(0, np.int32), *full])
     lengths = np.array(list(map(len, full)), np.int64)
-    scores = scorer.scores[at]
-    letters = np.fromiter((len(w) for words in full for w in words), np.int64, len(at))
+    scores, letters = scorer.scores[at], scorer.letters[at]
     path = viterbi(scores, lengths, switch)
     of = np.repeat(np.arange(len(full)), lengths)
     share = np.zeros((len(full), len(langs)))
     np.add.at(share, (of, path), letters * (scores != 0).any(1))
     whole = np.bincount(of, letters, len(full))
     ends, k = np.cumsum(lengths), 0
-    for words in texts_:
-        if not words:
+    for x in rows:
+        if not len(x):
             yield "und", 0.0, path[:0]
             continue
         best = share[k].argmax()
@@ -187,18 +191,21 @@ def _predicted(texts_: list[list[str]], scorer: Scorer, switch: float) -> Iterat
         k += 1
 
 
-def _portions(batches: Iterator[pa.RecordBatch], text_col: str, langs: int) -> Iterator[tuple[list[pa.RecordBatch], list[list[str]]]]:
-    """Batches and their texts as words, about CELLS at a time."""
-    held, words, cells = [], [], 0
+def _portions(batches: Iterator[pa.RecordBatch], text_col: str, scorer: Scorer) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches and their texts as rows of the scorer, about CELLS at a time."""
+    langs = len(scorer.model.langs)
+    held, rows, cells = [], [], 0
     for batch in slices(batches, 64):
+        if held and (cells >= CELLS or scorer.full()):
+            yield held, rows
+            held, rows, cells = [], [], 0
+        if scorer.full():
+            scorer.clear()
         held.append(batch)
-        words += (_WORD.findall(t.decode().lower()) if langs else [] for t in texts(batch.column(text_col)))
-        cells += sum(len(w) + 8 for w in words[-batch.num_rows :]) * max(1, langs)
-        if cells >= CELLS:
-            yield held, words
-            held, words, cells = [], [], 0
+        rows += (scorer.rows(_WORD.findall(t.decode().lower()) if langs else []) for t in texts(batch.column(text_col)))
+        cells += sum(len(x) + 8 for x in rows[-batch.num_rows :]) * max(1, langs)
     if held:
-        yield held, words
+        yield held, rows
 
 
 def _scorer(sent, name: str) -> Scorer:
@@ -212,7 +219,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], sent, name: str, switch: float)
     scorer = _scorer(sent, name)
     langs = scorer.model.langs
     kinds = (pa.string(), pa.float64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])))
-    for held, words in _portions(batches, "text", len(langs)):
+    for held, words in _portions(batches, "text", scorer):
         out = []
         for lang, score, own in _predicted(words, scorer, switch):
             cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else [0]
@@ -224,7 +231,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], sent, name: str, switch: float)
 
 def _accepted(batches: Iterator[pa.RecordBatch], sent, name: str, switch: float, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
     scorer = _scorer(sent, name)
-    for held, words in _portions(batches, text_col, len(scorer.model.langs)):
+    for held, words in _portions(batches, text_col, scorer):
         keep = [lang != "und" and score >= least for lang, score, _ in _predicted(words, scorer, switch)]
         at = 0
         for batch in held:
