@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from quarrion.plans import spatial, temporal
+
+_PARTS = (temporal, spatial)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLE: dict = {k: f for part in _PARTS for k, f in part.ORACLE.items()}
