@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarrion.plans import spatial, temporal
+from quarrion.plans import spatial, temporal, textual
 
-_PARTS = (temporal, spatial)
+_PARTS = (temporal, spatial, textual)
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE: dict = {k: f for part in _PARTS for k, f in part.ORACLE.items()}
