@@ -6,10 +6,11 @@ asked similarity share at least SHARED retained values (with all but about 1e-9
 whole, as many as the similarity says, always). So only the LISTED - SHARED + 1 rarest values of a node are looked up:
 common passages list a document only if they make up nearly half of it.
 
-Candidates are compared in two rounds. First every list's members with its least member, each such pair once over all
-lists; what is linked gets one label. Then, in lists whose members still have several labels, all members that aren't
-in the list's largest label are compared with all others, in blocks of bounded size, each pair in the first list that
-has both. Pairs are compared inside a task and never emitted; only links that connect something are. In a comparison,
+A family is a node with all nodes that have it as the least member of a list they are in; two members of a list are
+always in one family. Candidates are compared in two rounds. First every family's members with its own node; what is
+linked gets one label. Then, in families whose members still have several labels, all members that aren't in the
+family's largest label are compared with all others, in blocks of bounded size, each pair in the first family that has
+both. Pairs are compared inside a task and never emitted; only links that connect something are. In a comparison,
 the similarity that the united sketches (K values) estimate must pass the threshold less six standard deviations;
 then the full sets, computed from the whole texts again, decide.
 
@@ -38,7 +39,7 @@ from quarrion.llm.shared import written
 SHINGLE, PERCENT = 5, 80
 K, LISTED, SHARED = 128, 64, 28
 ESTIMATE = 0.2
-BLOCK = 512
+BLOCK = 1024
 
 _words = WordHashes()
 
@@ -106,7 +107,7 @@ class Forest:
 def links(sets: list[np.ndarray], forest: Forest, turns: list[int], percent: int, earlier: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
     """Links of each member in turns to members that it isn't connected with yet.
 
-    earlier: per member, the lists before this one that have it; pairs that share one of these are compared there.
+    earlier: per member, the families before this one that have it; pairs that share one of these are compared there.
     """
     full = np.iinfo(np.uint64).max
     sketches = np.full((len(sets), K), full)
@@ -207,13 +208,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = compared(stars.unionByName(rays))
     labels = components(edges)
 
-    labelled = candidates.join(labels, "node", "left").select("node", "at", "keys", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
-    labelled = written(labelled.join(lists.select("key", "c"), "key"))
-    per = labelled.groupBy("key", "root").agg(F.count("*").alias("m"), F.max("c").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.max("c") - F.max("m")).alias("left"))
-    open_ = written(per.filter(F.col("left") > 0))
+    family = pairs.select("other", "node", "at").unionByName(per.select("other", F.col("other").alias("node"), "at")).withColumn("key", F.xxhash64("other"))
+    keys = family.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    labelled = family.join(keys, "node").join(labels, "node", "left").select("key", "node", "at", F.coalesce("root", "node").alias("root"), F.filter("keys", lambda k: k < F.col("key")).alias("before"))
+    labelled = written(labelled)
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("c"), (F.sum("m") - F.max("m")).alias("left"))
+    open_ = written(sizes.filter(F.col("left") > 0))
     if open_.limit(1).count():
-        before = F.array_sort(F.filter("keys", lambda k: k < F.col("key")))
-        rest = labelled.join(open_, "key").withColumn("before", before).drop("keys")
+        rest = labelled.join(open_, "key")
         turns = rest.filter("root != main").select("key", part_of(F.col("left")).alias("i"), parts(F.col("c")).alias("j"), "node", "root", F.lit(True).alias("turn"), "before", "at")
         against = rest.select("key", parts(F.col("left")).alias("i"), part_of(F.col("c")).alias("j"), "node", "root", F.lit(False).alias("turn"), "before", "at")
         labels = components(edges.unionByName(compared(turns.unionByName(against))))
