@@ -159,7 +159,9 @@ def _decoded(spark, sf_dir):
     rows = _codes(spark, sf_dir)
     v1, v2 = D.parse_code(F.col("code"))
     rows = rows.withColumn("v1", v1).withColumn("v2", v2)
-    return rows.withColumn("p", D.decode(F.col("v1"), F.col("v2"), F.col("context"))).select("p_partkey", "code", "v1", "v2", "p.*")
+    # Exploded, so that the long expression is computed once and not copied to each place that uses its parts.
+    place = F.explode(F.array(D.decode(F.col("v1"), F.col("v2"), F.col("context"))))
+    return rows.withColumn("p", place).select("p_partkey", "code", "v1", "v2", "p.*")
 
 
 @query(f"with {_CODES} select p_partkey, v1, v2, method, lat, lon, coalesce(method = 'celestial', false) as is_celestial from dec", rounded="lat lon")
