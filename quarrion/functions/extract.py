@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrion.functions.text import ascii_ratio, is_english, matches_at, resolve_url, text_hash, word_count
 
 # Patterns of inline citations (author group, year group) by type, in their order.
-AUTHOR = r"[A-Z][a-zé]+(?:\s+(?:et\s+al\.?|and|&)\s+[A-Z][a-zé]+)?"
+AUTHOR = r"[A-Z][a-zé]+(?:\s+et\s+al\.?(?:\s+[A-Z][a-zé]+)?|\s+(?:and|&)\s+[A-Z][a-zé]+)?"
 CITATIONS = (
     ("author_year", rf"({AUTHOR})\s*\((\d{{4}}[a-z]?)\)", 1, 2),
     ("parenthetical", rf"\(({AUTHOR})\s+(\d{{4}}[a-z]?)\)", 1, 2),

@@ -130,7 +130,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def fenced_json(text: Column) -> Column:
     """What a fenced json block holds, else the text."""
-    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     return F.when(inner != "", F.trim(inner)).otherwise(F.trim(text))
 
 
