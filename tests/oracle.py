@@ -27,10 +27,11 @@ def _value(x):
 
 
 def same(df, sql: str, con: duckdb.DuckDBPyConnection) -> None:
-    got, want = df.toArrow(), con.execute(sql).arrow()
-    want = want.read_all() if hasattr(want, "read_all") else want
-    names = sorted(got.column_names)
-    assert names == sorted(want.column_names)
-    rows = [sorted((tuple(map(_value, r)) for r in zip(*(t.column(c).to_pylist() for c in names), strict=True)), key=repr) for t in (got, want)]
+    found = con.execute(sql)
+    columns = [c[0] for c in found.description]
+    names = sorted(columns)
+    assert names == sorted(df.columns)
+    got, want = df.select(*names).collect(), [[r[columns.index(c)] for c in names] for r in found.fetchall()]
+    rows = [sorted((tuple(map(_value, r)) for r in part), key=repr) for part in (got, want)]
     assert len(rows[0]) == len(rows[1])
     assert rows[0] == rows[1]
