@@ -4,7 +4,7 @@ The standard library's parser streams events; they are cut into lines, one per b
 its characters over its tags; lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments have ratio 0. The ratios are smoothed with a Gaussian kernel, and lines at or above one standard
 deviation of the smoothed ratios form clusters, the content regions. Where the page marks its article (article, main,
-role=main), the region is what the marks hold, as long as they hold any line; the clusters decide on all other pages.
+role=main), the region is what the marks hold, as long as they hold any line; the clusters decide on all other pages, where lines that are mostly links don't count.
 
 Defined results: a null or empty page gives the empty text; white space is what str.split takes as such; unclosed
 elements end with their parent, and a paragraph where the next block starts. Rows are independent, so repeated rows
@@ -37,27 +37,34 @@ NOT_NAMES = frozenset(
     "ad ads adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination paywall popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: A line with a larger share of link text is part of a menu, where the page doesn't mark its article.
+LINK_SHARE = 0.6
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, inside) per line; inside is True in a marked article, False in what isn't content, else None."""
+    """Collects (text, tags, inside, links) per line; inside is True in a marked article, False in what isn't content, else
+    None; links is the number of its characters that are link text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool | None]] = []
-        self.out: list[tuple[str, int, bool | None]] = []
+        self.out: list[tuple[str, int, bool | None, int]] = []
         self.words: list[str] = []
-        self.tags = 0
+        self.tags = self.links = 0
 
     def inside(self) -> bool | None:
         return self.open[-1][1] if self.open else None
 
+    def block(self) -> bool | None:
+        """What the innermost block means."""
+        return next((inside for tag, inside in reversed(self.open) if tag in BLOCK), None)
+
     def cut(self) -> None:
         if text := " ".join("".join(self.words).split()):
-            self.out.append((text, self.tags, self.inside()))
-        self.words, self.tags = [], 0
+            self.out.append((text, self.tags, self.block(), self.links))
+        self.words, self.tags, self.links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BREAK_P:
@@ -90,7 +97,8 @@ class Lines(HTMLParser):
         """Closes the innermost open element of that name, and a paragraph only within its own block."""
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                self.cut()
+                if any(t in BLOCK for t, _ in self.open[at:]):
+                    self.cut()
                 del self.open[at:]
                 return
             if tag == "p" and self.open[at][0] in BLOCK:
@@ -102,7 +110,11 @@ class Lines(HTMLParser):
         self.leave(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.inside() is False and self.block() is not False:
+            return  # an inline element that isn't content, in a block that may be
         self.words.append(data)
+        if any(tag == "a" for tag, _ in self.open):
+            self.links += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -116,13 +128,14 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = parser.out
+    lines = [(text, tags, inside, links > LINK_SHARE * len(text)) for text, tags, inside, links in parser.out]
     if not lines:
         return ""
-    ratios = smoothed(np.array([0.0 if inside is False else len(text) / max(1, tags) for text, tags, inside in lines]))
-    marked = any(inside for _, _, inside in lines)
-    region = [bool(inside) for _, _, inside in lines] if marked else ((ratios >= ratios.std()) & (ratios > 0)).tolist()
-    return "\n\n".join(text for (text, _, inside), chosen in zip(lines, region, strict=True) if chosen and inside is not False)
+    ratios = smoothed(np.array([0.0 if inside is False or menu else len(text) / max(1, tags) for text, tags, inside, menu in lines]))
+    if any(inside for _, _, inside, _ in lines):
+        return "\n\n".join(text for text, _, inside, _ in lines if inside)
+    region = (ratios >= ratios.std()) & (ratios > 0)
+    return "\n\n".join(text for (text, _, inside, menu), chosen in zip(lines, region, strict=True) if chosen and inside is None and not menu)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

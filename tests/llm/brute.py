@@ -62,4 +62,104 @@ def op6(rows: list[tuple]) -> list[tuple]:
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
             least[root(i)] = min(doc, least.get(root(i), doc))
-    return [(doc, len(s), least.get(root(i)), doc is not None and doc == least.get(root(i))) for i, ((doc, _), s) in enumerate(zip(rows, sets, strict=True))]
+    return [(doc, len(s), least.get(root(i)) if s else doc, (doc == least.get(root(i))) if s else True) for i, ((doc, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def op1_base(text: str | None) -> tuple:
+    import re
+
+    kinds = (
+        ("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", r"AKIA[A-Z0-9]+", 0, 20),
+        ("hex", r"[0-9a-f]+", 0, 24),
+    )
+    spans = sorted((m.start(), r, m.end(), k) for r, (k, p, g, n) in enumerate(kinds) for m in re.finditer(p, text or "") if len(m[g]) >= n)
+    joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+    return (*(sum(s[3] == k[0] for s in spans) for k in kinds), hashlib.sha256(joined.encode()).hexdigest(), joined)
+
+
+def op3(rows: list[tuple]) -> dict:
+    """Targets by the rule as it is told: share by weight, cut at three times the size, share the rest again."""
+    sizes: dict = defaultdict(int)
+    for source, text in rows:
+        sizes[source] += len((text or "").encode().split())
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, free, left = dict.fromkeys(names, 0.0), set(names), float(sum(sizes.values()))
+    while free and left > 1e-9:
+        share = left / sum(weight[s] for s in free)
+        over = {s for s in free if target[s] + share * weight[s] >= 3 * sizes[s]}
+        for s in over or free:
+            more = min(share * weight[s], 3 * sizes[s] - target[s]) if over else share * weight[s]
+            target[s] += more
+            left -= more
+        if not over:
+            break
+        free -= over
+    return {s: (sizes[s], target[s]) for s in names}
+
+
+def op5(docs: list[tuple], items: list[tuple]) -> list[tuple]:
+    import re
+
+    def words(t: str | None) -> list[str]:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    windows = defaultdict(set)
+    for item, t in items:
+        w = words(t)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[i : i + 10])].add(str(item))
+    lengths = {len(w) for w in windows}
+    out = []
+    for doc, t in docs:
+        w, hit, found = words(t), set(), set()
+        for i in range(len(w)):
+            for n in lengths:
+                if i + n <= len(w) and (ids := windows.get(tuple(w[i : i + n]))):
+                    hit.update(range(i, i + n))
+                    found |= ids
+        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def op7(rows: list[tuple]) -> list[tuple]:
+    import zlib
+    from math import log10
+
+    def held(doc) -> bool:
+        return zlib.crc32(("" if doc is None else str(doc)).encode()) % 5 == 1
+
+    c: Counter = Counter()
+    for doc, t in rows:
+        if not held(doc):
+            c.update((t or "").encode().lower().split())
+            c[None] += 1
+    n, v = sum(c.values()), len(c)
+    out = []
+    for doc, t in rows:
+        w = [*(t or "").encode().lower().split(), None]
+        out.append((doc, held(doc), len(w), sum(c[x] > 0 for x in w), n, sum(log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)))
+    return out
+
+
+def op10(rows: list[tuple]) -> list[tuple]:
+    groups = defaultdict(list)
+    keys = []
+    for doc, t in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        keys.append(low)
+        groups[low].append(doc)
+    keep = {k: max((d for d in ds if d is not None), default=None) for k, ds in groups.items()}
+    return [(doc, keep[k], len(groups[k]), hashlib.sha256(k.encode()).hexdigest()) for (doc, _), k in zip(rows, keys, strict=True)]
+
+
+def log10_forward(start, move, emit, seq) -> float:
+    """Sum over all paths, without scaling, for short sequences."""
+    import math
+
+    alpha = [s * emit[k][seq[0]] for k, s in enumerate(start)]
+    for x in seq[1:]:
+        alpha = [sum(a * move[j][k] for j, a in enumerate(alpha)) * emit[k][x] for k in range(len(start))]
+    return math.log10(sum(alpha))
