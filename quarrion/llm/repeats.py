@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import slices, texts
-from quarrion.llm.shared import written
+from quarrion.llm.shared import discard, written
 
 #: Units of a text that are hashed at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
@@ -164,6 +164,7 @@ class Member:
     most: int
     least: int
     count: int
+    seed: int = 0
 
 
 def _same(a: Sequence, b: Sequence) -> int:
@@ -265,7 +266,8 @@ def repeated_spans(docs: DataFrame, kind: Units, decide: Callable[[DataFrame], D
     packed = rows.mapInArrow(_packed, "doc_id long, h long, z binary")
     has = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))
     marked = packed.join(wanted.hint("shuffle_hash"), has).select("doc_id", "h", "z", "seeds", F.lit(1).alias("weight"))
-    contexts = written(marked.mapInArrow(partial(_contexts, kind=kind), CONTEXT))
+    contexts = written(marked.mapInArrow(partial(_contexts, kind=kind), CONTEXT), "zstd")
+    discard(seeds, twice)
     distinct = contexts.groupBy("hash").agg(*(F.first(c).alias(c) for c in ("seed", "context", "most", "least")), F.sum("weight").cast("int").alias("n"))
     verdicts = written(decide(distinct))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quarrion.llm import repeats
 from quarrion.llm.arrow import slices
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM, LEAD = 200, 64, 8
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -59,26 +59,32 @@ def multikey_order(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, starts
 
 
+def _lead(m: repeats.Member) -> tuple[bytes, int]:
+    """What comes first in the order of the ranges: the same for all members of a group."""
+    return m.units[m.most : m.most + LEAD], m.seed
+
+
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     members: list[repeats.Member] = []
     for batch in batches:
-        members += (repeats.Member(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("hash", "context", "most", "least", "n")), strict=True))
+        members += (repeats.Member(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("hash", "context", "most", "least", "n", "seed")), strict=True))
     lead = np.frombuffer(b"".join(m.units[m.most : m.most + GRAM] for m in members), ">u8").reshape(len(members), GRAM // 8)
     order, starts = multikey_order(lead)
     first = np.flatnonzero(starts)
+    # The groups with the least and the greatest key of a bucket may go on in the bucket before or after.
+    ends = {f(map(_lead, members)) for f in (min, max)} if members else set()
 
     def groups() -> Iterator[tuple[bool, list[repeats.Member]]]:
-        for k, (a, b) in enumerate(zip(first, [*first[1:], len(members)], strict=True)):
-            # The first and last group of a bucket may go on in the bucket before or after.
-            yield k in (0, len(first) - 1), [members[i] for i in order[a:b]]
+        for a, b in zip(first, [*first[1:], len(members)], strict=True):
+            yield _lead(members[order[a]]) in ends, [members[i] for i in order[a:b]]
 
     yield from repeats.decided(groups(), BYTES)
 
 
 def _decided(distinct: DataFrame) -> DataFrame:
-    tail = F.expr("substring(context, most + 1)")
-    ranged = distinct.withColumn("tail", tail).repartitionByRange("tail", "hash")
-    return ranged.select("hash", "context", "most", "least", "n").mapInArrow(_decide, repeats.VERDICT)
+    """The sampled splitters are of 32 bytes: the leading bytes, then the hash of the anchor, then the context's."""
+    ranged = distinct.withColumn("lead", F.expr(f"substring(context, most + 1, {LEAD})")).repartitionByRange("lead", "seed", "hash")
+    return ranged.select("hash", "context", "most", "least", "n", "seed").mapInArrow(_decide, repeats.VERDICT)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
