@@ -16,8 +16,8 @@ QUERIES, ORACLE = query.queries, query.oracle
 
 EDGES = E.LABELS + """, edges as (select a.label as a, b.label as b, count(*) as weight from labels a join labels b on a.article_id = b.article_id and a.label < b.label group by all),
 sym as (select a, b, weight from edges union all select b, a, weight from edges)"""
-# Posting lists by part size, so that lists differ in length.
-POSTED = """posted as (select distinct l_orderkey as url, 'size' || p_size as keyword from lineitem join part on l_partkey = p_partkey where l_orderkey % 7 = 0)"""
+# Postings of parts as keywords: many short lists.
+POSTED = """posted as (select distinct l_orderkey as url, 'part' || l_partkey as keyword from lineitem)"""
 
 
 def _edges(spark, sf_dir):
@@ -25,9 +25,7 @@ def _edges(spark, sf_dir):
 
 
 def _posted(spark, sf_dir):
-    parts = E.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("size"), F.col("p_size")).alias("keyword"))
-    items = E.table(spark, sf_dir, "lineitem").filter("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("url"), "l_partkey")
-    return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("url", "keyword").distinct()
+    return E.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("url"), F.concat(F.lit("part"), "l_partkey").alias("keyword")).distinct()
 
 
 @query(f"with {EDGES} select a, b, weight from edges")
@@ -83,7 +81,7 @@ def unlinked_neighbors(spark, sf_dir):
     return G.unlinked_examples(_strong(spark, sf_dir))
 
 
-_GROUPS = """, thin as (select s_suppkey as a, s_suppkey + 1 + s_suppkey % 5 as b from supplier where s_suppkey % 4 <> 0 and s_suppkey + 1 + s_suppkey % 5 <= (select max(s_suppkey) from supplier)),
+_GROUPS = """, thin as (select s_suppkey as a, s_suppkey + 6 as b from supplier where s_suppkey + 6 <= (select max(s_suppkey) from supplier)),
 e3 as (select a, b from thin union select b, a from thin),
 walk(n, c) as (select s_suppkey, s_suppkey from supplier union select w.n, e3.b from walk w join e3 on w.c = e3.a),
 comp as (select n as id, min(c) as root, count(*) as size from walk group by 1)"""
@@ -92,8 +90,8 @@ comp as (select n as id, min(c) as root, count(*) as size from walk group by 1)"
 def _thin(spark, sf_dir):
     keys = E.table(spark, sf_dir, "supplier").select("s_suppkey")
     most = keys.agg(F.max("s_suppkey").alias("m"))
-    other = F.col("s_suppkey") + 1 + F.col("s_suppkey") % 5
-    return keys.crossJoin(F.broadcast(most)).filter((F.col("s_suppkey") % 4 != 0) & (other <= F.col("m"))).select(F.col("s_suppkey").alias("a"), other.alias("b"), F.lit(9).alias("weight"))
+    other = F.col("s_suppkey") + 6
+    return keys.crossJoin(F.broadcast(most)).filter(other <= F.col("m")).select(F.col("s_suppkey").alias("a"), other.alias("b"), F.lit(9).alias("weight"))
 
 
 @query("with recursive " + _GROUPS[2:] + " select id, case when size = 1 then 'Other' else root::varchar end as community from comp")
@@ -127,10 +125,10 @@ def ego_network(spark, sf_dir):
     return G.ego_network(_edges(spark, sf_dir), "Brand#11", 15)
 
 
-@query(f"with {POSTED}, rare as (select keyword from posted group by 1 having count(*) <= 500), p as (select * from posted where keyword in (select keyword from rare)) select x.url as a, y.url as b, count(*) as weight from p x join p y on x.keyword = y.keyword and x.url < y.url group by all having count(*) >= 3")
+@query(f"with {POSTED}, rare as (select keyword from posted group by 1 having count(*) <= 500), p as (select * from posted where keyword in (select keyword from rare)) select x.url as a, y.url as b, count(*) as weight from p x join p y on x.keyword = y.keyword and x.url < y.url group by all having count(*) >= 2")
 def article_network(spark, sf_dir):
-    """Articles that share at least three labels, labels of more than 500 articles left out."""
-    return _article_pairs(_posted(spark, sf_dir), 500, 3)
+    """Articles that share at least two labels, labels of more than 500 articles left out."""
+    return _article_pairs(_posted(spark, sf_dir), 500, 2)
 
 
 def _article_pairs(posted, max_df: int, least: int):
@@ -138,10 +136,10 @@ def _article_pairs(posted, max_df: int, least: int):
     return O.pair_counts(posted.join(rare, "keyword"), "keyword", "url", min_count=least)
 
 
-@query(f"with {POSTED} select x.url as a, y.url as b, count(*) as weight from posted x join posted y on x.keyword = y.keyword and x.url < y.url where x.url % 5 = 0 and y.url % 5 = 0 group by all having count(*) >= 2")
+@query(f"with {POSTED} select x.url as a, y.url as b, count(*) as weight from posted x join posted y on x.keyword = y.keyword and x.url < y.url group by all having count(*) >= 2")
 def keyword_network(spark, sf_dir):
-    """Each two urls of a fixed part of the postings that share at least two keywords."""
-    return O.pair_counts(_posted(spark, sf_dir).filter("url % 5 = 0"), "keyword", "url", min_count=2)
+    """Each two urls that share at least two keywords."""
+    return O.pair_counts(_posted(spark, sf_dir), "keyword", "url", min_count=2)
 
 
 @query(f"with {POSTED}, t as (select keyword from posted where url = 7) select url, count(*) as score from posted where keyword in (select keyword from t) and url <> 7 group by 1 order by score desc, url limit 20")
@@ -152,16 +150,16 @@ def similar_articles(spark, sf_dir):
     return S.top(per, [F.desc("score"), F.col("url")], 20)
 
 
-@query(f"with {POSTED} select url from posted where keyword = 'size1' intersect select url from posted where keyword = 'size2'")
+@query(f"with {E.POSTINGS} select url from postings where keyword = 'Brand#11' intersect select url from postings where keyword = 'Brand#12'")
 def both_keywords(spark, sf_dir):
-    posted = _posted(spark, sf_dir)
-    return posted.filter("keyword = 'size1'").select("url").intersect(posted.filter("keyword = 'size2'").select("url"))
+    posted = E.postings(spark, sf_dir)
+    return posted.filter("keyword = 'Brand#11'").select("url").intersect(posted.filter("keyword = 'Brand#12'").select("url"))
 
 
-@query(f"with {E.ARTICLES} select article_id as src, 'FL-' || lpad((article_id * 7 % 1000000)::varchar, 6, '0') as ref from articles where article_id % 3 = 0")
+@query(f"with {E.ARTICLES} select article_id as src, 'FL-' || lpad((article_id * 7 % 1000000)::varchar, 6, '0') as ref from articles")
 def reference_edges(spark, sf_dir):
     text = F.concat(F.lit("as told in FL-"), F.lpad((F.col("article_id") * 7 % 1000000).cast("string"), 6, "0"), F.lit("."))
-    return E.articles(spark, sf_dir).filter("article_id % 3 = 0").select(F.col("article_id").alias("src"), F.explode(references(text)).alias("ref"))
+    return E.articles(spark, sf_dir).select(F.col("article_id").alias("src"), F.explode(references(text)).alias("ref"))
 
 
 @query()

@@ -130,12 +130,12 @@ def noise_reasons(spark, sf_dir):
 
 @query()
 def bibtex_entries(spark, sf_dir):
-    return B.bibtex(_bib(spark, sf_dir).filter("article_id % 50 = 0"))
+    return B.bibtex(_bib(spark, sf_dir))
 
 
 @query()
 def ris_entries(spark, sf_dir):
-    return B.ris(_bib(spark, sf_dir).filter("article_id % 50 = 0"))
+    return B.ris(_bib(spark, sf_dir))
 
 
 _LABELS = E.LABELS
@@ -227,8 +227,8 @@ def tfidf_weights(spark, sf_dir):
 
 @query()
 def topic_model(spark, sf_dir):
-    weights = T.tfidf(E.table(spark, sf_dir, "documents"), max_features=500)
-    doc_topics, terms = T.nmf(weights, topics=4, rounds=5)
+    weights = T.tfidf(E.table(spark, sf_dir, "documents"))
+    doc_topics, terms = T.nmf(weights, rounds=10)
     return T.dominant(doc_topics).join(F.broadcast(T.topic_names(terms)), "topic").select("doc_id", "topic", "name", F.round("score", 3).alias("score"))
 
 

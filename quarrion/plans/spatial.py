@@ -112,7 +112,7 @@ def centroid_by_period(spark, sf_dir):
 
 
 @query(
-    f"""with {_DATED}, m as (select month as period, count(*) as n, sum(lat) as a, sum(lon) as b from dated where id % 7 < 3 and (id % 80) % 9 <> 4 group by 1),
+    f"""with {_DATED}, squared as (select *, cast(date '1995-01-01' + to_months((id * id % 80)::int) as date) as month from points), m as (select month as period, count(*) as n, sum(lat) as a, sum(lon) as b from squared group by 1),
     s as (select cast(unnest(generate_series((select min(period) from m), (select max(period) from m), interval 1 month)) as date) as period),
     w as (select s.period, coalesce(n, 0) as n, coalesce(a, 0) as a, coalesce(b, 0) as b from s left join m using (period)),
     r as (select period, sum(n) over f as c, sum(a) over f as a, sum(b) over f as b, avg(n) over () as mean from w window f as (order by period rows between 2 preceding and current row))
@@ -122,19 +122,19 @@ def centroid_by_period(spark, sf_dir):
     places=3,
 )
 def temporal_clusters(spark, sf_dir):
-    rows = _dated(spark, sf_dir).filter("id % 7 < 3 and (id % 80) % 9 != 4")
+    rows = E.points(spark, sf_dir).withColumn("month", F.add_months(F.to_date(F.lit("1995-01-01")), (F.col("id") * F.col("id") % 80).cast("int")))
     return G.temporal_clusters(rows, factor=1.1)
 
 
 @query(
-    f"""with {E.POINTS}, {FACILITY}, new as (select * from points where id % 5 = 0), known as (select * from points where id % 5 <> 0),
+    f"""with {E.POINTS}, {FACILITY}, new as (select * from points where type = 'BUILDING'), known as (select * from points where type <> 'BUILDING'),
     k as (select n.id, n.lat, n.lon, min({_km("n.lat", "n.lon", "k.lat", "k.lon")}) as known_km from new n, known k group by all),
     f as (select k.*, min({_km("k.lat", "k.lon", "f.lat", "f.lon")}) as facility_km from k, fac f group by all)
     select id, case when known_km < 50 then 'STRONG' when known_km < 200 then 'MODERATE' when facility_km < 100 then 'NEAR_FACILITY' else 'UNVALIDATED' end as tier from f"""
 )
 def coordinate_validation(spark, sf_dir):
     rows = E.points(spark, sf_dir)
-    return G.validated(rows.filter("id % 5 = 0"), rows.filter("id % 5 != 0"), gazetteer.sites(spark)).select("id", "tier")
+    return G.validated(rows.filter("type = 'BUILDING'"), rows.filter("type != 'BUILDING'"), gazetteer.sites(spark)).select("id", "tier")
 
 
 def _codes(spark, sf_dir):
@@ -182,10 +182,11 @@ def codes_near_facilities(spark, sf_dir):
     return G.nearest_site(rows, gazetteer.sites(spark), "facility").filter("facility_km < 200").select("p_partkey", "nearest_facility", "facility_km")
 
 
-@query(f"with {_CODES} select p_partkey, v1 * 10000 + v2 in (select v1 * 10000 + v2 from codes where p_partkey % 4 = 0) as known from dec where method is not null")
+@query(f"with {_CODES} select p_partkey, v1 * 10000 + v2 in (select v1 * 10000 + v2 from codes join part using (p_partkey) where p_size <= 25) as known from dec where method is not null")
 def known_and_new_codes(spark, sf_dir):
     rows = _decoded(spark, sf_dir).filter("method is not null")
-    known = _codes(spark, sf_dir).filter("p_partkey % 4 = 0").select("code").distinct()
+    small = E.table(spark, sf_dir, "part").filter("p_size <= 25").select("p_partkey")
+    known = _codes(spark, sf_dir).join(small, "p_partkey").select("code").distinct()
     return rows.join(known, "code", "left_semi").select("p_partkey", F.lit(True).alias("known")).unionByName(rows.join(known, "code", "left_anti").select("p_partkey", F.lit(False).alias("known")))
 
 

@@ -135,10 +135,9 @@ def english_test(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", C.is_english(F.col("text")).alias("english"))
 
 
-@query("select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as clean, substr(md5(text), 1, 16) as hash from documents where doc_id % 10 = 0")
+@query("select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as clean, substr(md5(text), 1, 16) as hash from documents")
 def cleaned_text(spark, sf_dir):
-    rows = _docs(spark, sf_dir).filter("doc_id % 10 = 0")
-    return rows.select("doc_id", C.clean_text(F.col("text")).alias("clean"), C.text_hash(F.col("text")).alias("hash"))
+    return _docs(spark, sf_dir).select("doc_id", C.clean_text(F.col("text")).alias("clean"), C.text_hash(F.col("text")).alias("hash"))
 
 
 @query(f"with {E.ARTICLES} select article_id, regexp_extract(url, '/(\\d{{4}})/(\\d{{2}})/', 1) || '-' || regexp_extract(url, '/(\\d{{4}})/(\\d{{2}})/', 2) as month from articles")
@@ -162,10 +161,9 @@ def clean_years(spark, sf_dir):
     return E.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), C.clean_year(text).alias("year"))
 
 
-@query("select event_id, json_extract_string(props, '$.k')::bigint as k, event_type from events where event_id % 3 = 0")
+@query("select event_id, json_extract_string(props, '$.k')::bigint as k, event_type from events")
 def json_properties(spark, sf_dir):
-    rows = E.table(spark, sf_dir, "events").filter("event_id % 3 = 0")
-    return rows.select("event_id", F.from_json("props", "k long")["k"].alias("k"), "event_type")
+    return E.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), "event_type")
 
 
 @query("select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as raw, len(regexp_extract_all(html, '<a[^>]*href=')) as links from pages", places=0)
@@ -195,14 +193,14 @@ def narrative_excerpts(spark, sf_dir):
 
 
 def _cited(spark, sf_dir):
-    b = E.bibliography(spark, sf_dir).filter("article_id % 20 = 0")
+    b = E.bibliography(spark, sf_dir)
     name = F.initcap(F.regexp_replace("author", "[^A-Za-z]", ""))
     forms = F.array(F.concat(name, F.lit(" ("), F.col("year"), F.lit(")")), F.concat(F.lit("("), name, F.lit(" "), F.col("year"), F.lit(")")), F.concat(F.lit("("), name, F.lit(", "), F.col("year"), F.lit(")")))
     return b.select("article_id", "position", F.concat(F.lit("as in "), F.element_at(forms, (F.col("position") % 3 + 1).cast("int")), F.lit(" it was.")).alias("text"))
 
 
 @query(
-    f"""with {E.BIBLIOGRAPHY}, n as (select article_id, position, upper(regexp_replace(author, '[^A-Za-z]', '', 'g')[1]) || lower(regexp_replace(author, '[^A-Za-z]', '', 'g')[2:]) as name, year from bib where article_id % 20 = 0)
+    f"""with {E.BIBLIOGRAPHY}, n as (select article_id, position, upper(regexp_replace(author, '[^A-Za-z]', '', 'g')[1]) || lower(regexp_replace(author, '[^A-Za-z]', '', 'g')[2:]) as name, year from bib)
     select article_id, position, case position % 3 when 0 then 'author_year' when 1 then 'parenthetical' else 'parenthetical_comma' end as type, name as author, year::varchar as year, 6 as at from n"""
 )
 def inline_citations(spark, sf_dir):
@@ -211,11 +209,11 @@ def inline_citations(spark, sf_dir):
 
 
 @query(
-    f"""with {E.BIBLIOGRAPHY}, e as (select article_id, position, author, title, journal, year from bib where article_id % 20 = 0)
+    f"""with {E.BIBLIOGRAPHY}, e as (select article_id, position, author, title, journal, year from bib)
     select article_id, position, author, year::varchar as year, title, null::varchar as doi from e"""
 )
 def bibliography_entries(spark, sf_dir):
-    b = E.bibliography(spark, sf_dir).filter("article_id % 20 = 0")
+    b = E.bibliography(spark, sf_dir)
     entry = F.concat(F.lit("Body text.\n\nReferences\n\n"), F.col("author"), F.lit(" ("), F.col("year"), F.lit('). "'), F.col("title"), F.lit('". Published somewhere.'))
     rows = b.select("article_id", "position", F.explode(X.bibliography_lines(entry)).alias("line"))
     return rows.select("article_id", "position", X.bibliography_entry(F.col("line")).alias("e")).select("article_id", "position", "e.author", "e.year", "e.title", "e.doi")
