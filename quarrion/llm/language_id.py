@@ -33,7 +33,7 @@ from quarrion.llm.shared import crc_mod5
 
 TRAIN_ROWS, GRAM_BITS, SWITCH, SCRIPT_SHARE = 2000, 16, 12.0, 0.01
 #: Share of its letters that a text's language needs, to be kept in a filtering stage.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 #: Words times languages that are held at once (a longer text is taken whole).
 CELLS = 3_000_000
 
