@@ -11,7 +11,9 @@ OTHER = "Other"
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    """Both directions of every edge, in one pass."""
+    ways = F.array(F.struct("a", "b", "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    return edges.select(F.explode(ways).alias("e")).select("e.*")
 
 
 def node_stats(nodes: DataFrame, edges: DataFrame, node: str = "label") -> DataFrame:
@@ -25,6 +27,7 @@ def bridge_scores(edges: DataFrame, max_neighbors: int = 100, min_degree: int =
 
     Of more than max_neighbors neighbours those with the largest weights count, ties by name; so wedges are bounded.
     """
+    edges = checkpointed(edges)
     both = symmetric(edges)
     degree = both.groupBy("a").agg(F.count("*").alias("degree")).filter(F.col("degree") >= min_degree)
     near = top_per_group(both, ["a"], [F.desc("weight"), F.col("b")], max_neighbors).join(degree, "a").select("a", "b")
@@ -37,6 +40,7 @@ def bridge_scores(edges: DataFrame, max_neighbors: int = 100, min_degree: int =
 
 def unlinked_examples(edges: DataFrame, neighbors: int = 10, examples: int = 3) -> DataFrame:
     """Per node, the first pairs of its heaviest neighbours that aren't linked."""
+    edges = checkpointed(edges)
     near = top_per_group(symmetric(edges), ["a"], [F.desc("weight"), F.col("b")], neighbors).select(F.col("a").alias("node"), F.col("b").alias("n"))
     pairs = near.select("node", F.col("n").alias("a")).join(near.select("node", F.col("n").alias("b")), "node").filter("a < b")
     return top_per_group(pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti"), ["node"], [F.col("a"), F.col("b")], examples).select("node", "a", "b")

@@ -24,7 +24,7 @@ def classified(labels: DataFrame, topics: Sequence[str], languages: Sequence[str
     """
     is_topic, is_language = F.col("other").isin(*topics), F.col("other").isin(*languages)
     both = pairs(labels, "article_id", "label")
-    near = both.select(F.col("a").alias("label"), F.col("b").alias("other")).unionByName(both.select(F.col("b").alias("label"), F.col("a").alias("other")))
+    near = both.select(F.explode(F.array(F.struct(F.col("a").alias("label"), F.col("b").alias("other")), F.struct(F.col("b").alias("label"), F.col("a").alias("other")))).alias("n")).select("n.*")
     co = near.groupBy("label").agg(F.count("*").alias("co"), F.sum(is_topic.cast("int")).alias("t"), F.sum(is_language.cast("int")).alias("l"))
     rows = labels.groupBy("label").agg(F.count("*").alias("article_count")).join(co, "label", "left").na.fill(0)
     label = F.col("label")

@@ -77,12 +77,14 @@ def keyword_bursts(series: DataFrame, key: str = "keyword", window: int = 12, th
 
 
 def trend_ratio(dated: DataFrame, key: str, recent_months: int = 12, top: int | None = 50, rising: float = 1.2, falling: float = 0.8) -> DataFrame:
-    """Recent against earlier monthly average per key; the earlier one divides by its distinct active months."""
-    last = dated.agg(F.max("period").alias("last"))
-    marked = dated.crossJoin(F.broadcast(last)).withColumn("recent", F.col("period") > F.add_months("last", -recent_months))
-    per = marked.groupBy(key).agg(
-        F.count("*").alias("total"), F.sum(F.col("recent").cast("long")).alias("n_recent"), F.countDistinct(F.when(~F.col("recent"), F.col("period"))).alias("active")
-    )
+    """Recent against earlier monthly average per key; the earlier one divides by its distinct active months.
+
+    Everything follows from the counts per key and month, which are shuffled once.
+    """
+    monthly = dated.filter("period is not null").groupBy(key, "period").agg(F.count("*").alias("n"))
+    last = monthly.agg(F.max("period").alias("last"))
+    marked = monthly.crossJoin(F.broadcast(last)).withColumn("recent", F.col("period") > F.add_months("last", -recent_months))
+    per = marked.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("recent"), F.col("n")).otherwise(0)).alias("n_recent"), F.count_if(~F.col("recent")).alias("active"))
     if top:
         per = per.orderBy(F.desc("total"), key).limit(top)
     recent = F.col("n_recent") / recent_months
@@ -98,10 +100,10 @@ def first_seen(dated: DataFrame, key: str) -> DataFrame:
 
 def keyword_spans(dated: DataFrame, key: str = "keyword", recent_months: int = 24, gone_months: int = 12, min_total: int = 5) -> DataFrame:
     """First and last month per keyword; emergent if first seen lately, vanishing if common once and not seen lately."""
-    last = dated.agg(F.max("period").alias("end"))
-    per = dated.crossJoin(F.broadcast(last)).groupBy(key).agg(
-        F.min("period").alias("first"), F.max("period").alias("last"), F.count("*").alias("total"), F.sum((F.col("period") > F.add_months("end", -recent_months)).cast("long")).alias("recent_count"), F.max("end").alias("end")
-    )
+    monthly = dated.filter("period is not null").groupBy(key, "period").agg(F.count("*").alias("n"))
+    last = monthly.agg(F.max("period").alias("end"))
+    recent = F.when(F.col("period") > F.add_months("end", -recent_months), F.col("n")).otherwise(0)
+    per = monthly.crossJoin(F.broadcast(last)).groupBy(key).agg(F.min("period").alias("first"), F.max("period").alias("last"), F.sum("n").alias("total"), F.sum(recent).alias("recent_count"), F.max("end").alias("end"))
     emergent, vanishing = F.col("first") > F.add_months("end", -recent_months), (F.col("last") < F.add_months("end", -gone_months)) & (F.col("total") >= min_total)
     return per.select(key, "first", "last", "total", "recent_count", emergent.alias("is_emergent"), vanishing.alias("is_vanishing"))
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.operators.search import top_per_group
@@ -28,8 +28,8 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", min_df: int
     if max_features:
         vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features)
     weighed = tf.join(vocabulary, "term").select(key, "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    size = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return weighed.join(size, key).select(key, "term", (F.col("w") / F.col("size")).alias("w"))
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weighed.select(key, "term", (F.col("w") / size).alias("w"))
 
 
 def nmf(weights: DataFrame, key: str = "doc_id", topics: int = 15, rounds: int = 30, seed: int = 42) -> tuple[DataFrame, DataFrame]:
