@@ -281,3 +281,24 @@ def test_incremental(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [2, 3]
     assert [r.x for r in spark.read.parquet(target + "_failed").collect()] == ["a"]
     assert spark.read.json(target + "_log").agg(F.sum("rows")).first()[0] == 5
+
+
+def test_search_helpers(spark):
+    rows = spark.createDataFrame([(1.0, "Alpha"), (2.0, None)], "lat double, title string")
+    assert search.renamed(rows, {"lat": "latitude", "none": "x", "title": "lat"}).columns == ["latitude", "title"]
+    assert search.any_column(rows, "ALPHA").count() == 1
+    assert search.search(rows, "alp", text="title").count() == 1
+    assert search.top_per_group(rows.withColumn("g", F.lit(1)), ["g"], [F.desc("lat")], 1).first().lat == 2.0
+    kinds = rows.select(search.bucketed(F.col("title"), {"A": ("Alpha",)}).alias("k")).collect()
+    assert sorted(r.k for r in kinds) == ["A", "Other"]
+
+
+def test_articles_and_trends(spark):
+    assigned = spark.createDataFrame([("u", 0, 1, 0.9), ("u", 1, 2, 0.2), ("v", 0, 1, 0.9), ("w", 0, 1, 0.4)], "url string, position int, topic int, score double")
+    labels = spark.createDataFrame([("u", "a"), ("v", "b"), ("w", "a"), ("x", "a")], "url string, label string")
+    aligned = spark.createDataFrame([(1, "a", 0.7)], "topic int, label string, share double")
+    assert [r.url for r in topics.mislabelled(assigned, labels, aligned).collect()] == ["v"]
+    best = {(r.topic, r.label): r.share for r in topics.alignment(assigned, labels).collect()}
+    assert best[1, "a"] == pytest.approx(2 / 3)
+    dated = spark.createDataFrame([(1, "a", dt.date(2020, 1, 1)), (1, "b", dt.date(2022, 1, 1)), (1, "d", dt.date(2022, 1, 1)), (2, "c", dt.date(2020, 1, 1))], "topic int, url string, month date")
+    assert {r.topic: r.direction for r in topics.topic_trends(dated).collect()} == {1: "rising", 2: "declining"}
