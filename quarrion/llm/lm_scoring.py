@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import slices, texts
-from quarrion.llm.shared import crc_mod5, written
+from quarrion.llm.shared import crc_mod5, release, written
 
 STATES, CLASSES, ROUNDS, SEGMENT = 4, 16384, 4, 128
 #: Bytes of text in a block.
@@ -242,6 +242,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("i", "x")).select("block", "i", "x.words", "x.n")
     counts = written(words.groupBy("words").agg(F.sum("n").alias("c")).filter("c > 0"))
+    release(spark)
     places = words.select("block", "i", "words").join(counts, "words", "left").select("block", "i", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
     gathered = places.repartition("block").sortWithinPartitions("block", "i").select("block", "c").mapInArrow(_gathered, "c_block long, counts binary")
 

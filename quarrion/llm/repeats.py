@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import slices, texts
-from quarrion.llm.shared import discard, written
+from quarrion.llm.shared import discard, release, written
 
 #: Units of a text that are hashed at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
@@ -268,6 +268,7 @@ def repeated_spans(docs: DataFrame, kind: Units, decide: Callable[[DataFrame], D
     marked = packed.join(wanted.hint("shuffle_hash"), has).select("doc_id", "h", "z", "seeds", F.lit(1).alias("weight"))
     contexts = written(marked.mapInArrow(partial(_contexts, kind=kind), CONTEXT))
     discard(seeds, twice)
+    release(docs.sparkSession)
     distinct = contexts.groupBy("hash").agg(*(F.first(c).alias(c) for c in ("seed", "context", "most", "least")), F.sum("weight").cast("int").alias("n"))
     verdicts = written(decide(distinct))
 
