@@ -17,6 +17,7 @@ the named columns are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -24,9 +25,8 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import slices, texts
@@ -47,7 +47,7 @@ class Local(dict):
 
 
 def class_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) % CLASSES
+    return zlib.crc32(word) % CLASSES
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -240,13 +240,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod5(id_col) == 1).alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = written(rows.mapInArrow(partial(_blocks, block_bytes=block_bytes), BLOCKS).withColumn("block", F.monotonically_increasing_id()))
 
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("i", "x")).select("block", "i", "x.words", "x.n")
-    counts = written(words.groupBy("words").agg(F.sum("n").alias("c")).filter("c > 0"))
+    # A word has at most one row per block, so summing over its rows needs no partial step, and one shuffle does.
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("i", "x")).select("block", "i", F.col("x.words").alias("word"), "x.n")
+    same = Window.partitionBy("word")
+    places = words.select("block", "i", (F.crc32("word") % CLASSES).cast("int").alias("cls"), F.sum("n").over(same).alias("c"), (F.min(F.struct("block", "i")).over(same) == F.struct("block", "i")).alias("first"))
+    places = written(places)
     release(spark)
-    places = words.select("block", "i", "words").join(counts, "words", "left").select("block", "i", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
-    gathered = places.repartition("block").sortWithinPartitions("block", "i").select("block", "c").mapInArrow(_gathered, "c_block long, counts binary")
+    gathered = places.select("block", "i", "c").repartition("block").sortWithinPartitions("block", "i").select("block", "c").mapInArrow(_gathered, "c_block long, counts binary")
 
-    stats = counts.mapInArrow(_class_stats, "cls int, tokens long, words long").groupBy("cls").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()
+    stats = places.filter("first and c > 0").groupBy("cls").agg(F.sum("c").alias("tokens"), F.count("*").alias("words")).toArrow()
     tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     tokens[stats["cls"].to_numpy()], distinct[stats["cls"].to_numpy()] = stats["tokens"].to_numpy(), stats["words"].to_numpy()
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
@@ -254,13 +256,3 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sent = spark.sparkContext.broadcast((model, int(tokens.sum() + ends), int(distinct.sum() + (ends > 0)), ends, tokens, distinct))
     whole = blocks.select("block", "docs", "held", "lengths", "seq", "classes")
     return whole.join(gathered, F.col("block") == F.col("c_block"), "left").drop("block", "c_block").mapInArrow(partial(_scored, sent=sent), SCORES)
-
-
-def _class_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for batch in batches:
-        cls = np.fromiter(map(class_of, batch.column("words").to_pylist()), np.int64, batch.num_rows)
-        np.add.at(tokens, cls, batch.column("c").to_numpy())
-        np.add.at(words, cls, 1)
-    at = np.flatnonzero(words)
-    yield pa.record_batch([pa.array(at, pa.int32()), pa.array(tokens[at]), pa.array(words[at])], ["cls", "tokens", "words"])
