@@ -1,10 +1,11 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
 A document's set is that of the hashes of its distinct word shingles. Documents with equal sets are one node. A node's
-LISTED least hashes are its retained values, and the inverted lists of these generate the candidates. Two sets with the
-asked similarity share at least SHARED retained values (with all but about 1e-9 probability; sets that are retained
-whole, as many as the similarity says, always). So only the LISTED - SHARED + 1 rarest values of a node are looked up:
-common passages list a document only if they make up nearly half of it.
+LISTED least hashes are its retained values, and the inverted lists of these generate the candidates. Two sets of more
+values that have the asked similarity share at least SHARED retained values (with all but about 1e-9 probability). A set
+that is retained whole shares as many as the similarity says, less those that its largest possible partner doesn't
+retain, always. So only the LISTED - SHARED + 1 rarest values of a larger node are looked up, and of a node that is
+retained whole one more than it can have unshared: common passages list a document only if they make up nearly half of it.
 
 A family is a node with all nodes that have it as the least member of a list they are in; two members of a list are
 always in one family. Candidates are compared in two rounds. First every family's members with its own node; what is
@@ -163,8 +164,10 @@ def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """Nodes that share a rare enough retained value: node, at, and these values as keys."""
     size, n = F.size("keys"), F.col("n")
-    # How many of the rarest values must hold a shared one, where a pair has the similarity.
-    must = F.when(n <= LISTED, n - F.ceil(n * percent / 100) + 1).otherwise(LISTED - SHARED + 1).cast("int")
+    # How many of the rarest values must hold a shared one, where a pair has the similarity. The largest partner of a set
+    # that is retained whole holds all of it, and what that partner doesn't retain may be shared.
+    unshared = F.greatest(n - F.ceil(n * percent / 100), F.floor(n * 100 / percent) - LISTED)
+    must = F.when(n <= LISTED, unshared + 1).otherwise(LISTED - SHARED + 1).cast("int")
     listed = nodes.select("node", "at", size.alias("size"), must.alias("must"), F.explode("keys").alias("key"))
     shared = written(listed.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"))
     per = listed.join(shared, "key").groupBy("node").agg(F.first("at").alias("at"), F.first("size").alias("size"), F.first("must").alias("must"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("rare"))

@@ -152,6 +152,20 @@ def test_near_duplicate_chain(spark):
     assert {r.component_id for r in got} == {0, 10}
 
 
+def test_near_duplicates_of_which_one_is_retained_whole(spark):
+    rng = random.Random(9)
+    data = []
+    for k in range(600):
+        n = rng.randint(60, 64)
+        m = rng.randint(75, n * 100 // 80)
+        words = [f"w{k}x{i}" for i in range(m + 3)]
+        at = rng.randint(0, m - n)
+        data += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[at : at + n + 3]))]
+    got = near_dedup.near_groups(spark.createDataFrame(data, "doc_id long, text string"), size=4).drop("h").collect()
+    assert ordered(got) == ordered(brute.op6(data))
+    assert sum(r.kept for r in got) == 600
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40) if i != 20] + [(100, 101), (101, 102), (100, 102), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
