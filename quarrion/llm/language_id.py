@@ -105,7 +105,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 class Scorer:
-    """Score vectors and letters of words, kept for the words seen lately."""
+    """Score vectors and letters of words, and if a language uses their script, kept for the words seen lately."""
 
     MOST = 150_000
 
@@ -117,6 +117,7 @@ class Scorer:
         self.place: dict[str, int] = {}
         self.scores = np.empty((0, len(self.model.langs)), np.float32)
         self.letters = np.empty(0, np.int32)
+        self.known = np.empty(0, bool)
 
     def full(self) -> bool:
         return len(self.place) > self.MOST
@@ -135,6 +136,7 @@ class Scorer:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.scores = np.concatenate([self.scores, sums.astype(np.float32)])
             self.letters = np.concatenate([self.letters, np.fromiter(map(len, new), np.int32, len(new))])
+            self.known = np.concatenate([self.known, known])
         return np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
 
 
@@ -175,11 +177,11 @@ def _predicted(rows: list[np.ndarray], scorer: Scorer, switch: float) -> Iterato
     full = [x for x in rows if len(x)]
     at = np.concatenate([np.empty(0, np.int32), *full])
     lengths = np.array(list(map(len, full)), np.int64)
-    scores, letters = scorer.scores[at], scorer.letters[at]
+    scores, letters, known = scorer.scores[at], scorer.letters[at], scorer.known[at]
     path = viterbi(scores, lengths, switch)
     of = np.repeat(np.arange(len(full)), lengths)
     share = np.zeros((len(full), len(langs)))
-    np.add.at(share, (of, path), letters * (scores != 0).any(1))
+    np.add.at(share, (of, path), letters * known)
     whole = np.bincount(of, letters, len(full))
     ends, k = np.cumsum(lengths), 0
     for x in rows:

@@ -237,6 +237,14 @@ def test_languages(spark):
     assert language_id.drop_unidentified(unlabelled).count() == df.count()
 
 
+def test_a_single_language(spark):
+    data = [(i, f"some words number{'x' * (i % 7)} and others", "aa") for i in range(40)] + [(100, "漢字", None), (101, "12", "aa")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_spans(df).collect()}
+    assert {got[i] for i in range(40)} == {("aa", 1.0)} and got[100][1] == got[101][1] == 0
+    assert {r.doc_id for r in language_id.drop_unidentified(df).collect()} == set(range(40))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(6)
     for _ in range(20):
