@@ -34,6 +34,8 @@ from quarrion.llm.shared import crc_mod5
 TRAIN_ROWS, GRAM_BITS, SWITCH, SCRIPT_SHARE = 2000, 16, 12.0, 0.01
 #: Share of its letters that a text's language needs, to be kept in a filtering stage.
 LEAST_SCORE = 0.3
+#: How far below the worst language that uses a word's script the others score.
+EXCLUDED = np.float32(1e4)
 #: Words times languages that are held at once (a longer text is taken whole).
 CELLS = 3_000_000
 
@@ -131,7 +133,9 @@ class Scorer:
             sums = np.add.reduceat(self.model.grams[cells[order]], np.searchsorted(of[order], np.arange(len(new))))
             uses = self.model.uses[[script_of(w[0]) for w in new]]
             known = uses.any(1)
-            sums = np.where(uses, sums, np.float32(-1e4)) - np.where(uses, sums, np.float32(-np.inf)).max(1, keepdims=True, initial=-1e4)
+            best = np.where(uses, sums, np.float32(-np.inf)).max(1, keepdims=True)
+            worst = np.where(uses, sums, np.float32(np.inf)).min(1, keepdims=True)
+            sums = np.where(uses, sums, worst - EXCLUDED) - best
             sums[~known] = 0
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.scores = np.concatenate([self.scores, sums.astype(np.float32)])

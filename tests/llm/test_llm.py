@@ -245,6 +245,19 @@ def test_a_single_language(spark):
     assert {r.doc_id for r in language_id.drop_unidentified(df).collect()} == set(range(40))
 
 
+def test_languages_of_other_scripts_never_win():
+    grams = np.log(np.random.default_rng(5).dirichlet(np.ones(1 << language_id.GRAM_BITS), 3)).T.astype(np.float32)
+    uses = np.zeros((len(language_id._NAMES), 3), bool)
+    uses[language_id.script_of("a"), :2] = uses[language_id.script_of("п"), 2] = True
+    scorer = language_id.Scorer(language_id.Model(("aa", "bb", "cc"), grams, uses))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=n)) for n in (3, 200, 600, 2000, 5000)] + ["漢字"]
+    at = scorer.rows(words)
+    got = scorer.scores[at]
+    assert (got[:-1, :2].max(1) == 0).all() and (got[:-1, 2] < got[:-1, :2].min(1)).all()
+    assert not got[-1].any() and np.isfinite(got).all()
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(6)
     for _ in range(20):
