@@ -9,7 +9,8 @@ The items go to the executors in blocks of bounded size (block_bytes of item tex
 block, so nothing grows with the benchmark but the number of passes. Counts of the prefix words cover all documents.
 
 Defined results: a null or empty text has no words, no hits and the digest of the empty text. Items without words
-match nothing; items with equal ids count once. Repeated rows give repeated results. Only the named columns are read.
+match nothing; items with equal ids count once. Items with a null id are one item: it gives hits and counts in n_items,
+and the digest, of the ids found, leaves it out. Repeated rows give repeated results. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def _counted(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Recor
     yield pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
-def prefix_index(items: list[tuple[str, bytes]], counts: dict[bytes, int], size: int = WINDOW) -> dict:
+def prefix_index(items: list[tuple[str | None, bytes]], counts: dict[bytes, int], size: int = WINDOW) -> dict:
     """Rarest token -> (its place, window length) -> window -> ids of the items that have it."""
     index: dict = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
     for item, text in items:
@@ -93,7 +94,7 @@ def _hits(batches: Iterator[pa.RecordBatch], sent, name: str) -> Iterator[pa.Rec
             n_words.append(n)
             starts.append([a for a, _ in runs])
             ends.append([b for _, b in runs])
-            items.append(sorted(which))
+            items.append(list(which))
         lists = (pa.array(x, pa.list_(t)) for x, t in ((starts, pa.int32()), (ends, pa.int32()), (items, pa.string())))
         yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(n_words, pa.int64()), *lists], ["doc_id", "h", "n_words", "starts", "ends", "items"])
 
@@ -106,9 +107,9 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(change, starts, 1)
             np.add.at(change, ends, -1)
             n_hit.append(int((np.cumsum(change)[:n] > 0).sum()) if starts else 0)
-            ids = sorted(set(items))
+            ids = set(items)
             n_items.append(len(ids))
-            digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+            digests.append(hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest())
         yield pa.record_batch(
             [batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())],
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
@@ -118,8 +119,8 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _item_blocks(rows: DataFrame, items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list:
     """Broadcast blocks of items, with the corpus counts of their words."""
     spark = rows.sparkSession
-    wanted = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("item is not null and text is not null")
-    total = wanted.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
+    wanted = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
+    total = wanted.agg(F.coalesce(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0))).first()[0]
     blocks, sent = max(1, -(-total // block_bytes)), []
     for block in range(blocks):
         own = [(r.item, r.text.encode()) for r in wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()]

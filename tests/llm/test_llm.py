@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import sys
 from pathlib import Path
@@ -195,6 +196,16 @@ def test_contamination(spark, docs, rows):
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_benchmark_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "here is a b c today"), (2, "only d e f"), (3, "a b c and d e f and g h i"), (4, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c"), (None, "d e f"), (5, "g h i"), (None, None)], "item_id long, text string")
+    digest = {x: hashlib.sha256(x.encode()).hexdigest() for x in ("", "5")}
+    want = [(1, 6, 3, 1, digest[""], True), (2, 4, 3, 1, digest[""], True), (3, 11, 9, 2, digest["5"], True), (4, 1, 0, 0, digest[""], False)]
+    for options in ({}, {"block_bytes": 4}):
+        assert ordered(decontamination.contamination(docs, bench, **options).collect()) == want
+        assert [r.doc_id for r in decontamination.drop_contaminated(docs, bench, **options).collect()] == [4]
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     want = brute.op3([(r.source, r.text) for r in docs.collect()])
