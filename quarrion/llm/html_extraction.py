@@ -2,9 +2,13 @@
 
 The standard library's parser streams events; they are cut into lines, one per block-level element. A line's ratio is
 its characters over its tags; lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments have ratio 0. The ratios are smoothed with a Gaussian kernel, and lines at or above one standard
-deviation of the smoothed ratios form clusters, the content regions. Where the page marks its article (article, main,
-role=main), the region is what the marks hold, as long as they hold any line; the clusters decide on all other pages, where lines that are mostly links don't count.
+and reader comments have ratio 0. Where the page marks its article (article, main, role=main), the region is what the
+marks hold, as long as they hold any line, and the ratios aren't asked. On all other pages lines that are mostly links
+don't count, the logarithms of the ratios are smoothed with a Gaussian kernel (so that one long line doesn't outweigh
+the others), and lines at or above one standard deviation of these form clusters. The region reaches from the first
+cluster to the last. It goes on at both ends, in the element that holds all clusters, over paragraphs, headings, items
+and cells, and over siblings of the clusters' lines that are of the same element; the first other line ends it. A footer
+that nothing but its text tells from a paragraph is taken.
 
 Defined results: a null or empty page gives the empty text; white space is what str.split takes as such; unclosed
 elements end with their parent, and a paragraph where the next block starts. Rows are independent, so repeated rows
@@ -39,31 +43,38 @@ NOT_NAMES = frozenset(
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A line with a larger share of link text is part of a menu, where the page doesn't mark its article.
 LINK_SHARE = 0.6
+#: Elements whose lines belong to the region when they adjoin it.
+PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, inside, links) per line; inside is True in a marked article, False in what isn't content, else
-    None; links is the number of its characters that are link text."""
+    """Collects (text, tags, inside, links, node) per line; inside is True in a marked article, False in what isn't content,
+    else None; links is the number of its characters that are link text; node is its innermost block-level element, of
+    which names has the tag and parent the node around it (0 is the page)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool | None]] = []
-        self.out: list[tuple[str, int, bool | None, int]] = []
+        self.open: list[tuple[str, bool | None, int]] = []
+        self.out: list[tuple[str, int, bool | None, int, int]] = []
+        self.names, self.parent = [""], [0]
         self.words: list[str] = []
         self.tags = self.links = 0
 
     def inside(self) -> bool | None:
         return self.open[-1][1] if self.open else None
 
+    def node(self) -> int:
+        return self.open[-1][2] if self.open else 0
+
     def block(self) -> bool | None:
         """What the innermost block means."""
-        return next((inside for tag, inside in reversed(self.open) if tag in BLOCK), None)
+        return next((inside for tag, inside, _ in reversed(self.open) if tag in BLOCK), None)
 
     def cut(self) -> None:
         if text := " ".join("".join(self.words).split()):
-            self.out.append((text, self.tags, self.block(), self.links))
+            self.out.append((text, self.tags, self.block(), self.links, self.node()))
         self.words, self.tags, self.links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -75,7 +86,12 @@ class Lines(HTMLParser):
         if tag == "br":
             self.words.append(" ")
         if tag not in VOID:
-            self.open.append((tag, self.meant(tag, dict(attrs))))
+            node = self.node()
+            if tag in BLOCK:
+                self.names.append(tag)
+                self.parent.append(node)
+                node = len(self.parent) - 1
+            self.open.append((tag, self.meant(tag, dict(attrs)), node))
 
     def meant(self, tag: str, attrs: dict[str, str | None]) -> bool | None:
         inside = self.inside()
@@ -97,7 +113,7 @@ class Lines(HTMLParser):
         """Closes the innermost open element of that name, and a paragraph only within its own block."""
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                if any(t in BLOCK for t, _ in self.open[at:]):
+                if any(t in BLOCK for t, _, _ in self.open[at:]):
                     self.cut()
                 del self.open[at:]
                 return
@@ -113,7 +129,7 @@ class Lines(HTMLParser):
         if self.inside() is False and self.block() is not False:
             return  # an inline element that isn't content, in a block that may be
         self.words.append(data)
-        if any(tag == "a" for tag, _ in self.open):
+        if any(tag == "a" for tag, _, _ in self.open):
             self.links += len(data.strip())
 
 
@@ -123,19 +139,46 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
+def region(ratios: np.ndarray, nodes: list[int], names: list[str], parent: list[int]) -> tuple[int, int]:
+    """First line of the clusters' region and the first after it. Lines that can't be content have ratio 0."""
+    even = smoothed(np.log1p(ratios))
+    clusters = np.flatnonzero((even >= even.std()) & (ratios > 0)).tolist()
+    if not clusters:
+        return 0, 0
+    around = parent[nodes[clusters[0]]]
+    for node in (parent[nodes[k]] for k in clusters):
+        while node != around:  # an element comes after those around it
+            node, around = (parent[node], around) if node > around else (node, parent[around])
+    within = [False] * len(parent)
+    within[around] = True
+    for node in range(around + 1, len(parent)):
+        within[node] = within[parent[node]]
+    kinds = {(parent[nodes[k]], names[nodes[k]]) for k in clusters}
+
+    def goes_on(k: int) -> bool:
+        node = nodes[k]
+        return not ratios[k] or (within[node] and (names[node] in PROSE or (parent[node], names[node]) in kinds))
+
+    first, end = clusters[0], clusters[-1] + 1
+    while first > 0 and goes_on(first - 1):
+        first -= 1
+    while end < len(nodes) and goes_on(end):
+        end += 1
+    return first, end
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = [(text, tags, inside, links > LINK_SHARE * len(text)) for text, tags, inside, links in parser.out]
-    if not lines:
+    if any(inside for _, _, inside, _, _ in parser.out):
+        return "\n\n".join(text for text, _, inside, _, _ in parser.out if inside)
+    if not parser.out:
         return ""
-    ratios = smoothed(np.array([0.0 if inside is False or menu else len(text) / max(1, tags) for text, tags, inside, menu in lines]))
-    if any(inside for _, _, inside, _ in lines):
-        return "\n\n".join(text for text, _, inside, _ in lines if inside)
-    region = (ratios >= ratios.std()) & (ratios > 0)
-    return "\n\n".join(text for (text, _, inside, menu), chosen in zip(lines, region, strict=True) if chosen and inside is None and not menu)
+    ratios = np.array([0.0 if inside is False or links > LINK_SHARE * len(text) else len(text) / max(1, tags) for text, tags, inside, links, _ in parser.out])
+    first, end = region(ratios, [line[-1] for line in parser.out], parser.names, parser.parent)
+    return "\n\n".join(line[0] for line, ratio in zip(parser.out[first:end], ratios[first:end], strict=True) if ratio)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

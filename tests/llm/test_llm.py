@@ -342,6 +342,23 @@ def test_pages(spark):
     assert got.count() == 6
 
 
+def unmarked_page(rng, sizes):
+    paragraphs = [" ".join(rng.choices(["some", "words", "of", "the", "article"], k=max(1, n // 5))) for n in sizes]
+    menu = "".join(f'<li><a href="/{i}">item {i}</a></li>' for i in range(6))
+    return f"<html><body><div><ul>{menu}</ul></div><h1>The headline</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}<div>Imprint</div></body></html>", ["The headline", *paragraphs]
+
+
+def test_pages_without_marks_keep_all_paragraphs():
+    rng = random.Random(3)
+    for sizes in ([300] * 20 + [20000] + [300] * 20, [300] * 5 + [5000] + [300] * 5, *([rng.randint(100, 500) for _ in range(12)] for _ in range(50)), [400, 20, 400, 15]):
+        page, want = unmarked_page(rng, sizes)
+        got = html_extraction.main_text(page).split("\n\n")
+        assert got[: len(want)] == want and not any(x.startswith("item") for x in got)
+    wrapped = "<body><div>Site name</div><div id=x><div>" + "long text " * 30 + "</div><div>Short end.</div></div><div>Imprint</div><div><a>a</a><a>b</a></div></body>"
+    assert "Short end." in html_extraction.main_text(wrapped).split("\n\n")
+    assert html_extraction.main_text("<div>" * 3000 + "deep text") == "deep text"
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
     con_tables = {"documents": COLUMNS, "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string"}
