@@ -10,6 +10,11 @@ cluster to the last. It goes on at both ends, in the element that holds all clus
 and cells, and over siblings of the clusters' lines that are of the same element; the first other line ends it. A footer
 that nothing but its text tells from a paragraph is taken.
 
+An element isn't content if its class or id names such a part of a page (NOT_NAMES). In a marked article only a whole
+class or id does so, or a class made of such names and LAYOUT words (`share-buttons`), as ids there are often made of a
+heading's words; elsewhere any part between hyphens and underscores does. Headings and paragraphs are never dropped by
+their own names.
+
 Defined results: a null or empty page gives the empty text; white space is what str.split takes as such; unclosed
 elements end with their parent, and a paragraph where the next block starts. Rows are independent, so repeated rows
 give repeated results. Only the named columns are read.
@@ -40,6 +45,9 @@ NOT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog
 NOT_NAMES = frozenset(
     "ad ads adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination paywall popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: What a class that names such a part adds to it.
+LAYOUT = frozenset("area bar block box button buttons container content form icons item items link links list panel post posts row section slot top unit wrap wrapper".split())
+NAMELESS = frozenset("html body main p h1 h2 h3 h4 h5 h6".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A line with a larger share of link text is part of a menu, where the page doesn't mark its article.
 LINK_SHARE = 0.6
@@ -100,12 +108,16 @@ class Lines(HTMLParser):
         role = (attrs.get("role") or "").lower()
         if role in NOT_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or HIDDEN.search(attrs.get("style") or ""):
             return False
-        if tag not in ("html", "body", "main"):
-            names = re.split(r"[\s_-]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
-            if not NOT_NAMES.isdisjoint(names):
-                return False
+        if tag not in NAMELESS and self.named_away((attrs.get("class") or "").lower().split(), (attrs.get("id") or "").lower()):
+            return False
         return True if tag in MARKED or role == "main" else inside
 
+    def named_away(self, classes: list[str], own_id: str) -> bool:
+        if not self.inside():
+            return not NOT_NAMES.isdisjoint(re.split(r"[\s_-]+", " ".join([*classes, own_id])))
+        parts = (set(re.split("[_-]+", c)) for c in classes)
+        return own_id in NOT_NAMES or any(not NOT_NAMES.isdisjoint(p) and p <= NOT_NAMES | LAYOUT for p in parts)
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 

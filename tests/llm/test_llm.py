@@ -342,6 +342,17 @@ def test_pages(spark):
     assert got.count() == 6
 
 
+def test_names_made_of_words_stay_in_the_article():
+    kept = ['<h2 id="related-work">', '<section id="social-impact">', '<p class="share-price">', '<div id="navigation-algorithms">', '<div class="price social-history">', '<h3 id="comments">']
+    gone = ['<div class="share-buttons">', '<div class="x related">', '<div class="cookie-notice">', '<section id="comments">']
+    for tag in kept + gone:
+        end = f"</{tag[1:].split()[0]}>"
+        page = f"<main><p>First.</p>{tag}Named{end}<p>Last.</p></main>"
+        assert html_extraction.main_text(page) == ("First.\n\nNamed\n\nLast." if tag in kept else "First.\n\nLast."), tag
+    long_ = "words of the text " * 20
+    assert html_extraction.main_text(f'<body><p>{long_}</p><h2 id="related-work">Named</h2><p>{long_}</p><div id="site-footer">{long_}</div></body>').count("\n\n") == 2
+
+
 def unmarked_page(rng, sizes):
     paragraphs = [" ".join(rng.choices(["some", "words", "of", "the", "article"], k=max(1, n // 5))) for n in sizes]
     menu = "".join(f'<li><a href="/{i}">item {i}</a></li>' for i in range(6))
