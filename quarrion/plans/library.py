@@ -228,7 +228,7 @@ def tfidf_weights(spark, sf_dir):
 @query()
 def topic_model(spark, sf_dir):
     weights = T.tfidf(E.table(spark, sf_dir, "documents"))
-    doc_topics, terms = T.nmf(weights, rounds=10)
+    doc_topics, terms = T.nmf(weights)
     return T.dominant(doc_topics).join(F.broadcast(T.topic_names(terms)), "topic").select("doc_id", "topic", "name", F.round("score", 3).alias("score"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
+
 import pytest
 from oracle import DATA, connection, same
 
 import __spark_entry__ as entry
-from quarrion.plans import catalog
+from quarrion.plans import catalog, library
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +28,20 @@ def test_runs(spark, name):
     assert df.count() >= 0
 
 
+def test_topic_model_runs_the_operators_rounds(spark, monkeypatch):
+    seen, whole = [], library.T.nmf
+
+    def nmf(*args, **options):
+        own = inspect.signature(whole).bind(*args, **options)
+        own.apply_defaults()
+        seen.append(own.arguments["rounds"])
+        return whole(*args, **options | {"rounds": 1})
+
+    monkeypatch.setattr(library.T, "nmf", nmf)
+    library.topic_model(spark, DATA)
+    assert seen == [inspect.signature(whole).parameters["rounds"].default]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries())
