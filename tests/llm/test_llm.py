@@ -88,6 +88,14 @@ def test_secrets(spark, docs, rows):
     assert secrets.scan_secrets(repos, repo_col="repo", max_owners=2).agg(F.sum("n_example")).first()[0] == 0
 
 
+def test_secrets_copied_by_one_owner(spark):
+    copied, own = "Ab1" * 10, "Cd2" * 10
+    docs = spark.createDataFrame([(i, copied, "a") for i in range(5)] + [(9, own, "a")], "doc_id long, text string, source string")
+    found = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan_secrets(docs, max_repos=4).collect()}
+    assert found == {**dict.fromkeys(range(5), (0, 1)), 9: (1, 0)}
+    assert secrets.scan_secrets(docs, max_repos=5).agg(F.sum("n_example")).first()[0] == 0
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_suffixes(spark, docs, rows, parts):
     spark.conf.set("spark.sql.shuffle.partitions", parts)
