@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.operators.cooccurrence import pairs
+from quarrion.shipping import shipped
 
 # Shapes of a coined label, one point each, and words that speak for a topic.
 SHAPES = (r"^[A-Z][a-z]{2,8}$", r" aff ", r" dys ", r" dy ", r" yr ", r" ud ", r" aeg ", r"'s ")
@@ -86,4 +87,4 @@ def families(matrix: DataFrame, key: str, item: str, weight: str, threshold: flo
             out.append((name, best))
         yield pd.DataFrame(out, columns=[key, "family"])
 
-    return rows.coalesce(1).mapInPandas(grouped, f"{key} {kind}, family int")
+    return shipped(rows).coalesce(1).mapInPandas(grouped, f"{key} {kind}, family int")

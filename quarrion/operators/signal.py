@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.functions import signal as S
+from quarrion.shipping import shipped
 
 
 def per_clip(clips: DataFrame, f: Callable[[np.ndarray, float], dict], schema: str, key: str = "clip") -> DataFrame:
@@ -22,7 +23,7 @@ def per_clip(clips: DataFrame, f: Callable[[np.ndarray, float], dict], schema: s
             yield pd.DataFrame(rows, columns=[key, *names])
 
     kind = clips.schema[key].dataType.simpleString()
-    return clips.select(key, "rate", "samples").mapInPandas(mapped, f"{key} {kind}, {schema}")
+    return shipped(clips).select(key, "rate", "samples").mapInPandas(mapped, f"{key} {kind}, {schema}")
 
 
 def envelopes(clips: DataFrame, low: float, high: float, ms: float = 5.0) -> DataFrame:
@@ -115,7 +116,7 @@ def morse(clips: DataFrame, bands: Sequence[tuple[float, float]], factors: Seque
             yield pd.DataFrame(out, columns=["clip", "low", "high", "factor", "speed", "text", "known"])
 
     kind = clips.schema["clip"].dataType.simpleString()
-    return rows.mapInPandas(mapped, f"clip {kind}, low double, high double, factor double, speed double, text string, known int")
+    return shipped(rows).mapInPandas(mapped, f"clip {kind}, low double, high double, factor double, speed double, text string, known int")
 
 
 def morse_decoded(symbols: Column) -> Column:

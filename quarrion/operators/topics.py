@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.operators.search import top_per_group
+from quarrion.shipping import shipped
 
 
 def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", min_df: int = 5, max_df: float = 0.85, max_features: int | None = 5000, stop: Sequence[str] = (), min_chars: int = 11) -> DataFrame:
@@ -39,7 +40,7 @@ def nmf(weights: DataFrame, key: str = "doc_id", topics: int = 15, rounds: int =
     on the driver; the documents' factor follows from it document by document, so it is never stored between rounds.
     Two sums go back per round: terms x topics and topics x topics.
     """
-    spark = weights.sparkSession
+    spark = shipped(weights).sparkSession
     vocabulary = sorted(r[0] for r in weights.select("term").distinct().collect())
     at = {t: i for i, t in enumerate(vocabulary)}
     if not at:

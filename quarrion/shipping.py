@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import functools
-import os
 import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -19,9 +18,13 @@ def _archive() -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package with the session's files, unless executors find it by PYTHONPATH or the working directory."""
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == ROOT:
-        return
+    """Sends the package with the session's files, once. What the driver finds by its own path says nothing of executors."""
     name = _archive()
     if not any(f.endswith("/quarrion.zip") for f in spark.sparkContext.listFiles):
         spark.sparkContext.addPyFile(name)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df, whose session has the package on its executors: for operators that send Python functions."""
+    ship(df.sparkSession)
+    return df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarrion import schemas
 from quarrion.functions.signal import wav_samples
 from quarrion.functions.text import month_from_url, references, tag_terms, word_count
+from quarrion.shipping import shipped
 
 
 def _or_empty(read: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
@@ -114,4 +115,4 @@ def crawl(links: DataFrame, starts: Sequence[str], most_pages: int = 10) -> Data
 def audio(spark: SparkSession, path: str) -> DataFrame:
     """path, rate, samples of mono or stereo 16-bit WAV files; stereo is averaged."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
-    return files.select("path", "content").mapInPandas(wav_samples, "path string, rate int, samples array<float>")
+    return shipped(files).select("path", "content").mapInPandas(wav_samples, "path string, rate int, samples array<float>")
