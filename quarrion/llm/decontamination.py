@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import ALNUM_LOWER, slices, texts
 from quarrion.llm.shared import written
+from quarrion.shipping import shipped
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
@@ -118,7 +119,7 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _item_blocks(rows: DataFrame, items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list:
     """Broadcast blocks of items, with the corpus counts of their words."""
-    spark = rows.sparkSession
+    spark = shipped(rows).sparkSession
     wanted = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0))).first()[0]
     blocks, sent = max(1, -(-total // block_bytes)), []

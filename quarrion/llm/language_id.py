@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import slices, texts
 from quarrion.llm.shared import crc_mod5
+from quarrion.shipping import shipped
 
 TRAIN_ROWS, GRAM_BITS, SWITCH, SCRIPT_SHARE = 2000, 16, 12.0, 0.01
 #: Share of its letters that a text's language needs, to be kept in a filtering stage.
@@ -90,7 +91,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     lang = F.col(lang_col).cast("string")
-    labelled = docs.filter(lang.isNotNull() & (crc_mod5(id_col) != 0)).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"), F.shiftright(F.xxhash64(id_col), 1).alias("h"))
+    labelled = shipped(docs).filter(lang.isNotNull() & (crc_mod5(id_col) != 0)).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"), F.shiftright(F.xxhash64(id_col), 1).alias("h"))
     rows = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = tuple(sorted(rows))
     if not langs:

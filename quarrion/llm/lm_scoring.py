@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import slices, texts
-from quarrion.llm.shared import crc_mod5, release, written
+from quarrion.llm.shared import crc_mod5, written
+from quarrion.shipping import shipped
 
 STATES, CLASSES, ROUNDS, SEGMENT = 4, 16384, 4, 128
 #: Bytes of text in a block.
@@ -237,12 +238,11 @@ def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod5(id_col) == 1).alias("held"), F.col(text_col).cast("string").alias("text"))
+    rows = shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod5(id_col) == 1).alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = written(rows.mapInArrow(partial(_blocks, block_bytes=block_bytes), BLOCKS).withColumn("block", F.monotonically_increasing_id()))
 
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("i", "x")).select("block", "i", "x.words", "x.n")
     counts = written(words.groupBy("words").agg(F.sum("n").alias("c")).filter("c > 0"))
-    release(spark)
     places = words.select("block", "i", "words").join(counts, "words", "left").select("block", "i", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
     gathered = places.repartition("block").sortWithinPartitions("block", "i").select("block", "c").mapInArrow(_gathered, "c_block long, counts binary")
 

@@ -36,6 +36,7 @@ from quarrion.llm.arrow import list_of, slices, texts
 from quarrion.llm.components import components
 from quarrion.llm.repeats import WordHashes, _packed, doubled, unpacked
 from quarrion.llm.shared import written
+from quarrion.shipping import shipped
 
 SHINGLE, PERCENT = 5, 80
 K, LISTED, SHARED = 128, 64, 28
@@ -178,7 +179,7 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, h (a hash of its text), n_shingles, component_id, kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    rows = shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     sets = written(rows.mapInArrow(partial(_sets, size=size), SETS))
     nodes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "h")).alias("at"), F.first("keys").alias("keys"), F.first("n").alias("n"))
     nodes = written(nodes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrion.llm.decontamination import contamination
@@ -15,7 +16,7 @@ from quarrion.llm.near_dedup import near_groups
 from quarrion.llm.secrets import scan_secrets
 from quarrion.llm.shared import table
 from quarrion.llm.substring_dedup import substring_dedup
-from quarrion.llm.suffix_dedup import suffix_dedup
+from quarrion.llm.suffix_dedup import drop_repeats
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"))
+    found = drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

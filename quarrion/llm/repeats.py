@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import slices, texts
-from quarrion.llm.shared import discard, release, written
+from quarrion.llm.shared import discard, written
+from quarrion.shipping import shipped
 
 #: Units of a text that are hashed at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
@@ -257,7 +258,7 @@ def repeated_spans(docs: DataFrame, kind: Units, decide: Callable[[DataFrame], D
 
     decide maps distinct contexts (seed, hash, context, most, least, n) to rows of VERDICT.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    rows = shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     seeds = written(rows.mapInArrow(partial(_seeds, kind=kind), "doc_id long, h long, seed long, times int"))
     # Written, so that the join can split a hot anchor.
     twice = written(seeds.groupBy("seed").agg(F.sum("times").alias("n")).filter("n > 1").select("seed"))
@@ -268,7 +269,6 @@ def repeated_spans(docs: DataFrame, kind: Units, decide: Callable[[DataFrame], D
     marked = packed.join(wanted.hint("shuffle_hash"), has).select("doc_id", "h", "z", "seeds", F.lit(1).alias("weight"))
     contexts = written(marked.mapInArrow(partial(_contexts, kind=kind), CONTEXT))
     discard(seeds, twice)
-    release(docs.sparkSession)
     distinct = contexts.groupBy("hash").agg(*(F.first(c).alias(c) for c in ("seed", "context", "most", "least")), F.sum("weight").cast("int").alias("n"))
     verdicts = written(decide(distinct))
 

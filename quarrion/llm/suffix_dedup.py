@@ -1,107 +1,420 @@
 """Suffix-array deduplication of byte strings.
 
-The suffixes that can repeat (see repeats) are range-partitioned by their leading bytes at sampled splitters. Each
-bucket sorts its suffixes locally by multikey quicksort, eight bytes to a character, and compares neighbours; groups
-of suffixes that a splitter may have cut are compared across the boundary.
-
-Every byte covered by a string of 200 bytes that also starts anywhere else in the corpus, the same document included,
-is removed. Defined results: a null text counts as empty; texts shorter than the length lose nothing; rows that
-repeat, with or without the same id, are copies of each other, so all their strings repeat. Only the named columns
-are read.
+Every byte at which a string of LENGTH bytes can start is a suffix. Its order is that of two characters: the hash of its
+first LEAD bytes (64 bits) and the hash of the rest up to LENGTH (32 bits); any order that puts equal strings side by
+side serves. The suffixes of a chunk of documents travel as arrays, not as rows, so a suffix costs 12 bytes.
+
+1. Leads: the suffixes that start at a token (a byte above 0x20 after one that isn't) are placed by their first
+   character alone. A string of LENGTH bytes can't occur twice if the lead of a token start in it is found once only, so
+   the suffixes before such a token are finished at depth one. Texts without tokens lose none here.
+2. Splitters, sampled from the suffixes that are left, range-partition them by both characters and their chunk, so that
+   the occurrences of one string can be split over buckets. The ranges are taken in slices of bounded volume
+   (MOVED x the text), one shuffle each; its files go before the next begins.
+3. Every bucket is sorted by multikey quicksort: by the first character at once, and only parts that hold several
+   different suffixes by the next. Neighbours are compared to full depth. The first and the last suffix of each bucket
+   are compared with those of the other buckets, so a string that a splitter parts is found as well.
+4. One bit per distinct suffix of a chunk goes back to the chunk, where the runs of covered bytes are cut out.
+
+A chunk sends equal suffixes once. At the defaults a task holds one chunk of 2 MB or a bucket of a million suffixes;
+chunks times buckets arrays are shuffled, so both should grow with the corpus (64 MB and 64 million for 100 TB).
+
+Every byte covered by a string of LENGTH bytes that also starts anywhere else in the corpus, the same document
+included, is removed. Defined results: a null text counts as empty; texts shorter than the length lose nothing; rows
+that repeat, with or without the same id, are copies of each other, so all their strings repeat; an empty table gives
+an empty result. The id keeps its type. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrion.llm import repeats
-from quarrion.llm.arrow import slices
+from quarrion.llm.arrow import slices, texts
+from quarrion.llm.shared import discard, written
+from quarrion.shipping import shipped
+
+LENGTH, LEAD = 200, 64
+#: Bytes of text of a chunk, suffixes of a bucket, and bytes that a slice may shuffle for each byte of text.
+CHUNK_BYTES, BUCKET, MOVED = 2 << 20, 1 << 20, 1.2
+#: Sampled suffixes for each bucket.
+SAMPLED = 16
+#: Positions that are hashed at once.
+PIECE = 1 << 15
+_FACTOR = 0x9E3779B97F4A7C15
+_MIX, _SHIFT = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
-LENGTH, GRAM, LEAD = 200, 64, 8
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
+def _powers(of: int) -> np.ndarray:
+    """Its powers modulo 2**64, one for each place of a piece."""
+    factors = np.full(PIECE + LENGTH, of, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
 
-def _itself(x: bytes) -> bytes:
+
+_POWER, _INVERSE = _powers(_FACTOR), _powers(pow(_FACTOR, -1, 1 << 64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _MIX
+    x ^= x >> _SHIFT
     return x
 
 
-BYTES = repeats.Units(LENGTH, GRAM, _itself, repeats.byte_grams, _itself, _itself)
+def characters(text: bytes, ends: tuple[int, ...]) -> list[np.ndarray]:
+    """Of each place, the hash of the bytes up to ends[0] after it, of those from there to ends[1], and so on.
 
+    Places are those with ends[-1] bytes of the text after them. The hash is a polynomial in the mixed eight-byte words
+    that start in a stretch, from differences of running sums.
+    """
+    n = len(text) - ends[-1] + 1
+    out = [np.empty(max(0, n), np.uint64) for _ in ends]
+    if n <= 0:
+        return out
+    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    sums = np.zeros(PIECE + ends[-1] - 6, np.uint64)
+    for at in range(0, n, PIECE):
+        m = min(PIECE, n - at)
+        part = _mixed(words[at : at + m + ends[-1] - 8])
+        part *= _POWER[: len(part)]
+        np.cumsum(part, out=sums[1 : len(part) + 1])
+        begin = 0
+        for hashes, end in zip(out, ends, strict=True):
+            stop = end - 7
+            hashes[at : at + m] = _mixed((sums[stop : stop + m] - sums[begin : begin + m]) * _INVERSE[:m])
+            begin = stop
+    return out
 
-def multikey_order(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of lead (one column per eight-byte character), and for each place whether a new row starts.
 
-    Multikey quicksort, all open partitions of a depth at once: a partition is split by the character at that depth,
-    and only parts of more than one row go on to the next.
+def order_of(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """Order by the first character, then the second, then the place: multikey quicksort.
+
+    The first character is sorted as one number with the place in its lowest bits. Of the parts that are equal in the
+    bits that this leaves, those that hold different suffixes are sorted by the whole characters.
     """
-    n, depth = lead.shape
-    order = np.arange(n)
-    starts = np.zeros(n, bool)
-    starts[:1] = True
-    todo = np.arange(n)
-    for d in range(depth):
-        part = np.cumsum(starts)[todo]
-        char = lead[order[todo], d]
-        by = np.lexsort((char, part))
-        order[todo] = order[todo[by]]
-        char, part = char[by], part[by]
-        starts[todo[1:]] |= (np.diff(part) != 0) | (char[1:] != char[:-1])
-        ends = np.append(starts[1:], True)
-        todo = todo[~(starts & ends)[todo]]
-        if not len(todo):
-            break
-    return order, starts
-
-
-def _lead(m: repeats.Member) -> tuple[bytes, int]:
-    """What comes first in the order of the ranges: the same for all members of a group."""
-    return m.units[m.most : m.most + LEAD], m.seed
-
-
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    members: list[repeats.Member] = []
-    for batch in batches:
-        members += (repeats.Member(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("hash", "context", "most", "least", "n", "seed")), strict=True))
-    lead = np.frombuffer(b"".join(m.units[m.most : m.most + GRAM] for m in members), ">u8").reshape(len(members), GRAM // 8)
-    order, starts = multikey_order(lead)
-    first = np.flatnonzero(starts)
-    # The groups with the least and the greatest key of a bucket may go on in the bucket before or after.
-    ends = {f(map(_lead, members)) for f in (min, max)} if members else set()
+    n = len(first)
+    if n < 2:
+        return np.arange(n)
+    low = first.min()
+    shift = 64 - max(1, int(first.max() - low).bit_length())
+    bits = (n - 1).bit_length()
+    mask = np.uint64((1 << bits) - 1)
+    key = (first - low) << np.uint64(shift)
+    key &= ~mask
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & mask).view(np.int64)
+    key >>= np.uint64(bits)
+    joined = key[1:] == key[:-1]
+    if not joined.any():
+        return order
+    differs = first[order[1:]] != first[order[:-1]]
+    if second is not None:
+        differs |= second[order[1:]] != second[order[:-1]]
+    part = np.cumsum(np.append(True, ~joined))
+    mixed = np.zeros(part[-1] + 1, bool)
+    mixed[part[1:][joined & differs]] = True
+    places = np.flatnonzero(mixed[part])
+    if len(places):
+        own = order[places]
+        keys = (own, first[own], part[places]) if second is None else (own, second[own], first[own], part[places])
+        order[places] = own[np.lexsort(keys)]
+    return order
+
+
+def _new(first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """Where a sorted suffix differs from the one before."""
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] != first[:-1]
+    if second is not None:
+        new[1:] |= second[1:] != second[:-1]
+    return new
+
+
+@dataclass
+class Sorted:
+    """The distinct suffixes of a chunk in their order; places and group: of all suffixes, and to which of these they belong."""
+
+    first: np.ndarray
+    second: np.ndarray | None
+    places: np.ndarray
+    group: np.ndarray
+
+    @classmethod
+    def of(cls, places: np.ndarray, first: np.ndarray, second: np.ndarray | None) -> Sorted:
+        order = order_of(first, second)
+        first, second = first[order], None if second is None else second[order]
+        new = _new(first, second)
+        return cls(first[new], None if second is None else second[new], places[order], np.cumsum(new) - 1)
+
+    def repeated(self, bits: np.ndarray) -> np.ndarray:
+        """Places of the suffixes that occur twice here, or elsewhere as bits say."""
+        here = np.bincount(self.group, minlength=len(self.first)) > 1
+        return self.places[(here | bits[: len(self.first)])[self.group]]
+
+    def cuts(self, splitters: list[tuple[int, int, int]], chunk: int) -> np.ndarray:
+        """How many of the distinct suffixes come before each splitter."""
+        by = np.array([s[0] for s in splitters], np.uint64)
+        low, high = np.searchsorted(self.first, by, "left"), np.searchsorted(self.first, by, "right")
+        for k in np.flatnonzero(low < high).tolist():
+            a, b = low[k], high[k]
+            if self.second is None:
+                low[k] += int(chunk < splitters[k][2])
+            else:
+                at = a + np.searchsorted(self.second[a:b], np.uint32(splitters[k][1]), "left")
+                low[k] = at + int(at < b and int(self.second[at]) == splitters[k][1] and chunk < splitters[k][2])
+        return low
+
+
+def _boundaries(lengths: list[int]) -> np.ndarray:
+    return np.cumsum([0, *lengths])
+
+
+def _fitting(ends: np.ndarray, depth: int) -> np.ndarray:
+    """Of each byte of a chunk, whether depth bytes of its text start there."""
+    fits = np.zeros(ends[-1], bool)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        fits[a : max(a, b - depth + 1)] = True
+    return fits
+
+
+def _token_starts(text: bytes, ends: np.ndarray) -> np.ndarray:
+    """Bytes above 0x20 after one that isn't, in the same text, with LEAD bytes of it to come."""
+    blank = np.frombuffer(text, np.uint8) <= 32
+    starts = np.zeros(len(text), bool)
+    starts[1:] = blank[:-1] & ~blank[1:]
+    starts[ends[:-1][ends[:-1] < len(text)]] = False
+    return np.flatnonzero(starts & _fitting(ends, LEAD))
+
+
+def _leads(row: dict, text: bytes) -> Sorted:
+    places = _token_starts(text, _boundaries(row["lengths"]))
+    (first,) = characters(text, (LEAD,))
+    return Sorted.of(places, first[places], None)
+
+
+def _unpacked_bits(z: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(z), np.uint8), count=n).astype(bool)
+
 
-    def groups() -> Iterator[tuple[bool, list[repeats.Member]]]:
-        for a, b in zip(first, [*first[1:], len(members)], strict=True):
-            yield _lead(members[order[a]]) in ends, [members[i] for i in order[a:b]]
+def _whole(row: dict, text: bytes, between: tuple[int, int] | None = None) -> Sorted:
+    """The open suffixes, of those whose first character is between the two, if that is given."""
+    first, second = characters(text, (LEAD, LENGTH))
+    left = _unpacked_bits(row["open"], len(text))[: len(first)]
+    if between:
+        left &= (first >= np.uint64(between[0])) & (first <= np.uint64(between[1]))
+    places = np.flatnonzero(left)
+    return Sorted.of(places, first[places], (second[places] >> np.uint64(32)).astype(np.uint32))
 
-    yield from repeats.decided(groups(), BYTES)
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
+    """Chunk by chunk, with its text."""
+    for batch in slices(batches, 1):
+        row = batch.to_pylist()[0]
+        yield row, zstandard.decompress(row.pop("z"))
 
-def _decided(distinct: DataFrame) -> DataFrame:
-    """The sampled splitters are of 32 bytes: the leading bytes, then the hash of the anchor, then the context's."""
-    ranged = distinct.withColumn("lead", F.expr(f"substring(context, most + 1, {LEAD})")).repartitionByRange("lead", "seed", "hash")
-    return ranged.select("hash", "context", "most", "least", "n", "seed").mapInArrow(_decide, repeats.VERDICT)
 
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    own: list[bytes] = []
+    docs, size = [], 0
+
+    def chunk() -> pa.RecordBatch:
+        columns = (pa.concat_arrays(docs), pa.array(list(map(len, own)), pa.int64()))
+        lists = (pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), c) for c in columns)
+        return pa.record_batch([*lists, pa.array([pack(b"".join(own))], pa.binary())], ["docs", "lengths", "z"])
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 64):
+        for k, text in enumerate(texts(batch.column("text"))):
+            own.append(text)
+            docs.append(batch.column("doc_id").slice(k, 1))
+            size += len(text) + 64
+            if size >= chunk_bytes:
+                yield chunk()
+                own, docs, size = [], [], 0
+    if own:
+        yield chunk()
+
+
+@dataclass(frozen=True)
+class Plan:
+    """The splitters of all buckets, and the buckets of one slice."""
+
+    splitters: list[tuple[int, int, int]]
+    low: int
+    high: int
+
+    def dealt(self, row: dict, text: bytes, leads: bool) -> tuple[Sorted, np.ndarray]:
+        """A chunk's suffixes, and where those of each bucket of the slice begin and end."""
+        ahead = self.splitters[self.low - 1] if self.low else (0, 0, 0)
+        after = self.splitters[self.high - 1] if self.high <= len(self.splitters) else ((1 << 64) - 1, 0, 0)
+        own = _leads(row, text) if leads else _whole(row, text, (ahead[0], after[0]))
+        inner = self.splitters[max(0, self.low - 1) : self.high]
+        cuts = own.cuts(inner, row["chunk"]).tolist()
+        return own, np.array(([0] if not self.low else []) + cuts + ([len(own.first)] if self.high > len(self.splitters) else []))
+
+
+DEALT = "chunk long, bucket int, n int, first binary, second binary"
+BITS = "chunk long, bucket int, bits binary, end_first long, end_second long, at int"
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], sent, leads: bool) -> Iterator[pa.RecordBatch]:
+    plan = sent.value
+    for row, text in _rows(batches):
+        own, cuts = plan.dealt(row, text, leads)
         out = []
-        for text, spans in zip(repeats.unpacked(batch.column("z")), batch.column("spans").to_pylist(), strict=True):
-            runs = repeats.covered(spans, len(text))
-            kept, at = hashlib.sha256(), 0
-            for a, b in runs:
-                kept.update(text[at:a])
-                at = b
-            kept.update(text[at:])
-            out.append((len(text), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return repeats.repeated_spans(docs, BYTES, _decided, id_col, text_col, _finish, RESULT)
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if a < b:
+                out.append((row["chunk"], k, b - a, own.first[a:b].tobytes(), None if leads else own.second[a:b].tobytes()))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "n", "first", "second"])
+
+
+def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task has one bucket. Bits of the suffixes that have an equal neighbour, for each array; first and last suffix."""
+    columns: dict[str, list] = {"chunk": [], "bucket": [], "n": [], "first": [], "second": []}
+    for batch in batches:
+        for name, values in columns.items():
+            values += batch.column(name).to_pylist()
+    if not columns["n"]:
+        return
+    first = np.frombuffer(b"".join(columns.pop("first")), np.uint64)
+    parts = columns.pop("second")
+    second = None if parts[0] is None else np.frombuffer(b"".join(parts), np.uint32)
+    order = order_of(first, second)
+    new = _new(first[order], None if second is None else second[order])
+    again = np.zeros(len(first), bool)
+    again[order] = ~(new & np.append(new[1:], True))
+    ends = np.cumsum([0, *columns["n"]])
+    found: list[tuple] = [(c, b, np.packbits(again[i:j]).tobytes(), None, None, None) for c, b, i, j in zip(columns["chunk"], columns["bucket"], ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    for k in {int(order[0]), int(order[-1])}:
+        of = int(np.searchsorted(ends, k, "right")) - 1
+        found.append((columns["chunk"][of], columns["bucket"][of], None, int(first[k].view(np.int64)), None if second is None else int(second[k]), k - int(ends[of])))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["chunk", "bucket", "bits", "end_first", "end_second", "at"])
+
+
+def placed(chunks: DataFrame, splitters: list[tuple[int, int, int]], moved: int, bound: float, leads: bool) -> list[DataFrame]:
+    """Written tables of BITS, one for each slice. moved: bytes of all suffixes; bound: of a slice."""
+    n = len(splitters) + 1
+    n_slices = min(n, max(1, int(np.ceil(moved / max(1.0, bound)))))
+    out = []
+    for k in range(n_slices):
+        low, high = k * n // n_slices, (k + 1) * n // n_slices
+        sent = chunks.sparkSession.sparkContext.broadcast(Plan(splitters, low, high))
+        dealt = chunks.mapInArrow(partial(_dealt, sent=sent, leads=leads), DEALT).repartitionById(high - low, F.col("bucket"))
+        bits = written(dealt.mapInArrow(_bucket, BITS))
+        out.append(bits.withColumn("bucket", F.col("bucket") + low))
+        sent.unpersist()
+    return out
+
+
+def gathered(tables: list[DataFrame]) -> DataFrame:
+    """Per chunk: bits of its distinct suffixes by bucket, and places in a bucket of those that another bucket has too."""
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    ends = every.filter("bits is null")
+    parted = ends.groupBy("end_first", "end_second").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).filter("lo < hi")
+    same = (ends.end_first == parted.end_first) & ends.end_second.eqNullSafe(parted.end_second)
+    fixes = ends.join(parted, same, "left_semi").select("chunk", "bucket", F.lit(None).cast("binary").alias("bits"), "at")
+    rows = every.filter("bits is not null").select("chunk", "bucket", "bits", "at").unionByName(fixes)
+    return rows.groupBy(F.col("chunk").alias("b_chunk")).agg(F.collect_list(F.struct("bucket", "bits", "at")).alias("found"))
+
+
+def _bits_of(found: list[dict] | None, splitters: list[tuple[int, int, int]], own: Sorted, chunk: int) -> np.ndarray:
+    """The bits of a chunk's distinct suffixes, in their order."""
+    cuts = np.array([0, *own.cuts(splitters, chunk).tolist(), len(own.first)])
+    out = np.zeros(len(own.first), bool)
+    for x in found or ():
+        a, b = cuts[x["bucket"]], cuts[x["bucket"] + 1]
+        if x["bits"] is None:
+            out[a + x["at"]] = True
+        else:
+            out[a:b] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a).astype(bool)
+    return out
+
+
+SAMPLE = "array<struct<first:long,second:long>>"
+
+
+def _opened(batches: Iterator[pa.RecordBatch], sent, stride: int) -> Iterator[pa.RecordBatch]:
+    """Which suffixes are left after the leads, and a sample of them."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for row, text in _rows(batches):
+        ends = _boundaries(row["lengths"])
+        own = _leads(row, text)
+        starts = np.zeros(len(text) + 1, bool)
+        starts[own.places] = True
+        again = own.repeated(_bits_of(row["found"], sent.value, own, row["chunk"]))
+        starts[again] = False  # what remains starts a token of which the lead is found once
+        count = np.cumsum(np.append(0, starts))
+        reach = LENGTH - LEAD
+        left = _fitting(ends, LENGTH)
+        m = len(text) - LENGTH + 1
+        if m > 0:
+            left[:m] &= count[reach + 1 : reach + 1 + m] == count[1 : 1 + m]
+        places = np.flatnonzero(left)
+        picked = places[(row["chunk"] * 7919) % stride :: stride].tolist()
+        sample = [tuple(int(x[0]) for x in characters(text[p : p + LENGTH], (LEAD, LENGTH))) for p in picked]
+        sample = [{"first": int(np.uint64(a).view(np.int64)), "second": b >> 32} for a, b in sample]
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("second", pa.int64())]))
+        yield pa.record_batch([pa.array([row["chunk"]]), pa.array([pack(np.packbits(left).tobytes())], pa.binary()), pa.array([len(places)], pa.int64()), pa.array([sample], kind)], ["o_chunk", "open", "n_open", "sample"])
+
+
+def _covered(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 1):
+        ((row, text),) = _rows(iter([batch]))
+        ends = _boundaries(row["lengths"])
+        change = np.zeros(len(text) + 1, np.int32)
+        if row["found"]:
+            own = _whole(row, text)
+            again = own.repeated(_bits_of(row["found"], sent.value, own, row["chunk"]))
+            change[again] += 1
+            change[again + LENGTH] -= 1
+        gone = np.cumsum(change)[:-1] > 0
+        edges = gone.copy()
+        edges[1:] &= ~gone[:-1]
+        edges[ends[:-1][ends[:-1] < len(text)]] = gone[ends[:-1][ends[:-1] < len(text)]]
+        removed, spans = (np.diff(np.append(0, np.cumsum(x))[ends]) for x in (gone, edges))
+        stay = np.frombuffer(text, np.uint8)[~gone].tobytes()
+        at = np.cumsum(np.append(0, np.array(row["lengths"], np.int64) - removed)).tolist()
+        kept = [stay[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        docs = batch.column("docs").flatten()
+        yield pa.record_batch([docs, pa.array(row["lengths"], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket: int = BUCKET, moved: float = MOVED) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), and kept, the bytes that remain."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = shipped(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    cut = rows.mapInArrow(partial(_chunks, chunk_bytes=chunk_bytes), f"docs array<{kind}>, lengths array<long>, z binary")
+    raw = written(cut.withColumn("chunk", F.monotonically_increasing_id()))
+    size = raw.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
+
+    # First characters are spread evenly, as they are hashes, and a token takes two bytes of text at least.
+    tokens = max(1, -(-size // (8 * bucket)))
+    even = [((1 << 64) * k // tokens, 0, 0) for k in range(1, tokens)]
+    leads = placed(raw, even, size, moved * size, True)
+    sent = spark.sparkContext.broadcast(even)
+    both = raw.join(gathered(leads), raw.chunk == F.col("b_chunk"), "left").drop("b_chunk")
+    opened = written(both.mapInArrow(partial(_opened, sent=sent, stride=max(1, bucket // SAMPLED)), f"o_chunk long, open binary, n_open long, sample {SAMPLE}"))
+    chunks = written(raw.join(opened.select("o_chunk", "open"), raw.chunk == F.col("o_chunk")).drop("o_chunk"))
+    discard(raw, *leads)
+
+    n_open = opened.agg(F.coalesce(F.sum("n_open"), F.lit(0))).first()[0]
+    sample = opened.select("o_chunk", F.explode("sample").alias("s")).select("o_chunk", "s.first", "s.second").toArrow().to_pylist()
+    ranked = sorted((x["first"] % (1 << 64), x["second"], x["o_chunk"]) for x in sample)
+    n = min(len(ranked) + 1, max(1, -(-n_open // bucket)))
+    splitters = [ranked[k * len(ranked) // n] for k in range(1, n)]
+    bits = placed(chunks, splitters, 12 * n_open, moved * size, False)
+    sent = spark.sparkContext.broadcast(splitters)
+    whole = chunks.join(gathered(bits), chunks.chunk == F.col("b_chunk"), "left").drop("b_chunk")
+    return whole.mapInArrow(partial(_covered, sent=sent), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -96,13 +96,20 @@ def test_secrets_copied_by_one_owner(spark):
     assert secrets.scan_secrets(docs, max_repos=5).agg(F.sum("n_example")).first()[0] == 0
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_suffixes(spark, docs, rows, parts):
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
-    try:
-        assert ordered(suffix_dedup.suffix_dedup(docs).collect()) == ordered(brute.op2(rows))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
+@pytest.mark.parametrize("small", [{}, {"chunk_bytes": 4000, "bucket": 500, "moved": 1.0}, {"chunk_bytes": 900, "bucket": 40, "moved": 9.0}])
+def test_suffixes(spark, docs, rows, small):
+    """Small chunks and buckets part the suffixes of one string over chunks, buckets and slices."""
+    found = suffix_dedup.drop_repeats(docs, **small)
+    got = found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert ordered(got) == ordered(brute.op2(rows))
+
+
+def test_suffixes_in_texts_without_tokens(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcd", k=3000))
+    rows = [(1, long), (2, long[500:1200] + "xx"), (3, "a" * 1000), (4, "é" * 150), (5, "ab " * 200), (6, "a" * 199)]
+    found = suffix_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bucket=100)
+    assert ordered(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()) == ordered(brute.op2(rows))
 
 
 @pytest.mark.parametrize("parts", [1, 7])
@@ -114,18 +121,27 @@ def test_substrings(spark, docs, rows, parts):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
-def test_multikey_order():
-    lead = np.random.default_rng(3).integers(0, 3, (500, 4)).astype(">u8")
-    order, starts = suffix_dedup.multikey_order(lead)
-    got = [tuple(lead[i]) for i in order]
-    assert got == sorted(map(tuple, lead)) and [i == 0 or a != got[i - 1] for i, a in enumerate(got)] == starts.tolist()
+@pytest.mark.parametrize("spread", [3, 1 << 20, 1 << 63])
+def test_multikey_order(spread):
+    rng = np.random.default_rng(1)
+    first, second = rng.integers(0, spread, 3000, np.uint64, endpoint=True), rng.integers(0, 3, 3000).astype(np.uint32)
+    assert (suffix_dedup.order_of(first, second) == np.lexsort((np.arange(3000), second, first))).all()
+    assert (suffix_dedup.order_of(first) == np.argsort(first, kind="stable")).all()
+
+
+def test_characters_do_not_depend_on_pieces(monkeypatch):
+    text = bytes(np.random.default_rng(2).integers(97, 101, 5000).astype(np.uint8))
+    whole = suffix_dedup.characters(text + text, (64, 200))
+    assert all((x[:4801] == x[5000:9801]).all() for x in whole)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    assert all((x == y).all() for x, y in zip(whole, suffix_dedup.characters(text + text, (64, 200)), strict=True))
 
 
 def test_anchors_do_not_depend_on_pieces(monkeypatch):
-    text = bytes(random.Random(1).choices(b"abc", k=3000))
-    whole = repeats.anchors(text, suffix_dedup.BYTES)
+    words = random.Random(1).choices([b"a", b"b", b"c"], k=3000)
+    whole = repeats.anchors(words, substring_dedup.WORDS)
     monkeypatch.setattr(repeats, "PIECE", 400)
-    pieces = repeats.anchors(text, suffix_dedup.BYTES)
+    pieces = repeats.anchors(words, substring_dedup.WORDS)
 
     def windows(found):
         return [(int(h), int(s), p) for h, s, lo, hi in zip(*found, strict=True) for p in range(lo, hi + 1)]
@@ -135,11 +151,11 @@ def test_anchors_do_not_depend_on_pieces(monkeypatch):
 
 def test_groups_of_many_members():
     rng = random.Random(2)
-    seed = bytes(rng.choices(b"xyz", k=64))
+    seed = tuple(rng.choices(b"xyz", k=64))
     group = []
     for i in range(30):
-        left, right = bytes(rng.choices(b"ab", k=3)) + b"L" * 60, b"R" * 120 + bytes(rng.choices(b"ab", k=16))
-        group.append(repeats.Member(str(i).encode(), (left + seed + right)[-(60 + 200) :], 60, 0, 1))
+        left, right = (*rng.choices(b"ab", k=3), *b"L" * 60), (*b"R" * 120, *rng.choices(b"ab", k=16))
+        group.append(repeats.Member(str(i).encode(), (*left, *seed, *right)[-(60 + 200) :], 60, 0, 1))
     got = {(m.hash, o) for m, a, b in repeats.repeated_offsets(group, 200) for o in range(a, b + 1)}
     windows = [(m, o, m.units[m.most - o : m.most - o + 200]) for m in group for o in range(m.least, m.most + 1)]
     want = {(m.hash, o) for m, o, w in windows if sum(w == x for _, _, x in windows) > 1}
