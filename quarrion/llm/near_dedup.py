@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import list_of, slices, texts
 from quarrion.llm.components import components
-from quarrion.llm.repeats import WordHashes, _packed, doubled, unpacked
+from quarrion.llm.words import WordHashes, doubled, packed as packed_texts, unpacked
 from quarrion.llm.shared import written
 from quarrion.shipping import shipped
 
@@ -183,7 +183,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = written(rows.mapInArrow(partial(_sets, size=size), SETS))
     nodes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "h")).alias("at"), F.first("keys").alias("keys"), F.first("n").alias("n"))
     nodes = written(nodes)
-    packed = rows.mapInArrow(_packed, "doc_id long, h long, z binary")
+    packed = rows.mapInArrow(packed_texts, "doc_id long, h long, z binary")
 
     def compared(dealt: DataFrame) -> DataFrame:
         """Links among the rows of each (key, i, j). dealt has at, by which the texts are found."""

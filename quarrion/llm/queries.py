@@ -15,7 +15,7 @@ from quarrion.llm.mixing import mix
 from quarrion.llm.near_dedup import near_groups
 from quarrion.llm.secrets import scan_secrets
 from quarrion.llm.shared import table
-from quarrion.llm.substring_dedup import substring_dedup
+from quarrion.llm.substring_dedup import drop_repeated_words
 from quarrion.llm.suffix_dedup import drop_repeats
 
 
@@ -36,7 +36,8 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    found = drop_repeated_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import brute
 from oracle import DATA, connection, same
 
 import corpus_pipeline
-from quarrion.llm import components, decontamination, exact_dedup, html_extraction, language_id, lm_scoring, mixing, near_dedup, queries, repeats, secrets, substring_dedup, suffix_dedup
+from quarrion.llm import components, decontamination, exact_dedup, html_extraction, language_id, lm_scoring, mixing, near_dedup, placing, queries, secrets, substring_dedup, suffix_dedup
 from quarrion.llm.arrow import texts
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -112,21 +112,19 @@ def test_suffixes_in_texts_without_tokens(spark):
     assert ordered(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()) == ordered(brute.op2(rows))
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_substrings(spark, docs, rows, parts):
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
-    try:
-        assert ordered(substring_dedup.substring_dedup(docs).collect()) == ordered(brute.op8(rows))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
+@pytest.mark.parametrize("small", [{}, {"chunk_bytes": 3000, "bucket": 50, "moved": 0.1, "part_bytes": 2000, "group_bytes": 300}])
+def test_substrings(spark, docs, rows, small):
+    """Small parts leave groups of one anchor open, which fingerprints settle."""
+    found = substring_dedup.drop_repeated_words(docs, **small).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert ordered(found.collect()) == ordered(brute.op8(rows))
 
 
 @pytest.mark.parametrize("spread", [3, 1 << 20, 1 << 63])
 def test_multikey_order(spread):
     rng = np.random.default_rng(1)
     first, second = rng.integers(0, spread, 3000, np.uint64, endpoint=True), rng.integers(0, 3, 3000).astype(np.uint32)
-    assert (suffix_dedup.order_of(first, second) == np.lexsort((np.arange(3000), second, first))).all()
-    assert (suffix_dedup.order_of(first) == np.argsort(first, kind="stable")).all()
+    assert (placing.order_of(first, second) == np.lexsort((np.arange(3000), second, first))).all()
+    assert (placing.order_of(first) == np.argsort(first, kind="stable")).all()
 
 
 def test_characters_do_not_depend_on_pieces(monkeypatch):
@@ -139,12 +137,12 @@ def test_characters_do_not_depend_on_pieces(monkeypatch):
 
 def test_anchors_do_not_depend_on_pieces(monkeypatch):
     words = random.Random(1).choices([b"a", b"b", b"c"], k=3000)
-    whole = repeats.anchors(words, substring_dedup.WORDS)
-    monkeypatch.setattr(repeats, "PIECE", 400)
-    pieces = repeats.anchors(words, substring_dedup.WORDS)
+    whole = substring_dedup.anchors(words)
+    monkeypatch.setattr(substring_dedup, "PIECE", 400)
+    pieces = substring_dedup.anchors(words)
 
     def windows(found):
-        return [(int(h), int(s), p) for h, s, lo, hi in zip(*found, strict=True) for p in range(lo, hi + 1)]
+        return [(int(h), int(s), p) for h, s, lo, hi in zip(found.hash, found.place, found.first, found.last, strict=True) for p in range(lo, hi + 1)]
 
     assert windows(whole) == windows(pieces)
 
@@ -155,9 +153,9 @@ def test_groups_of_many_members():
     group = []
     for i in range(30):
         left, right = (*rng.choices(b"ab", k=3), *b"L" * 60), (*b"R" * 120, *rng.choices(b"ab", k=16))
-        group.append(repeats.Member(str(i).encode(), (*left, *seed, *right)[-(60 + 200) :], 60, 0, 1))
-    got = {(m.hash, o) for m, a, b in repeats.repeated_offsets(group, 200) for o in range(a, b + 1)}
-    windows = [(m, o, m.units[m.most - o : m.most - o + 200]) for m in group for o in range(m.least, m.most + 1)]
+        group.append(substring_dedup.Member(str(i).encode(), (*left, *seed, *right)[-(60 + 200) :], 60, 0, 1))
+    got = {(m.hash, o) for m, a, b in substring_dedup.repeated_offsets(group, 200) for o in range(a, b + 1)}
+    windows = [(m, o, m.words[m.most - o : m.most - o + 200]) for m in group for o in range(m.least, m.most + 1)]
     want = {(m.hash, o) for m, o, w in windows if sum(w == x for _, _, x in windows) > 1}
     assert got == want
 
