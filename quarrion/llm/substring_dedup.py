@@ -40,7 +40,7 @@ LENGTH, GRAM = 35, 8
 #: Words that are hashed at once.
 PIECE = 1 << 16
 #: Bytes of contexts of one anchor that are compared at once, of a batch, and of the contexts of a task.
-GROUP_BYTES, BATCH_BYTES, PART_BYTES = 2 << 20, 2 << 20, 16 << 20
+GROUP_BYTES, BATCH_BYTES, PART_BYTES = 2 << 20, 2 << 20, 8 << 20
 
 _words = WordHashes()
 
