@@ -1,23 +1,24 @@
 """Main text of web pages from text-to-tag ratios.
 
-The standard library's parser streams events; they are cut into lines, one per block-level element. A line's ratio is
-its characters over its tags; lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments have ratio 0. Where the page marks its article (article, main, role=main), the region is what the
-marks hold, as long as they hold any line, and the ratios aren't asked. On all other pages lines that are mostly links
-don't count, the logarithms of the ratios are smoothed with a Gaussian kernel (so that one long line doesn't outweigh
+The standard library's parser streams events; they are cut into lines, one per block-level element. A line's ratio is its
+characters over its tags. Markup does nothing but set a ratio to 0: of lines inside menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments; where the page marks its article (article, main,
+role=main), of lines outside it; elsewhere, of lines that are mostly links.
+
+On every page the logarithms of the ratios are smoothed with a Gaussian kernel (so that one long line doesn't outweigh
 the others), and lines at or above one standard deviation of these form clusters. The region reaches from the first
-cluster to the last. It goes on at both ends, in the element that holds all clusters, over paragraphs, headings, items
-and cells, and over siblings of the clusters' lines that are of the same element; the first other line ends it. A footer
-that nothing but its text tells from a paragraph is taken.
+cluster to the last. It goes on at both ends over lines of a marked article and, in the element that holds all clusters,
+over paragraphs, headings, items and cells, and over siblings of the clusters' lines that are of the same element; the
+first other line ends it, and lines of ratio 0 are left out. A footer that nothing but its text tells from a paragraph is
+taken.
 
-An element isn't content if its class or id names such a part of a page (NOT_NAMES). In a marked article only a whole
-class or id does so, or a class made of such names and LAYOUT words (`share-buttons`), as ids there are often made of a
-heading's words; elsewhere any part between hyphens and underscores does. Headings and paragraphs are never dropped by
-their own names.
+An element isn't content if a class or its id names such a part of a page (NOT_NAMES), or is made of such names and
+LAYOUT words (`share-buttons`, but not `share-price`). Headings and paragraphs are never dropped by their
+own names.
 
 Defined results: a null or empty page gives the empty text; white space is what str.split takes as such; unclosed
 elements end with their parent, and a paragraph where the next block starts. Rows are independent, so repeated rows
-give repeated results. Only the named columns are read.
+give repeated results. The id keeps its type. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ NOT_NAMES = frozenset(
     "ad ads adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination paywall popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 #: What a class that names such a part adds to it.
-LAYOUT = frozenset("area bar block box button buttons container content form icons item items link links list panel post posts row section slot top unit wrap wrapper".split())
+LAYOUT = frozenset("area bar block bottom box button buttons container content form global icons inner item items left link links list main outer page panel post posts primary right row secondary section site slot sub top unit wrap wrapper".split())
 NAMELESS = frozenset("html body main p h1 h2 h3 h4 h5 h6".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A line with a larger share of link text is part of a menu, where the page doesn't mark its article.
@@ -109,15 +110,14 @@ class Lines(HTMLParser):
         role = (attrs.get("role") or "").lower()
         if role in NOT_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or HIDDEN.search(attrs.get("style") or ""):
             return False
-        if tag not in NAMELESS and self.named_away((attrs.get("class") or "").lower().split(), (attrs.get("id") or "").lower()):
+        if tag not in NAMELESS and self.named_away([*(attrs.get("class") or "").lower().split(), (attrs.get("id") or "").lower()]):
             return False
         return True if tag in MARKED or role == "main" else inside
 
-    def named_away(self, classes: list[str], own_id: str) -> bool:
-        if not self.inside():
-            return not NOT_NAMES.isdisjoint(re.split(r"[\s_-]+", " ".join([*classes, own_id])))
-        parts = (set(re.split("[_-]+", c)) for c in classes)
-        return own_id in NOT_NAMES or any(not NOT_NAMES.isdisjoint(p) and p <= NOT_NAMES | LAYOUT for p in parts)
+    @staticmethod
+    def named_away(names: list[str]) -> bool:
+        parts = (set(re.split("[_-]+", n)) for n in names)
+        return any(not NOT_NAMES.isdisjoint(p) and p <= NOT_NAMES | LAYOUT for p in parts)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -152,12 +152,13 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def region(ratios: np.ndarray, nodes: list[int], names: list[str], parent: list[int]) -> tuple[int, int]:
+def region(ratios: np.ndarray, nodes: list[int], names: list[str], parent: list[int], marked: list[bool]) -> tuple[int, int]:
     """First line of the clusters' region and the first after it. Lines that can't be content have ratio 0."""
     even = smoothed(np.log1p(ratios))
     clusters = np.flatnonzero((even >= even.std()) & (ratios > 0)).tolist()
-    if not clusters:
+    if not ratios.any():
         return 0, 0
+    clusters = clusters or [int(ratios.argmax())]
     around = parent[nodes[clusters[0]]]
     for node in (parent[nodes[k]] for k in clusters):
         while node != around:  # an element comes after those around it
@@ -170,7 +171,7 @@ def region(ratios: np.ndarray, nodes: list[int], names: list[str], parent: list[
 
     def goes_on(k: int) -> bool:
         node = nodes[k]
-        return not ratios[k] or (within[node] and (names[node] in PROSE or (parent[node], names[node]) in kinds))
+        return not ratios[k] or marked[k] or (within[node] and (names[node] in PROSE or (parent[node], names[node]) in kinds))
 
     first, end = clusters[0], clusters[-1] + 1
     while first > 0 and goes_on(first - 1):
@@ -185,12 +186,17 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    if any(inside for _, _, inside, _, _ in parser.out):
-        return "\n\n".join(text for text, _, inside, _, _ in parser.out if inside)
     if not parser.out:
         return ""
-    ratios = np.array([0.0 if inside is False or links > LINK_SHARE * len(text) else len(text) / max(1, tags) for text, tags, inside, links, _ in parser.out])
-    first, end = region(ratios, [line[-1] for line in parser.out], parser.names, parser.parent)
+    marked = [inside is True for _, _, inside, _, _ in parser.out]
+    marks = any(marked)
+
+    def ratio(text: str, tags: int, inside: bool | None, links: int) -> float:
+        away = inside is False or (marks and not inside) or (inside is None and links > LINK_SHARE * len(text))
+        return 0.0 if away else len(text) / max(1, tags)
+
+    ratios = np.array([ratio(*line[:4]) for line in parser.out])
+    first, end = region(ratios, [line[-1] for line in parser.out], parser.names, parser.parent, marked)
     return "\n\n".join(line[0] for line, ratio in zip(parser.out[first:end], ratios[first:end], strict=True) if ratio)
 
 
@@ -202,5 +208,5 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
-    rows = shipped(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    rows = shipped(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    return rows.mapInArrow(_extracted, f"page_id {pages.schema[id_col].dataType.simpleString()}, url string, text string, n_chars long")

@@ -144,6 +144,20 @@ def op7(rows: list[tuple]) -> list[tuple]:
     return out
 
 
+def op9(html: str) -> str:
+    """The blocks of the one article that a page has, by regular expressions."""
+    import html as entities
+    import re
+
+    inside = re.search("<article>(.*)</article>", html, re.S)[1]
+    inside = re.sub("<!--.*?-->", "", inside, flags=re.S)
+    for name in ("script", "style", "form", "aside", "nav", "footer"):
+        inside = re.sub(f"<{name}\\b.*?</{name}>", "", inside, flags=re.S)
+    blocks = re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|section|table|tr|td|blockquote|pre|article)\b[^>]*>", inside)
+    texts = (" ".join(entities.unescape(re.sub("<[^>]*>", "", re.sub("<br[^>]*>", " ", b))).split()) for b in blocks)
+    return "\n\n".join(t for t in texts if t)
+
+
 def op10(rows: list[tuple]) -> list[tuple]:
     groups = defaultdict(list)
     keys = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -392,6 +393,17 @@ def test_pages_without_marks_keep_all_paragraphs():
     assert html_extraction.main_text("<div>" * 3000 + "deep text") == "deep text"
 
 
+def test_pages_equal_brute_force(spark):
+    """All pages of a table, against a reading of their article by regular expressions; marks or not, the clusters decide alike."""
+    got = {r.page_id: r.text for r in queries.QUERIES["op9_html_extraction"](spark, DATA).collect()}
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r.page_id] == brute.op9(r.html), r.page_id
+        bare = re.sub("</?article>", "", r.html)
+        assert html_extraction.main_text(bare) == brute.op9(r.html), r.page_id
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
     con_tables = {"documents": COLUMNS, "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string"}
