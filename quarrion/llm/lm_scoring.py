@@ -1,8 +1,8 @@
 """Language-model scores from a hidden Markov model, beside a unigram base score.
 
-Texts are encoded once, in blocks of bounded size with a vocabulary of their own. Word counts over the whole training
-part come from the blocks' vocabularies, summed before each shuffle, and go back to the blocks; no vocabulary is
-gathered anywhere. The hidden states emit word classes (a hash of the word), and a class emits its words by their
+Texts are encoded once, in blocks of bounded size with a vocabulary of their own, in the order of the words' hashes. Word
+counts over the whole training part come from the blocks' vocabularies: a block sends those of each range of hashes as
+one array, a task sums one range and sends the sums back in the same order; no vocabulary is gathered anywhere. The hidden states emit word classes (a hash of the word), and a class emits its words by their
 training counts, so the model's tables have a fixed size: states x classes. Baum-Welch counts are summed within each
 task, then over tasks, and re-estimated on the driver for a fixed number of rounds. A text's score is the exact
 likelihood of its whole sequence, by forward recursion with scaling at every token.
@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +34,12 @@ from quarrion.shipping import shipped
 
 STATES, CLASSES, ROUNDS, SEGMENT = 4, 16384, 4, 128
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Words of all blocks in a range of hashes, about.
+RANGE_WORDS = 400_000
 STAY = 0.97
 
-BLOCKS = "docs array<long>, held array<boolean>, lengths array<int>, seq binary, classes binary, words array<binary>, n array<int>"
+BLOCKS = "docs array<long>, held array<boolean>, lengths array<int>, seq binary, classes binary, words array<binary>, n array<int>, n_words long"
 
 
 class Local(dict):
@@ -47,8 +48,12 @@ class Local(dict):
         return n
 
 
-def class_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) % CLASSES
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def classes_of(hashes: np.ndarray) -> np.ndarray:
+    return hashes % np.uint64(CLASSES)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -64,10 +69,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
 
     def block() -> pa.RecordBatch:
         words = list(local)
-        train = np.concatenate([np.empty(0, np.uint32), *(s for s, h in zip(seqs, held, strict=True) if not h)]).astype(np.int64)
-        row = (docs, held, list(map(len, seqs)), _packed(np.concatenate(seqs)), _packed(np.array([class_of(w) for w in words], np.uint16)), words, np.bincount(train, minlength=len(words)))
-        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-        return pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["docs", "held", "lengths", "seq", "classes", "words", "n"])
+        hashes = hashes_of(words)
+        order = np.argsort(hashes)
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words))
+        train = np.concatenate([np.empty(0, np.uint32), *(s for s, h in zip(seqs, held, strict=True) if not h)])
+        n = np.bincount(rank[train].astype(np.int64), minlength=len(words))
+        row = (docs, held, list(map(len, seqs)), _packed(rank[np.concatenate(seqs)]), _packed(classes_of(hashes[order]).astype(np.uint16)), [words[k] for k in order.tolist()], n, len(words))
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64())
+        return pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["docs", "held", "lengths", "seq", "classes", "words", "n", "n_words"])
 
     for batch in slices(batches, 64):
         for doc, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), texts(batch.column("text")), strict=True):
@@ -194,17 +204,42 @@ def train(blocks: DataFrame, class_counts: np.ndarray, states: int = STATES, rou
     return model
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a block's words in the order of its vocabulary; the rows come sorted by block and place."""
+def _dealt(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """A block's words and counts, one row for each range of hashes."""
+    for batch in slices(batches, 1):
+        words = batch.column("words").flatten().to_pylist()
+        n = batch.column("n").flatten().to_numpy()
+        of = ((hashes_of(words) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        cuts = np.flatnonzero(np.diff(of, prepend=-1))
+        ends = [*cuts[1:].tolist(), len(words)]
+        parts = [(b"\n".join(words[a:b]), n[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts.tolist(), ends, strict=False)]
+        yield pa.record_batch(
+            [pa.array(np.repeat(batch.column("block").to_numpy(), len(parts))), pa.array(of[cuts]), pa.array([w for w, _ in parts], pa.binary()), pa.array([c for _, c in parts], pa.binary())], ["block", "of", "words", "n"]
+        )
+
 
-    def runs() -> Iterator[tuple[int, np.ndarray]]:
-        for batch in batches:
-            block, counts = batch.column("block").to_numpy(), batch.column("c").to_numpy()
-            cuts = np.flatnonzero(np.diff(block)) + 1
-            yield from zip(block[[0, *cuts]].tolist() if len(block) else [], np.split(counts, cuts), strict=False)
+SUMMED = "c_block long, of int, counts binary, cls array<int>, tokens array<long>, words array<long>"
 
-    for block, parts in groupby(runs(), lambda x: x[0]):
-        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([_packed(np.concatenate([x for _, x in parts]))], pa.binary())], ["c_block", "counts"])
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task has one range: the sums of each row's words, in their order, and sums of tokens and words by class."""
+    rows: list[tuple] = []
+    for batch in batches:
+        rows += zip(*(batch.column(c).to_pylist() for c in ("block", "of", "words", "n")), strict=True)
+    sums: dict[bytes, int] = {}
+    for _, _, words, n in rows:
+        for word, k in zip(words.split(b"\n"), np.frombuffer(n, np.int32).tolist(), strict=True):
+            sums[word] = sums.get(word, 0) + k
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = [x.split()[0] for x in SUMMED.split(", ")]
+    for block, of, words, _ in rows:
+        counts = _packed(np.fromiter(map(sums.__getitem__, words.split(b"\n")), np.int64))
+        yield pa.record_batch([pa.array([x], k) for x, k in zip((block, of, counts, None, None, None), kinds, strict=True)], names)
+    seen = {w: k for w, k in sums.items() if k}
+    cls = classes_of(hashes_of(list(seen))).astype(np.int64)
+    tokens, words = np.bincount(cls, np.fromiter(seen.values(), np.int64, len(seen)), CLASSES).astype(np.int64), np.bincount(cls, minlength=CLASSES)
+    at = np.flatnonzero(words)
+    yield pa.record_batch([pa.array([x], k) for x, k in zip((None, None, None, at, tokens[at], words[at]), kinds, strict=True)], names)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -217,7 +252,7 @@ def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
     for batch in slices(batches, 1):
         row = batch.to_pylist()[0]
         seqs = _sequences(row, len(class_tokens))
-        counts = _unpacked(row["counts"], np.int64) if row["counts"] else np.empty(0, np.int64)
+        counts = np.concatenate([np.empty(0, np.int64), *(_unpacked(x["counts"], np.int64) for x in sorted(row["parts"] or (), key=lambda x: x["of"]))])
         seq, classes = _unpacked(row["seq"], np.uint32), _unpacked(row["classes"], np.uint16)
         part = np.cumsum([0, *row["lengths"]])
         c = counts[seq] if len(counts) else np.empty(0)
@@ -235,32 +270,22 @@ def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
         yield pa.record_batch(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod5(id_col) == 1).alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = written(rows.mapInArrow(partial(_blocks, block_bytes=block_bytes), BLOCKS).withColumn("block", F.monotonically_increasing_id()))
 
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("i", "x")).select("block", "i", "x.words", "x.n")
-    counts = written(words.groupBy("words").agg(F.sum("n").alias("c")).filter("c > 0"))
-    places = words.select("block", "i", "words").join(counts, "words", "left").select("block", "i", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
-    gathered = places.repartition("block").sortWithinPartitions("block", "i").select("block", "c").mapInArrow(_gathered, "c_block long, counts binary")
+    ranges = max(1, -(-blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] // range_words))
+    dealt = blocks.select("block", "words", "n").mapInArrow(partial(_dealt, ranges=ranges), "block long, of int, words binary, n binary")
+    summed = written(dealt.repartitionById(ranges, F.col("of")).mapInArrow(_summed, SUMMED))
 
-    stats = counts.mapInArrow(_class_stats, "cls int, tokens long, words long").groupBy("cls").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()
+    stats = summed.filter("cls is not null").select(F.explode(F.arrays_zip("cls", "tokens", "words")).alias("x")).groupBy("x.cls").agg(F.sum("x.tokens").alias("tokens"), F.sum("x.words").alias("words")).toArrow()
     tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     tokens[stats["cls"].to_numpy()], distinct[stats["cls"].to_numpy()] = stats["tokens"].to_numpy(), stats["words"].to_numpy()
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     model = train(blocks, np.append(tokens, ends), states, rounds)
     sent = spark.sparkContext.broadcast((model, int(tokens.sum() + ends), int(distinct.sum() + (ends > 0)), ends, tokens, distinct))
     whole = blocks.select("block", "docs", "held", "lengths", "seq", "classes")
-    return whole.join(gathered, F.col("block") == F.col("c_block"), "left").drop("block", "c_block").mapInArrow(partial(_scored, sent=sent), SCORES)
-
-
-def _class_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for batch in batches:
-        cls = np.fromiter(map(class_of, batch.column("words").to_pylist()), np.int64, batch.num_rows)
-        np.add.at(tokens, cls, batch.column("c").to_numpy())
-        np.add.at(words, cls, 1)
-    at = np.flatnonzero(words)
-    yield pa.record_batch([pa.array(at, pa.int32()), pa.array(tokens[at]), pa.array(words[at])], ["cls", "tokens", "words"])
+    parts = summed.filter("c_block is not null").groupBy("c_block").agg(F.collect_list(F.struct("of", "counts")).alias("parts"))
+    return whole.join(parts, F.col("block") == F.col("c_block"), "left").drop("block", "c_block").mapInArrow(partial(_scored, sent=sent), SCORES)
