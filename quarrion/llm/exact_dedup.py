@@ -1,25 +1,25 @@
 """Exact deduplication with stateful streaming.
 
-Rows are staged as (id, locator, digest) in a landing table. A stream over that table keeps, per digest, one entry
-in a disk-backed (RocksDB) state store that never expires: the digest, the stable identifier and the locator of the
-row that stays, and the count. Wherever a digest is hit more than once, the full normalised texts are fetched by
-their identifier and compared byte by byte with the text of the row that stays; a row that only shares the digest
-is regrouped by its full text.
+Rows are landed in a table with the digest of their normalised text and a locator: the number of the task that wrote the
+row and the row's position in its file. A stream over the digests of that table, in bounded batches, keeps one entry per
+digest in a disk-backed (RocksDB) state store that never expires: the digest, the stable identifier and the locator of
+the row that stays, and the count. The full normalised texts of all rows that hit an entry are fetched by their
+locators and compared byte by byte: equal texts of a digest are one group, summed before the shuffle, so that a common
+text costs one row per task. Where a digest has several texts, its rows are grouped by the text.
 
 Defined results: a null text counts as empty, so null and empty rows are one group; a null id is the smallest id.
-If rows repeat with the same id and the same text, one of them stays. An empty table gives an empty result. Only
-the id and text columns are read, so other columns may have any name.
+If rows repeat with the same id and the same text, one of them stays. An empty table gives an empty result. The id may
+be of any type that has an order. Only the id and text columns are looked at, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrion.llm.shared import ascii_lower, doc_text, shared_folder, written
+from quarrion.llm.shared import ascii_lower, conf, doc_text, shared_folder, written
 
 #: The state lives on the executors' disks; memory over all stores of an executor is bounded.
 STATE_CONF = {
@@ -31,43 +31,33 @@ STATE_CONF = {
 }
 
 
-@contextmanager
-def _conf(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+#: Batches of the stream over a landed table.
+BATCHES = 4
 
 
-def _staged(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """One row per input row. The locator is unique and, once the table is written, fixed."""
-    norm = ascii_lower(doc_text(text_col))
-    sha = F.sha2(norm, 256)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(sha).alias("sha"), F.xxhash64(norm).alias("h2"))
+def _landed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """One row per input row, with the whole of it. The locator is fixed once the table is written."""
+    sha = F.unhex(F.sha2(ascii_lower(doc_text(text_col)), 256))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), sha.alias("sha"))
     return written(rows.withColumn("digest", digest(F.col("sha"))).withColumn("loc", F.monotonically_increasing_id()))
 
 
-def _state(staged: DataFrame, files_per_batch: int | None) -> DataFrame:
-    """Streams the landing table through the keyed state and returns the last entry of each digest."""
-    spark = staged.sparkSession
+def _state(landed: DataFrame, files_per_batch: int | None) -> DataFrame:
+    """Streams the landed digests through the keyed state and returns the last entry of each."""
+    spark = landed.sparkSession
     out, checkpoint = shared_folder(spark), shared_folder(spark)
-    landing = staged.inputFiles()
-    if not landing:
-        return staged.groupBy("digest").agg(F.max(F.struct("doc_id", "loc")).alias("top"), F.count("*").alias("n"))
-    folder = landing[0].rsplit("/", 1)[0]
-    reader = spark.readStream.schema(staged.schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    entries = reader.parquet(folder).groupBy("digest").agg(F.max(F.struct("doc_id", "loc")).alias("top"), F.count("*").alias("n"))
+    files = landed.inputFiles()
+    keys = landed.select("doc_id", "digest", "loc")
+    entry = (F.max(F.struct("doc_id", "loc")).alias("top"), F.count("*").alias("n"))
+    if not files:
+        return keys.groupBy("digest").agg(*entry)
+    reader = spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", files_per_batch or -(-len(files) // BATCHES))
+    entries = reader.parquet(files[0].rsplit("/", 1)[0]).groupBy("digest").agg(*entry)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with _conf(spark, STATE_CONF):
+    with conf(spark, STATE_CONF):
         stream = entries.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
         stream.awaitTermination()
     # An entry only grows, so its last version is the largest one.
@@ -75,56 +65,33 @@ def _state(staged: DataFrame, files_per_batch: int | None) -> DataFrame:
     return seen.groupBy("digest").agg(F.max("top").alias("top"), F.max("n").alias("n"))
 
 
+def _grouped(landed: DataFrame, text_col: str, files_per_batch: int | None) -> DataFrame:
+    """Per landed row: doc_id, sha, loc, and top and n of its group."""
+    state = written(_state(landed, files_per_batch))
+    keys = landed.select("doc_id", "sha", "digest", "loc")
+    hits = keys.join(state.filter("n > 1").select("digest"), "digest", "left_semi").select("loc")
+    texts = landed.select("digest", "loc", "doc_id", "sha", ascii_lower(F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))).alias("norm")).join(hits, "loc", "left_semi")
+    alike = texts.groupBy("digest", "norm").agg(F.count("*").alias("n"))
+    several = written(alike.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"))
+    if not several.limit(1).count():
+        return keys.join(state, "digest").select("doc_id", "sha", "loc", "top", "n")
+    mixed = texts.join(several, "digest")
+    own = mixed.groupBy("digest", "norm").agg(F.max(F.struct("doc_id", "loc")).alias("top"), F.count("*").alias("n"))
+    rest = keys.join(several, "digest", "left_anti").join(state, "digest")
+    return rest.select("doc_id", "sha", "loc", "top", "n").unionByName(mixed.join(own, ["digest", "norm"]).select("doc_id", "sha", "loc", "top", "n"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = lambda sha: sha, files_per_batch: int | None = None) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256.
 
     digest maps the SHA-256 of the normalised text to the state's key; a weaker one stays exact, as full texts decide.
     """
-    staged = _staged(docs, id_col, text_col, digest)
-    state = written(_state(staged, files_per_batch))
-    hit = staged.join(state.filter("n > 1").select("digest", "top"), "digest")
-
-    # The full texts of all rows that hit an entry, found by their identifier.
-    ids = hit.select("doc_id").distinct().hint("shuffle_hash")
-    texts = docs.select(F.col(id_col).alias("doc_id"), doc_text(text_col).alias("text"))
-    texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").withColumn("norm", ascii_lower(F.col("text"))).drop("text")
-    texts = texts.withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("digest", digest(F.col("sha")))
-    stays = state.filter("n > 1").select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.loc").alias("loc"))
-    stays = stays.join(staged.select("loc", F.col("h2").alias("keep_h2")), "loc").drop("loc")
-    texts = texts.withColumn("h2", F.xxhash64("norm"))
-    model = (
-        texts.join(stays, (texts.digest == stays.digest) & texts.doc_id.eqNullSafe(stays.keep_id) & (texts.h2 == stays.keep_h2))
-        .groupBy(texts.digest)
-        .agg(F.first("norm").alias("model"))
-    )
-    model = written(model)  # so that the join below can split a large group
-    bad = texts.join(model, "digest").filter("norm != model").select("doc_id", "digest", "h2", "norm")
-    # Rows that share a digest but not the text: none with SHA-256. They're grouped by the text itself.
-    bad = written(bad.dropDuplicates(["doc_id", "digest", "h2"]))
-    rows = staged.join(bad, staged.doc_id.eqNullSafe(bad.doc_id) & (staged.digest == bad.digest) & (staged.h2 == bad.h2), "left").select(staged["*"], "norm")
-    other = rows.filter("norm is not null").groupBy("digest", "norm").agg(F.max(F.struct("doc_id", "loc")).alias("o_top"), F.count("*").alias("o_n"))
-    lost = other.groupBy("digest").agg(F.sum("o_n").alias("lost"))
-
-    out = rows.join(state, "digest").join(lost, "digest", "left").join(other, ["digest", "norm"], "left")
-    top = F.coalesce("o_top", "top")
-    return out.select(
-        "doc_id",
-        top["doc_id"].alias("keep_id"),
-        F.coalesce("o_n", F.col("n") - F.coalesce("lost", F.lit(0))).alias("group_size"),
-        (F.col("loc") == top["loc"]).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
-
-
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    groups = _grouped(_landed(docs, id_col, text_col, digest), text_col, files_per_batch)
+    return groups.select("doc_id", F.col("top.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("loc") == F.col("top.loc")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = lambda sha: sha, files_per_batch: int | None = None) -> DataFrame:
     """docs without the rows that exact_groups drops, columns unchanged."""
-    groups = written(exact_groups(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"))
-    # Rows that repeat with id and text can't be told apart by them: of these, all match, and one is taken.
-    kept = groups.groupBy(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")).agg(F.max("kept").alias("stays"), F.count("*").alias("times")).filter("stays")
-    kept = written(kept.select("k_id", "k_sha", "times"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(ascii_lower(doc_text(text_col)), 256).alias("sha"))
-    same = rows.join(kept.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")))
-    once = same.filter("times = 1").select("row.*")
-    if not kept.filter("times > 1").limit(1).count():
-        return once
-    return once.unionByName(same.filter("times > 1").groupBy("id", "sha").agg(F.first("row").alias("row")).select("row.*"))
+    landed = _landed(docs, id_col, text_col, digest)
+    stay = _grouped(landed, text_col, files_per_batch).filter(F.col("loc") == F.col("top.loc")).select("loc")
+    return landed.select("row", "loc").join(written(stay), "loc", "left_semi").select("row.*")
