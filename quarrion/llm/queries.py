@@ -96,8 +96,8 @@ ORACLE = {
         cand as (
             select f.* from found f where kind <> 'owned' or (rid in (select rid from mixed) and not exists (
                 select 1 from found b where b.rid = f.rid and b.kind <> 'owned' and b.start < f.stop and f.start < b.stop))),
-        owners as (select value, count(distinct coalesce(source, chr(0))) as n from cand join d using (rid) group by value),
-        judged as (select c.*, n <= 1 as live from cand c join owners using (value)),
+        owners as (select value, count(distinct coalesce(source, chr(0))) as n, count(distinct struct_pack(s := coalesce(source, chr(0)), d := coalesce(doc_id::varchar, chr(0)))) as r from cand join d using (rid) group by value),
+        judged as (select c.*, n <= 1 and r <= 20 as live from cand c join owners using (value)),
         per as (
             select rid, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
                    string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank, stop) filter (where kind <> 'owned') as base,

@@ -2,8 +2,8 @@
 
 The base kinds are fixed patterns. Besides them, long mixed tokens are candidates. Every candidate is known by the
 SHA-256 of its value, never by the value; the hashes are counted by distinct repositories and owners over the whole
-corpus. A value that many owners carry is a widely copied example; one that a single owner has looks live, unless it is in
-more repositories than max_repos, where that is given. Without it only owners decide. Live mixed tokens that don't overlap a base span are added to the spans of their text as kind `owned`.
+corpus. A value that several owners carry, or that is in more than MAX_REPOS repositories, is a widely copied example; any
+other looks live. Live mixed tokens that don't overlap a base span are added to the spans of their text as kind `owned`.
 
 Positions come from the pieces between matches (split) and the matches themselves, so everything is built-in
 functions. The ownership counts are three partial aggregations, so one value on a third of the rows is pre-summed
@@ -28,6 +28,8 @@ KINDS = {
 }
 #: Candidates of the method: long runs that mix digits with letters.
 OWNED, OWNED_PATTERN = "owned", r"[A-Za-z0-9+/_-]{24,}"
+#: A value of more owners, or in more repositories, is an example.
+MAX_OWNERS, MAX_REPOS = 1, 20
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,hash:string>>"
 
 
@@ -53,11 +55,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, max_repos: int | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and the ownership verdicts n_live and n_example.
 
-    repo_col names the repository; without one each id is a repository. A value on more than max_owners owners is an
-    example, and so is one in more than max_repos pairs of owner and repository, if that is given.
+    repo_col names the repository; without one each id is a repository. Repositories are counted as pairs with their
+    owner.
     """
     text = doc_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col or id_col).cast("string").alias("repo"), text.alias("text"))
@@ -80,7 +82,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     texts = found.groupBy("sha").agg(F.first("base").alias("base"), F.first("free").alias("free"))
     cands = texts.select("sha", F.explode(F.concat("base", "free")).alias("s")).select("sha", "s", F.col("s.hash").alias("hash"))
-    judged = cands.join(owners, "hash").withColumn("live", (F.col("n_owners") <= max_owners) & (F.lit(True) if max_repos is None else F.col("n_repos") <= max_repos))
+    judged = cands.join(owners, "hash").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     judged = judged.groupBy("sha").agg(
         F.collect_list(F.when(F.col("live") & (F.col("s.kind") == OWNED), F.col("s"))).alias("added"),
         F.sum(F.col("live").cast("long")).alias("n_live"),
