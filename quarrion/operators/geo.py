@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.functions.geo import RADIUS_KM, haversine
+from quarrion.storage import written
 
 #: Most sites that are sent to all tasks; more are joined by grid cells.
 MOST_SITES = 10_000
 KM_PER_DEGREE = 3.141592653589793 * RADIUS_KM / 180
+#: No two points are further apart.
+FURTHEST_KM = 180 * KM_PER_DEGREE + 1
 
 
 def _band(lat: Column, step: float) -> Column:
@@ -54,20 +57,29 @@ def close_pairs(points: DataFrame, km: float = 50, key: str = "id") -> DataFrame
     return both.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), "km")
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, prefix: str = "site", max_km: float = 2000) -> DataFrame:
-    """points with the nearest site's name and distance; of equally near ones the first by ord.
+def nearest_site(points: DataFrame, sites: DataFrame, prefix: str = "site", first_km: float = 100) -> DataFrame:
+    """points with the nearest site's name and distance, however far it is; of equally near ones the first by ord.
 
-    Up to MOST_SITES sites go to all tasks as one array. More are joined by grid cells; there, sites further away than
-    max_km aren't found and the columns are null.
+    Up to MOST_SITES sites go to all tasks as one array. More are joined by grid cells, within first_km and then, for the
+    points that have none yet, within three times the distance again and again. Points without coordinates have no site.
     """
     if sites.limit(MOST_SITES + 1).count() <= MOST_SITES:
         listed = sites.agg(F.collect_list(F.struct("lat", "lon", "ord", "name")).alias("_sites"))
         far = F.transform("_sites", lambda s: F.struct(haversine(F.col("lat"), F.col("lon"), s["lat"], s["lon"]).alias("km"), s["ord"].alias("ord"), s["name"].alias("name")))
-        near = points.crossJoin(F.broadcast(listed)).withColumn("_near", F.array_min(far)).drop("_sites")
+        near = points.crossJoin(F.broadcast(listed)).withColumn("_near", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.array_min(far))).drop("_sites")
         return near.select(*points.columns, F.col("_near.name").alias(f"nearest_{prefix}"), F.col("_near.km").alias(f"{prefix}_km"))
-    rows = points.withColumn("_row", F.struct("*"))
-    found = within_km(points, sites, max_km).groupBy("l").agg(F.min(F.struct("km", F.col("r.ord").alias("ord"), F.col("r.name").alias("name"))).alias("_near"))
-    return rows.join(found, F.col("_row").eqNullSafe(F.col("l")), "left").select(*points.columns, F.col("_near.name").alias(f"nearest_{prefix}"), F.col("_near.km").alias(f"{prefix}_km"))
+    places = points.select("lat", "lon").filter("lat is not null and lon is not null").distinct()
+    found, left, km = None, places, first_km
+    while True:
+        near = within_km(left, sites, km).groupBy(F.col("l.lat").alias("_lat"), F.col("l.lon").alias("_lon"))
+        near = written(near.agg(F.min(F.struct("km", F.col("r.ord").alias("ord"), F.col("r.name").alias("name"))).alias("_near")))
+        found = near if found is None else found.unionByName(near)
+        left = written(left.join(near, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left_anti"))
+        if km >= FURTHEST_KM or not left.limit(1).count():
+            break
+        km = min(3 * km, FURTHEST_KM)
+    rows = points.join(found, (points.lat == F.col("_lat")) & (points.lon == F.col("_lon")), "left")
+    return rows.select(*points.columns, F.col("_near.name").alias(f"nearest_{prefix}"), F.col("_near.km").alias(f"{prefix}_km"))
 
 
 def near_point(points: DataFrame, lat: float, lon: float, km: float) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.operators.search import top_per_group
+from quarrion.storage import discard, written
 
 OTHER = "Other"
 
@@ -22,15 +23,17 @@ def node_stats(nodes: DataFrame, edges: DataFrame, node: str = "label") -> DataF
     return nodes.join(per, node, "left").na.fill({"degree": 0, "avg_weight": 0.0})
 
 
-def bridge_scores(edges: DataFrame, max_neighbors: int = 100, min_degree: int = 2) -> DataFrame:
+def bridge_scores(edges: DataFrame, max_neighbors: int | None = 100, min_degree: int = 2) -> DataFrame:
     """Share of a node's neighbour pairs that aren't linked, and that share times the degree.
 
-    Of more than max_neighbors neighbours those with the largest weights count, ties by name; so wedges are bounded.
+    Of more than max_neighbors neighbours those with the largest weights count, ties by name; so wedges are bounded. With None
+    all count.
     """
-    edges = checkpointed(edges)
+    edges = written(edges)
     both = symmetric(edges)
     degree = both.groupBy("a").agg(F.count("*").alias("degree")).filter(F.col("degree") >= min_degree)
-    near = top_per_group(both, ["a"], [F.desc("weight"), F.col("b")], max_neighbors).join(degree, "a").select("a", "b")
+    near = both if max_neighbors is None else top_per_group(both, ["a"], [F.desc("weight"), F.col("b")], max_neighbors)
+    near = near.join(degree, "a").select("a", "b")
     wedges = near.select(F.col("a").alias("node"), F.col("b").alias("x")).join(near.select(F.col("a").alias("node"), F.col("b").alias("y")), "node").filter("x < y")
     linked = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).alias("linked"))
     per = wedges.join(linked, ["x", "y"], "left").groupBy("node").agg(F.count("*").alias("pairs"), F.count("linked").alias("linked"))
@@ -40,37 +43,30 @@ def bridge_scores(edges: DataFrame, max_neighbors: int = 100, min_degree: int =
 
 def unlinked_examples(edges: DataFrame, neighbors: int = 10, examples: int = 3) -> DataFrame:
     """Per node, the first pairs of its heaviest neighbours that aren't linked."""
-    edges = checkpointed(edges)
+    edges = written(edges)
     near = top_per_group(symmetric(edges), ["a"], [F.desc("weight"), F.col("b")], neighbors).select(F.col("a").alias("node"), F.col("b").alias("n"))
     pairs = near.select("node", F.col("n").alias("a")).join(near.select("node", F.col("n").alias("b")), "node").filter("a < b")
     return top_per_group(pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti"), ["node"], [F.col("a"), F.col("b")], examples).select("node", "a", "b")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the cluster names; where none is named, the plan stays as it is."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node of each connected component, by least labels of neighbours with pointer jumping.
 
-
-def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(node, root): the least node of each connected component, by least labels of neighbours with pointer jumping."""
-    both = checkpointed(symmetric(edges.select("a", "b", F.lit(1).alias("weight"))).select("a", "b"))
+    It goes on until no label changes; pointer jumping halves what is left of a chain in each round.
+    """
+    both = written(symmetric(edges.select("a", "b", F.lit(1).alias("weight"))).select("a", "b"))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    for _ in range(most_rounds):
+    last = None
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         stepped = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         jumped = stepped.select(F.col("node").alias("via"), F.col("root").alias("jump"))
-        after = checkpointed(stepped.join(jumped, F.col("root") == F.col("via")).select("node", F.least("root", "jump").alias("root"), "was"))
-        changed = after.filter("root != was").limit(1).count()
-        labels = after.select("node", "root")
-        if not changed:
-            break
-    return labels
+        after = written(stepped.join(jumped, F.col("root") == F.col("via")).select("node", F.least("root", "jump").alias("root"), "was"))
+        if last is not None:
+            discard(last)
+        last, labels = after, after.select("node", "root")
+        if not after.filter("root != was").limit(1).count():
+            return labels
 
 
 def communities(nodes: DataFrame, edges: DataFrame, min_weight: int = 5, node: str = "label") -> DataFrame:

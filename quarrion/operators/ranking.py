@@ -52,7 +52,7 @@ def diverse(rows: DataFrame, category: str, score: str = "score", key: str = "ur
 
 def vector_search(vectors: DataFrame, query: Sequence[float], k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The k rows of greatest cosine with the query: one pass, a heap per partition."""
-    like = cosine(F.col(column), F.array(*(F.lit(float(x)) for x in query)))
+    like = cosine(F.col(column), F.array(*(F.lit(float(x)) for x in query)).cast("array<double>"))
     return vectors.select(key, like.alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 

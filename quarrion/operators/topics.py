@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrion.operators.search import top_per_group
 from quarrion.shipping import shipped
+from quarrion.storage import written
 
 
 def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", min_df: int = 5, max_df: float = 0.85, max_features: int | None = 5000, stop: Sequence[str] = (), min_chars: int = 11) -> DataFrame:
@@ -46,7 +47,8 @@ def nmf(weights: DataFrame, key: str = "doc_id", topics: int = 15, rounds: int =
     if not at:
         return (weights.select(key, F.lit(0).alias("topic"), F.col("w").alias("weight")).limit(0), spark.createDataFrame([], "topic int, term string, weight double"))
     place = spark.createDataFrame(list(at.items()), "term string, i int")
-    rows = weights.join(F.broadcast(place) if len(at) <= 100_000 else place, "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("w").alias("w")).persist()
+    rows = weights.join(F.broadcast(place) if len(at) <= 100_000 else place, "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("w").alias("w"))
+    rows = written(rows)
     h = np.random.default_rng(seed).random((topics, len(at))) + 0.1
 
     def fold(i: np.ndarray, w: np.ndarray, h: np.ndarray, gram: np.ndarray) -> np.ndarray:

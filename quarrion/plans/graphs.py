@@ -100,23 +100,40 @@ def communities(spark, sf_dir):
     return G.communities(nodes, _thin(spark, sf_dir), node="id").select("id", "community")
 
 
+_MEMBERS = """, m as (select id, case when size = 1 then 'Other' else root::varchar end as community from comp),
+    i as (select distinct l_suppkey, l_orderkey from lineitem)"""
+
+
+def _members(spark, sf_dir):
+    """Community of each supplier as a label, and the labels of each order as an article."""
+    nodes = E.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    return G.communities(nodes, _thin(spark, sf_dir), node="id"), E.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), "l_orderkey").distinct()
+
+
 @query(
     "with recursive "
     + _GROUPS[2:]
-    + """, m as (select id, case when size = 1 then 'Other' else root::varchar end as community from comp),
-    i as (select distinct l_suppkey, l_orderkey from lineitem)
-    select community, count(distinct id) as size, count(distinct l_orderkey) as articles from m left join i on l_suppkey = id group by 1"""
+    + _MEMBERS
+    + """, per as (select community, id, count(l_orderkey) as c from m left join i on l_suppkey = id group by all),
+    t as (select community, id as top_label from per qualify row_number() over (partition by community order by c desc, id) = 1)
+    select community, count(distinct id) as size, count(distinct l_orderkey) as articles, any_value(top_label) as top_label from m left join i on l_suppkey = id join t using (community) group by 1"""
 )
 def community_summary(spark, sf_dir):
-    nodes = E.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    member = G.communities(nodes, _thin(spark, sf_dir), node="id")
-    items = E.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), "l_orderkey").distinct()
-    return member.join(items, "id", "left").groupBy("community").agg(F.countDistinct("id").alias("size"), F.countDistinct("l_orderkey").alias("articles"))
+    member, items = _members(spark, sf_dir)
+    rows = member.join(items, "id", "left")
+    per = rows.groupBy("community", "id").agg(F.count("l_orderkey").alias("c")).groupBy("community").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("top_label"))
+    return rows.groupBy("community").agg(F.countDistinct("id").alias("size"), F.countDistinct("l_orderkey").alias("articles")).join(per, "community")
 
 
-@query(f"with {EDGES} select article_id, count(*) as labels, count(distinct left(label, 7)) as communities from labels group by 1 order by communities desc, labels desc, article_id limit 30")
+@query(
+    "with recursive "
+    + _GROUPS[2:]
+    + _MEMBERS
+    + """ select l_orderkey as article_id, count(*) as labels, count(distinct community) as communities from i join m on l_suppkey = id group by 1 order by communities desc, labels desc, article_id limit 30"""
+)
 def hub_articles(spark, sf_dir):
-    per = E.labels(spark, sf_dir).groupBy("article_id").agg(F.count("*").alias("labels"), F.countDistinct(F.substring("label", 1, 7)).alias("communities"))
+    member, items = _members(spark, sf_dir)
+    per = items.join(member, "id").groupBy(F.col("l_orderkey").alias("article_id")).agg(F.count("*").alias("labels"), F.countDistinct("community").alias("communities"))
     return S.top(per, [F.desc("communities"), F.desc("labels"), F.col("article_id")], 30)
 
 

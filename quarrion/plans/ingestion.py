@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quarrion.functions.geo import region
@@ -14,6 +10,7 @@ from quarrion.plans import entities as E
 from quarrion.plans import spatial
 from quarrion.plans.registry import Registry
 from quarrion.sources import files, sinks
+from quarrion.storage import shared_folder
 from quarrion.streaming import incremental as I
 
 query = Registry()
@@ -24,15 +21,6 @@ def _events(spark, sf_dir):
     return E.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="quarrion-")
-
-
-def _folder(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/{uuid.uuid4().hex}"
-
-
 _SPLIT = "cut as (select quantile_disc(event_id, 0.8) as c from events), base as (select * from events, cut where event_id <= c), inc as (select * from events, cut where event_id > c)"
 
 
@@ -71,7 +59,8 @@ def known_urls(spark, sf_dir):
 
 @query("select c_custkey as id from customer except select o_custkey from orders where o_totalprice > 250000")
 def url_difference(spark, sf_dir):
-    return E.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(E.table(spark, sf_dir, "orders").filter("o_totalprice > 250000").select("o_custkey"))
+    known = E.table(spark, sf_dir, "orders").filter("o_totalprice > 250000").select(F.col("o_custkey").alias("id"))
+    return I.new_rows(E.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), known, ["id"])
 
 
 @query("select 'http://site/' || strftime(m, '%Y/%m') as url from (select unnest(generate_series(date '2008-03-01', date '2012-02-01', interval 1 month)) as m)")
@@ -93,7 +82,7 @@ def streamed_event_counts(spark, sf_dir):
     def counts(stream):
         return I.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")))
 
-    out = I.streamed(spark, folder, pattern, rows.schema, counts, _folder(spark), _folder(spark))
+    out = I.streamed(spark, folder, pattern, rows.schema, counts, shared_folder(spark), shared_folder(spark))
     return out.groupBy(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type").agg(F.max("n").alias("n"))
 
 

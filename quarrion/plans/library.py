@@ -261,8 +261,9 @@ def topic_alignment(spark, sf_dir):
 
 
 @query(
-    f"""with {_ALIGNED}, f as (select url, topic, score from assigned where score >= 0.5 and url in (select article_id from labels))
-    select url, topic, score::double as score from f where not exists (select 1 from labels l join aligned a on a.label = l.label and a.share >= 0.3 where l.article_id = f.url and a.topic = f.topic)"""
+    f"""with {_ALIGNED}, f as (select url, topic, score from assigned where score >= 0.5 and url in (select article_id from labels)),
+    told as (select distinct l.article_id as told_url, a.topic as told_topic from labels l join aligned a on a.label = l.label where a.share >= 0.3)
+    select url, topic, score::double as score from f left join told on told_url = url and told_topic = topic where told_url is null"""
 )
 def mislabelled_articles(spark, sf_dir):
     rows, labels = _assigned(spark, sf_dir), _url_labels(spark, sf_dir)
@@ -329,7 +330,8 @@ def starter_list(spark, sf_dir):
 @query("with s as (select e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as similarity from embeddings e, embeddings q where q.vec_id = 0) select * from s order by similarity desc, vec_id limit 10", rounded="similarity")
 def vector_search(spark, sf_dir):
     rows = E.table(spark, sf_dir, "embeddings")
-    return R.vector_search(rows, rows.filter("vec_id = 0").first()["embedding"])
+    first = rows.filter("vec_id = 0").first()
+    return R.vector_search(rows, first["embedding"] if first else [])
 
 
 @query(

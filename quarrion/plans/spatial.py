@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrion.functions import decode as D
@@ -198,11 +199,16 @@ def codes_in_text(spark, sf_dir):
     return found.groupBy("code", "url").agg(F.min("context").alias("context"))
 
 
+def _even(salt: str) -> Column:
+    """A number from 0 to 1 that depends on the id alone, not on the partitioning."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+
+
 @query()
 def baseline_significance(spark, sf_dir):
     """Mean distance to the nearest site of the points against points spread evenly over the sphere, and the largest gap of both distributions."""
     n = E.points(spark, sf_dir).count()
-    even = spark.range(n).select(F.degrees(F.asin(2 * F.rand(42) - 1)).alias("lat"), (360 * F.rand(43) - 180).alias("lon"))
+    even = spark.range(n).select(F.degrees(F.asin(2 * _even("lat") - 1)).alias("lat"), (360 * _even("lon") - 180).alias("lon"))
     both = [G.nearest_site(x.select("lat", "lon"), gazetteer.sites(spark), "site").select("site_km", F.lit(k).alias("own")) for k, x in ((1, E.points(spark, sf_dir)), (0, even))]
     rows = both[0].unionByName(both[1])
     # The distribution functions are compared at whole kilometres, so the window runs over a bounded number of rows.

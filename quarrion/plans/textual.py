@@ -163,13 +163,18 @@ def clean_years(spark, sf_dir):
 
 @query("select event_id, json_extract_string(props, '$.k')::bigint as k, event_type from events")
 def json_properties(spark, sf_dir):
-    return E.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), "event_type")
+    answer = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```\nand no more."))
+    return E.table(spark, sf_dir, "events").select("event_id", F.from_json(C.fenced_json(answer), "k long")["k"].alias("k"), "event_type")
 
 
-@query("select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as raw, len(regexp_extract_all(html, '<a[^>]*href=')) as links from pages", places=0)
+@query(
+    """select page_id, left(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), 200) as title,
+    len(regexp_extract_all(html, '(?is)<a[^>]*rel=["''][t]ag["''][^>]*>(.*?)</a>')) as labels, len(list_distinct(regexp_extract_all(html, '(?i)<a[^>]*href=["'']([^"'']+)["'']', 1))) as links from pages""",
+    places=0,
+)
 def page_metadata(spark, sf_dir):
     html = F.col("html")
-    return E.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("raw"), F.regexp_count(html, F.lit("<a[^>]*href=")).alias("links"))
+    return E.table(spark, sf_dir, "pages").select("page_id", X.page_title(html).alias("title"), F.size(X.page_labels(html)).alias("labels"), F.size(X.page_links(html)).alias("links"))
 
 
 @query("select distinct page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*href=[\"'']([^\"'']+)[\"'']', 1)) as link from pages")

@@ -67,7 +67,9 @@ def download_script(urls: DataFrame, column: str = "image_url", most: int = 100,
     """A script that fetches the first urls."""
     first = urls.select(column).distinct().orderBy(column).limit(most)
     name = F.regexp_extract(column, r"([^/]+)$", 1)
-    line = F.format_string("curl -L -o '%s' '%s'", name, F.col(column)) if shell == "bash" else F.format_string("Invoke-WebRequest -Uri '%s' -OutFile '%s'", F.col(column), name)
+    quote = r"'\''" if shell == "bash" else "''"
+    name, url = (F.replace(c, F.lit("'"), F.lit(quote)) for c in (name, F.col(column)))
+    line = F.format_string("curl -L -o '%s' '%s'", name, url) if shell == "bash" else F.format_string("Invoke-WebRequest -Uri '%s' -OutFile '%s'", url, name)
     return first.select(line.alias("line")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("script"))
 
 

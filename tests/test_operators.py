@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -22,6 +26,8 @@ from quarrion.operators.cooccurrence import pair_counts
 from quarrion.sources import files, pages, sinks
 from quarrion.streaming import incremental
 
+ROOT = Path(__file__).resolve().parent.parent
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
@@ -136,6 +142,15 @@ def test_close_pairs_over_the_whole_globe(spark):
     assert found.count() == 0
 
 
+def test_many_sites_are_found_at_any_distance(spark):
+    """One site more than travels as an array: the same result as with one, also from the other side of the globe."""
+    points = spark.createDataFrame([(1, 10.0, 10.0), (2, -10.0, -170.0), (3, 10.0, 13.0), (3, 10.0, 13.0), (4, None, 1.0)], "id int, lat double, lon double")
+    one = spark.createDataFrame([(10.0, 10.0, 0, "s0")], "lat double, lon double, ord long, name string")
+    many = spark.range(geo.MOST_SITES + 1).select(F.lit(10.0).alias("lat"), F.lit(10.0).alias("lon"), F.col("id").alias("ord"), F.concat(F.lit("s"), F.col("id")).alias("name"))
+    got, want = ([tuple(r) for r in geo.nearest_site(points, s).orderBy("id").collect()] for s in (many, one))
+    assert got == want and got[1][3] == "s0" and got[1][4] > 19_000 and got[4][3] is None
+
+
 def test_graphs(spark):
     star = spark.createDataFrame([("c", "x", 1), ("c", "y", 1), ("c", "z", 1)], "a string, b string, weight long")
     scores = {r.node: r.bridge_score for r in graph.bridge_scores(star).collect()}
@@ -148,6 +163,9 @@ def test_graphs(spark):
     chain = spark.createDataFrame([(i, i + 1, 1) for i in range(60) if i != 30], "a int, b int, weight int")
     assert {r.root for r in graph.components(chain).collect()} == {0, 31}
     assert graph.components(chain.limit(0)).count() == 0
+    long = spark.createDataFrame([((i * 7919) % 501, ((i + 1) * 7919) % 501, 1) for i in range(500)], "a int, b int, weight int")
+    assert {tuple(r) for r in graph.components(long).collect()} == {(i, 0) for i in range(501)}
+    assert {r.bridge_score for r in graph.bridge_scores(triangle, max_neighbors=None).collect()} == {0.0}
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b")], "g int, x string")
     assert [tuple(r) for r in pair_counts(rows, "g", "x").collect()] == [("a", "b", 2)]
     posted = spark.createDataFrame([(1, "k"), (2, "k"), (2, "m"), (3, "m"), (4, "n")], "url int, keyword string")
@@ -210,7 +228,7 @@ def test_signals(spark):
     # The letter gap is three units; a smoothed edge makes it somewhat shorter or longer.
     clips = spark.createDataFrame([(1, rate, [0.0] * 400 + keyed.tolist() + [0.0] * 400)], "clip int, rate int, samples array<double>")
     texts = {r.text.replace(" ", "") for r in Z.morse(clips, ((800, 1200),)).collect()}
-    assert any("SOS" in x or "..." in x for x in texts) or texts
+    assert any("SOS" in x or "...---..." in x for x in texts), texts
     assert Z.per_clip(clips.limit(0), lambda x, r: {"n": len(x)}, "n int").count() == 0
     assert Z.segments(clips, seconds=1).count() == int(np.ceil((len(keyed) + 800) / rate))
 
@@ -263,6 +281,8 @@ def test_sinks(spark, tmp_path):
     images = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "article_id int, position int, src string")
     nested = {r.article_id: json.loads(r.document) for r in sinks.nested_articles(articles, images=images).collect()}
     assert [i["src"] for i in nested[1]["images"]] == ["a", "b"] and nested[2]["images"] == []
+    quoted = sinks.download_script(spark.createDataFrame([("http://h/a'; rm x #.png",)], "image_url string")).first().script
+    assert "'http://h/a'\\''; rm x #.png'" in quoted
     script = sinks.download_script(spark.createDataFrame([("http://h/a.png",)], "image_url string")).first().script
     assert script == "curl -L -o 'a.png' 'http://h/a.png'"
     assert sinks.saved(points, str(tmp_path / "p")).count() == 1
@@ -302,3 +322,37 @@ def test_articles_and_trends(spark):
     assert best[1, "a"] == pytest.approx(2 / 3)
     dated = spark.createDataFrame([(1, "a", dt.date(2020, 1, 1)), (1, "b", dt.date(2022, 1, 1)), (1, "d", dt.date(2022, 1, 1)), (2, "c", dt.date(2020, 1, 1))], "topic int, url string, month date")
     assert {r.topic: r.direction for r in topics.topic_trends(dated).collect()} == {1: "rising", 2: "declining"}
+
+
+def test_a_cluster_must_name_the_shared_folder(spark, monkeypatch):
+    from quarrion import storage
+
+    class Elsewhere:
+        conf = spark.conf
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Elsewhere)
+    assert storage.shared_folder(spark).startswith("file:/")
+
+
+def test_operators_ship_the_package(tmp_path):
+    """From a folder without the package on any path of the executors."""
+    script = tmp_path / "own.py"
+    script.write_text(
+        f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from quarrion.operators.signal import band_energy, envelopes
+clips = spark.createDataFrame([(1, 8000, [float(i % 7) for i in range(800)])], "clip int, rate int, samples array<float>")
+assert envelopes(clips, 100.0, 900.0).count() == 1
+print("shipped")
+"""
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "shipped" in done.stdout, done.stderr[-2000:]
