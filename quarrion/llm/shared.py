@@ -2,71 +2,21 @@
 
 from __future__ import annotations
 
-import functools
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrion.shipping import shipped
+from quarrion.storage import conf, discard, shared_folder, written
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+__all__ = ["ascii_lower", "conf", "crc_mod5", "discard", "doc_text", "shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shipped(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one the cluster names; a temporary one only where executors run inside the driver (tests)."""
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
-        base = _own_folder()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="quarrion-")
-
-
-@contextmanager
-def conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """The session's settings while a job of ours starts and runs."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. Its shuffles' files go at once."""
-    path = shared_folder(df.sparkSession)
-    with conf(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            context = df.sparkSession.sparkContext
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, ascii_uppercase, ascii_lowercase)
