@@ -324,18 +324,20 @@ def test_articles_and_trends(spark):
     assert {r.topic: r.direction for r in topics.topic_trends(dated).collect()} == {1: "rising", 2: "declining"}
 
 
-def test_a_cluster_must_name_the_shared_folder(spark, monkeypatch):
-    from quarrion import storage
+def test_a_cluster_must_name_the_shared_folder():
+    from types import SimpleNamespace
 
-    class Elsewhere:
-        conf = spark.conf
+    from quarrion import storage
 
-        class sparkContext:
-            master = "spark://host:7077"
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        storage.shared_folder(Elsewhere)
-    assert storage.shared_folder(spark).startswith("file:/")
+        storage.shared_folder(session("spark://host:7077", None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(session("local-cluster[2,1,1024]", None))
+    assert storage.shared_folder(session("local[4]", None)).startswith("file:/")
+    assert storage.shared_folder(session("spark://host:7077", "hdfs://x/y/")).startswith("hdfs://x/y/")
 
 
 def test_operators_ship_the_package(tmp_path):
