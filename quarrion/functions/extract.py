@@ -62,6 +62,24 @@ def excerpts(text: Column, terms: Sequence[str], technical_most: int = 400, narr
     return first_of_equal(F.transform(good, lambda e: F.struct(e["text"].alias("text"), text_hash(e["text"]).alias("hash"), word_count(e["text"]).alias("words"), e["category"].alias("category"))), "hash")
 
 
+def spoken_excerpts(text: Column, terms: Sequence[str]) -> Column:
+    """The stricter excerpts as array of struct text, words: quotes of 25 characters (6 words), text between asterisks of 30 (8
+    words), sentences with a term (10 words, 90 % ASCII); all of 30 characters and 80 % ASCII. Of equal texts the first stays."""
+    kinds = ((r'"([^"]{25,})"', 6, 0.8), (r"\*([^*]{30,})\*", 8, 0.8), (rf"([A-Z][^.!?]*(?:{_quoted(terms)})[^.!?]*[.!?])", 10, 0.9))
+
+    def tidy(s: Column) -> Column:
+        return F.replace(F.replace(F.regexp_replace(s, r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" "))
+
+    def fits(least: int, ascii_least: float):
+        return lambda e: (F.length(e["text"]) >= 30) & (ascii_ratio(e["text"]) >= ascii_least) & (e["words"] >= least)
+
+    def row(s: Column) -> Column:
+        return F.struct(s.alias("text"), word_count(s).alias("words"))
+
+    each = (F.filter(F.transform(F.transform(_all(text, p, 1), tidy), row), fits(words, share)) for p, words, share in kinds)
+    return F.array_distinct(F.concat(*each))
+
+
 def first_of_equal(items: Column, field: str) -> Column:
     """An array of structs without those whose field an earlier one has."""
     keys = F.transform(items, lambda x: x[field])

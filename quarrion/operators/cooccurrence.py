@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrion.operators.search import top_per_group
+
 
 def pairs(df: DataFrame, group: str, item: str, also: Sequence[str] = ()) -> DataFrame:
     """(group, also..., a, b) with a < b for each two items of a group; df has distinct (group, item)."""
@@ -25,3 +27,13 @@ def pair_counts(df: DataFrame, group: str, item: str, max_groups: int | None = N
     if max_groups:
         rows = rows.join(rows.groupBy(item).count().filter(F.col("count") <= max_groups).select(item), item)
     return pairs(rows, group, item).groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_count)
+
+
+def keyword_nodes(postings: DataFrame, item: str = "url", key: str = "keyword", most: int = 5) -> DataFrame:
+    """Per item the number of its keywords and the first of them by how many items share them, ties by name."""
+    rows = postings.select(item, key).distinct()
+    shared = rows.groupBy(key).agg(F.count("*").alias("n"))
+    best = top_per_group(rows.join(shared, key), [item], [F.desc("n"), F.col(key)], most)
+    named = best.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("rank", key))).alias("k"))
+    counts = rows.groupBy(item).agg(F.count("*").alias("keyword_count"))
+    return counts.join(named, item).select(item, "keyword_count", F.transform("k", lambda x: x[key]).alias("top_keywords"))

@@ -113,9 +113,14 @@ def temporal_clusters(points: DataFrame, months: int = 3, factor: float = 2.0, l
     return hot.select("period", "in_window", (F.col("lat") / F.col("in_window")).alias("lat"), (F.col("lon") / F.col("in_window")).alias("lon"))
 
 
-def validated(new: DataFrame, known: DataFrame, facilities: DataFrame) -> DataFrame:
-    """Tier of each new coordinate by its nearest known one: under 50 km, under 200 km, else near a facility (100 km), else none."""
+def validated(new: DataFrame, known: DataFrame, facilities: DataFrame, celestial: str | None = None) -> DataFrame:
+    """Tier of each new coordinate by its nearest known one: under 50 km, under 200 km, else near a facility (100 km), else none.
+
+    celestial names a boolean column of coordinates in the sky, which aren't compared.
+    """
     own = known.select(F.concat_ws(",", "lat", "lon").alias("name"), "lat", "lon", F.monotonically_increasing_id().alias("ord"))
-    rows = nearest_site(nearest_site(new, own, "known"), facilities, "facility")
+    sky = F.coalesce(F.col(celestial), F.lit(False)) if celestial else F.lit(False)
+    rows = nearest_site(nearest_site(new.filter(~sky), own, "known"), facilities, "facility")
     tier = F.when(F.col("known_km") < 50, "STRONG").when(F.col("known_km") < 200, "MODERATE").when(F.col("facility_km") < 100, "NEAR_FACILITY").otherwise("UNVALIDATED")
-    return rows.withColumn("tier", tier)
+    rows = rows.withColumn("tier", tier)
+    return rows.unionByName(new.filter(sky).withColumn("tier", F.lit("CELESTIAL")), allowMissingColumns=True) if celestial else rows

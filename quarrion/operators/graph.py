@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrion.functions.text import references
 from quarrion.operators.search import top_per_group
 from quarrion.storage import discard, written
 
@@ -75,6 +76,11 @@ def communities(nodes: DataFrame, edges: DataFrame, min_weight: int = 5, node: s
     return nodes.join(roots, node, "left").withColumn("community", F.coalesce(F.col("root").cast("string"), F.lit(OTHER))).drop("root")
 
 
+def reference_edges(excerpts: DataFrame, item: str = "url", text: str = "text", most: int = 100) -> DataFrame:
+    """An edge from an item to each reference in its excerpts, with the first characters of the excerpt as context."""
+    return excerpts.select(item, F.explode(references(F.col(text))).alias("ref"), F.substring(text, 1, most).alias("context"))
+
+
 def ego_network(edges: DataFrame, node: str, n: int = 20) -> DataFrame:
     """The heaviest neighbours of a node, ties by name."""
     own = edges.filter((F.col("a") == node) | (F.col("b") == node))

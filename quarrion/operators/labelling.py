@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.operators.cooccurrence import pairs
+from quarrion.operators.search import top_per_group
 from quarrion.shipping import shipped
 
 # Shapes of a coined label, one point each, and words that speak for a topic.
@@ -88,3 +89,19 @@ def families(matrix: DataFrame, key: str, item: str, weight: str, threshold: flo
         yield pd.DataFrame(out, columns=[key, "family"])
 
     return shipped(rows).coalesce(1).mapInPandas(grouped, f"{key} {kind}, family int")
+
+
+def family_summary(members: DataFrame, matrix: DataFrame, articles: DataFrame, key: str, item: str, weight: str, listed: int = 10, topics: int = 3) -> DataFrame:
+    """Per family its size, its first members by name, its heaviest items with their sums, and its members' articles.
+
+    members: key, family. articles: key, article_count.
+    """
+    per = members.join(articles, key, "left").groupBy("family")
+    sizes = per.agg(F.count("*").alias("n_members"), F.coalesce(F.sum("article_count"), F.lit(0)).alias("article_count"))
+    names = top_per_group(members, ["family"], [F.col(key)], listed).groupBy("family").agg(F.array_sort(F.collect_list(key)).alias("members"))
+    sums = matrix.join(members, key).groupBy("family", item).agg(F.sum(weight).alias("n")).filter("n > 0")
+    best = top_per_group(sums, ["family"], [F.desc("n"), F.col(item)], topics).groupBy("family").agg(F.array_sort(F.collect_list(F.struct("rank", item, "n"))).alias("t"))
+    told = F.array_join(F.transform("t", lambda x: F.concat(x[item], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ")
+    rows = sizes.join(names, "family").join(best.select("family", told.alias("primary_topics")), "family", "left")
+    more = F.when(F.col("n_members") > listed, F.concat(F.lit(" (+"), (F.col("n_members") - listed).cast("string"), F.lit(" more)"))).otherwise("")
+    return rows.select("family", F.concat(F.array_join("members", ", "), more).alias("members"), "n_members", F.coalesce("primary_topics", F.lit("")).alias("primary_topics"), "article_count")

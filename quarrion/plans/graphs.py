@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrion.functions.text import references
 from quarrion.operators import cooccurrence as O
 from quarrion.operators import graph as G
 from quarrion.operators import search as S
@@ -159,6 +158,16 @@ def keyword_network(spark, sf_dir):
     return O.pair_counts(_posted(spark, sf_dir), "keyword", "url", min_count=2)
 
 
+@query(
+    f"""with {POSTED}, n as (select keyword, count(*) as n from posted group by 1),
+    r as (select url, keyword, row_number() over (partition by url order by n desc, keyword) as r from posted join n using (keyword))
+    select url, count(*) as keyword_count, string_agg(keyword, ',' order by r) filter (where r <= 5) as top_keywords from r group by 1"""
+)
+def keyword_nodes(spark, sf_dir):
+    """The nodes of the keyword network."""
+    return O.keyword_nodes(_posted(spark, sf_dir)).withColumn("top_keywords", F.array_join("top_keywords", ","))
+
+
 @query(f"with {POSTED}, t as (select keyword from posted where url = 7) select url, count(*) as score from posted where keyword in (select keyword from t) and url <> 7 group by 1 order by score desc, url limit 20")
 def similar_articles(spark, sf_dir):
     posted = _posted(spark, sf_dir)
@@ -173,10 +182,12 @@ def both_keywords(spark, sf_dir):
     return posted.filter("keyword = 'Brand#11'").select("url").intersect(posted.filter("keyword = 'Brand#12'").select("url"))
 
 
-@query(f"with {E.ARTICLES} select article_id as src, 'FL-' || lpad((article_id * 7 % 1000000)::varchar, 6, '0') as ref from articles")
+@query(f"""with {E.ARTICLES}, t as (select article_id, 'FL-' || lpad((article_id * 7 % 1000000)::varchar, 6, '0') as ref, title from articles)
+    select article_id as src, ref, left('as told in ' || ref || ', ' || repeat(title || ' ', 12), 100) as context from t""")
 def reference_edges(spark, sf_dir):
-    text = F.concat(F.lit("as told in FL-"), F.lpad((F.col("article_id") * 7 % 1000000).cast("string"), 6, "0"), F.lit("."))
-    return E.articles(spark, sf_dir).select(F.col("article_id").alias("src"), F.explode(references(text)).alias("ref"))
+    code = F.concat(F.lit("FL-"), F.lpad((F.col("article_id") * 7 % 1000000).cast("string"), 6, "0"))
+    text = F.concat(F.lit("as told in "), code, F.lit(", "), F.repeat(F.concat("title", F.lit(" ")), 12))
+    return G.reference_edges(E.articles(spark, sf_dir).select(F.col("article_id").alias("src"), text.alias("text")), "src")
 
 
 @query()

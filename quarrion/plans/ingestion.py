@@ -63,6 +63,14 @@ def url_difference(spark, sf_dir):
     return I.new_rows(E.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), known, ["id"])
 
 
+@query("select c_custkey as url, case when c_custkey in (select o_custkey from orders where o_totalprice > 250000) then 'done' else 'pending' end as status from customer union select distinct o_custkey, case when o_custkey in (select o_custkey from orders where o_totalprice > 250000) then 'done' else 'pending' end from orders")
+def work_queue(spark, sf_dir):
+    """Customers are queued, then those with orders; the ones with a large order are done."""
+    orders = E.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), "o_totalprice")
+    first = E.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"), F.lit("pending").alias("status"))
+    return I.finished(I.queued(first, orders), orders.filter("o_totalprice > 250000"))
+
+
 @query("select 'http://site/' || strftime(m, '%Y/%m') as url from (select unnest(generate_series(date '2008-03-01', date '2012-02-01', interval 1 month)) as m)")
 def archive_months(spark, sf_dir):
     return files.archive_urls(spark, "http://site/", "2008-03-01", "2012-02-01")

@@ -207,6 +207,13 @@ def label_families(spark, sf_dir):
     return L.families(_matrix(spark, sf_dir), "language", "topic", "n")
 
 
+@query()
+def family_summary(spark, sf_dir):
+    matrix = _matrix(spark, sf_dir)
+    counts = E.labels(spark, sf_dir).groupBy(F.col("label").alias("language")).agg(F.count("*").alias("article_count"))
+    return L.family_summary(L.families(matrix, "language", "topic", "n"), matrix, counts, "language", "topic", "n")
+
+
 @query(f"with {_MATRIX}, f as (select language, n, topic, row_number() over (partition by language order by n desc, topic) as r from matrix) select language, string_agg(topic, ',' order by r) as top_topics from f where r <= 3 group by 1")
 def top_topics(spark, sf_dir):
     best = S.top_per_group(_matrix(spark, sf_dir), ["language"], [F.desc("n"), F.col("topic")], 3)

@@ -191,6 +191,19 @@ def known_and_new_codes(spark, sf_dir):
     return rows.join(known, "code", "left_semi").select("p_partkey", F.lit(True).alias("known")).unionByName(rows.join(known, "code", "left_anti").select("p_partkey", F.lit(False).alias("known")))
 
 
+@query(
+    f"""with {_CODES}, {E.POINTS}, {FACILITY}, e as (select p_partkey, lat, lon from dec where method in ('small', 'large', 'dsp')),
+    k as (select e.*, min({_km("e.lat", "e.lon", "p.lat", "p.lon")}) as known_km from e, points p group by all),
+    f as (select k.*, min({_km("k.lat", "k.lon", "f.lat", "f.lon")}) as facility_km from k, fac f group by all)
+    select p_partkey, case when known_km < 50 then 'STRONG' when known_km < 200 then 'MODERATE' when facility_km < 100 then 'NEAR_FACILITY' else 'UNVALIDATED' end as tier from f
+    union all select p_partkey, 'CELESTIAL' from dec where method = 'celestial'"""
+)
+def code_validation(spark, sf_dir):
+    """Decoded codes against the known points; those in the sky aren't compared."""
+    rows = _decoded(spark, sf_dir).filter("method is not null")
+    return G.validated(rows, E.points(spark, sf_dir), gazetteer.sites(spark), celestial="is_celestial").select("p_partkey", "tier")
+
+
 @query()
 def codes_in_text(spark, sf_dir):
     """Codes with context found in texts made of names and codes, one row per (code, url)."""

@@ -94,6 +94,11 @@ def image_stats(spark, sf_dir):
     return per.agg(F.sum("n").alias("total"), F.sum("h").alias("headers"), F.max_by("file_type", F.struct("n", -F.ascii("file_type"))).alias("common_type"))
 
 
+@query(f"with {_IMAGES} select file_type, count(*) as n, sum(is_header)::bigint as headers from images group by 1")
+def image_types(spark, sf_dir):
+    return _images(spark, sf_dir).groupBy("file_type").agg(F.count("*").alias("n"), F.sum("is_header").alias("headers"))
+
+
 GROUPS = {"Ones": ("Brand#11", "Brand#12", "Brand#13"), "Twos": ("Brand#21", "Brand#22")}
 
 
@@ -197,6 +202,22 @@ def narrative_excerpts(spark, sf_dir):
     return rows.filter("e.category = 'narrative'").select("conv_id", "turn", F.col("e.hash").alias("hash"), F.length("e.text").alias("chars")).distinct()
 
 
+_TOLD = ("with", "from")
+
+
+@query(
+    f"""with s as (select conv_id, turn, unnest(regexp_extract_all(text, '"([^"]{{25,}})"', 1)) as raw, 6 as least, 0.8 as share from conversations
+      union all select conv_id, turn, unnest(regexp_extract_all(text, '\\*([^*]{{30,}})\\*', 1)), 8, 0.8 from conversations
+      union all select conv_id, turn, unnest(regexp_extract_all(text, '([A-Z][^.!?]*(?:{'|'.join(_TOLD)})[^.!?]*[.!?])', 1)), 10, 0.9 from conversations),
+    c as (select conv_id, turn, replace(replace(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), '  ', ' ') as text, least, share from s),
+    w as (select *, {WORDS} as words from c)
+    select distinct conv_id, turn, substr(md5(text), 1, 16) as hash, words from w where length(text) >= 30 and words >= least and length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / length(text) >= share"""
+)
+def spoken_excerpts(spark, sf_dir):
+    rows = E.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(X.spoken_excerpts(F.col("text"), _TOLD)).alias("e"))
+    return rows.select("conv_id", "turn", C.text_hash(F.col("e.text")).alias("hash"), F.col("e.words").alias("words")).distinct()
+
+
 def _cited(spark, sf_dir):
     b = E.bibliography(spark, sf_dir)
     name = F.initcap(F.regexp_replace("author", "[^A-Za-z]", ""))

@@ -98,16 +98,22 @@ def jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, bo
     return reader.load()
 
 
-def crawl(links: DataFrame, starts: Sequence[str], most_pages: int = 10) -> DataFrame:
+def crawl(links: DataFrame, starts: Sequence[str], most_pages: int = 10, listed: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Pages reachable from starts over `older` links, at most so many per start. links: url, older.
 
-    One join per step with the frontier; the step count is bounded.
+    With listed (url, article: what a page lists) and known (article), a walk ends at a page after the second that lists
+    nothing new. One join per step with the frontier; the step count is bounded.
     """
     spark = links.sparkSession
     frontier = spark.createDataFrame([(s, s, 1) for s in starts], "start string, url string, page int")
     out = frontier
+    steps = links.select("url", "older").withColumn("fresh", F.lit(True))
+    if listed is not None and known is not None:
+        fresh = listed.join(known.select("article"), "article", "left_anti").select("url", F.lit(True).alias("fresh")).distinct()
+        steps = links.select("url", "older").join(fresh, "url", "left")
     for _ in range(most_pages - 1):
-        frontier = frontier.join(links.select("url", "older"), "url").filter("older is not null").select("start", F.col("older").alias("url"), (F.col("page") + 1).alias("page"))
+        goes_on = F.col("older").isNotNull() & ((F.col("page") <= 2) | F.col("fresh"))
+        frontier = frontier.join(steps, "url").filter(goes_on).select("start", F.col("older").alias("url"), (F.col("page") + 1).alias("page"))
         out = out.unionByName(frontier)
     return out.groupBy("start", "url").agg(F.min("page").alias("page"))
 

@@ -37,6 +37,18 @@ def counted(base: DataFrame, mentions: DataFrame, key: str = "name", count: str
     return base.select(key, count, seen).unionByName(added.select(key, count, seen)).groupBy(key).agg(F.sum(count).alias(count), F.min(seen).alias(seen))
 
 
+def queued(queue: DataFrame, urls: DataFrame) -> DataFrame:
+    """A work queue (url, status) with the urls it doesn't have yet as pending; what is done stays done."""
+    return appended(queue.select("url", "status"), urls.select("url", F.lit("pending").alias("status")), ["url"])
+
+
+def finished(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """The queue with the urls of done marked so."""
+    ended = done.select(F.col("url").alias("_url")).distinct()
+    rows = queue.join(ended, F.col("url") == F.col("_url"), "left")
+    return rows.select("url", F.when(F.col("_url").isNotNull(), "done").otherwise(F.col("status")).alias("status"))
+
+
 def split_failed(rows: DataFrame, ok: str) -> tuple[DataFrame, DataFrame]:
     """Rows to go on with, and the dead letters."""
     good = F.coalesce(F.expr(ok), F.lit(False))

@@ -250,6 +250,10 @@ def test_files(spark, tmp_path):
     assert files.url_list(spark, str(tmp_path / "u.txt")).count() == 2
     links = spark.createDataFrame([("p1", "p2"), ("p2", "p3"), ("p3", "p1")], "url string, older string")
     assert files.crawl(links, ["p1"], 5).count() == 3
+    long = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(1, 7)], "url string, older string")
+    listed = spark.createDataFrame([("p1", "a"), ("p3", "new"), ("p4", "b")], "url string, article string")
+    known = spark.createDataFrame([("a",), ("b",)], "article string")
+    assert {r.url for r in files.crawl(long, ["p1"], 9, listed, known).collect()} == {"p1", "p2", "p3", "p4"}
     (tmp_path / "pages").mkdir()
     (tmp_path / "pages" / "1.jsonl").write_text(json.dumps({"url": "u", "status": 200, "html": "<p>"}) + "\n")
     pages.register(spark)
@@ -358,3 +362,27 @@ print("shipped")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "shipped" in done.stdout, done.stderr[-2000:]
+
+
+def test_family_summary(spark):
+    members = spark.createDataFrame([(f"k{i:02}", 0) for i in range(12)] + [("z", 1)], "k string, family int")
+    matrix = spark.createDataFrame([("k00", t, n) for t, n in (("a", 5), ("b", 7), ("c", 5), ("d", 1))] + [("k01", "a", 1)], "k string, t string, n long")
+    articles = spark.createDataFrame([("k00", 9), ("z", 2)], "k string, article_count long")
+    got = {r.family: r for r in labelling.family_summary(members, matrix, articles, "k", "t", "n").collect()}
+    assert got[0].members == ", ".join(f"k{i:02}" for i in range(10)) + " (+2 more)"
+    assert got[0].primary_topics == "b (7), a (6), c (5)" and got[0].article_count == 9
+    assert got[1].members == "z" and got[1].primary_topics == "" and got[1].article_count == 2
+
+
+def test_spoken_excerpts(spark):
+    text = 'x "one two three four five six\nseven" *one two three four five six seven eight* The A+B is what we all saw here with them today. No A+B here.'
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(X.spoken_excerpts(F.col("t"), ("A+B",)).alias("e")).collect()
+    assert [(e.text, e.words) for e in got[0].e] == [("one two three four five six seven", 7), ("one two three four five six seven eight", 8), ("The A+B is what we all saw here with them today.", 11)]
+    assert got[1].e is None and got[2].e == []
+
+
+def test_work_queue(spark):
+    queue = spark.createDataFrame([("a", "done"), ("b", "pending")], "url string, status string")
+    grown = incremental.queued(queue, spark.createDataFrame([("a",), ("c",), ("c",)], "url string"))
+    assert {tuple(r) for r in grown.collect()} == {("a", "done"), ("b", "pending"), ("c", "pending")}
+    assert {tuple(r) for r in incremental.finished(grown, spark.createDataFrame([("c",)], "url string")).collect()} == {("a", "done"), ("b", "pending"), ("c", "done")}
