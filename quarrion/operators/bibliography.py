@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.operators.cooccurrence import pair_counts
+from quarrion.operators.numbering import numbered
 from quarrion.operators.search import top_per_group
 
 # Patterns that mark noise, any case.
 NOISE = (r"[a-z]{4,}ff\b", r"\bdys\b", r"\byr\b", r"\beid\b", r"\baeg\b", r"\begel\b", r"\bsid\b", r"\bmer\b", r"\bidalbitau\b", r"\bimass\b", r"\bcynegy\b")
 
+#: Order of exported entries; what has the same place goes by its contents.
+ORDER = ["article_id", "position", "author", "title", "journal", "year"]
+
 
 def noise_reason(author: Column, entry: Column, patterns: Sequence[str] = NOISE) -> Column:
     """Why an entry is noise, the first of four reasons; null if it isn't."""
@@ -81,16 +85,13 @@ def shares(rows: DataFrame, key: str, places: int = 1) -> DataFrame:
 
 def bibtex(entries: DataFrame) -> DataFrame:
     """One BibTeX entry per row; the key is the first word of the author, the year and the row's number."""
-    rows = entries.withColumn("n", F.row_number().over(_order()))
+    rows = numbered(entries, ORDER)
     name = F.regexp_replace(F.element_at(F.split(F.element_at(F.split("author", ","), 1), " "), 1), "[^A-Za-z0-9#]", "")
     key = F.concat(name, F.col("year").cast("string"), F.lit("_"), F.col("n").cast("string"))
     return rows.select("n", F.format_string("@article{%s,\n  author = {%s},\n  title = {%s},\n  journal = {%s},\n  year = {%s}\n}", key, "author", "title", "journal", F.col("year").cast("string")).alias("entry"))
 
 
 def ris(entries: DataFrame) -> DataFrame:
-    rows = entries.withColumn("n", F.row_number().over(_order()))
+    """One RIS record per row, numbered in the same order."""
+    rows = numbered(entries, ORDER)
     return rows.select("n", F.format_string("TY  - JOUR\nAU  - %s\nTI  - %s\nJO  - %s\nPY  - %s\nER  - ", "author", "title", "journal", F.col("year").cast("string")).alias("entry"))
-
-
-def _order():
-    return Window.orderBy("article_id", "position")

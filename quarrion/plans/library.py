@@ -128,12 +128,18 @@ def noise_reasons(spark, sf_dir):
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+_NUMBERED = f"with {BIB}, r as (select *, row_number() over (order by article_id, position, author, title, journal, year) as n from bib) select n, "
+
+
+@query(
+    _NUMBERED + r"""'@article{' || regexp_replace(split_part(split_part(author, ',', 1), ' ', 1), '[^A-Za-z0-9#]', '', 'g') || year::int || '_' || n || ',' || chr(10) || '  author = {' || author || '},' || chr(10)
+    || '  title = {' || title || '},' || chr(10) || '  journal = {' || journal || '},' || chr(10) || '  year = {' || year::int || '}' || chr(10) || '}' as entry from r"""
+)
 def bibtex_entries(spark, sf_dir):
     return B.bibtex(_bib(spark, sf_dir))
 
 
-@query()
+@query(_NUMBERED + "concat_ws(chr(10), 'TY  - JOUR', 'AU  - ' || author, 'TI  - ' || title, 'JO  - ' || journal, 'PY  - ' || year::int, 'ER  - ') as entry from r")
 def ris_entries(spark, sf_dir):
     return B.ris(_bib(spark, sf_dir))
 

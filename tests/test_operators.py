@@ -23,6 +23,7 @@ from quarrion.functions.geo import haversine, region
 from quarrion.operators import bibliography, geo, graph, labelling, ranking, search, timeseries, topics
 from quarrion.operators import signal as Z
 from quarrion.operators.cooccurrence import pair_counts
+from quarrion.operators.numbering import numbered
 from quarrion.sources import files, pages, sinks
 from quarrion.streaming import incremental
 
@@ -386,3 +387,18 @@ def test_work_queue(spark):
     grown = incremental.queued(queue, spark.createDataFrame([("a",), ("c",), ("c",)], "url string"))
     assert {tuple(r) for r in grown.collect()} == {("a", "done"), ("b", "pending"), ("c", "pending")}
     assert {tuple(r) for r in incremental.finished(grown, spark.createDataFrame([("c",)], "url string")).collect()} == {("a", "done"), ("b", "pending"), ("c", "done")}
+
+
+def test_numbered(spark):
+    """Places over several ranges equal those of one window; hot, null and repeated keys, clashing names, an empty table."""
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 50).alias("k"), F.when(F.col("id") % 11 > 0, F.col("id")).alias("id"), F.lit("x").alias("rows"), F.lit(1).alias("a.b"))
+    order = [F.desc("k"), F.asc_nulls_last("id")]
+    got = [(r.k, r.id) for r in numbered(rows.repartition(7), order).orderBy("n").collect()]
+    assert got == [(r.k, r.id) for r in rows.orderBy(*order).collect()]
+    places = numbered(rows, order).select("n").collect()
+    assert sorted(r.n for r in places) == list(range(1, 5001))
+    assert numbered(rows.limit(0), order).count() == 0 and numbered(rows, order).columns == [*rows.columns, "n"]
+    with pytest.raises(ValueError):
+        numbered(rows, order, "k")
+    plan = numbered(rows, order)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan.split("== Physical Plan ==")[1].split("BroadcastExchange")[0]
