@@ -17,6 +17,7 @@ from quarrion.llm.secrets import scan_secrets
 from quarrion.llm.shared import table
 from quarrion.llm.substring_dedup import drop_repeated_words
 from quarrion.llm.suffix_dedup import drop_repeats
+from quarrion.llm.target_resampling import importance_resample
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +62,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op4_language_id, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_substring_dedup, op9_html_extraction, op10_exact_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op4_language_id, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_substring_dedup, op9_html_extraction, op10_exact_dedup, op13_target_resampling, pipeline)}
 
 #: Lower-cases A-Z only, in DuckDB.
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -88,7 +94,38 @@ def _op1_kind(rank: int, kind: str, pattern: str, group: int, least: int) -> str
         where len(value) >= {least}"""
 
 
+#: Checksums in SQL. A checksum is linear: it is the exclusive or of what each byte gives by its distance from the end, and
+#: of what the start gives by the length. Expects byte strings as hexadecimal digits in texts(s); gives crcs(s, crc).
+_CRC = """
+        bits(b, k, v) as (select b, 0, b::bigint from range(256) t(b) union all select b, k + 1, xor(v >> 1, 3988292384 * (v & 1)) from bits where k < 8),
+        lookup as (select b, v from bits where k = 8),
+        far(b, k, v) as (
+            select b, 0, v from lookup union all select -1, 0, 4294967295
+            union all select f.b, k + 1, xor(f.v >> 8, l.v) from far f join lookup l on l.b = f.v & 255 where k < (select max(length(s)) // 2 from texts)),
+        single as (select s, i, ('0x' || substr(s, 2 * i - 1, 2))::int as b from (select s, unnest(range(1, length(s) // 2 + 1)) as i from texts)),
+        crcs as (
+            select s, xor(xor(bit_xor(f.v), any_value(e.v)), 4294967295) as crc
+            from single join far f on f.b = single.b and f.k = length(s) // 2 - i join far e on e.b = -1 and e.k = length(s) // 2 group by s)"""
+
 ORACLE = {
+    "op13_target_resampling": f"""
+        with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+        b as (select -row_number() over () as rid, regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+        feats as (
+            select rid, hex(encode(array_to_string(w[i:i + n - 1], ' '))) as s, count(*) as c
+            from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from (select rid, w from d union all select rid, w from b), (values (1), (2), (3)) t(n))
+            group by all),
+        texts as (select distinct s from feats),{_CRC},
+        placed as (select rid, crc % 10000 as bucket, sum(c)::bigint as c from feats join crcs using (s) group by all),
+        counts as (select k as bucket, coalesce(sum(c) filter (where rid > 0), 0)::double as s, coalesce(sum(c) filter (where rid < 0), 0)::double as t from range(10000) r(k) left join placed on k = bucket group by k),
+        gains as (select bucket, floor(1000 * ln((t + 1) * (sum(s) over () + 10000) / ((s + 1) * (sum(t) over () + 10000))))::bigint as gain from counts),
+        per as (select rid, sum(c)::bigint as n_features, sum(c * gain)::bigint as weight from placed join gains using (bucket) where rid > 0 group by rid),
+        scored as (
+            select rid, doc_id, len(w) >= 20 as eligible, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+            from d left join per using (rid)),
+        placed_docs as (select *, row_number() over (order by eligible desc, score desc, doc_id nulls last) as place, count(*) filter (where eligible) over () * 5 // 100 as drawn from scored)
+        select doc_id, n_features, weight, score, case when eligible and place <= drawn then place end as rank from placed_docs""",
     "op1_secret_scan": f"""
         with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents),
         found as ({" union all ".join(_op1_kind(i, *k) for i, k in enumerate(_KINDS))}),

@@ -177,3 +177,30 @@ def log10_forward(start, move, emit, seq) -> float:
     for x in seq[1:]:
         alpha = [sum(a * move[j][k] for j, a in enumerate(alpha)) * emit[k][x] for k in range(len(start))]
     return math.log10(sum(alpha))
+
+
+def op13(docs: list[tuple], items: list[str | None], least: int = 20, share: int = 5, buckets: int = 10000) -> list[tuple]:
+    import math
+    import re
+    import zlib
+
+    def words(t: str | None) -> list[str]:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    def features(t: str | None) -> list[int]:
+        w = words(t)
+        return [zlib.crc32(" ".join(w[i : i + k]).encode()) % buckets for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+    s, t = Counter(x for _, d in docs for x in features(d)), Counter(x for d in items for x in features(d))
+    sums, sumt = sum(s.values()) + buckets, sum(t.values()) + buckets
+    out = []
+    for doc, text in docs:
+        f = features(text)
+        weight = sum(math.floor(1000 * math.log((t[x] + 1) * sumt_inv)) for x, sumt_inv in ((x, sums / ((s[x] + 1) * sumt)) for x in f))
+        h = int(hashlib.sha256(f"42:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        out.append([doc, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words(text)) >= least])
+    best = sorted((r for r in out if r[5]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for place, r in enumerate(best[: len(best) * share // 100], 1):
+        r[4] = place
+    return [tuple(r[:5]) for r in out]

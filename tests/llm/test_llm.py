@@ -6,16 +6,11 @@ import hashlib
 import itertools
 import random
 import re
-import sys
-from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).parent))
-sys.path.insert(0, str(Path(__file__).parent.parent))
-
 import brute
 from oracle import DATA, connection, same
 
