@@ -13,8 +13,10 @@ from quarrion.llm.language_id import language_spans
 from quarrion.llm.lm_scoring import lm_scores
 from quarrion.llm.mixing import mix
 from quarrion.llm.near_dedup import near_groups
+from quarrion.llm.quality import quality_scores
 from quarrion.llm.secrets import scan_secrets
 from quarrion.llm.shared import table
+from quarrion.llm.spelling_variants import spelling_variants
 from quarrion.llm.substring_dedup import drop_repeated_words
 from quarrion.llm.suffix_dedup import drop_repeats
 from quarrion.llm.target_resampling import importance_resample
@@ -62,6 +64,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -71,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op4_language_id, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_substring_dedup, op9_html_extraction, op10_exact_dedup, op13_target_resampling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_mixing, op4_language_id, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_substring_dedup, op9_html_extraction, op10_exact_dedup, op11_quality_classifier, op12_spelling_variants, op13_target_resampling, pipeline)}
 
 #: Lower-cases A-Z only, in DuckDB.
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,6 +118,26 @@ _CRC = """
             from single join far f on f.b = single.b and f.k = length(s) // 2 - i join far e on e.b = -1 and e.k = length(s) // 2 group by s)"""
 
 ORACLE = {
+    "op12_spelling_variants": f"""
+        with recursive run as (
+            select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all({LOW.format("coalesce(text, '')")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{7,}}')) as r from documents),
+        seen as (select hex(encode(id || ':' || r)) as s, any_value(r) as r, count(*) as c from run group by all),
+        texts as (select s from seen),{_CRC},
+        word as (
+            select case when crc % 31 = 0 then substr(r, 1, (crc % length(r))::int) || substr(r, (crc % length(r))::int + 2) else r end as word, sum(c)::bigint as n
+            from seen join crcs using (s) group by 1 having length(word) >= 7 and sum(c) >= 2),
+        less as (select word, n, length(word) as size, p, substr(word, 1, p - 1) || substr(word, p + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as p from word)),
+        near as (
+            select a.word, b.word as other, b.n from less a join less b on a.size = b.size and a.p = b.p and a.rest = b.rest and a.word <> b.word
+            union select a.word, b.word, b.n from less a join word b on a.rest = b.word
+            union select b.word, a.word, a.n from less a join word b on a.rest = b.word),
+        best as (select word, count(*) as n_near, first(other order by n desc, other) as other, max(n) as most from near group by word),
+        formed as (
+            select w.word, w.n, coalesce(n_near, 0) as n_near, case when most >= 10 * w.n then other end as form, case when most >= 10 * w.n then most end as form_n
+            from word w left join best using (word)),
+        walk(word, root) as (select word, word from formed union select walk.word, f.form from walk join formed f on f.word = walk.root where f.form is not null)
+        select f.word, f.form, walk.root, f.n, f.n_near, f.form_n
+        from formed f join walk using (word) join formed e on e.word = walk.root where e.form is null""",
     "op13_target_resampling": f"""
         with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
         b as (select -row_number() over () as rid, regexp_extract_all({LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),

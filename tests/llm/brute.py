@@ -204,3 +204,52 @@ def op13(docs: list[tuple], items: list[str | None], least: int = 20, share: int
     for place, r in enumerate(best[: len(best) * share // 100], 1):
         r[4] = place
     return [tuple(r[:5]) for r in out]
+
+
+def near(u: str, v: str) -> bool:
+    """One inserted, deleted or replaced code point, by trying them all."""
+    if len(u) > len(v):
+        u, v = v, u
+    if len(u) == len(v):
+        return sum(a != b for a, b in zip(u, v, strict=True)) == 1
+    return len(v) == len(u) + 1 and any(v[:i] + v[i + 1 :] == u for i in range(len(v)))
+
+
+def op12(rows: list[tuple], least: int = 7) -> list[tuple]:
+    import re
+    import zlib
+
+    counts: Counter = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{low}".encode())
+            if h % 31 == 0:
+                low = low[: h % len(low)] + low[h % len(low) + 1 :]
+            counts[low] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= least and n >= 2}
+    form, links = {}, {}
+    for w, n in words.items():
+        links[w] = [x for x in words if near(w, x)]
+        best = min(links[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * n else None
+
+    def root(w: str) -> str:
+        return w if form[w] is None else root(form[w])
+
+    return [(w, form[w], root(w), n, len(links[w]), form[w] and words[form[w]]) for w, n in words.items()]
+
+
+def contexts(texts: list[str], places, signs, class_of, classes: int, dims: int, reach: int):
+    """Sums of neighbours' index vectors, token by token."""
+    import re
+
+    out = [[0] * dims for _ in range(classes)]
+    for text in texts:
+        own = [class_of(w) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^ \t\n\r\x0b\x0c0-9A-Za-z\x80-\U0010ffff]+", text)]
+        for i, c in enumerate(own):
+            for j in range(max(0, i - reach), min(len(own), i + reach + 1)):
+                if i != j:
+                    for p, s in zip(places[own[j]], signs[own[j]], strict=True):
+                        out[c][p] += int(s)
+    return out
