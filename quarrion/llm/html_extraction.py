@@ -3,18 +3,22 @@
 The standard library's parser streams events; they are cut into lines, one per block-level element. A line's ratio is its
 characters over its tags. Markup does nothing but set a ratio to 0: of lines inside menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments; where the page marks its article (article, main,
-role=main), of lines outside it; elsewhere, of lines that are mostly links.
+role=main), of lines outside it; elsewhere, of lines that are mostly links and neither paragraphs nor headings.
 
-On every page the logarithms of the ratios are smoothed with a Gaussian kernel (so that one long line doesn't outweigh
-the others), and lines at or above one standard deviation of these form clusters. The region reaches from the first
-cluster to the last. It goes on at both ends over lines of a marked article and, in the element that holds all clusters,
-over paragraphs, headings, items and cells, and over siblings of the clusters' lines that are of the same element; the
-first other line ends it, and lines of ratio 0 are left out. A footer that nothing but its text tells from a paragraph is
-taken.
+On every page, marked or not, clusters of the smoothed ratios choose the lines. Ratios are cut at their lower quartile by
+characters (a quarter of the text is in lines of at most that ratio), so that one long line doesn't outweigh the others, and
+smoothed with a Gaussian kernel; the threshold is one standard deviation of the smoothed ratios. A line at or above
+it is in a cluster if it is prose (a paragraph, heading, item or cell), or if it or a line beside it, of the same element and
+parent, reaches the quartile on its own: smoothing alone lifts no menu, advert or footer that is a short block by itself.
 
-An element isn't content if a class or its id names such a part of a page (NOT_NAMES), or is made of such names and
-LAYOUT words (`share-buttons`, but not `share-price`). Headings and paragraphs are never dropped by their
-own names.
+A cluster grows in both directions, inside the innermost element that holds all clusters, over prose, and over blocks of which
+one of the same element and parent reaches the quartile (but for those at the top of the page). Other lines are left out; more
+than GAP of them in a row, or the end of that element, end the growth. Lines of ratio 0 are never taken. A footer that
+nothing but its text tells from a paragraph is taken.
+
+An element isn't content if a class or its id begins or ends with a word that names such a part (STRONG_NAMES:
+`user-comments`, `ad-300x250`), or is made of such words, NOT_NAMES and LAYOUT words only (`share-buttons`, but not
+`share-price`). Headings and paragraphs are never dropped by their own names.
 
 Defined results: a null or empty page gives the empty text; white space is what str.split takes as such; unclosed
 elements end with their parent, and a paragraph where the next block starts. Rows are independent, so repeated rows
@@ -47,14 +51,22 @@ NOT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog
 NOT_NAMES = frozenset(
     "ad ads adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination paywall popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Names that say enough at the start or the end of a longer one.
+STRONG_NAMES = frozenset("ad ads adslot advert advertisement advertising adverts breadcrumb breadcrumbs comments cookie cookies disqus gdpr newsletter paywall popup promo sidebar sponsored".split())
 #: What a class that names such a part adds to it.
 LAYOUT = frozenset("area bar block bottom box button buttons container content form global icons inner item items left link links list main outer page panel post posts primary right row secondary section site slot sub top unit wrap wrapper".split())
 NAMELESS = frozenset("html body main p h1 h2 h3 h4 h5 h6".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A line with a larger share of link text is part of a menu, where the page doesn't mark its article.
 LINK_SHARE = 0.6
-#: Elements whose lines belong to the region when they adjoin it.
+#: Elements whose lines are prose.
 PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
+#: Of these, the ones that stay if they are one link.
+LINKED = frozenset("blockquote h1 h2 h3 h4 h5 h6 p".split())
+#: Elements whose children aren't siblings in one block of text.
+TOP = frozenset(("", "html", "body"))
+#: Lines in a row that a cluster grows over without taking them.
+GAP = 3
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 
@@ -116,8 +128,8 @@ class Lines(HTMLParser):
 
     @staticmethod
     def named_away(names: list[str]) -> bool:
-        parts = (set(re.split("[_-]+", n)) for n in names)
-        return any(not NOT_NAMES.isdisjoint(p) and p <= NOT_NAMES | LAYOUT for p in parts)
+        parts = [re.split("[_-]+", n) for n in names]
+        return any(not STRONG_NAMES.isdisjoint((p[0], p[-1])) or (not NOT_NAMES.isdisjoint(p) and NOT_NAMES | LAYOUT >= set(p)) for p in parts)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -152,12 +164,28 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def region(ratios: np.ndarray, nodes: list[int], names: list[str], parent: list[int], marked: list[bool]) -> tuple[int, int]:
-    """First line of the clusters' region and the first after it. Lines that can't be content have ratio 0."""
-    even = smoothed(np.log1p(ratios))
-    clusters = np.flatnonzero((even >= even.std()) & (ratios > 0)).tolist()
+def cut_ratios(ratios: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Ratios, at most the one up to which a quarter of the characters lie in lines that can be content."""
+    order = np.argsort(ratios, kind="stable")
+    order = order[ratios[order] > 0]
+    reached = np.cumsum(chars[order])
+    return np.minimum(ratios, ratios[order[np.searchsorted(reached, reached[-1] / 4)]])
+
+
+def chosen(ratios: np.ndarray, chars: np.ndarray, nodes: list[int], names: list[str], parent: list[int]) -> list[bool]:
+    """Which lines the clusters take. Lines that can't be content have ratio 0."""
+    out = [False] * len(nodes)
     if not ratios.any():
-        return 0, 0
+        return out
+    own = cut_ratios(ratios, chars)
+    even = smoothed(own)
+    least, full = even.std(), own.max()
+    kinds = {(parent[nodes[k]], names[nodes[k]]) for k in np.flatnonzero(own >= full).tolist()}
+
+    def alike(k: int) -> bool:
+        return (parent[nodes[k]], names[nodes[k]]) in kinds
+
+    clusters = [k for k in np.flatnonzero((even >= least) & (ratios > 0)).tolist() if names[nodes[k]] in PROSE or alike(k)]
     clusters = clusters or [int(ratios.argmax())]
     around = parent[nodes[clusters[0]]]
     for node in (parent[nodes[k]] for k in clusters):
@@ -167,18 +195,21 @@ def region(ratios: np.ndarray, nodes: list[int], names: list[str], parent: list[
     within[around] = True
     for node in range(around + 1, len(parent)):
         within[node] = within[parent[node]]
-    kinds = {(parent[nodes[k]], names[nodes[k]]) for k in clusters}
 
-    def goes_on(k: int) -> bool:
-        node = nodes[k]
-        return not ratios[k] or marked[k] or (within[node] and (names[node] in PROSE or (parent[node], names[node]) in kinds))
+    def grows(k: int) -> bool:
+        return names[nodes[k]] in PROSE or (alike(k) and names[parent[nodes[k]]] not in TOP)
 
-    first, end = clusters[0], clusters[-1] + 1
-    while first > 0 and goes_on(first - 1):
-        first -= 1
-    while end < len(nodes) and goes_on(end):
-        end += 1
-    return first, end
+    for k in clusters:
+        out[k] = True
+    for step, ends in ((1, clusters), (-1, clusters[::-1])):
+        for at in ends:
+            k, left = at + step, GAP
+            while 0 <= k < len(nodes) and not out[k] and within[nodes[k]] and left >= 0:
+                if ratios[k] > 0:
+                    out[k] = grows(k)
+                    left = GAP if out[k] else left - 1
+                k += step
+    return out
 
 
 def main_text(html: str) -> str:
@@ -188,16 +219,16 @@ def main_text(html: str) -> str:
     parser.cut()
     if not parser.out:
         return ""
-    marked = [inside is True for _, _, inside, _, _ in parser.out]
-    marks = any(marked)
+    marks = any(inside is True for _, _, inside, _, _ in parser.out)
 
-    def ratio(text: str, tags: int, inside: bool | None, links: int) -> float:
-        away = inside is False or (marks and not inside) or (inside is None and links > LINK_SHARE * len(text))
-        return 0.0 if away else len(text) / max(1, tags)
+    def ratio(text: str, tags: int, inside: bool | None, links: int, node: int) -> float:
+        menu = inside is None and links > LINK_SHARE * len(text) and parser.names[node] not in LINKED
+        return 0.0 if inside is False or (marks and not inside) or menu else len(text) / max(1, tags)
 
-    ratios = np.array([ratio(*line[:4]) for line in parser.out])
-    first, end = region(ratios, [line[-1] for line in parser.out], parser.names, parser.parent, marked)
-    return "\n\n".join(line[0] for line, ratio in zip(parser.out[first:end], ratios[first:end], strict=True) if ratio)
+    ratios = np.array([ratio(*line) for line in parser.out])
+    chars = np.array([len(line[0]) for line in parser.out])
+    take = chosen(ratios, chars, [line[-1] for line in parser.out], parser.names, parser.parent)
+    return "\n\n".join(line[0] for line, own in zip(parser.out, take, strict=True) if own)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
