@@ -88,7 +88,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.sum(F.col("live").cast("long")).alias("n_live"),
         F.sum((~F.col("live")).cast("long")).alias("n_example"),
     )
-    out = scan.join(judged, "sha", "left")
+    # Texts without candidates, empty ones above all, have nothing to join.
+    none = scan.filter("size(base) + size(free) = 0")
+    verdicts = ("added", "n_live", "n_example")
+    out = found.join(judged, "sha").unionByName(none.select("*", *(F.lit(None).cast(judged.schema[c].dataType).alias(c) for c in verdicts)))
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
     return out.select(
         "doc_id",
