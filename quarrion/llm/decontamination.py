@@ -10,7 +10,8 @@ block, so nothing grows with the benchmark but the number of passes. Counts of t
 
 Defined results: a null or empty text has no words, no hits and the digest of the empty text. Items without words
 match nothing; items with equal ids count once. Items with a null id are one item: it gives hits and counts in n_items,
-and the digest, of the ids found, leaves it out. Repeated rows give repeated results. Only the named columns are read.
+and the digest, of the ids found, leaves it out. Repeated rows give repeated results. The id keeps its type.
+Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import ALNUM_LOWER, slices, texts
-from quarrion.llm.shared import written
+from quarrion.llm.shared import kind_of, written
 from quarrion.shipping import shipped
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
 
 PAIR = "array<int>"
-HITS = f"doc_id long, h long, n_words long, starts {PAIR}, ends {PAIR}, items array<string>"
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+HITS = f"doc_id {{kind}}, h long, n_words long, starts {PAIR}, ends {PAIR}, items array<string>"
+RESULT = "doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -133,8 +134,8 @@ def _item_blocks(rows: DataFrame, items: DataFrame, item_col: str = "item_id", i
 
 def contamination_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: doc_id, h (a hash of its text), n_words, runs of hit words as starts and ends, and the ids of the items found."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    passes = [rows.mapInArrow(partial(_hits, sent=sent, name=uuid.uuid4().hex), HITS) for sent in _item_blocks(rows, items, **options)]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    passes = [rows.mapInArrow(partial(_hits, sent=sent, name=uuid.uuid4().hex), HITS.format(kind=kind_of(docs, id_col))) for sent in _item_blocks(rows, items, **options)]
     if len(passes) == 1:
         return passes[0]
     first = passes[0]
@@ -149,7 +150,8 @@ def contamination_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return contamination_spans(docs, items, **options).mapInArrow(_results, RESULT)
+    spans = contamination_spans(docs, items, **options)
+    return spans.mapInArrow(_results, RESULT.format(kind=kind_of(spans, "doc_id")))
 
 
 def _clean(batches: Iterator[pa.RecordBatch], sent, name: str, text_col: str) -> Iterator[pa.RecordBatch]:

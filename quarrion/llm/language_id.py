@@ -9,13 +9,18 @@ The model is fitted on a bounded sample of the labelled rows: about TRAIN_ROWS p
 falls below a bound, whole texts; rows whose crc32(id as text) mod 5 is 0 are never learned from. Its tables have
 languages x 2**GRAM_BITS cells. A prediction uses nothing but the text.
 
+A word is a letter with the letters and combining marks that follow (so words of Indic scripts and Thai are whole).
+
 Defined results: `und` with score 0 for null texts and texts without letters, and for all texts if there is no labelled
-row. Ties go to the language that sorts first. Repeated rows give repeated results. Only the named columns are read.
+row. Ties go to the language that sorts first. Repeated rows give repeated results. The id keeps
+its type. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 import uuid
 from bisect import bisect_right
 from collections import Counter
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import slices, texts
-from quarrion.llm.shared import crc_mod5
+from quarrion.llm.shared import crc_mod5, kind_of
 from quarrion.shipping import shipped
 
 TRAIN_ROWS, GRAM_BITS, SWITCH, SCRIPT_SHARE = 2000, 16, 12.0, 0.01
@@ -45,7 +50,22 @@ SCRIPTS = (
     (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Syriac"), (0x0750, "Arabic"), (0x0780, "Thaana"), (0x07C0, "Nko"), (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"), (0x0B00, "Oriya"), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"), (0x0D80, "Sinhala"), (0x0E00, "Thai"), (0x0E80, "Lao"), (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "Cherokee"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2C00, "Glagolitic"), (0x2C60, "Latin"), (0x2DE0, "Cyrillic"), (0x3040, "Kana"), (0x3100, "Bopomofo"), (0x3130, "Hangul"), (0x3400, "Han"), (0xA000, "Yi"), (0xA640, "Cyrillic"), (0xA720, "Latin"), (0xAC00, "Hangul"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFF21, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0x10000, "Other"), (0x20000, "Han"),
 )
 _STARTS, _NAMES = [s for s, _ in SCRIPTS], sorted({n for _, n in SCRIPTS})
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+@functools.cache
+def word_pattern() -> re.Pattern:
+    """Letters, and the combining marks (by their Unicode category) and letters after them; joiners don't part a word."""
+    own = [c for c in range(0x300, 0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    starts = [c for c, before in zip(own, [-2, *own], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(own, [*own[1:], -1], strict=True) if after != c + 1]
+    marks = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+    # What comes before the first mark is ruled out at once.
+    return re.compile(f"[^\\W\\d_]+(?:(?![\0-\u02ff])[{marks}\u200c\u200d]+[^\\W\\d_]*)*")
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text."""
+    return word_pattern().findall(text.lower())
 
 
 def script_of(letter: str) -> int:
@@ -77,7 +97,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
     for batch in slices(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), texts(batch.column("text")), strict=True):
-            words.setdefault(lang, Counter()).update(_WORD.findall(text.decode().lower()))
+            words.setdefault(lang, Counter()).update(words_of(text.decode()))
     for lang, counter in words.items():
         total = np.zeros((1 << GRAM_BITS) + len(_NAMES), np.int64)
         known, times = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
@@ -173,7 +193,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 #: The scorer of the model that this worker last used.
 _scorers: dict[str, Scorer] = {}
-RESULT = "doc_id long, h long, held_out boolean, lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
+RESULT = "doc_id {kind}, h long, held_out boolean, lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
 
 
 def _predicted(rows: list[np.ndarray], scorer: Scorer, switch: float) -> Iterator[tuple[str, float, np.ndarray]]:
@@ -209,7 +229,7 @@ def _portions(batches: Iterator[pa.RecordBatch], text_col: str, scorer: Scorer)
         if scorer.full():
             scorer.clear()
         held.append(batch)
-        rows += (scorer.rows(_WORD.findall(t.decode().lower()) if langs else []) for t in texts(batch.column(text_col)))
+        rows += (scorer.rows(words_of(t.decode()) if langs else []) for t in texts(batch.column(text_col)))
         cells += sum(len(x) + 8 for x in rows[-batch.num_rows :]) * max(1, langs)
     if held:
         yield held, rows
@@ -250,8 +270,8 @@ def language_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: doc_id, h (a hash of its text), held_out, lang_pred, score, and the spans of words [first, last) by language."""
     model = fit(docs, id_col, text_col, lang_col, train_rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), (crc_mod5(id_col) == 0).alias("held"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_labelled, sent=sent, name=uuid.uuid4().hex, switch=switch), RESULT)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), (crc_mod5(id_col) == 0).alias("held"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(partial(_labelled, sent=sent, name=uuid.uuid4().hex, switch=switch), RESULT.format(kind=kind_of(docs, id_col)))
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE, train_rows: int = TRAIN_ROWS, switch: float = SWITCH) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.arrow import slices, texts
-from quarrion.llm.shared import crc_mod5, written
+from quarrion.llm.shared import crc_mod5, kind_of, written
 from quarrion.shipping import shipped
 
 STATES, CLASSES, ROUNDS, SEGMENT = 4, 16384, 4, 128
@@ -39,7 +39,7 @@ BLOCK_BYTES = 4 << 20
 RANGE_WORDS = 400_000
 STAY = 0.97
 
-BLOCKS = "docs array<long>, held array<boolean>, lengths array<int>, seq binary, classes binary, words array<binary>, n array<int>, n_words long"
+BLOCKS = "docs array<{kind}>, held array<boolean>, lengths array<int>, seq binary, classes binary, words array<binary>, n array<int>, n_words long"
 
 
 class Local(dict):
@@ -76,10 +76,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         train = np.concatenate([np.empty(0, np.uint32), *(s for s, h in zip(seqs, held, strict=True) if not h)])
         n = np.bincount(rank[train].astype(np.int64), minlength=len(words))
         row = (docs, held, list(map(len, seqs)), _packed(rank[np.concatenate(seqs)]), _packed(classes_of(hashes[order]).astype(np.uint16)), [words[k] for k in order.tolist()], n, len(words))
-        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64())
+        kinds = (pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64())
         return pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["docs", "held", "lengths", "seq", "classes", "words", "n", "n_words"])
 
     for batch in slices(batches, 64):
+        kind = batch.column("doc_id").type
         for doc, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), texts(batch.column("text")), strict=True):
             words = text.lower().split()
             docs.append(doc)
@@ -242,7 +243,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([x], k) for x, k in zip((None, None, None, at, tokens[at], words[at]), kinds, strict=True)], names)
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -266,15 +267,15 @@ def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
         n = np.array(row["lengths"], np.int64) + 1
         base = half + np.log10(ends + 0.5) - n * np.log10(floor)
         score = log10_likelihood(model, seqs) + half - np.bincount(of, within[classes[seq]] if len(classes) else np.empty(0), len(seqs))
-        columns = [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(n), pa.array(summed(c > 0).astype(np.int64) + (ends > 0)), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)]
+        columns = [pa.array(row["docs"], batch.column("docs").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(n), pa.array(summed(c > 0).astype(np.int64) + (ends > 0)), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)]
         yield pa.record_batch(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    rows = shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod5(id_col) == 1).alias("held"), F.col(text_col).cast("string").alias("text"))
-    blocks = written(rows.mapInArrow(partial(_blocks, block_bytes=block_bytes), BLOCKS).withColumn("block", F.monotonically_increasing_id()))
+    rows = shipped(docs).select(F.col(id_col).alias("doc_id"), (crc_mod5(id_col) == 1).alias("held"), F.col(text_col).cast("string").alias("text"))
+    blocks = written(rows.mapInArrow(partial(_blocks, block_bytes=block_bytes), BLOCKS.format(kind=kind_of(docs, id_col))).withColumn("block", F.monotonically_increasing_id()))
 
     ranges = max(1, -(-blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] // range_words))
     dealt = blocks.select("block", "words", "n").mapInArrow(partial(_dealt, ranges=ranges), "block long, of int, words binary, n binary")
@@ -288,4 +289,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sent = spark.sparkContext.broadcast((model, int(tokens.sum() + ends), int(distinct.sum() + (ends > 0)), ends, tokens, distinct))
     whole = blocks.select("block", "docs", "held", "lengths", "seq", "classes")
     parts = summed.filter("c_block is not null").groupBy("c_block").agg(F.collect_list(F.struct("of", "counts")).alias("parts"))
-    return whole.join(parts, F.col("block") == F.col("c_block"), "left").drop("block", "c_block").mapInArrow(partial(_scored, sent=sent), SCORES)
+    return whole.join(parts, F.col("block") == F.col("c_block"), "left").drop("block", "c_block").mapInArrow(partial(_scored, sent=sent), SCORES.format(kind=kind_of(docs, id_col)))

@@ -16,8 +16,8 @@ the similarity that the united sketches (K values) estimate must pass the thresh
 then the full sets, computed from the whole texts again, decide.
 
 Defined results: a null or empty text has an empty set, no links, and is kept. A null id never gives a component its
-id unless all are null; kept compares ids null-safely. Rows with the same id and text get the same result. Only the
-named columns are read.
+id unless all are null; kept compares ids null-safely. Rows with the same id and text get the same result. The id may be
+of any type that has an order, and keeps it. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quarrion.llm.arrow import list_of, slices, texts
 from quarrion.llm.components import components
 from quarrion.llm.words import WordHashes, doubled, packed as packed_texts, unpacked
-from quarrion.llm.shared import written
+from quarrion.llm.shared import kind_of, written
 from quarrion.shipping import shipped
 
 SHINGLE, PERCENT = 5, 80
@@ -68,7 +68,7 @@ def doubled_step(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return doubled(both, 1, 1)[::2]
 
 
-SETS = "doc_id long, h long, n long, node binary, keys array<long>"
+SETS = "doc_id {kind}, h long, n long, node binary, keys array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -179,11 +179,12 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, h (a hash of its text), n_shingles, component_id, kept."""
-    rows = shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    sets = written(rows.mapInArrow(partial(_sets, size=size), SETS))
+    rows = shipped(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    kind = kind_of(docs, id_col)
+    sets = written(rows.mapInArrow(partial(_sets, size=size), SETS.format(kind=kind)))
     nodes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "h")).alias("at"), F.first("keys").alias("keys"), F.first("n").alias("n"))
     nodes = written(nodes)
-    packed = rows.mapInArrow(packed_texts, "doc_id long, h long, z binary")
+    packed = rows.mapInArrow(packed_texts, f"doc_id {kind}, h long, z binary")
 
     def compared(dealt: DataFrame) -> DataFrame:
         """Links among the rows of each (key, i, j). dealt has at, by which the texts are found."""

@@ -37,11 +37,11 @@ def op8(rows: list[tuple]) -> list[tuple]:
     return out
 
 
-def op6(rows: list[tuple]) -> list[tuple]:
+def op6(rows: list[tuple], size: int = 4) -> list[tuple]:
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
     parent = list(range(len(rows)))
 
     def root(i: int) -> int:
@@ -253,3 +253,93 @@ def contexts(texts: list[str], places, signs, class_of, classes: int, dims: int,
                     for p, s in zip(places[own[j]], signs[own[j]], strict=True):
                         out[c][p] += int(s)
     return out
+
+
+def op4(rows: list[tuple], switch: float = 12.0) -> list[tuple]:
+    """Naive Bayes over hashed grams of words and the best path over a text, word by word. rows: id, text, lang."""
+    import math
+    import unicodedata
+    import zlib
+
+    from quarrion.llm.language_id import SCRIPT_SHARE, script_of
+
+    def words(text: str | None) -> list[str]:
+        out, word = [], ""
+        for c in (text or "").lower():
+            letter = c.isalnum() and unicodedata.category(c) != "Nd"
+            if letter or (word and (unicodedata.category(c)[0] == "M" or c in "‌‍")):
+                word += c
+            else:
+                out, word = ([*out, word] if word else out), ""
+        return [*out, word] if word else out
+
+    def cells(word: str) -> list[int]:
+        b = b"\x01\x01" + word.encode() + b"\x01\x01"
+        three = [int.from_bytes(b[i : i + 3], "little") for i in range(len(b) - 3)]
+        four = [int.from_bytes(b[i : i + 4], "little") ^ 0x5BD1E995 for i in range(len(b) - 3)]
+        return [(x * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for x in three + four]
+
+    def crc(doc) -> int:
+        return zlib.crc32(("" if doc is None else str(doc)).encode()) % 5
+
+    grams, scripts = defaultdict(Counter), defaultdict(Counter)
+    for doc, text, lang in rows:
+        if lang is not None and crc(doc):
+            grams[lang], scripts[lang]
+            for w in words(text):
+                grams[lang].update(cells(w))
+                scripts[lang][script_of(w[0])] += 1
+    langs = sorted(grams)
+    total = {k: sum(grams[k].values()) + 0.5 * 65536 for k in langs}
+
+    def scored(word: str) -> tuple[list[float], bool]:
+        sums = [sum(math.log((grams[k][c] + 0.5) / total[k]) for c in cells(word)) for k in langs]
+        uses = [scripts[k][script_of(word[0])] / max(1, sum(scripts[k].values())) >= SCRIPT_SHARE for k in langs]
+        if not any(uses):
+            return [0.0] * len(langs), False
+        own = [s for s, u in zip(sums, uses, strict=True) if u]
+        return [s - max(own) if u else min(own) - 1e4 - max(own) for s, u in zip(sums, uses, strict=True)], True
+
+    out = []
+    for doc, text, _ in rows:
+        own = words(text) if langs else []
+        if not own:
+            out.append((doc, crc(doc) == 0, "und", 0.0))
+            continue
+        each = [scored(w) for w in own]
+        value, came = each[0][0], []
+        for s, _ in each[1:]:
+            top = max(range(len(langs)), key=lambda k: value[k])
+            came.append([k if value[k] >= value[top] - switch else top for k in range(len(langs))])
+            value = [max(value[k], value[top] - switch) + s[k] for k in range(len(langs))]
+        state = max(range(len(langs)), key=lambda k: value[k])
+        path = [state]
+        for step in reversed(came):
+            path.append(step[path[-1]])
+        share = [sum(len(w) for w, (_, known), p in zip(own, each, path[::-1], strict=True) if known and p == k) for k in range(len(langs))]
+        best = max(range(len(langs)), key=lambda k: share[k])
+        out.append((doc, crc(doc) == 0, langs[best], share[best] / sum(map(len, own))))
+    return out
+
+
+def mixed(rows: list[tuple]) -> Counter:
+    """Words taken by id. rows: id, text, source."""
+    targets = op3([(s, t) for _, t, s in rows])
+    per = defaultdict(list)
+    for doc, text, source in rows:
+        digest = hashlib.md5((text or "").encode()).hexdigest()
+        key = hashlib.md5("|".join(["mix", *([] if doc is None else [str(doc)]), digest]).encode()).hexdigest()
+        per[source].append((key, doc is not None, doc or 0, len((text or "").encode().split()), doc))
+    queue = []
+    for source, docs in per.items():
+        size, target = targets[source]
+        served = 0
+        for rank, (_, _, _, n, doc) in enumerate(sorted(docs, key=lambda x: x[:4])):
+            served += n
+            queue += [((copy * size + served) / target, source is None, (source or "").encode(), rank, copy, n, doc) for copy in range(3) if n]
+    budget, done, taken = sum(x[3] for docs in per.values() for x in docs), 0, Counter()
+    for *_, n, doc in sorted(queue, key=lambda x: x[:5]):
+        done += n
+        if 2 * done - n <= 2 * budget:
+            taken[doc] += n
+    return taken

@@ -419,7 +419,7 @@ def test_pages_equal_brute_force(spark):
 
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
-    con_tables = {"documents": COLUMNS, "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string"}
+    con_tables = {"documents": COLUMNS, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string"}
     for table, schema in con_tables.items():
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
