@@ -138,3 +138,15 @@ def is_coined(label: Column, common: Sequence[str] = ()) -> Column:
     """Looks like a coined name: not ASCII, or a single capitalised word of up to six letters that isn't listed as common."""
     short = ~F.contains(label, F.lit(" ")) & (F.length(label) <= 6) & label.rlike("^[A-Z]")
     return label.rlike(r"[^\x00-\x7F]") | (short & ~label.isin(*common) if common else short)
+
+
+def value_of(values: Column, key, default=0) -> Column:
+    """What a map has for a key, else the default; also for a null map."""
+    return F.coalesce(F.try_element_at(values, F.lit(key)), F.lit(default))
+
+
+def by_value(values: Column, most: int | None = None) -> Column:
+    """A map's entries (key, value) by falling value, then by key; the first so many."""
+    entries = F.transform(F.map_entries(values), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("key"), e["value"].alias("value")))
+    rows = F.transform(F.array_sort(entries), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    return rows if most is None else F.slice(rows, 1, most)

@@ -24,22 +24,44 @@ def node_stats(nodes: DataFrame, edges: DataFrame, node: str = "label") -> DataF
     return nodes.join(per, node, "left").na.fill({"degree": 0, "avg_weight": 0.0})
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """(node, triangles) for every node of a triangle.
+
+    Edges point from the node of lower degree to the one of higher, so a node points to at most the root of twice the number of
+    edges, hubs to few. An edge's triangles are what its ends both point to: no pair of a hub's neighbours is ever made.
+    """
+    edges = written(edges.select("a", "b").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    ends = edges.join(degree.select(F.col("node").alias("a"), F.col("d").alias("d_a")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("d_b")), "b")
+    up = F.struct(F.col("d_a").alias("d"), F.col("a").alias("n")) < F.struct(F.col("d_b").alias("d"), F.col("b").alias("n"))
+    way = ends.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("high"))
+    points = written(way.groupBy("low").agg(F.collect_list("high").alias("to")))
+    hops = points.filter(F.size("to") > 1).select("low", F.col("to").alias("own"), F.explode("to").alias("mid"))
+    closed = hops.join(points.select(F.col("low").alias("mid"), "to"), "mid").select("low", "mid", F.array_intersect("own", "to").alias("third")).filter(F.size("third") > 0)
+    n = F.size("third").cast("long")
+    counts = F.concat(F.array(F.struct(F.col("low").alias("node"), n.alias("n")), F.struct(F.col("mid").alias("node"), n.alias("n"))), F.transform("third", lambda x: F.struct(x.alias("node"), F.lit(1).cast("long").alias("n"))))
+    return closed.select(F.explode(counts).alias("c")).groupBy(F.col("c.node").alias("node")).agg(F.sum("c.n").alias("triangles"))
+
+
 def bridge_scores(edges: DataFrame, max_neighbors: int | None = 100, min_degree: int = 2) -> DataFrame:
     """Share of a node's neighbour pairs that aren't linked, and that share times the degree.
 
     Of more than max_neighbors neighbours those with the largest weights count, ties by name; so wedges are bounded. With None
-    all count.
+    all count: pairs follow from the degree, and those that are linked are the node's triangles.
     """
     edges = written(edges)
     both = symmetric(edges)
-    degree = both.groupBy("a").agg(F.count("*").alias("degree")).filter(F.col("degree") >= min_degree)
-    near = both if max_neighbors is None else top_per_group(both, ["a"], [F.desc("weight"), F.col("b")], max_neighbors)
-    near = near.join(degree, "a").select("a", "b")
-    wedges = near.select(F.col("a").alias("node"), F.col("b").alias("x")).join(near.select(F.col("a").alias("node"), F.col("b").alias("y")), "node").filter("x < y")
+    degree = both.groupBy("a").agg(F.count("*").alias("degree")).filter(F.col("degree") >= min_degree).withColumnRenamed("a", "node")
+    score = (F.col("pairs") - F.col("linked")) / F.col("pairs")
+    if max_neighbors is None:
+        pairs = (F.col("degree") * (F.col("degree") - 1) / 2).cast("long")
+        per = degree.withColumn("pairs", pairs).join(triangles(edges), "node", "left").withColumn("linked", F.coalesce("triangles", F.lit(0)))
+        return per.filter("pairs > 0").select("node", "degree", "pairs", score.alias("bridge_score"), (score * F.col("degree")).alias("weighted_score"))
+    near = top_per_group(both, ["a"], [F.desc("weight"), F.col("b")], max_neighbors).withColumnRenamed("a", "node").join(degree, "node").select("node", "b")
+    wedges = near.select("node", F.col("b").alias("x")).join(near.select("node", F.col("b").alias("y")), "node").filter("x < y")
     linked = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).alias("linked"))
     per = wedges.join(linked, ["x", "y"], "left").groupBy("node").agg(F.count("*").alias("pairs"), F.count("linked").alias("linked"))
-    score = (F.col("pairs") - F.col("linked")) / F.col("pairs")
-    return per.join(degree.withColumnRenamed("a", "node"), "node").select("node", "degree", "pairs", score.alias("bridge_score"), (score * F.col("degree")).alias("weighted_score"))
+    return per.join(degree, "node").select("node", "degree", "pairs", score.alias("bridge_score"), (score * F.col("degree")).alias("weighted_score"))
 
 
 def unlinked_examples(edges: DataFrame, neighbors: int = 10, examples: int = 3) -> DataFrame:

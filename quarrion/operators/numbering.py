@@ -12,6 +12,15 @@ _AT, _RANGE, _BEFORE = "__at", "__range", "__before"
 _BITS = 33
 
 
+def _ranged(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """df written in ranges of the order, each sorted, with the place of each row: its range above _BITS, and the row below."""
+    return written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_AT, F.monotonically_increasing_id()))
+
+
+def _own(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:
     """df with a column of places 1, 2, 3... in the order, as row_number() over an unpartitioned window gives.
 
@@ -21,10 +30,26 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "n") -> DataF
     """
     if name in df.columns:
         raise ValueError(f"there is a column {name} already")
-    held = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_AT, F.monotonically_increasing_id()))
+    held = _ranged(df, order)
     task = F.shiftright(_AT, _BITS)
     counts = held.groupBy(task.alias(_RANGE)).agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(_RANGE, F.coalesce(before, F.lit(0)).alias(_BEFORE))
     place = F.col(_BEFORE) + F.col(_AT).bitwiseAND((1 << _BITS) - 1) + 1
-    return held.join(F.broadcast(offsets), task == F.col(_RANGE)).select(*(F.col(f"`{c}`") for c in df.columns), place.alias(name))
+    return held.join(F.broadcast(offsets), task == F.col(_RANGE)).select(*_own(df), place.alias(name))
+
+
+def running_sums(df: DataFrame, order: list[Column | str], sums: dict[str, str]) -> DataFrame:
+    """df with the sums of columns up to and with each row in the order, under new names; null counts as 0.
+
+    A range's sums run within it, from the sums of the ranges before; one row per range meets in one task. As with numbered, the
+    order should end in a key: between equal rows any may come first.
+    """
+    held = _ranged(df, order).withColumn(_RANGE, F.shiftright(_AT, _BITS))
+    values = {name: F.coalesce(F.col(f"`{c}`"), F.lit(0)) for name, c in sums.items()}
+    totals = held.groupBy(_RANGE).agg(*(F.sum(v).alias(name) for name, v in values.items()))
+    earlier = Window.orderBy("before").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumnRenamed(_RANGE, "before").select("before", *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{_BEFORE}_{name}") for name in values))
+    within = Window.partitionBy(_RANGE).orderBy(_AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = held.select(*_own(df), _RANGE, *(F.sum(v).over(within).alias(f"{_AT}_{name}") for name, v in values.items()))
+    return local.join(F.broadcast(offsets), F.col(_RANGE) == F.col("before")).select(*_own(df), *((F.col(f"{_AT}_{name}") + F.col(f"{_BEFORE}_{name}")).alias(name) for name in values))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.functions.text import cosine
+from quarrion.operators.numbering import numbered
 
 
 def term_score(text: Column, weights: dict[str, float]) -> Column:
@@ -38,6 +39,36 @@ def reading_order(rows: DataFrame, score: str = "score", key: str = "url", easy:
     return rows.withColumn("reading_order", rank + 1).withColumn("difficulty", tier)
 
 
+def topic_terms(topic: str, categories: dict[str, Sequence[str]]) -> list[str]:
+    """The words of the categories in whose name the topic occurs, or of which a word occurs in the topic; else the topic itself."""
+    low = topic.lower()
+    found = [w for name, words in categories.items() if low in name or any(w.lower() in low for w in words) for w in words]
+    return list(dict.fromkeys(found)) or [topic]
+
+
+def topic_reading_list(topic: str, categories: dict[str, Sequence[str]], postings: DataFrame, excerpts: DataFrame, scores: DataFrame, most: int = 20, difficulty: str | None = None, easy: float = 0.2, middle: float = 0.6) -> DataFrame:
+    """The first rows of a topic's reading list: url, matched (the word that led to it), score, reading_order, difficulty.
+
+    postings: keyword, url; excerpts: url, text; scores: url, score of every article. An article is found by the first of the
+    topic's words that lists it, else by the first that occurs in its excerpts. The list goes by falling score, then by url; its
+    places come from ranges, so a topic may hold any number of articles. With a difficulty, only its rows are listed.
+    """
+    terms = topic_terms(topic, categories)
+    order = F.create_map(*(F.lit(x) for k, w in enumerate(terms) for x in (w, k)))
+    listed = postings.filter(F.col("keyword").isin(terms)).select("url", F.col("keyword").alias("matched"), order[F.col("keyword")].alias("ord"))
+    low = F.lower("text")
+    hits = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w.lower())), F.struct(F.lit(k).alias("ord"), F.lit(w).alias("matched"))) for k, w in enumerate(terms))))
+    told = excerpts.select("url", F.get(hits, F.lit(0)).alias("hit")).filter("hit is not null").select("url", "hit.matched", "hit.ord")
+    found = hits_by_priority(listed, told).join(scores.select("url", "score"), "url").select("url", "matched", F.coalesce("score", F.lit(0.0)).alias("score"))
+    placed = numbered(found, [F.desc("score"), F.col("url")], "reading_order")
+    n = found.agg(F.count("*").alias("_n"))
+    at = F.col("reading_order") - 1
+    tier = F.when(at < easy * F.col("_n"), "beginner").when(at < middle * F.col("_n"), "intermediate").otherwise("advanced")
+    rows = placed.crossJoin(F.broadcast(n)).withColumn("difficulty", tier).drop("_n")
+    rows = rows.filter(F.col("difficulty") == difficulty) if difficulty else rows
+    return rows.orderBy("reading_order").limit(most)
+
+
 def diverse(rows: DataFrame, category: str, score: str = "score", key: str = "url", least: float = 10, free: int = 5, most: int = 20) -> DataFrame:
     """The best rows above a score: the first few whatever their category, then only the best of each further category.
 

@@ -50,6 +50,28 @@ def bucketed(value: Column, groups: dict[str, Sequence[str]], other: str = "Othe
     return out.otherwise(other)
 
 
+# Categories of titles and of coordinates' titles, the first that has one of its words in any case.
+TITLE_RULES = (
+    ("Defense", ("milorb", "psv", "defense", "weapon", "military")),
+    ("Cassini Diskus", ("cassini", "diskus")),
+    ("NodeSpaces", ("nodespace", "golay")),
+    ("XViS", ("dream", "consciousness", "xvis")),
+    ("Contact", ("giselian", "denebian", "probe")),
+)
+COORDINATE_RULES = (("Entry Event", ("entry event",)), ("PSV Operation", ("sienna", "akrij")))
+
+
+def title_category(title: Column, rules: Sequence[tuple[str, Sequence[str]]] = TITLE_RULES, other: str = "Other") -> Column:
+    """Name of the first rule of which a word occurs in the title, in any case; a null title has none."""
+    low, out = F.lower(F.coalesce(title, F.lit(""))), None
+    for name, words in rules:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(low, F.lit(w))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(other) if out is not None else F.lit(other)
+
+
 def primary_category(labels: Column, rules: Sequence[tuple[str, Sequence[str]]], other: str = "general") -> Column:
     """Name of the first rule of which the labels have any."""
     out = None

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrion.operators.numbering import numbered
 from quarrion.operators.search import top_per_group
 from quarrion.shipping import shipped
 from quarrion.storage import written
@@ -34,60 +35,154 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", min_df: int
     return weighed.select(key, "term", (F.col("w") / size).alias("w"))
 
 
-def nmf(weights: DataFrame, key: str = "doc_id", topics: int = 15, rounds: int = 30, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+class _Docs:
+    """Rows of documents (places of terms and their weights) as one sparse matrix."""
+
+    def __init__(self, places: list, weights: list):
+        self.rows = len(places)
+        self.of = np.repeat(np.arange(self.rows), [len(i) for i in places])
+        self.at = np.concatenate([np.empty(0, np.int64), *places]).astype(np.int64)
+        self.w = np.concatenate([np.empty(0), *weights])
+
+    def times(self, factor: np.ndarray) -> np.ndarray:
+        """The documents' rows times a factor of terms x columns."""
+        return np.stack([np.bincount(self.of, self.w * factor[self.at, k], self.rows) for k in range(factor.shape[1])], 1)
+
+    def transposed(self, rows: np.ndarray, terms: int) -> np.ndarray:
+        """The sums over documents of their weights times a row of each: terms x columns."""
+        return np.stack([np.bincount(self.at, self.w * rows[self.of, k], terms) for k in range(rows.shape[1])], 1)
+
+
+def _summed(rows: DataFrame, of, shape: tuple) -> np.ndarray:
+    """The sum over all documents of an array that `of` makes of a part of them; its cells are summed before they are sent."""
+    size = int(np.prod(shape))
+
+    def sums(parts):
+        total = np.zeros(size)
+        for df in parts:
+            total += of(_Docs(list(df.i), list(df.w))).ravel()
+        yield pd.DataFrame({"at": np.flatnonzero(total), "x": total[np.flatnonzero(total)]})
+
+    found = rows.mapInPandas(sums, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    flat = np.zeros(size)
+    flat[found["at"].to_numpy()] = found["x"].to_numpy()
+    return flat.reshape(shape)
+
+
+def term_vectors(rows: DataFrame, terms: int, count: int, seed: int = 42, more: int = 10, steps: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest singular values of the documents' matrix, and their vectors over terms, by a randomised range of the terms.
+
+    Each step multiplies the range by the matrix and its transpose: one pass over the documents, from which
+    terms x (count + more) sums come back.
+    """
+    spark = rows.sparkSession
+    wide = min(terms, count + more)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(terms, wide)))[0]
+    for step in range(steps):
+        sent = spark.sparkContext.broadcast(q)
+        z = _summed(rows, lambda docs, sent=sent: docs.transposed(docs.times(sent.value), terms), (terms, wide))
+        if step < steps - 1:
+            q = np.linalg.qr(z)[0]
+    values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+    order = np.argsort(-values)[:count]
+    return np.sqrt(np.maximum(values[order], 0)), q @ turn[:, order]
+
+
+def first_terms(rows: DataFrame, terms: int, topics: int, mean: float, seed: int = 42) -> np.ndarray:
+    """The terms' factor (topics x terms) of the double singular value start, zeros filled with the matrix's mean.
+
+    Of each pair of singular vectors the part of one sign stays, the one whose product of lengths is larger.
+    """
+    sizes, v = term_vectors(rows, terms, topics, seed)
+    sent = rows.sparkSession.sparkContext.broadcast(v)
+
+    def lengths(docs: _Docs) -> np.ndarray:
+        u = docs.times(sent.value)
+        return np.stack([(np.maximum(u, 0) ** 2).sum(0), (np.maximum(-u, 0) ** 2).sum(0)])
+
+    left = np.sqrt(_summed(rows, lengths, (2, v.shape[1]))) / np.maximum(sizes, 1e-12)
+    right = np.stack([np.sqrt((np.maximum(v, 0) ** 2).sum(0)), np.sqrt((np.maximum(-v, 0) ** 2).sum(0))])
+    h = np.zeros((topics, terms))
+    for k in range(v.shape[1]):
+        both = left[:, k] * right[:, k]
+        sign = int(both[1] > both[0])
+        own = np.maximum(v[:, k] if not sign else -v[:, k], 0)
+        h[k] = np.abs(v[:, 0]) * np.sqrt(sizes[0]) if k == 0 else own / max(right[sign, k], 1e-12) * np.sqrt(sizes[k] * both[sign])
+    h[h <= 1e-9] = mean
+    return h
+
+
+def _descended(x: np.ndarray, linear: np.ndarray, gram: np.ndarray, sweeps: int) -> np.ndarray:
+    """Non-negative rows that lower |row|^2 by gram less twice row times linear, one column after another."""
+    x = x.copy()
+    for _ in range(sweeps):
+        for k in range(len(gram)):
+            if gram[k, k] > 1e-12:
+                x[:, k] = np.maximum(0, x[:, k] + (linear[:, k] - x @ gram[:, k]) / gram[k, k])
+    return x
+
+
+def folded(docs: _Docs, h: np.ndarray, sweeps: int = 30) -> np.ndarray:
+    """The documents' topic weights for fixed terms (topics x terms)."""
+    linear, gram = docs.times(h.T), h @ h.T
+    return _descended(np.maximum(linear, 0) / np.maximum(np.diag(gram), 1e-12) / len(h), linear, gram, sweeps)
+
+
+def nmf(weights: DataFrame, key: str = "doc_id", topics: int = 15, rounds: int = 100, seed: int = 42, tol: float = 1e-4, most_terms: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Non-negative factors of (key, term, w): topic weights per document (key, topic, weight) and per term (topic, term, weight).
 
-    Alternating multiplicative updates. The term factor has terms x topics cells (the vocabulary is bounded) and is held
-    on the driver; the documents' factor follows from it document by document, so it is never stored between rounds.
-    Two sums go back per round: terms x topics and topics x topics.
+    The start comes from the greatest singular vectors. Each round is one pass: the documents' factor follows from the terms'
+    document by document and is never stored, and two sums go back, terms x topics and topics x topics, from which
+    coordinate descent renews the terms' factor. It stops when a round lowers the squared error by less than tol times the
+    first one, or after so many rounds. Only sums come back, so the partitioning changes nothing but their rounding.
+
+    The terms' factor and its sums have topics x terms cells and are held by the driver and by each task, so a vocabulary of more
+    than most_terms is refused: bound it by tfidf's max_features.
     """
     spark = shipped(weights).sparkSession
-    vocabulary = sorted(r[0] for r in weights.select("term").distinct().collect())
-    at = {t: i for i, t in enumerate(vocabulary)}
-    if not at:
+    place = written(numbered(weights.select("term").distinct(), ["term"], "i").withColumn("i", (F.col("i") - 1).cast("int")))
+    terms = place.count()
+    if terms > most_terms:
+        raise ValueError(f"{terms} terms; bound the vocabulary to {most_terms}, or raise most_terms if so many times topics fit into memory")
+    if not terms:
         return (weights.select(key, F.lit(0).alias("topic"), F.col("w").alias("weight")).limit(0), spark.createDataFrame([], "topic int, term string, weight double"))
-    place = spark.createDataFrame(list(at.items()), "term string, i int")
-    rows = weights.join(F.broadcast(place) if len(at) <= 100_000 else place, "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("w").alias("w"))
+    listed = F.array_sort(F.collect_list(F.struct("i", "w")))
+    rows = weights.join(place, "term").groupBy(key).agg(listed.alias("x")).select(key, F.transform("x", lambda x: x["i"]).alias("i"), F.transform("x", lambda x: x["w"]).alias("w"))
     rows = written(rows)
-    h = np.random.default_rng(seed).random((topics, len(at))) + 0.1
-
-    def fold(i: np.ndarray, w: np.ndarray, h: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        """A document's topic weights for fixed terms."""
-        b, x = h[:, i] @ w, np.full(len(h), 0.1)
-        for _ in range(20):
-            x *= b / np.maximum(gram @ x, 1e-12)
-        return x
-
-    kind = weights.schema[key].dataType.simpleString()
+    n, total, square = rows.agg(F.count("*"), F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x)), F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))).first()
+    h = first_terms(rows, terms, topics, total / (n * terms), seed)
+    first = last = None
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(h)
 
-        def sums(parts, sent=sent):
+        def sums(docs: _Docs, sent=sent) -> np.ndarray:
             h = sent.value
-            gram, top, square = h @ h.T, np.zeros_like(h), np.zeros((len(h), len(h)))
-            for df in parts:
-                for i, w in zip(df.i, df.w, strict=True):
-                    x = fold(np.asarray(i), np.asarray(w), h, gram)
-                    top[:, i] += np.outer(x, w)
-                    square += np.outer(x, x)
-            flat = np.concatenate([top.ravel(), square.ravel()])
-            yield pd.DataFrame({"at": np.flatnonzero(flat), "x": flat[np.flatnonzero(flat)]})
-
-        flat = np.zeros(topics * len(at) + topics * topics)
-        for r in rows.mapInPandas(sums, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-            flat[r["at"]] = r["x"]
-        top, square = flat[: topics * len(at)].reshape(topics, -1), flat[topics * len(at) :].reshape(topics, topics)
-        h = h * top / np.maximum(square @ h, 1e-12)
+            x = folded(docs, h)
+            fit = 2 * (x * docs.times(h.T)).sum() - ((x @ (h @ h.T)) * x).sum()
+            return np.concatenate([docs.transposed(x, terms).ravel(), (x.T @ x).ravel(), [fit]])
+
+        flat = _summed(rows, sums, (topics * terms + topics * topics + 1,))
+        error = square - flat[-1]
+        first = error if first is None else first
+        if last is not None and last - error < tol * max(first, 1e-12):
+            break
+        last = error
+        top, inner = flat[: topics * terms].reshape(terms, topics), flat[topics * terms : -1].reshape(topics, topics)
+        h = _descended(h.T, top, inner, 5).T
     sent = spark.sparkContext.broadcast(h)
+    kind = weights.schema[key].dataType.simpleString()
+
+    def weighed(parts):
+        for df in parts:
+            x = folded(_Docs(list(df.i), list(df.w)), sent.value)
+            yield pd.DataFrame({key: np.repeat(df[key].to_numpy(), topics), "topic": np.tile(np.arange(topics, dtype=np.int32), len(df)), "weight": x.ravel()})
 
-    def folded(parts):
-        gram = sent.value @ sent.value.T
+    def listed_terms(parts):
         for df in parts:
-            x = [fold(np.asarray(i), np.asarray(w), sent.value, gram) for i, w in zip(df.i, df.w, strict=True)]
-            yield pd.DataFrame({key: np.repeat(df[key].to_numpy(), topics), "topic": np.tile(np.arange(topics, dtype=np.int32), len(df)), "weight": np.concatenate(x) if x else np.empty(0)})
+            at, topic = np.nonzero(sent.value.T[df.i.to_numpy()] > 1e-9)
+            yield pd.DataFrame({"topic": topic.astype(np.int32), "term": df.term.to_numpy()[at], "weight": sent.value.T[df.i.to_numpy()][at, topic]})
 
-    terms = spark.createDataFrame([(k, t, float(h[k, i])) for k in range(topics) for t, i in at.items() if h[k, i] > 1e-9], "topic int, term string, weight double")
-    return rows.select(key, "i", "w").mapInPandas(folded, f"{key} {kind}, topic int, weight double"), terms
+    return rows.select(key, "i", "w").mapInPandas(weighed, f"{key} {kind}, topic int, weight double"), place.mapInPandas(listed_terms, "topic int, term string, weight double")
 
 
 def top_terms(terms: DataFrame, n: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarrion.operators import cooccurrence as O
 from quarrion.operators import graph as G
 from quarrion.operators import search as S
+from quarrion.operators.overlap import overlapping
 from quarrion.plans import entities as E
 from quarrion.plans.registry import Registry
 
@@ -71,6 +72,28 @@ def bridge_labels(spark, sf_dir):
     return G.bridge_scores(_strong(spark, sf_dir))
 
 
+@query(
+    f"""with {EDGES}, deg as (select a as node, count(*) as degree from sym group by 1 having count(*) >= 2),
+    w as (select x.a as node, x.b as x, y.b as y from sym x join sym y on x.a = y.a and x.b < y.b),
+    p as (select w.node, count(*) as pairs, count(e.a) as linked from w left join edges e on e.a = w.x and e.b = w.y group by 1)
+    select node, degree, pairs, (pairs - linked) / pairs as bridge_score, (pairs - linked) / pairs * degree as weighted_score from p join deg using (node)""",
+    rounded="bridge_score weighted_score",
+)
+def bridge_labels_exact(spark, sf_dir):
+    """Over all neighbours of all labels, however many."""
+    return G.bridge_scores(_edges(spark, sf_dir), max_neighbors=None)
+
+
+@query("""with near as (select distinct l_suppkey as s, l_partkey as p from lineitem),
+    e as (select distinct least(x.s, y.s) as a, greatest(x.s, y.s) as b from near x join near y on x.p = y.p and x.s <> y.s),
+    t as (select x.a, x.b, y.b as c from e x join e y on x.b = y.a join e z on z.a = x.a and z.b = y.b)
+    select node, count(*) as triangles from (select a as node from t union all select b from t union all select c from t) group by 1""")
+def supplier_triangles(spark, sf_dir):
+    """Triangles of suppliers that deliver a part in common."""
+    near = E.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    return G.triangles(O.pairs(near, "p", "s").select("a", "b").distinct())
+
+
 @query(
     f"""with {EDGES}{_CUT}, near as (select a as node, b as n from (select *, row_number() over (partition by a order by weight desc, b) as r from s2) where r <= 10),
     p as (select x.node, x.n as a, y.n as b from near x join near y on x.node = y.node and x.n < y.n where not exists (select 1 from e2 where e2.a = x.n and e2.b = y.n))
@@ -149,13 +172,24 @@ def article_network(spark, sf_dir):
 
 def _article_pairs(posted, max_df: int, least: int):
     rare = posted.groupBy("keyword").count().filter(F.col("count") <= max_df).select("keyword")
-    return O.pair_counts(posted.join(rare, "keyword"), "keyword", "url", min_count=least)
+    return overlapping(posted.join(rare, "keyword"), "url", "keyword", least)
 
 
 @query(f"with {POSTED} select x.url as a, y.url as b, count(*) as weight from posted x join posted y on x.keyword = y.keyword and x.url < y.url group by all having count(*) >= 2")
 def keyword_network(spark, sf_dir):
     """Each two urls that share at least two keywords."""
-    return O.pair_counts(_posted(spark, sf_dir), "keyword", "url", min_count=2)
+    return overlapping(_posted(spark, sf_dir), "url", "keyword", 2)
+
+
+# Customers and the weeks in which they ordered: few keys, each in many sets.
+_WEEKS = """w as (select distinct o_custkey as c, date_trunc('week', o_orderdate) as k from orders)"""
+
+
+@query(f"with {_WEEKS} select x.c as a, y.c as b, count(*) as weight from w x join w y on x.k = y.k and x.c < y.c group by all having count(*) >= 3")
+def customers_of_same_weeks(spark, sf_dir):
+    """Each two customers that ordered in at least three weeks alike: an overlap join of common keys."""
+    weeks = E.table(spark, sf_dir, "orders").select("o_custkey", F.date_trunc("week", "o_orderdate").alias("k"))
+    return overlapping(weeks, "o_custkey", "k", 3)
 
 
 @query(
@@ -190,6 +224,16 @@ def reference_edges(spark, sf_dir):
     return G.reference_edges(E.articles(spark, sf_dir).select(F.col("article_id").alias("src"), text.alias("text")), "src")
 
 
-@query()
+def _path_level(seen: str, frontier: str, before: str) -> str:
+    """The first three new urls of each key of the frontier, as many as the path still has room for."""
+    return f"""(select url from (select distinct url from (
+        select p.url, row_number() over (partition by p.keyword order by p.url) as r from posted p
+        where p.keyword in (select keyword from posted where url in ({frontier})) and p.url not in ({seen})) where r <= 3) order by url limit 20 - {before})"""
+
+
+@query(
+    f"""with {POSTED}, one as {_path_level("7", "7", "1")}, two as {_path_level("select 7 union all select url from one", "select url from one", "1 - (select count(*) from one)")}
+    select 7 as url, 0 as depth union all select url, 1 from one union all select url, 2 from two"""
+)
 def reading_path(spark, sf_dir):
     return G.reading_path(_posted(spark, sf_dir), 7)

@@ -12,6 +12,7 @@ from quarrion.plans.registry import Registry
 from quarrion.sources import files, sinks
 from quarrion.storage import shared_folder
 from quarrion.streaming import incremental as I
+from quarrion.streaming import queue as Q
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -81,16 +82,60 @@ def windowed_event_counts(spark, sf_dir):
     return I.windowed_counts(_events(spark, sf_dir)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
+def _event_files(spark, sf_dir) -> tuple:
+    """Schema, folder and file pattern of the events, for a stream."""
+    rows = E.table(spark, sf_dir, "events")
+    return (rows.schema, sf_dir, "events.parquet") if rows.inputFiles()[0].endswith("/events.parquet") else (rows.schema, f"{sf_dir}/events.parquet", "*.parquet")
+
+
+@query("select distinct user_id, event_type, value > 50 as big from events where value is not null and event_type <> 'error'")
+def ingested_keys(spark, sf_dir):
+    """Rows new by their keys, taken by a stream that keeps the keys as its state."""
+    schema, folder, pattern = _event_files(spark, sf_dir)
+    target = shared_folder(spark)
+    I.ingest(spark, folder, schema, target, shared_folder(spark), ["user_id", "event_type", "value"], "value is not null and event_type <> 'error'", pattern=pattern)
+    return spark.read.schema(schema).parquet(target).select("user_id", "event_type", (F.col("value") > 50).alias("big")).distinct()
+
+
+_QUEUE = """e as (select 'http://site/' || user_id || '/' || strftime(ts, '%Y%m%d') as url, epoch_ms(ts) as ms, case event_type when 'purchase' then 'done' when 'error' then 'failed' else 'found' end as kind from events),
+    p as (select url, bool_or(kind = 'done') as done, count(*) filter (where kind = 'failed')::int as failures, max(ms) filter (where kind = 'failed') as last from e group by 1),
+    w as (select max(ms) - 600000 as now from e)"""
+
+
+def _url_events(rows):
+    kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("found")
+    at = F.col("ts").cast("timestamp")
+    return rows.select(F.concat(F.lit("http://site/"), F.col("user_id"), F.lit("/"), F.date_format(at, "yyyyMMdd")).alias("url"), kind.alias("kind"), at.alias("at"))
+
+
+_STATUS = f"""with {_QUEUE} select url, case when done then 'done' when failures >= 3 then 'dead' when failures > 0 and last + 86400000 * (1 << greatest(failures - 1, 0)) > now then 'waiting' else 'pending' end as status, failures from p, w"""
+
+
+@query(_STATUS)
+def queue_of_urls(spark, sf_dir):
+    """What became of each url, from a table of events."""
+    rows = _url_events(E.table(spark, sf_dir, "events"))
+    end = rows.agg((F.unix_millis(F.max("at")) - 600_000).alias("_now"))
+    return Q.queue_status(rows.crossJoin(F.broadcast(end)), F.col("_now"), wait_ms=86_400_000, also=["_now"]).select("url", "status", "failures")
+
+
+@query(_STATUS)
+def streamed_queue_of_urls(spark, sf_dir):
+    """The same from a stream of the events, with the urls' states and timers for the ends of their waits."""
+    schema, folder, pattern = _event_files(spark, sf_dir)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
+    return Q.run_queue(_url_events(stream), shared_folder(spark), shared_folder(spark), wait_ms=86_400_000, late="10 minutes")
+
+
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all", dates="start")
 def streamed_event_counts(spark, sf_dir):
     """The same counts by a stream with a watermark; the last count of each window is the largest."""
-    rows = E.table(spark, sf_dir, "events")
-    folder, pattern = (sf_dir, "events.parquet") if rows.inputFiles()[0].endswith("/events.parquet") else (f"{sf_dir}/events.parquet", "*.parquet")
+    schema, folder, pattern = _event_files(spark, sf_dir)
 
     def counts(stream):
         return I.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")))
 
-    out = I.streamed(spark, folder, pattern, rows.schema, counts, shared_folder(spark), shared_folder(spark))
+    out = I.streamed(spark, folder, pattern, schema, counts, shared_folder(spark), shared_folder(spark))
     return out.groupBy(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type").agg(F.max("n").alias("n"))
 
 
@@ -182,15 +227,24 @@ def signal_periods(spark, sf_dir):
     return Z.envelope_periods(_clips(spark), 1500).select("clip", F.round(F.element_at("autocorrelation", 1201), 3).alias("at_period"))
 
 
-@query()
+@query(f"with {E.POINTS} select 'Feature' as type, 'Point' as shape, lon::double as lon, lat::double as lat, id, title from points")
 def geojson_export(spark, sf_dir):
-    return sinks.geojson_features(E.points(spark, sf_dir), ("id", "title"))
+    """Features as they are exported, read back."""
+    kind = "type string, geometry struct<type:string,coordinates:array<double>>, properties struct<id:long,title:string>"
+    rows = sinks.geojson_features(E.points(spark, sf_dir), ("id", "title")).select(F.from_json("feature", kind).alias("f"))
+    at = F.col("f.geometry.coordinates")
+    return rows.select("f.type", F.col("f.geometry.type").alias("shape"), F.element_at(at, 1).alias("lon"), F.element_at(at, 2).alias("lat"), "f.properties.id", "f.properties.title")
 
 
-@query()
+@query(f"""with {E.ARTICLES}, {E.BIBLIOGRAPHY}, n as (select article_id, count(*) as entries, string_agg(position || ' ' || author || ': ' || title, '; ' order by position, author, title) as listed from bib group by 1)
+    select article_id, url, coalesce(entries, 0) as entries, coalesce(listed, '') as listed from articles left join n using (article_id)""")
 def nested_export(spark, sf_dir):
+    """Documents of articles with their entries, as they are exported, read back."""
     entries = E.bibliography(spark, sf_dir).select("article_id", "position", "author", "title")
-    return sinks.nested_articles(E.articles(spark, sf_dir).select("article_id", "url"), bibliography=entries)
+    rows = sinks.nested_articles(E.articles(spark, sf_dir).select("article_id", "url"), bibliography=entries)
+    kind = "article_id long, url string, bibliography array<struct<position:int,author:string,title:string>>"
+    listed = F.transform("d.bibliography", lambda e: F.concat(e["position"].cast("string"), F.lit(" "), e["author"], F.lit(": "), e["title"]))
+    return rows.select(F.from_json("document", kind).alias("d")).select("d.article_id", "d.url", F.size("d.bibliography").cast("long").alias("entries"), F.array_join(listed, "; ").alias("listed"))
 
 
 @query("with x as (select l_orderkey, l_linenumber, o_orderpriority from lineitem join orders on l_orderkey = o_orderkey) select l_orderkey as article_id, l_linenumber::bigint as position, 'http://site/' || strftime(o.o_orderdate, '%Y/%m') || '/' || l_orderkey || '.html' as article_url from lineitem l join orders o on l_orderkey = o_orderkey")
@@ -199,7 +253,13 @@ def denormalised_export(spark, sf_dir):
     return sinks.with_article(rows, E.articles(spark, sf_dir)).select("article_id", "position", "article_url")
 
 
-@query()
+@query(
+    f"""with {spatial._CODES} select (case when v1 < 0 then '-' else '+' end) || lpad(abs(v1)::varchar, 3, '0') || (case when v2 < 0 then '-' else '+' end) || lpad(abs(v2)::varchar, 3, '0') as code,
+    case when method <> 'celestial' then lat end as lat, case when method <> 'celestial' then lon end as lon, method, case when method <> 'celestial' then {spatial._region('lat', 'lon')} end as region, 'part' as title, p_partkey::varchar as url
+    from dec where method is not null""",
+    rounded="lat lon",
+    places=3,
+)
 def code_export(spark, sf_dir):
     rows = spatial._decoded(spark, sf_dir).filter("method is not null").withColumn("region", region(F.col("lat"), F.col("lon"))).withColumn("title", F.lit("part")).withColumn("url", F.col("p_partkey").cast("string"))
     return sinks.code_exports(rows)["combined"]

@@ -10,6 +10,7 @@ from quarrion.operators import labelling as L
 from quarrion.operators import ranking as R
 from quarrion.operators import search as S
 from quarrion.operators import topics as T
+from quarrion.operators import vectors as V
 from quarrion.operators.cooccurrence import pair_counts
 from quarrion.plans import entities as E
 from quarrion.plans.registry import Registry
@@ -331,6 +332,24 @@ def reading_list(spark, sf_dir):
     return R.reading_order(S.top(_scores(spark, sf_dir), [F.desc("score"), F.col("url")], 100))
 
 
+CATEGORIES = {"economy": ("ECONOMY", "SMALL"), "languages": ("thing", "ation")}
+
+
+@query(
+    f"""with {_LABELS}, {_SCORES}, listed as (select article_id as url, label as matched, case label when 'ECONOMY' then 0 else 1 end as ord from labels where label in ('ECONOMY', 'SMALL')),
+    told as (select doc_id as url, case when contains(lower(text), 'economy') then 'ECONOMY' else 'SMALL' end as matched, case when contains(lower(text), 'economy') then 0 else 1 end as ord from documents where contains(lower(text), 'economy') or contains(lower(text), 'small')),
+    hits as (select url, matched, 0 as kind, ord from listed union all select url, matched, 1, ord from told),
+    best as (select url, arg_min(matched, kind * 10 + ord) as matched from hits group by 1),
+    r as (select url, matched, score, row_number() over (order by score desc, url) as reading_order, count(*) over () as n from best join scores using (url))
+    select url, matched, score, reading_order, 'intermediate' as difficulty from r where reading_order - 1 >= 0.2 * n and reading_order - 1 < 0.6 * n order by reading_order limit 50"""
+)
+def topic_reading_list(spark, sf_dir):
+    """The middle part of the list of a topic that is part of a category's name."""
+    postings = E.labels(spark, sf_dir).select(F.col("label").alias("keyword"), F.col("article_id").alias("url"))
+    excerpts = E.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), "text")
+    return R.topic_reading_list("Econ", CATEGORIES, postings, excerpts, _scores(spark, sf_dir), 50, "intermediate")
+
+
 @query(
     f"""with {_LABELS}, {_SCORES}, g as (select *, row_number() over (order by score desc, url) as r, row_number() over (partition by category order by score desc, url) as c from scores where score > 10)
     select url, score, category from g where r <= 5 or c = 1 order by score desc, url limit 20"""
@@ -343,8 +362,21 @@ def starter_list(spark, sf_dir):
 @query("with s as (select e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as similarity from embeddings e, embeddings q where q.vec_id = 0) select * from s order by similarity desc, vec_id limit 10", rounded="similarity")
 def vector_search(spark, sf_dir):
     rows = E.table(spark, sf_dir, "embeddings")
-    first = rows.filter("vec_id = 0").first()
-    return R.vector_search(rows, first["embedding"] if first else [])
+    return V.nearest(rows, V.neighbors_of(rows, [0])).withColumnRenamed("found", "vec_id").select("vec_id", "similarity")
+
+
+_ALL_NEIGHBORS = """select q, rank, found, similarity from (
+    select q.vec_id as q, e.vec_id as found, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as similarity,
+           row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as rank
+    from embeddings e, embeddings q where q.vec_id % 50 = 0 and e.vec_id <> q.vec_id) where rank <= 10"""
+
+
+@query(_ALL_NEIGHBORS, rounded="similarity")
+def indexed_neighbors(spark, sf_dir):
+    """The ten nearest of every fiftieth vector through the index, made exact by the cells' bounds."""
+    rows = E.table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("query"))
+    return V.build_index(rows).search(asked, exact=True)
 
 
 @query(

@@ -9,6 +9,7 @@ from quarrion.functions import decode as D
 from quarrion.functions import gazetteer
 from quarrion.functions.geo import REGIONS, haversine, region
 from quarrion.operators import geo as G
+from quarrion.operators.significance import two_samples
 from quarrion.plans import entities as E
 from quarrion.plans.registry import Registry
 
@@ -26,6 +27,10 @@ def _sites(name: str, rows) -> str:
 
 
 FACILITY, ANOMALY = _sites("fac", gazetteer.FACILITIES), _sites("ano", gazetteer.ANOMALIES)
+NAVAL = (
+    "fac(name, lat, lon, type, ord) as (values " + ", ".join(f"('{n}', {a}::double, {b}::double, '{k}', {i})" for i, (n, a, b, k) in enumerate(gazetteer.TYPED_FACILITIES)) + "), "
+    "ano(name, lat, lon, radius, ord) as (values " + ", ".join(f"('{n}', {a}::double, {b}::double, {r}, {i})" for i, (n, a, b, r) in enumerate(gazetteer.ANOMALY_ZONES)) + ")"
+)
 
 
 def _region(lat: str, lon: str) -> str:
@@ -217,16 +222,43 @@ def _even(salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
 
 
-@query()
+_EVEN_SQL = "(('0x' || substr(md5('{}' || id::varchar), 1, 8))::bigint)::double / 4294967296"
+
+
+@query(
+    f"""with {E.POINTS}, {FACILITY},
+    even as (select id, degrees(asin(2 * {_EVEN_SQL.format("lat")} - 1)) as lat, 360 * {_EVEN_SQL.format("lon")} - 180 as lon from points),
+    rows as (
+        select 1 as own, p.id, min({_km("p.lat", "p.lon", "f.lat", "f.lon")}) as x from points p, fac f group by all
+        union all select 0, p.id, min({_km("p.lat", "p.lon", "f.lat", "f.lon")}) from even p, fac f group by all),
+    m as (
+        select avg(x) filter (where own = 1) as mean_a, avg(x) filter (where own = 0) as mean_b, var_samp(x) filter (where own = 1) / sum(own) as v_a,
+               var_samp(x) filter (where own = 0) / sum(1 - own) as v_b, sum(own)::double as n_a, sum(1 - own)::double as n_b from rows),
+    c as (select max(abs(a / n_a - b / n_b)) as ks from (select x, sum(own) over (order by x) as a, sum(1 - own) over (order by x) as b from rows), m),
+    l as (select *, sqrt(n_a * n_b / (n_a + n_b)) * ks as size from m, c)
+    select mean_a, mean_b, mean_a / mean_b as ratio, (mean_a - mean_b) / sqrt(v_a + v_b) as t, (v_a + v_b) ** 2 / (v_a ** 2 / (n_a - 1) + v_b ** 2 / (n_b - 1)) as df, ks,
+           least(1.0, greatest(0.0, (select sum(2 * (case when j % 2 = 1 then 1 else -1 end) * exp(-2 * j * j * size * size)) from range(1, 101) r(j)))) as ks_p from l""",
+    rounded="mean_a mean_b ratio t df ks ks_p",
+)
 def baseline_significance(spark, sf_dir):
-    """Mean distance to the nearest site of the points against points spread evenly over the sphere, and the largest gap of both distributions."""
-    n = E.points(spark, sf_dir).count()
-    even = spark.range(n).select(F.degrees(F.asin(2 * _even("lat") - 1)).alias("lat"), (360 * _even("lon") - 180).alias("lon"))
-    both = [G.nearest_site(x.select("lat", "lon"), gazetteer.sites(spark), "site").select("site_km", F.lit(k).alias("own")) for k, x in ((1, E.points(spark, sf_dir)), (0, even))]
-    rows = both[0].unionByName(both[1])
-    # The distribution functions are compared at whole kilometres, so the window runs over a bounded number of rows.
-    steps = rows.groupBy(F.floor("site_km").alias("km")).agg(F.sum("own").alias("a"), F.sum(1 - F.col("own")).alias("b"))
-    w = F.expr("sum(a) over (order by km) / sum(a) over () - sum(b) over (order by km) / sum(b) over ()")
-    gap = steps.select(F.abs(w).alias("gap")).agg(F.max("gap").alias("ks"))
-    means = rows.agg(F.avg(F.when(F.col("own") == 1, F.col("site_km"))).alias("mean_km"), F.avg(F.when(F.col("own") == 0, F.col("site_km"))).alias("baseline_km"))
-    return means.crossJoin(gap).select("mean_km", "baseline_km", (F.col("mean_km") / F.col("baseline_km")).alias("ratio"), "ks")
+    """Distances to the nearest site of the points against as many points spread evenly over the sphere: means, Welch's t, and Kolmogorov-Smirnov."""
+    own = E.points(spark, sf_dir).select("id", "lat", "lon")
+    even = own.select("id", F.degrees(F.asin(2 * _even("lat") - 1)).alias("lat"), (360 * _even("lon") - 180).alias("lon"))
+    both = [G.nearest_site(x, gazetteer.sites(spark), "site").select(F.col("site_km").alias("x"), F.lit(k).alias("own")) for k, x in ((1, own), (0, even))]
+    return two_samples(both[0].unionByName(both[1]), "x", "own")
+
+
+@query(
+    f"""with {E.POINTS}, {NAVAL}, near as (select p.id, p.lat, p.lon, arg_min(f.name, {_km("p.lat", "p.lon", "f.lat", "f.lon")} * 1000 + f.ord * 0.0000001) as nearest_facility, min({_km("p.lat", "p.lon", "f.lat", "f.lon")}) as facility_km from points p, fac f group by all),
+    z as (select p.id, string_agg(a.name, ',' order by a.ord) as zones from points p, ano a where {_km("p.lat", "p.lon", "a.lat", "a.lon")} <= a.radius group by 1)
+    select near.id, nearest_facility, fac.type as facility_type, facility_km, zones from near join fac on fac.name = nearest_facility left join z using (id)""",
+    rounded="facility_km",
+    places=1,
+)
+def sites_of_the_other_gazetteer(spark, sf_dir):
+    """Nearest of the typed facilities, and the anomalies in whose radius a point lies."""
+    points = E.points(spark, sf_dir).select("id", "lat", "lon")
+    near = G.nearest_site(points, gazetteer.typed_facilities(spark), "facility")
+    kinds = gazetteer.typed_facilities(spark).select(F.col("name").alias("nearest_facility"), F.col("type").alias("facility_type"))
+    zones = G.zones_of(points, gazetteer.anomaly_zones(spark), "id").withColumn("zones", F.array_join("zones", ","))
+    return near.join(F.broadcast(kinds), "nearest_facility").join(zones, "id", "left").select("id", "nearest_facility", "facility_type", "facility_km", "zones")

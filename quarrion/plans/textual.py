@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrion.functions import extract as X
 from quarrion.functions import text as C
+from quarrion.operators import pagetree as P
 from quarrion.operators import search as S
 from quarrion.plans import entities as E
 from quarrion.plans.registry import Registry
@@ -174,14 +176,73 @@ def json_properties(spark, sf_dir):
 
 @query(
     """select page_id, left(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), 200) as title,
-    len(regexp_extract_all(html, '(?is)<a[^>]*rel=["''][t]ag["''][^>]*>(.*?)</a>')) as labels, len(list_distinct(regexp_extract_all(html, '(?i)<a[^>]*href=["'']([^"'']+)["'']', 1))) as links from pages""",
+    len(regexp_extract_all(html, '(?is)<a[^>]*rel=["'']tag["''][^>]*>(.*?)</a>')) as labels, len(list_distinct(regexp_extract_all(html, '(?i)<a[^>]*href=["'']([^"'']+)["'']', 1))) as links
+    from (select page_id, replace(html, '<li><a href=', '<li><a rel="tag" href=') as html from pages)""",
     places=0,
 )
 def page_metadata(spark, sf_dir):
-    html = F.col("html")
+    """Pages whose menu entries are given as labels."""
+    html = F.replace("html", F.lit("<li><a href="), F.lit('<li><a rel="tag" href='))
     return E.table(spark, sf_dir, "pages").select("page_id", X.page_title(html).alias("title"), F.size(X.page_labels(html)).alias("labels"), F.size(X.page_links(html)).alias("links"))
 
 
+RULES = (("Metal", ("brass", "steel", "tin")), ("Color", ("red", "green", "blue")), ("Ring", ("ring",)))
+
+
+@query("select p_partkey, case when regexp_matches(lower(p_name), 'brass|steel|tin') then 'Metal' when regexp_matches(lower(p_name), 'red|green|blue') then 'Color' when contains(lower(p_name), 'ring') then 'Ring' else 'Other' end as category from part")
+def title_categories(spark, sf_dir):
+    return E.table(spark, sf_dir, "part").select("p_partkey", S.title_category(F.col("p_name"), RULES).alias("category"))
+
+
+@query("""with n as (select user_id, event_type, count(*) as n from events group by all), r as (select *, row_number() over (partition by user_id order by n desc, event_type) as r from n)
+    select user_id, string_agg(event_type || '=' || n, ',' order by r) filter (where r <= 3) as top, coalesce(max(n) filter (where event_type = 'error'), 0)::bigint as errors, coalesce(max(n) filter (where event_type = 'none'), -1)::bigint as none, count(*) as kinds from r group by 1""")
+def event_maps(spark, sf_dir):
+    """Counts of a user's events as a map: its largest entries, and entries that are there or not."""
+    per = E.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    maps = per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    top = F.array_join(F.transform(C.by_value(F.col("m"), 3), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return maps.select("user_id", top.alias("top"), C.value_of(F.col("m"), "error").cast("long").alias("errors"), C.value_of(F.col("m"), "none", -1).cast("long").alias("none"), F.cardinality("m").cast("long").alias("kinds"))
+
+
+# Pages with the marks of a blog's posts, made from the pages' own: the article is the post's body, menu entries are its labels,
+# and its heading is the caption of an image, once as a figure's and once as the element after it.
+_POSTS = """posts as (select page_id, replace(html, '&', '+') as h from pages),
+    split as (select page_id, h, regexp_extract(h, '(?s)<article>(.*)</article>', 1) as body, regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1) as head from posts)"""
+
+
+def _posts(spark, sf_dir):
+    html = F.regexp_replace("html", "&", "+")
+    html = F.regexp_replace(F.regexp_replace(html, "<article>", "<div class='x post-body'>"), "</article>", "</div>")
+    html = F.regexp_replace(html, "<li><a href=", "<li><a rel='nofollow tag' href=")
+    image = "<img src='/i.png' alt='A'>"
+    html = F.regexp_replace(html, "<h1>(.*?)</h1>", f"<figure>{image}<figcaption>$1</figcaption></figure><section>{image}<!-- c --><p>$1</p></section><section>{image}text<hr><p>$1</p></section>")
+    return P.page_nodes(E.table(spark, sf_dir, "pages").select("page_id", html.alias("html")))
+
+
+@query(f"""with {_POSTS}, a as (select page_id, regexp_extract_all(regexp_extract(h, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a [^>]*>(.*?)</a>', 1) as l from posts)
+    select page_id, (unnest(range(1, len(l) + 1)) - 1)::int as place, unnest(l) as label from a""")
+def page_label_rows(spark, sf_dir):
+    """Labels of posts by where they stand in the page."""
+    return P.labels(_posts(spark, sf_dir))
+
+
+@query(f"""with {_POSTS}, b as (select page_id, regexp_replace(body, '(?s)<h1>(.*?)</h1>', '<i>\\1</i><i>\\1</i><i>text</i><i>\\1</i>') as b from split)
+    select page_id, regexp_replace(regexp_replace(b, '(?s)<!--.*?-->', '<i>', 'g'), '(<[^>]*>)+', chr(10), 'g') as text from b""")
+def post_bodies(spark, sf_dir):
+    """All texts of a post's body, one below the other."""
+    found = P.post_bodies(_posts(spark, sf_dir))
+    return found.select("page_id", F.concat(F.lit("\n"), "text", F.lit("\n")).alias("text"))
+
+
+@query(f"""with {_POSTS}, c as (select page_id, trim(regexp_replace(head, '<[^>]*>', '', 'g')) as c from split)
+    select page_id, k, case k when 0 then left(c, 500) when 1 then case when length(c) < 200 then c end end as caption from c, range(3) r(k) where (select count(*) from split s where s.page_id = c.page_id and h like '%<h1>%') > 0""")
+def image_captions(spark, sf_dir):
+    """Captions of three images a page: in a figure, by the next element, and none."""
+    found = P.image_captions(_posts(spark, sf_dir))
+    k = F.row_number().over(Window.partitionBy("page_id").orderBy("node")) - 1
+    return found.select("page_id", k.cast("long").alias("k"), "caption")
+
+
 @query("select distinct page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*href=[\"'']([^\"'']+)[\"'']', 1)) as link from pages")
 def page_links(spark, sf_dir):
     return E.table(spark, sf_dir, "pages").select("page_id", F.explode(X.page_links(F.col("html"))).alias("link"))
@@ -206,15 +267,18 @@ _TOLD = ("with", "from")
 
 
 @query(
-    f"""with s as (select conv_id, turn, unnest(regexp_extract_all(text, '"([^"]{{25,}})"', 1)) as raw, 6 as least, 0.8 as share from conversations
-      union all select conv_id, turn, unnest(regexp_extract_all(text, '\\*([^*]{{30,}})\\*', 1)), 8, 0.8 from conversations
-      union all select conv_id, turn, unnest(regexp_extract_all(text, '([A-Z][^.!?]*(?:{'|'.join(_TOLD)})[^.!?]*[.!?])', 1)), 10, 0.9 from conversations),
+    f"""with told as (select conv_id, turn, '"' || substr(text, 1, 120) || '" and *' || substr(text, 121, 100) || '* ' || text as text from conversations),
+    s as (select conv_id, turn, unnest(regexp_extract_all(text, '"([^"]{{25,}})"', 1)) as raw, 6 as least, 0.8 as share from told
+      union all select conv_id, turn, unnest(regexp_extract_all(text, '\\*([^*]{{30,}})\\*', 1)), 8, 0.8 from told
+      union all select conv_id, turn, unnest(regexp_extract_all(text, '([A-Z][^.!?]*(?:{'|'.join(_TOLD)})[^.!?]*[.!?])', 1)), 10, 0.9 from told),
     c as (select conv_id, turn, replace(replace(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), '  ', ' ') as text, least, share from s),
     w as (select *, {WORDS} as words from c)
     select distinct conv_id, turn, substr(md5(text), 1, 16) as hash, words from w where length(text) >= 30 and words >= least and length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / length(text) >= share"""
 )
 def spoken_excerpts(spark, sf_dir):
-    rows = E.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(X.spoken_excerpts(F.col("text"), _TOLD)).alias("e"))
+    """Turns whose first part stands in quotes and whose next is starred."""
+    told = F.concat(F.lit('"'), F.substring("text", 1, 120), F.lit('" and *'), F.substring("text", 121, 100), F.lit("* "), "text")
+    rows = E.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(X.spoken_excerpts(told, _TOLD)).alias("e"))
     return rows.select("conv_id", "turn", C.text_hash(F.col("e.text")).alias("hash"), F.col("e.words").alias("words")).distinct()
 
 

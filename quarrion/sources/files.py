@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrion import schemas
 from quarrion.functions.signal import wav_samples
 from quarrion.functions.text import month_from_url, references, tag_terms, word_count
+from quarrion.operators.numbering import running_sums
 from quarrion.shipping import shipped
+from quarrion.storage import written
 
 
 def _or_empty(read: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
@@ -47,8 +49,42 @@ def excerpts(spark: SparkSession, path: str, terms: Sequence[str] = ()) -> DataF
     )
 
 
+def json_elements(spark: SparkSession, path: str) -> DataFrame:
+    """(file, element, value): the members of the one array or object that each file holds, numbered from 0 within the file.
+
+    Files are split at commas, wherever these stand, so one large document is read in as many tasks as it has blocks. Whether a
+    piece starts inside a string, how deep its end is, and how many members end before it, follow from running sums of its
+    quotes and brackets over ranges of pieces. A member of an object is `"name": value`; a member's own text is in one row.
+    """
+    raw = spark.read.option("lineSep", ",").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    order = ["file", "block", "at"]
+    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
+
+    def deeper(odd: int) -> Column:
+        """Brackets opened less those closed in every second part: those outside of strings if odd is 1 for a piece that starts in one."""
+        own = F.array_join(F.filter(parts, lambda x, i: i % 2 == odd), " ")
+        return F.length(F.regexp_replace(own, r"[^\[{]", "")) - F.length(F.regexp_replace(own, r"[^\]}]", ""))
+
+    pieces = raw.select(*order, "value", (F.size(parts) - 1).alias("quotes"), deeper(0).alias("out"), deeper(1).alias("in"))
+    quoted = running_sums(pieces, order, {"quotes_to": "quotes"})
+    inside = (F.col("quotes_to") - F.col("quotes")) % 2
+    deep = running_sums(quoted.select(*order, "value", (F.col("quotes_to") % 2).alias("open"), F.when(inside == 1, F.col("in")).otherwise(F.col("out")).alias("deeper")), order, {"depth": "deeper"})
+    ends = deep.select(*order, "value", "depth", ((F.col("open") == 0) & (F.col("depth") == 1)).cast("int").alias("ends"))
+    own = running_sums(ends, order, {"ends_to": "ends"}).withColumn("element", F.col("ends_to") - F.col("ends"))
+    first = own.groupBy("file").agg(F.min("element").alias("_first")).withColumnRenamed("file", "_file")
+    texts = own.groupBy("file", "element").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("pieces"), F.min("depth").alias("depth"))
+    text = F.array_join(F.transform("pieces", lambda x: x["value"]), ",")
+    rows = texts.select("file", "element", F.when(F.col("depth") == 0, F.regexp_replace(text, r"[\]}]\s*$", "")).otherwise(text).alias("value"))
+    rows = rows.join(first, F.col("file") == F.col("_file")).withColumn("element", F.col("element") - F.col("_first"))
+    rows = rows.select("file", "element", F.when(F.col("element") == 0, F.regexp_replace("value", r"^\x{FEFF}?\s*[\[{]", "")).otherwise(F.col("value")).alias("value"))
+    return rows.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
+
+
 def articles(spark: SparkSession, path: str) -> DataFrame:
-    rows = _or_empty(lambda: spark.read.json(path, schema=schemas.ARTICLES, multiLine=True), spark, schemas.ARTICLES)
+    def read() -> DataFrame:
+        return json_elements(spark, path).select(F.from_json("value", schemas.ARTICLES).alias("a")).select("a.*")
+
+    rows = _or_empty(read, spark, schemas.ARTICLES)
     return rows.withColumn("month", F.try_to_timestamp(F.concat("date", F.lit("-01")), F.lit("yyyy-MM-dd")).cast("date"))
 
 
@@ -58,8 +94,9 @@ def statistics(spark: SparkSession, path: str) -> DataFrame:
 
 def keyword_index(spark: SparkSession, path: str) -> DataFrame:
     """Postings keyword, url, text of an index whose entries are objects or plain urls."""
-    raw = _or_empty(lambda: spark.read.text(path, wholetext=True), spark, "value string")
-    entries = raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("keyword", "entries")).select("keyword", F.posexplode("entries").alias("position", "entry"))
+    raw = _or_empty(lambda: json_elements(spark, path), spark, "file string, element long, value string")
+    members = F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), "map<string,array<string>>")
+    entries = raw.select(F.explode(members).alias("keyword", "entries")).select("keyword", F.posexplode("entries").alias("position", "entry"))
     one = F.from_json("entry", "url string, text string")
     is_object = F.col("entry").startswith("{")
     return entries.select("keyword", F.when(is_object, one["url"]).otherwise(F.col("entry")).alias("url"), F.when(is_object, one["text"]).alias("text"), "position")
@@ -99,23 +136,27 @@ def jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, bo
 
 
 def crawl(links: DataFrame, starts: Sequence[str], most_pages: int = 10, listed: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
-    """Pages reachable from starts over `older` links, at most so many per start. links: url, older.
+    """(start, url, page): the pages of the walk from each start over `older` links, at most so many. links: url, older.
 
-    With listed (url, article: what a page lists) and known (article), a walk ends at a page after the second that lists
-    nothing new. One join per step with the frontier; the step count is bounded.
+    Of several older links of a page the least counts. With listed (url, article: what a page lists) and known (article), a walk
+    ends at a page after the second that lists nothing new. Links are doubled, so n pages take log2(n) joins, each written, instead of
+    a step, or a copy of the plan, for every page.
     """
     spark = links.sparkSession
-    frontier = spark.createDataFrame([(s, s, 1) for s in starts], "start string, url string, page int")
-    out = frontier
-    steps = links.select("url", "older").withColumn("fresh", F.lit(True))
+    reached = spark.createDataFrame([(s, s, 1) for s in starts], "start string, url string, page int")
+    jump = written(links.filter("url is not null and older is not null").groupBy("url").agg(F.min("older").alias("to")))
+    hop = 1
+    while hop < most_pages:
+        further = reached.join(jump, "url").select("start", F.col("to").alias("url"), (F.col("page") + hop).alias("page")).filter(F.col("page") <= most_pages)
+        reached = written(reached.unionByName(further))
+        hop *= 2
+        if hop < most_pages:
+            jump = written(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("then")), "to").select("url", F.col("then").alias("to")))
     if listed is not None and known is not None:
-        fresh = listed.join(known.select("article"), "article", "left_anti").select("url", F.lit(True).alias("fresh")).distinct()
-        steps = links.select("url", "older").join(fresh, "url", "left")
-    for _ in range(most_pages - 1):
-        goes_on = F.col("older").isNotNull() & ((F.col("page") <= 2) | F.col("fresh"))
-        frontier = frontier.join(steps, "url").filter(goes_on).select("start", F.col("older").alias("url"), (F.col("page") + 1).alias("page"))
-        out = out.unionByName(frontier)
-    return out.groupBy("start", "url").agg(F.min("page").alias("page"))
+        fresh = listed.join(known.select("article"), "article", "left_anti").select("url").distinct()
+        ends = reached.filter("page > 2").join(fresh, "url", "left_anti").groupBy(F.col("start").alias("_start")).agg(F.min("page").alias("_end"))
+        reached = reached.join(ends, F.col("start") == F.col("_start"), "left").filter("_end is null or page <= _end")
+    return reached.groupBy("start", "url").agg(F.min("page").alias("page"))
 
 
 def audio(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from quarrion.storage import conf
+
+#: State of streams: on the executors' disks, with changes in the checkpoint, and bounded memory over all stores of an executor.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+_KIND = "__kind"
 
 def new_rows(found: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of found whose keys known doesn't have, each key once. Null keys compare equal."""
@@ -55,34 +67,33 @@ def split_failed(rows: DataFrame, ok: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(good), rows.filter(~good)
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str], ok: str = "true", files_per_batch: int | None = None) -> None:
+def ingest(spark: SparkSession, source: str, schema: str | StructType, target: str, checkpoint: str, keys: Sequence[str], ok: str = "true", files_per_batch: int | None = None, pattern: str = "*") -> None:
     """Takes the new files of a folder into target, rows new by their keys only; rows that fail ok go to target_failed.
 
-    A batch is written under its own number, so one that is repeated after a failure replaces itself; what was taken is
-    remembered by the checkpoint. log has a line per batch.
+    The keys that were taken are the state of the stream, on the executors' disks and in the checkpoint, so a batch costs what
+    it holds: the target is never read. Null keys compare equal. A batch is written under its own number, so one that is
+    repeated after a failure replaces itself. log has a line per batch.
     """
-
-    def take(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        good, failed = split_failed(batch.persist(), ok)
-        known = None
-        if number:
-            jvm = session.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(target)
-            fs = path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
-            parts = [s.getPath().toString() for s in fs.listStatus(path) if int(s.getPath().getName().split("=")[1]) < number] if fs.exists(path) else []
-            known = session.read.schema(batch.schema).parquet(*parts) if parts else None
-        own = new_rows(good, known, keys) if known is not None else good.dropDuplicates(list(keys))
-        own.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        failed.write.mode("overwrite").parquet(f"{target}_failed/batch={number}")
-        batch.agg(F.lit(number).alias("batch"), F.count("*").alias("rows"), F.count_if(F.expr(ok)).alias("good")).write.mode("overwrite").json(f"{target}_log/batch={number}")
-        batch.unpersist()
-
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    query = reader.parquet(source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
-    query.awaitTermination()
+    rows = reader.parquet(source)
+    names = rows.columns
+    good, failed = split_failed(rows, ok)
+    counted_only = rows.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema), F.when(F.coalesce(F.expr(ok), F.lit(False)), "good").otherwise("bad").alias(_KIND))
+    both = good.dropDuplicates(list(keys)).withColumn(_KIND, F.lit("new")).unionByName(failed.withColumn(_KIND, F.lit("failed"))).unionByName(counted_only)
+
+    def take(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        held.filter(F.col(_KIND) == "new").select(names).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        held.filter(F.col(_KIND) == "failed").select(names).write.mode("overwrite").parquet(f"{target}_failed/batch={number}")
+        log = held.agg(F.lit(number).alias("batch"), F.count_if(F.col(_KIND).isin("good", "bad")).alias("rows"), F.count_if(F.col(_KIND) == "good").alias("good"), F.count_if(F.col(_KIND) == "new").alias("new"))
+        log.write.mode("overwrite").json(f"{target}_log/batch={number}")
+        held.unpersist()
+
+    with conf(spark, STATE):
+        query = both.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+        query.awaitTermination()
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", keys: Sequence[str] = ("event_type",), every: str = "1 hour", late: str = "2 hours") -> DataFrame:

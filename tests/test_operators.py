@@ -20,10 +20,11 @@ from quarrion.functions import gazetteer
 from quarrion.functions import signal as S
 from quarrion.functions import text as C
 from quarrion.functions.geo import haversine, region
-from quarrion.operators import bibliography, geo, graph, labelling, ranking, search, timeseries, topics
+from quarrion.operators import bibliography, geo, graph, labelling, overlap, ranking, search, timeseries, topics
 from quarrion.operators import signal as Z
 from quarrion.operators.cooccurrence import pair_counts
 from quarrion.operators.numbering import numbered
+from quarrion.operators.overlap import overlapping
 from quarrion.sources import files, pages, sinks
 from quarrion.streaming import incremental
 
@@ -402,3 +403,96 @@ def test_numbered(spark):
         numbered(rows, order, "k")
     plan = numbered(rows, order)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan.split("== Physical Plan ==")[1].split("BroadcastExchange")[0]
+
+
+def brute_overlaps(rows, least):
+    sets: dict = {}
+    for item, key in rows:
+        if item is not None and key is not None:
+            sets.setdefault(item, set()).add(key)
+    return sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least)
+
+
+@pytest.mark.parametrize(("least", "cell"), [(1, 1000), (2, 1000), (2, 3), (4, 7)])
+def test_overlapping_sets(spark, least, cell):
+    """Against all pairs: common and rare keys, hot lists in cells, nulls and repeated rows."""
+    rng = np.random.default_rng(least)
+    rows = [(int(i), f"k{min(29, int(rng.exponential(6)))}") for i in rng.integers(0, 120, 900)]
+    rows += [(i, "hot") for i in range(0, 120, 2)] + [(None, "k1"), (3, None), (500, "alone"), (501, "k1"), *rows[:20]]
+    df = spark.createDataFrame(rows, "url long, keyword string")
+    got = sorted(map(tuple, overlapping(df, "url", "keyword", least, cell).collect()))
+    assert got == brute_overlaps(rows, least) and len(got) > 20
+    assert overlapping(df.limit(0), "url", "keyword", least).count() == 0
+
+
+def test_a_hot_key_is_not_squared(spark):
+    """A key of all 60,000 sets, beside rarer ones, is in no prefix; the join's rows stay far below its square."""
+    df = spark.range(60_000).select(F.col("id").alias("url"), F.explode(F.array(F.lit("hot"), F.concat(F.lit("k"), (F.col("id") / 3).cast("long")))).alias("keyword"))
+    assert overlapping(df, "url", "keyword", 2).count() == 60_000
+
+
+def test_long_lists_are_dealt_to_cells(spark):
+    prefixes = spark.range(100).select(F.col("id").alias("item"), F.array(F.lit(1)).alias("keys"), F.lit(0).alias("at"), F.when(F.col("id") < 90, 1).otherwise(2).alias("rank"))
+    dealt = overlap._cells(prefixes, 10)
+    sizes = dealt.groupBy("rank", "low", "high").count().collect()
+    assert len([r for r in sizes if r["rank"] == 1]) == 9 * 10 // 2 and max(r["count"] for r in sizes) < 60
+    meet = dealt.alias("x").join(dealt.alias("y"), ["rank", "low", "high"]).filter("x.item < y.item and (low = high or x.part != y.part)").select("x.item", "y.item")
+    assert meet.count() == meet.distinct().count() == 90 * 89 // 2 + 10 * 9 // 2
+
+
+def test_triangles(spark):
+    """Against all triples; a hub of 100,000 neighbours makes no wedge."""
+    rng = np.random.default_rng(4)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 30, (150, 2)) if a != b}
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs] + [(5, 5, 1)], "a long, b long, weight long")
+    want: dict = {}
+    for a, b in pairs:
+        for c in range(b + 1, 30):
+            if (b, c) in pairs and (a, c) in pairs:
+                for x in (a, b, c):
+                    want[x] = want.get(x, 0) + 1
+    assert {r.node: r.triangles for r in graph.triangles(edges).collect()} == want
+    capped, exact = (graph.bridge_scores(edges.filter("a != b"), n).orderBy("node").collect() for n in (1000, None))
+    assert [tuple(r) for r in capped] == [tuple(r) for r in exact]
+    ring = spark.range(1, 100_001).select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), (F.col("id") % 100_000 + 1).alias("b")))).alias("e"))
+    wheel = ring.select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b"), F.lit(1).alias("weight"))
+    hub = graph.bridge_scores(wheel, max_neighbors=None).filter("node = 0").first()
+    assert (hub.degree, hub.pairs) == (100_000, 100_000 * 99_999 // 2) and hub.bridge_score == pytest.approx(1 - 100_000 / hub.pairs)
+
+
+@pytest.mark.parametrize("kind", ["spread", "far", "poles", "ring", "same"])
+def test_nearest_site_by_cells(spark, monkeypatch, kind):
+    """Against all pairs: sites spread out, far off, at the poles and the date line, on a ring around a point, at one spot."""
+    rng = np.random.default_rng(3)
+    n = 600
+    lat, lon = np.degrees(np.arcsin(rng.uniform(-1, 1, n))), rng.uniform(-180, 180, n)
+    p_lat, p_lon = np.degrees(np.arcsin(rng.uniform(-1, 1, 120))), rng.uniform(-180, 180, 120)
+    if kind == "far":
+        lat, lon, p_lat, p_lon = 40 + rng.normal(0, 0.5, n), -100 + rng.normal(0, 0.5, n), -35 + rng.normal(0, 2, 120), 80 + rng.normal(0, 2, 120)
+    elif kind == "poles":
+        lat, lon, p_lat, p_lon = rng.choice([90, -90, 89.9, -89.99, 0], n), rng.choice([180, -180, 179.99, -179.9, 0], n) + rng.normal(0, 0.01, n), rng.choice([90.0, -90.0, 89.0], 120), rng.uniform(-180, 180, 120)
+        lon = np.clip(lon, -180, 180)
+    elif kind == "ring":
+        lat, lon, p_lat = np.full(n, 80.0), np.linspace(-180, 179, n), np.full(120, 90.0)
+    elif kind == "same":
+        lat, lon = np.full(n, 12.5), np.full(n, -33.25)
+    sites = spark.createDataFrame([(float(a), float(b), i, f"s{i:04}") for i, (a, b) in enumerate(zip(lat, lon, strict=True))] + [(None, 1.0, -1, "nowhere")], "lat double, lon double, ord long, name string")
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(p_lat, p_lon, strict=True))] * 2 + [(-1, None, 3.0)], "id long, lat double, lon double")
+    want = {r.id: (r.nearest_site, r.site_km) for r in geo.nearest_site(points, sites.filter("lat is not null")).collect()}
+    monkeypatch.setattr(geo, "MOST_SITES", 10)
+    monkeypatch.setattr(geo, "LEAF_SITES", 4)
+    got = geo.nearest_site(points, sites).collect()
+    assert len(got) == points.count()
+    for r in got:
+        assert r.site_km == pytest.approx(want[r.id][1], abs=1e-6), r
+        assert r.nearest_site == want[r.id][0] or kind in ("poles", "ring")
+
+
+def test_far_points_meet_few_sites(spark):
+    """Points an ocean away from 20,000 sites keep a few of their cells; the pairs that are left are far fewer than all."""
+    sites = spark.range(20_000).select((40 + F.randn(1)).alias("lat"), (-100 + F.randn(2)).alias("lon"), F.col("id").alias("ord"), F.col("id").cast("string").alias("name"))
+    points = spark.range(1500).select("id", (-35 + F.randn(3)).alias("lat"), (80 + F.randn(4)).alias("lon"))
+    assert geo.nearest_site(points, sites).filter("site_km > 5000").count() == 1500
+    tree, placed = geo.site_cells(sites)
+    assert tree.filter("leaf").agg(F.sum("n")).first()[0] == placed.count() == 20_000
+    assert tree.filter("leaf").agg(F.max("n")).first()[0] <= geo.LEAF_SITES
