@@ -19,6 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges are stars. Every step is a grouped minimum and a join,
     and each is written to the shared folder, so lineage stays short and no neighbourhood is gathered.
+
+    Edges may come in either direction and more than once. An edge with a null end, or from a node to itself, joins nothing, and
+    its node isn't listed unless another edge has it. Without edges there are no rows. Other columns are left out.
     """
     edges = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(edges)

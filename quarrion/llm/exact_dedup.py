@@ -69,7 +69,8 @@ def _grouped(landed: DataFrame, text_col: str, files_per_batch: int | None) -> D
     """Per landed row: doc_id, sha, loc, and top and n of its group."""
     state = written(_state(landed, files_per_batch))
     keys = landed.select("doc_id", "sha", "digest", "loc")
-    hits = keys.join(state.filter("n > 1").select("digest"), "digest", "left_semi").select("loc")
+    # Joins that fetch texts are sort-merge joins at any size: what they move follows the input, with no turn from broadcasts.
+    hits = keys.join(state.filter("n > 1").select("digest"), "digest", "left_semi").select("loc").hint("merge")
     texts = landed.select("digest", "loc", "doc_id", "sha", ascii_lower(F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))).alias("norm")).join(hits, "loc", "left_semi")
     alike = texts.groupBy("digest", "norm").agg(F.count("*").alias("n"))
     several = written(alike.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"))
@@ -94,4 +95,4 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without the rows that exact_groups drops, columns unchanged."""
     landed = _landed(docs, id_col, text_col, digest)
     stay = _grouped(landed, text_col, files_per_batch).filter(F.col("loc") == F.col("top.loc")).select("loc")
-    return landed.select("row", "loc").join(written(stay), "loc", "left_semi").select("row.*")
+    return landed.select("row", "loc").join(written(stay).hint("merge"), "loc", "left_semi").select("row.*")
