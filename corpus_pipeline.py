@@ -2,6 +2,11 @@
 
 Every stage takes all rows that the one before it kept. All but the last return the columns of documents; the last
 returns the mix as a manifest: the documents that it takes, how often, and their place in the queue.
+
+Defined results, stage by stage: a null or empty text goes with the language stage, as it has no letters; where a stage is
+given one all the same, it counts as the empty text (all of them are one exact group, none is a near copy or contaminated, and the
+mix takes none). Null ids are kept like others and come last where ids decide. Of repeated rows one stays of exact copies; ties
+go by id. Other columns pass through all but the last stage, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
