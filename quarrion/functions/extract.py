@@ -94,7 +94,7 @@ def contained_once(sentences: Column) -> Column:
 def english_sentences(text: Column, least: int = 60) -> Column:
     """Quotes of 25 characters and sentences longer than least that pass the English test, containment removed."""
     quotes = _all(text, r'"([^"]{25,})"', 1)
-    sentences = F.filter(F.transform(F.split(text, r"[.!?]+"), F.trim), lambda s: F.length(s) > least)
+    sentences = F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: F.trim(s)), lambda s: F.length(s) > least)
     return contained_once(F.filter(F.concat(quotes, sentences), lambda s: is_english(s)))
 
 

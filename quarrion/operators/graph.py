@@ -72,24 +72,34 @@ def unlinked_examples(edges: DataFrame, neighbors: int = 10, examples: int = 3)
     return top_per_group(pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti"), ["node"], [F.col("a"), F.col("b")], examples).select("node", "a", "b")
 
 
+def _linked(edges: DataFrame) -> tuple:
+    """What tells one set of edges from another, in any order."""
+    h = F.xxhash64("high", "low")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each connected component, by least labels of neighbours with pointer jumping.
+    """(node, root): the least node of each connected component, for nodes with an edge to another.
 
-    It goes on until no label changes; pointer jumping halves what is left of a chain in each round.
+    Large and small stars in turn: every node links its greater neighbours, then its lesser ones, to the least of them, until
+    nothing changes. Each step is a grouped minimum and a join that splits where it is skewed, so a giant component's root isn't a
+    key that all of its nodes are joined on.
     """
-    both = written(symmetric(edges.select("a", "b", F.lit(1).alias("weight"))).select("a", "b"))
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    last = None
+    stars = written(edges.filter("a != b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct())
+    mark = _linked(stars)
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        stepped = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        jumped = stepped.select(F.col("node").alias("via"), F.col("root").alias("jump"))
-        after = written(stepped.join(jumped, F.col("root") == F.col("via")).select("node", F.least("root", "jump").alias("root"), "was"))
-        if last is not None:
-            discard(last)
-        last, labels = after, after.select("node", "root")
-        if not after.filter("root != was").limit(1).count():
-            return labels
+        both = stars.unionByName(stars.select(F.col("low").alias("high"), F.col("high").alias("low")))
+        least = both.groupBy("high").agg(F.least(F.min("low"), F.first("high")).alias("least"))
+        large = written(both.filter("low > high").join(least, "high").select(F.col("low").alias("high"), F.col("least").alias("low")).filter("high != low").distinct())
+        least = large.groupBy("high").agg(F.min("low").alias("least"))
+        kept = large.join(least, "high")
+        small = kept.select(F.greatest("low", "least").alias("high"), F.least("low", "least").alias("low")).unionByName(kept.select("high", F.col("least").alias("low")))
+        after = written(small.filter("high != low").distinct())
+        discard(large, stars)
+        stars, before, mark = after, mark, _linked(after)
+        if mark == before:
+            break
+    return stars.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(stars.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
 
 
 def communities(nodes: DataFrame, edges: DataFrame, min_weight: int = 5, node: str = "label") -> DataFrame:

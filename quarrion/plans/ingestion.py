@@ -72,9 +72,11 @@ def work_queue(spark, sf_dir):
     return I.finished(I.queued(first, orders), orders.filter("o_totalprice > 250000"))
 
 
-@query("select 'http://site/' || strftime(m, '%Y/%m') as url from (select unnest(generate_series(date '2008-03-01', date '2012-02-01', interval 1 month)) as m)")
+@query("select 'http://site/' || strftime(m, '%Y/%m') as url from (select unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate), interval 1 month)) as m from orders)")
 def archive_months(spark, sf_dir):
-    return files.archive_urls(spark, "http://site/", "2008-03-01", "2012-02-01")
+    """An archive page for each month from the first order to the last."""
+    ends = E.table(spark, sf_dir, "orders").agg(*(F.date_format(F.trunc(f("o_orderdate"), "MM"), "yyyy-MM-dd") for f in (F.min, F.max))).first()
+    return files.archive_urls(spark, "http://site/", *ends)
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all", dates="start")
@@ -171,60 +173,63 @@ def morse_text(spark, sf_dir):
     return E.table(spark, sf_dir, "part").select("p_partkey", Z.morse_decoded(F.concat_ws(" / ", symbols("p_partkey"), symbols("p_size"))).alias("text"))
 
 
-def _clips(spark):
-    """Twelve clips of half a second: a carrier that goes on and off, with a weak tone above."""
-    t = F.col("i") / 8000.0
-    on = F.when(F.floor(F.col("i") / 400) % 3 == 0, 1.0).otherwise(0.1)
-    x = on * F.sin(2 * F.pi() * (1000 + 50 * F.col("clip")) * t) + 0.05 * F.sin(2 * F.pi() * 3500 * t)
-    rows = spark.range(12).withColumnRenamed("id", "clip").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3999))))
-    per = rows.select("clip", "i", x.alias("x")).groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("samples"))
-    return per.withColumn("rate", F.lit(8000))
+def _clips(spark, sf_dir):
+    """A clip of half a second for every supplier: a carrier that goes on and off, by the key, with a weak tone above."""
+    carrier = 1000 + 50 * (F.col("clip") % 12)
+
+    def sample(i):
+        t = i / 8000.0
+        on = F.when(F.floor(i / 400) % 3 == 0, 1.0).otherwise(0.1)
+        return on * F.sin(2 * F.pi() * carrier * t) + 0.05 * F.sin(2 * F.pi() * 3500 * t)
+
+    rows = E.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip"))
+    return rows.select("clip", F.transform(F.sequence(F.lit(0), F.lit(3999)), sample).alias("samples"), F.lit(8000).alias("rate"))
 
 
 @query()
 def signal_bands(spark, sf_dir):
-    return Z.band_energy(_clips(spark), ((0, 1000), (1000, 3000), (3000, 4000))).select("clip", F.round(F.element_at("ratios", 3), 4).alias("high"), "level")
+    return Z.band_energy(_clips(spark, sf_dir), ((0, 1000), (1000, 3000), (3000, 4000))).select("clip", F.round(F.element_at("ratios", 3), 4).alias("high"), "level")
 
 
 @query()
 def signal_fm(spark, sf_dir):
-    return Z.fm_stats(_clips(spark), 800, 2000)
+    return Z.fm_stats(_clips(spark, sf_dir), 800, 2000)
 
 
 @query()
 def signal_psk(spark, sf_dir):
-    return Z.psk_rate(_clips(spark), 1000)
+    return Z.psk_rate(_clips(spark, sf_dir), 1000)
 
 
 @query()
 def signal_images(spark, sf_dir):
-    return Z.band_images(_clips(spark), 500, 3000, 256, 128).select("clip", F.size("image").alias("rows"), "edge_mean", "bright")
+    return Z.band_images(_clips(spark, sf_dir), 500, 3000, 256, 128).select("clip", F.size("image").alias("rows"), "edge_mean", "bright")
 
 
 @query()
 def signal_morse(spark, sf_dir):
-    return Z.morse(_clips(spark), ((800, 1800),))
+    return Z.morse(_clips(spark, sf_dir), ((800, 1800),))
 
 
 @query()
 def signal_coherence(spark, sf_dir):
-    parts = Z.segments(_clips(spark), seconds=1, most=6).withColumn("key", F.concat_ws("-", "clip", "segment"))
+    parts = Z.segments(_clips(spark, sf_dir), seconds=1, most=6).withColumn("key", F.concat_ws("-", "clip", "segment"))
     return Z.phase_coherence(parts, "key")
 
 
 @query()
 def signal_spikes(spark, sf_dir):
-    return Z.spike_counts(_clips(spark))
+    return Z.spike_counts(_clips(spark, sf_dir))
 
 
 @query()
 def signal_bits(spark, sf_dir):
-    return Z.bits_text(_clips(spark), 50)
+    return Z.bits_text(_clips(spark, sf_dir), 50)
 
 
 @query()
 def signal_periods(spark, sf_dir):
-    return Z.envelope_periods(_clips(spark), 1500).select("clip", F.round(F.element_at("autocorrelation", 1201), 3).alias("at_period"))
+    return Z.envelope_periods(_clips(spark, sf_dir), 1500).select("clip", F.round(F.element_at("autocorrelation", 1201), 3).alias("at_period"))
 
 
 @query(f"with {E.POINTS} select 'Feature' as type, 'Point' as shape, lon::double as lon, lat::double as lat, id, title from points")

@@ -81,6 +81,17 @@ def statistics_files(spark, sf_dir):
     return found.select(F.substring("date_range.start", 1, 4).alias("year"), "total_articles", F.col("date_range.start").alias("first"), C.value_of(F.col("top_labels"), "5-LOW").alias("low"))
 
 
+@query("select page_id % 5 as part, url, case when page_id % 9 = 0 then 404 else 200 end as status, md5(html) as digest from pages")
+def stored_pages(spark, sf_dir):
+    """Pages with their status as JSON lines, with lines between them that aren't JSON."""
+    rows = E.table(spark, sf_dir, "pages")
+    path = shared_folder(spark)
+    one = F.to_json(F.struct("url", F.when(F.col("page_id") % 9 == 0, 404).otherwise(200).alias("status"), "html"))
+    rows.select(F.explode(F.array(one, F.lit("{not json"))).alias("value"), (F.col("page_id") % 5).alias("part")).write.partitionBy("part").text(path)
+    found = files.stored_pages(spark, path).join(rows.select("url", (F.col("page_id") % 5).alias("part")), "url")
+    return found.select("part", "url", "status", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
 @query("select distinct 'http://site/' || c_custkey as url from customer where c_custkey % 5 > 0")
 def url_list_files(spark, sf_dir):
     """A list of urls with comments, blanks and repeated lines."""

@@ -275,9 +275,10 @@ def topic_alignment(spark, sf_dir):
 
 
 @query(
-    f"""with {_ALIGNED}, f as (select url, topic, score from assigned where score >= 0.5 and url in (select article_id from labels)),
-    told as (select distinct l.article_id as told_url, a.topic as told_topic from labels l join aligned a on a.label = l.label where a.share >= 0.3)
-    select url, topic, score::double as score from f left join told on told_url = url and told_topic = topic where told_url is null"""
+    f"""with {_ALIGNED}, good as materialized (select distinct topic, label from aligned where share >= 0.3), la as materialized (select distinct article_id as url, label from labels),
+    f as materialized (select distinct url, topic, score::double as score from assigned join la using (url) where score >= 0.5),
+    told as materialized (select distinct f.url from f join la on la.url = f.url join good on good.topic = f.topic and good.label = la.label)
+    select url, topic, score from f where url not in (select url from told)"""
 )
 def mislabelled_articles(spark, sf_dir):
     rows, labels = _assigned(spark, sf_dir), _url_labels(spark, sf_dir)

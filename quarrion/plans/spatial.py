@@ -209,7 +209,19 @@ def code_validation(spark, sf_dir):
     return G.validated(rows, E.points(spark, sf_dir), gazetteer.sites(spark), celestial="is_celestial").select("p_partkey", "tier")
 
 
-@query()
+_CONTEXT = f"substr(text, greatest(1, pos - {D.CONTEXT}), length(code) + {D.CONTEXT} + least(pos - 1, {D.CONTEXT}))"
+
+
+@query(
+    f"""with {_CODES}, t as (
+        select *, 'http://site/' || (p_partkey % 50) as url, (case when v1 < 0 then '-' else '+' end) || lpad(abs(v1)::varchar, 3, '0') || (case when v2 < 0 then '-' else '+' end) || lpad(abs(v2)::varchar, 3, '0') as main,
+               'report ' || case when tagged then 'MilDSP relay' else 'orbital note' end || ': ' as head from codes),
+    x as (select *, head || main || ' end; page -05-25 of DASYS2075-05-25' as text from t),
+    found as (
+        select url, main as code, text, length(head) + 1 as pos from x where tagged or not ((v1 < 0 and v2 < 0 and v1 >= -31 and v2 >= -31) or (v1 < 0 and v1 > -20 and abs(v2) < 20))
+        union all select url, '-05-25', text, length(head || main || ' end; page ') + 1 from x where tagged)
+    select code, url, min({_CONTEXT}) as context from found group by all"""
+)
 def codes_in_text(spark, sf_dir):
     """Codes with context found in texts made of names and codes, one row per (code, url)."""
     rows = _codes(spark, sf_dir).select(F.concat(F.lit("report "), F.col("context"), F.lit(": "), F.col("code"), F.lit(" end; page -05-25 of DASYS2075-05-25")).alias("text"), F.concat(F.lit("http://site/"), F.col("p_partkey") % 50).alias("url"))

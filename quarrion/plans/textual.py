@@ -325,7 +325,15 @@ def corpus_distinct_sentences(spark, sf_dir):
     return S.first_rows(hashed, ["hash"], ["doc_id", "position"]).select("hash", "doc_id")
 
 
-@query()
+_ENGLISH = "[" + ", ".join(f"'{w}'" for w in C.ENGLISH) + "]"
+
+
+@query(
+    f"""with q as (select doc_id, list_concat(regexp_extract_all(text, '"([^"]{{25,}})"', 1), list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(s)), lambda s: length(s) > 60)) as s from documents),
+    w as (select doc_id, i, s[i] as x, list_distinct(list_filter(string_split_regex(lower(s[i]), '\\s+'), lambda w: w <> '')) as words from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from q)),
+    e as (select doc_id, list([x] order by i) as l from w where len(list_intersect(words, {_ENGLISH})) >= 3 and len(list_intersect(words, {_ENGLISH})) > 0.12 * len(words) group by 1)
+    select doc_id, unnest(list_reduce(list_prepend([]::varchar[], l), lambda a, b: case when len(list_filter(a, lambda z: contains(z, b[1]) or contains(b[1], z))) > 0 then a else list_concat(a, b) end)) as sentence from e"""
+)
 def english_sentences(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(X.english_sentences(F.col("text"))).alias("sentence"))
 

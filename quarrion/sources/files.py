@@ -135,6 +135,12 @@ def jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, bo
     return reader.load()
 
 
+def stored_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Fetched pages (url, status, html), kept as JSON lines in any store that Spark reads; lines that can't be parsed are left out."""
+    rows = _or_empty(lambda: spark.read.schema(schemas.PAGES).json(path), spark, schemas.PAGES)
+    return rows.filter("url is not null").select("url", "status", "html")
+
+
 def crawl(links: DataFrame, starts: Sequence[str], most_pages: int = 10, listed: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(start, url, page): the pages of the walk from each start over `older` links, at most so many. links: url, older.
 

@@ -1,6 +1,7 @@
 """A batch data source over a table of pages, standing for a fetcher: spark.read.format("pages").
 
-It shows the interface that a source with a network behind it would have; here pages come from files of JSON lines.
+It shows the interface that a source with a network behind it would have; here pages come from files of JSON lines in a folder
+that the driver and the executors see under the same path. files.stored_pages reads such files from any store.
 """
 
 from __future__ import annotations

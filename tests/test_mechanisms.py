@@ -261,3 +261,14 @@ def test_title_rules_and_maps(spark):
     maps = spark.createDataFrame([({"a": 1, "b": 3, "c": 3},), ({},), (None,)], "m map<string,int>")
     out = maps.select(C.value_of(F.col("m"), "a", -1).alias("a"), C.by_value(F.col("m"), 2).alias("top")).collect()
     assert [r.a for r in out] == [1, -1, -1] and [tuple(e) for e in out[0].top] == [("b", 3), ("c", 3)] and out[1].top == [] and out[2].top is None
+
+
+def test_a_database_table_is_read_in_ranges(spark, tmp_path):
+    """Through JDBC with the embedded database that comes with Spark: all rows, in as many tasks as asked for."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(100).select(F.col("id").alias("ID"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("NAME"))
+    rows.write.format("jdbc").option("url", url).option("dbtable", "THINGS").save()
+    whole = files.jdbc(spark, url, "THINGS")
+    assert sorted((r.ID, r.NAME) for r in whole.collect()) == [(i, f"n{i}") for i in range(100)]
+    parts = files.jdbc(spark, url, "THINGS", "ID", (0, 100), 4)
+    assert parts.rdd.getNumPartitions() == 4 and parts.count() == 100 and parts.filter("ID < 7").count() == 7
