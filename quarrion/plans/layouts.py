@@ -88,8 +88,7 @@ def stored_pages(spark, sf_dir):
     path = shared_folder(spark)
     one = F.to_json(F.struct("url", F.when(F.col("page_id") % 9 == 0, 404).otherwise(200).alias("status"), "html"))
     rows.select(F.explode(F.array(one, F.lit("{not json"))).alias("value"), (F.col("page_id") % 5).alias("part")).write.partitionBy("part").text(path)
-    found = files.stored_pages(spark, path).join(rows.select("url", (F.col("page_id") % 5).alias("part")), "url")
-    return found.select("part", "url", "status", F.md5(F.col("html").cast("binary")).alias("digest"))
+    return files.stored_pages(spark, path).select(F.col("part").cast("long").alias("part"), "url", "status", F.md5(F.col("html").cast("binary")).alias("digest"))
 
 
 @query("select distinct 'http://site/' || c_custkey as url from customer where c_custkey % 5 > 0")

@@ -136,9 +136,12 @@ def jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, bo
 
 
 def stored_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Fetched pages (url, status, html), kept as JSON lines in any store that Spark reads; lines that can't be parsed are left out."""
+    """Fetched pages (url, status, html), kept as JSON lines in any store that Spark reads; lines that can't be parsed are left out.
+
+    Folders named `column=value` add their columns.
+    """
     rows = _or_empty(lambda: spark.read.schema(schemas.PAGES).json(path), spark, schemas.PAGES)
-    return rows.filter("url is not null").select("url", "status", "html")
+    return rows.filter("url is not null or status is not null or html is not null")
 
 
 def crawl(links: DataFrame, starts: Sequence[str], most_pages: int = 10, listed: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
