@@ -9,7 +9,8 @@ import pytest
 from oracle import DATA, connection, same
 from pyspark.sql import functions as F
 
-from quarrion.plans import catalog
+from quarrion import storage
+from quarrion.plans import catalog, entities
 
 
 @pytest.fixture
@@ -29,3 +30,11 @@ def test_stored_pages_of_one_url(spark, tables):
     url = F.when(F.col("page_id") % 7 == 0, F.lit("http://site/same")).when(F.col("page_id") % 11 > 0, F.col("url"))
     replaced(pages.withColumn("url", url), tables, "pages")
     same(catalog.QUERIES["stored_pages"](spark, str(tables)), catalog.ORACLE["stored_pages"], connection(str(tables)))
+
+
+def test_labels_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 500, raising=False)
+    n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    assert entities.labels(spark, DATA).rdd.getNumPartitions() >= n > 8
+    for name in ("label_pairs", "label_stats", "topic_alignment"):
+        same(catalog.QUERIES[name](spark, DATA), catalog.ORACLE[name], connection())
