@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.functions.text import references
+from quarrion.operators.numbering import numbered, running_sums
 from quarrion.operators.search import top_per_group
+from quarrion.shipping import shipped
 from quarrion.storage import discard, written
 
 OTHER = "Other"
+#: Edges of a group of nodes that one task holds while it closes triangles, about.
+GROUP_EDGES = 500_000
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -24,23 +32,99 @@ def node_stats(nodes: DataFrame, edges: DataFrame, node: str = "label") -> DataF
     return nodes.join(per, node, "left").na.fill({"degree": 0, "avg_weight": 0.0})
 
 
+class _Lists:
+    """The lists of one group of nodes, each with the nodes it points to, against which the lists of their targets are held."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+        self.low: np.ndarray | None = None
+
+    def add(self, nodes: np.ndarray, sizes: np.ndarray, to: np.ndarray) -> None:
+        self.parts.append((nodes, sizes, to))
+
+    def close(self) -> None:
+        self.low, sizes, to = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.names, self.to = np.unique(to, return_inverse=True)
+        self.by = np.argsort(self.to, kind="stable")
+        self.first = np.searchsorted(self.to[self.by], np.arange(len(self.names) + 1))
+        self.own = np.repeat(np.arange(len(self.low)), sizes)
+        self.marks = np.zeros(len(self.names), bool)
+        self.n_low, self.n_to, self.seen, self.room = np.zeros(len(self.low), np.int64), np.zeros(len(self.names), np.int64), [], 0
+
+    def meet(self, mid: int, to: np.ndarray) -> None:
+        """Triangles of every node of the group that points to mid, and of what both point to."""
+        at = np.searchsorted(self.names, mid)
+        lows = self.own[self.by[self.first[at] : self.first[at + 1]]]
+        places = np.searchsorted(self.names, to)
+        places = places[places < len(self.names)]
+        places = places[np.isin(self.names[places], to)]
+        self.marks[places] = True
+        third = np.concatenate([self.to[self.ends[k] : self.ends[k + 1]] for k in lows])
+        hit = self.marks[third]
+        self.marks[places] = False
+        starts = np.concatenate([[0], np.cumsum(self.ends[lows + 1] - self.ends[lows])[:-1]])
+        self.n_low[lows] += np.add.reduceat(hit, starts, dtype=np.int64)
+        third = third[hit]
+        self.n_to[at] += len(third)
+        self.seen.append(third)
+        self.room += len(third)
+        if self.room > GROUP_EDGES:
+            self.flush()
+
+    def flush(self) -> None:
+        self.n_to += np.bincount(np.concatenate([np.empty(0, np.int64), *self.seen]), minlength=len(self.names))
+        self.seen, self.room = [], 0
+
+    def counts(self) -> Iterator[pa.RecordBatch]:
+        if self.low is not None:
+            self.flush()
+            node, n = np.concatenate([self.low, self.names]), np.concatenate([self.n_low, self.n_to])
+            yield pa.record_batch([pa.array(node[n > 0]), pa.array(n[n > 0])], ["id", "n"])
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n) from rows (part, asked, id, to) in the order of part and asked: a group's own lists, then those of its targets."""
+    part, held = None, _Lists()
+    for batch in batches:
+        parts, asked, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "asked", "id"))
+        ends, to = batch.column("to").offsets.to_numpy(), batch.column("to").values.to_numpy()
+        cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (asked[1:] != asked[:-1])) + 1
+        for i, j in zip([0, *cuts], [*cuts, len(parts)], strict=True):
+            if i < j and parts[i] != part:
+                yield from held.counts()
+                part, held = parts[i], _Lists()
+            if i < j and not asked[i]:
+                held.add(ids[i:j], np.diff(ends[i : j + 1]), to[ends[i] : ends[j]])
+            elif i < j:
+                if held.low is None:
+                    held.close()
+                for k in range(i, j):
+                    held.meet(ids[k], to[ends[k] : ends[k + 1]])
+    yield from held.counts()
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """(node, triangles) for every node of a triangle.
 
     Edges point from the node of lower degree to the one of higher, so a node points to at most the root of twice the number of
-    edges, hubs to few. An edge's triangles are what its ends both point to: no pair of a hub's neighbours is ever made.
+    edges, hubs to few. An edge's triangles are what its ends both point to: no pair of a hub's neighbours is ever made. Nodes
+    next to each other form groups of GROUP_EDGES edges; the list of a node goes once to each group that points to it, not
+    once for each edge, and a task holds one group and meets the lists of its targets one by one.
     """
     edges = written(edges.select("a", "b").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    ends = edges.join(degree.select(F.col("node").alias("a"), F.col("d").alias("d_a")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("d_b")), "b")
-    up = F.struct(F.col("d_a").alias("d"), F.col("a").alias("n")) < F.struct(F.col("d_b").alias("d"), F.col("b").alias("n"))
-    way = ends.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("high"))
-    points = written(way.groupBy("low").agg(F.collect_list("high").alias("to")))
-    hops = points.filter(F.size("to") > 1).select("low", F.col("to").alias("own"), F.explode("to").alias("mid"))
-    closed = hops.join(points.select(F.col("low").alias("mid"), "to"), "mid").select("low", "mid", F.array_intersect("own", "to").alias("third")).filter(F.size("third") > 0)
-    n = F.size("third").cast("long")
-    counts = F.concat(F.array(F.struct(F.col("low").alias("node"), n.alias("n")), F.struct(F.col("mid").alias("node"), n.alias("n"))), F.transform("third", lambda x: F.struct(x.alias("node"), F.lit(1).cast("long").alias("n"))))
-    return closed.select(F.explode(counts).alias("c")).groupBy(F.col("c.node").alias("node")).agg(F.sum("c.n").alias("triangles"))
+    nodes = written(numbered(degree, ["node"], "id"))
+    end = lambda x: nodes.select(F.col("node").alias(x), F.struct("d", "id").alias(f"at_{x}"))
+    ends = edges.join(end("a"), "a").join(end("b"), "b").select(F.least("at_a", "at_b")["id"].alias("id"), F.greatest("at_a", "at_b")["id"].alias("to"))
+    points = ends.groupBy("id").agg(F.collect_list("to").alias("to")).withColumn("size", F.size("to"))
+    points = written(running_sums(points, ["id"], {"upto": "size"}).select(F.floor((F.col("upto") - F.col("size")) / GROUP_EDGES).alias("part"), "id", "to"))
+    asked = points.select("part", F.explode("to").alias("id")).distinct().join(points.select("id", "to"), "id")
+    rows = points.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
+    most = points.agg(F.max("part")).first()[0] or 0
+    dealt = shipped(rows).repartition(int(most) + 1, "part").sortWithinPartitions("part", "asked")
+    found = dealt.select("part", "asked", "id", "to").mapInArrow(_closed, "id long, n long").groupBy("id").agg(F.sum("n").alias("triangles"))
+    return found.join(nodes.select("id", "node"), "id").select("node", "triangles")
 
 
 def bridge_scores(edges: DataFrame, max_neighbors: int | None = 100, min_degree: int = 2) -> DataFrame:

@@ -10,6 +10,7 @@ from oracle import DATA, connection, same
 from pyspark.sql import functions as F
 
 from quarrion import storage
+from quarrion.operators import graph
 from quarrion.plans import catalog, entities
 
 
@@ -38,3 +39,17 @@ def test_labels_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
     assert entities.labels(spark, DATA).rdd.getNumPartitions() >= n > 8
     for name in ("label_pairs", "label_stats", "topic_alignment"):
         same(catalog.QUERIES[name](spark, DATA), catalog.ORACLE[name], connection())
+
+
+def test_triangles_send_a_list_once_to_a_group(spark, monkeypatch):
+    """Three complete graphs of 30 nodes: an edge's list goes to the group of its start, so few lists are moved."""
+    rows = spark.range(3).select(F.explode(F.sequence(F.col("id") * 100, F.col("id") * 100 + 29)).alias("a"), (F.col("id") * 100).alias("k"))
+    edges = rows.select("a", F.explode(F.sequence("k", F.col("k") + 29)).alias("b")).filter("a < b")
+    for most in (100, 10_000):
+        monkeypatch.setattr(graph, "GROUP_EDGES", most)
+        assert {r.triangles for r in graph.triangles(edges).collect()} == {29 * 28 // 2}
+    moved = []
+    kept = graph.shipped
+    monkeypatch.setattr(graph, "shipped", lambda df: moved.append(df.agg(F.sum(F.size("to"))).first()[0]) or kept(df))
+    assert graph.triangles(edges.withColumn("a", F.concat(F.lit("n"), "a")).withColumn("b", F.concat(F.lit("n"), "b"))).count() == 90
+    assert moved[0] <= 2 * edges.count()
