@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import shutil
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from oracle import DATA, connection, same
 from pyspark.sql import functions as F
 
 from quarrion import storage
-from quarrion.operators import graph
+from quarrion.operators import graph, vectors
 from quarrion.plans import catalog, entities
 
 
@@ -53,3 +54,20 @@ def test_triangles_send_a_list_once_to_a_group(spark, monkeypatch):
     monkeypatch.setattr(graph, "shipped", lambda df: moved.append(df.agg(F.sum(F.size("to"))).first()[0]) or kept(df))
     assert graph.triangles(edges.withColumn("a", F.concat(F.lit("n"), "a")).withColumn("b", F.concat(F.lit("n"), "b"))).count() == 90
     assert moved[0] <= 2 * edges.count()
+
+
+def test_vectors_meet_in_blocks(spark, monkeypatch):
+    """Cells are dealt to blocks, and copies are ranked by key, also over blocks; few rows leave a block."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    x = np.random.default_rng(3).normal(size=(120, 8))
+    rows = spark.createDataFrame([(i, x[i % 120 if i >= 40 else 0].tolist()) for i in range(360)], "vec_id long, embedding array<float>")
+    index = vectors.build_index(rows, cells=4)
+    assert index.sizes.sum() == 360 and index.sizes.max() > 16
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("query"))
+    got: dict = {}
+    for r in index.search(asked, exact=True).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.found)
+    held = [x[i % 120 if i >= 40 else 0].astype(np.float32).astype(float) for i in range(360)]
+    for q in range(0, 360, 50):
+        like = [(-round(float(v @ held[q] / np.linalg.norm(v) / np.linalg.norm(held[q])), 12), i) for i, v in enumerate(held) if i != q]
+        assert got[q] == [i for _, i in sorted(like)[:10]]
