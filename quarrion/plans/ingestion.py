@@ -17,6 +17,9 @@ from quarrion.streaming import queue as Q
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
+#: Clips that one task makes and works on, about.
+TASK_CLIPS = 250
+
 
 def _events(spark, sf_dir):
     return E.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -183,6 +186,8 @@ def _clips(spark, sf_dir):
         return on * F.sin(2 * F.pi() * carrier * t) + 0.05 * F.sin(2 * F.pi() * 3500 * t)
 
     rows = E.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip"))
+    # The keys' file is small, but each is a clip of 32 kB, so keys are dealt to tasks before clips are made.
+    rows = rows.repartition(max(1, -(-rows.count() // TASK_CLIPS)), "clip")
     return rows.select("clip", F.transform(F.sequence(F.lit(0), F.lit(3999)), sample).alias("samples"), F.lit(8000).alias("rate"))
 
 

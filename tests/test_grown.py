@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrion import storage
 from quarrion.operators import graph, vectors
-from quarrion.plans import catalog, entities
+from quarrion.plans import catalog, entities, ingestion
 
 
 @pytest.fixture
@@ -71,3 +71,9 @@ def test_vectors_meet_in_blocks(spark, monkeypatch):
     for q in range(0, 360, 50):
         like = [(-round(float(v @ held[q] / np.linalg.norm(v) / np.linalg.norm(held[q])), 12), i) for i, v in enumerate(held) if i != q]
         assert got[q] == [i for _, i in sorted(like)[:10]]
+
+
+def test_clips_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ingestion, "TASK_CLIPS", 2, raising=False)
+    n = spark.read.parquet(f"{DATA}/supplier.parquet").count()
+    assert ingestion._clips(spark, DATA).rdd.getNumPartitions() == -(-n // 2) > 1
