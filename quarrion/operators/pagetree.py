@@ -23,6 +23,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 UNSHOWN = frozenset(("script", "style", "template"))
 AFTER_IMAGE = ("span", "div", "p", "em", "i")
 TEXT = "#text"
+#: Nodes that are sent at once, about.
+BATCH = 10_000
 _FIELDS = "node int, last int, parent int, place int, tag string, attrs map<string,string>, text string"
 _KIND = pa.map_(pa.string(), pa.string())
 
@@ -90,13 +92,18 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), _KIND, pa.string())
+        names = ["page", *(f.split()[0] for f in _FIELDS.split(", "))]
         for batch in batches:
+            rows, of = [], []
             for k in range(batch.num_rows):
                 tree = _Tree()
                 tree.feed(batch.column("html")[k].as_py())
-                rows = tree.done()
-                own = batch.column("page").take(pa.array([k] * len(rows)))
-                yield pa.record_batch([own, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["page", *(f.split()[0] for f in _FIELDS.split(", "))])
+                own = tree.done()
+                rows += own
+                of += [k] * len(own)
+                if len(rows) > BATCH or k == batch.num_rows - 1:
+                    yield pa.record_batch([batch.column("page").take(pa.array(of)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+                    rows, of = [], []
 
     rows = shipped(pages).select(F.col(key).alias("page"), F.col(html).cast("string").alias("html")).filter("html != ''")
     return rows.mapInArrow(parsed, f"page {kind}, {_FIELDS}").withColumnRenamed("page", key)

@@ -11,6 +11,7 @@ from quarrion.operators import pagetree as P
 from quarrion.operators import search as S
 from quarrion.plans import entities as E
 from quarrion.plans.registry import Registry
+from quarrion.storage import written
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -216,7 +217,8 @@ def _posts(spark, sf_dir):
     html = F.regexp_replace(html, "<li><a href=", "<li><a rel='nofollow tag' href=")
     image = "<img src='/i.png' alt='A'>"
     html = F.regexp_replace(html, "<h1>(.*?)</h1>", f"<figure>{image}<figcaption>$1</figcaption></figure><section>{image}<!-- c --><p>$1</p></section><section>{image}text<hr><p>$1</p></section>")
-    return P.page_nodes(E.table(spark, sf_dir, "pages").select("page_id", html.alias("html")))
+    # Written, as every operator on nodes reads them several times: pages are parsed once.
+    return written(P.page_nodes(E.table(spark, sf_dir, "pages").select("page_id", html.alias("html"))))
 
 
 @query(f"""with {_POSTS}, a as (select page_id, regexp_extract_all(regexp_extract(h, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a [^>]*>(.*?)</a>', 1) as l from posts)

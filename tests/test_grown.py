@@ -77,3 +77,8 @@ def test_clips_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(ingestion, "TASK_CLIPS", 2, raising=False)
     n = spark.read.parquet(f"{DATA}/supplier.parquet").count()
     assert ingestion._clips(spark, DATA).rdd.getNumPartitions() == -(-n // 2) > 1
+
+
+def test_pages_are_parsed_once(spark):
+    plan = catalog.QUERIES["post_bodies"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
