@@ -82,3 +82,9 @@ def test_clips_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
 def test_pages_are_parsed_once(spark):
     plan = catalog.QUERIES["post_bodies"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_terms_are_counted_where_their_texts_are(spark):
+    with storage.conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        plan = catalog.QUERIES["tfidf_weights"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
