@@ -11,7 +11,7 @@ from oracle import DATA, connection, same
 from pyspark.sql import functions as F
 
 from quarrion import storage
-from quarrion.operators import graph, vectors
+from quarrion.operators import graph, overlap, vectors
 from quarrion.plans import catalog, entities, ingestion
 
 
@@ -88,3 +88,20 @@ def test_terms_are_counted_where_their_texts_are(spark):
     with storage.conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
         plan = catalog.QUERIES["tfidf_weights"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_sets_of_common_keys_meet_in_products(spark, monkeypatch, kind):
+    """Few keys, each in many sets: blocks meet, and no candidate is joined. The join gives the same pairs."""
+    sets = {i: sorted(set(np.random.default_rng(i).integers(0, 40, 1 + i % 12).tolist())) for i in range(150)}
+    rows = spark.createDataFrame([(i, k) for i, own in sets.items() for k in own], "item long, key long").withColumn("item", F.col("item").cast(kind))
+    as_kind = {"long": int, "string": str}[kind]
+    want = sorted((*sorted((as_kind(a), as_kind(b))), len(set(sets[a]) & set(sets[b]))) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 3)
+    for block, strip, columns in ((8192, 512, 1024), (20, 7, 16)):
+        for name, value in (("BLOCK", block), ("STRIP", strip), ("COLUMNS", columns)):
+            monkeypatch.setattr(overlap, name, value, raising=False)
+        found = overlap.overlapping(rows, "item", "key", 3)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == want
+    monkeypatch.setattr(overlap, "ENTRIES", 0)
+    assert sorted(map(tuple, overlap.overlapping(rows, "item", "key", 3).collect())) == want
