@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrion.functions import extract as X
@@ -15,6 +16,18 @@ from quarrion.storage import shared_folder
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
+#: Tasks that documents are dealt to.
+TASKS = 200
+
+
+def _documents(rows, key: str, order: str, start, one, end) -> str:
+    """A folder with a document per key, made of its rows in order: each row is a line of the file, so that none is held whole."""
+    of = Window.partitionBy(key).orderBy(order)
+    placed = rows.repartition(TASKS, key).withColumns({"_n": F.row_number().over(of), "_more": F.lead(F.lit(1)).over(of)})
+    line = F.concat(F.when(F.col("_n") == 1, start).otherwise(""), one, F.when(F.col("_more").isNull(), end).otherwise(","))
+    path = shared_folder(rows.sparkSession)
+    placed.select(key, order, line.alias("value")).sortWithinPartitions(key, order).select(key, "value").write.partitionBy(key).text(path)
+    return path
 
 
 @query(
@@ -26,24 +39,19 @@ def article_files(spark, sf_dir):
     """Articles as one JSON array a month, with commas, quotes and brackets in their titles, read in pieces."""
     items = E.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("article_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_linenumber"].cast("string")).alias("labels"))
     rows = E.articles(spark, sf_dir).join(items, "article_id", "left")
-    month = F.date_format("month", "yyyy-MM")
-    one = F.to_json(F.struct("url", F.concat("title", F.lit(' "[x, {y}"')).alias("title"), month.alias("date"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.col("article_id").cast("int").alias("excerpt_count")))
-    path = shared_folder(spark)
-    whole = rows.groupBy(month.alias("m")).agg(F.concat(F.lit("[ "), F.array_join(F.collect_list(one), ",\n"), F.lit("]")).alias("value"))
-    whole.repartition("m").write.partitionBy("m").text(path)
+    rows = rows.withColumn("m", F.date_format("month", "yyyy-MM"))
+    one = F.to_json(F.struct("url", F.concat("title", F.lit(' "[x, {y}"')).alias("title"), F.col("m").alias("date"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.col("article_id").cast("int").alias("excerpt_count")))
+    path = _documents(rows, "m", "article_id", F.lit("[ "), one, F.lit("]"))
     return files.articles(spark, path).select("url", F.regexp_replace("title", r' "\[x, \{y\}"$', "").alias("title"), "month", F.size("labels").cast("long").alias("labels"), "excerpt_count")
 
 
 @query(f"with {E.POSTINGS}, r as (select keyword, url, row_number() over (partition by keyword order by url) - 1 as position from postings) select keyword, 'u' || url as url, case when url % 2 = 0 then keyword || ', \"' || url || '\"' end as text, position::int as position from r")
 def keyword_index_files(spark, sf_dir):
-    """Postings as one JSON object, of entries that are objects or plain urls, read in pieces."""
+    """Postings as one JSON object a keyword, of entries that are objects or plain urls, read in pieces."""
     posted = E.postings(spark, sf_dir).select("keyword", "url")
     url = F.concat(F.lit("u"), "url")
     entry = F.when(F.col("url") % 2 == 0, F.to_json(F.struct(url.alias("url"), F.concat("keyword", F.lit(', "'), F.col("url").cast("string"), F.lit('"')).alias("text")))).otherwise(F.concat(F.lit('"'), url, F.lit('"')))
-    member = F.concat(F.lit('"'), "keyword", F.lit('": ['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", entry.alias("e")))), lambda x: x["e"]), ", "), F.lit("]"))
-    per = posted.groupBy("keyword").agg(member.alias("m")).groupBy(F.substring("keyword", -1, 1).alias("part"))
-    path = shared_folder(spark)
-    per.agg(F.concat(F.lit("{"), F.array_join(F.collect_list("m"), ","), F.lit("}")).alias("value")).repartition("part").write.partitionBy("part").text(path)
+    path = _documents(posted, "keyword", "url", F.concat(F.lit('{"'), "keyword", F.lit('": [')), entry, F.lit("]}"))
     return files.keyword_index(spark, path)
 
 

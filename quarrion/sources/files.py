@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrion import schemas
 from quarrion.functions.signal import wav_samples
 from quarrion.functions.text import month_from_url, references, tag_terms, word_count
-from quarrion.operators.numbering import running_sums
 from quarrion.shipping import shipped
+from quarrion.sources.pieces import HEAD, pieces
 from quarrion.storage import written
 
 
@@ -52,32 +52,11 @@ def excerpts(spark: SparkSession, path: str, terms: Sequence[str] = ()) -> DataF
 def json_elements(spark: SparkSession, path: str) -> DataFrame:
     """(file, element, value): the members of the one array or object that each file holds, numbered from 0 within the file.
 
-    Files are split at commas, wherever these stand, so one large document is read in as many tasks as it has blocks. Whether a
-    piece starts inside a string, how deep its end is, and how many members end before it, follow from running sums of its
-    quotes and brackets over ranges of pieces. A member of an object is `"name": value`; a member's own text is in one row.
+    One large document is read in as many tasks as it has blocks, and its text isn't moved between them. A member of an object is
+    `"name": value`; a member's own text is in one row.
     """
-    raw = spark.read.option("lineSep", ",").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    order = ["file", "block", "at"]
-    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
-
-    def deeper(odd: int) -> Column:
-        """Brackets opened less those closed in every second part: those outside of strings if odd is 1 for a piece that starts in one."""
-        own = F.array_join(F.filter(parts, lambda x, i: i % 2 == odd), " ")
-        return F.length(F.regexp_replace(own, r"[^\[{]", "")) - F.length(F.regexp_replace(own, r"[^\]}]", ""))
-
-    pieces = raw.select(*order, "value", (F.size(parts) - 1).alias("quotes"), deeper(0).alias("out"), deeper(1).alias("in"))
-    quoted = running_sums(pieces, order, {"quotes_to": "quotes"})
-    inside = (F.col("quotes_to") - F.col("quotes")) % 2
-    deep = running_sums(quoted.select(*order, "value", (F.col("quotes_to") % 2).alias("open"), F.when(inside == 1, F.col("in")).otherwise(F.col("out")).alias("deeper")), order, {"depth": "deeper"})
-    ends = deep.select(*order, "value", "depth", ((F.col("open") == 0) & (F.col("depth") == 1)).cast("int").alias("ends"))
-    own = running_sums(ends, order, {"ends_to": "ends"}).withColumn("element", F.col("ends_to") - F.col("ends"))
-    first = own.groupBy("file").agg(F.min("element").alias("_first")).withColumnRenamed("file", "_file")
-    texts = own.groupBy("file", "element").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("pieces"), F.min("depth").alias("depth"))
-    text = F.array_join(F.transform("pieces", lambda x: x["value"]), ",")
-    rows = texts.select("file", "element", F.when(F.col("depth") == 0, F.regexp_replace(text, r"[\]}]\s*$", "")).otherwise(text).alias("value"))
-    rows = rows.join(first, F.col("file") == F.col("_file")).withColumn("element", F.col("element") - F.col("_first"))
-    rows = rows.select("file", "element", F.when(F.col("element") == 0, F.regexp_replace("value", r"^\x{FEFF}?\s*[\[{]", "")).otherwise(F.col("value")).alias("value"))
-    return rows.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
+    rows, _ = pieces(spark, path, 1)
+    return rows.select("file", "element", "value").filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
@@ -93,13 +72,25 @@ def statistics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keyword_index(spark: SparkSession, path: str) -> DataFrame:
-    """Postings keyword, url, text of an index whose entries are objects or plain urls."""
-    raw = _or_empty(lambda: json_elements(spark, path), spark, "file string, element long, value string")
-    members = F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), "map<string,array<string>>")
-    entries = raw.select(F.explode(members).alias("keyword", "entries")).select("keyword", F.posexplode("entries").alias("position", "entry"))
-    one = F.from_json("entry", "url string, text string")
-    is_object = F.col("entry").startswith("{")
-    return entries.select("keyword", F.when(is_object, one["url"]).otherwise(F.col("entry")).alias("url"), F.when(is_object, one["text"]).alias("text"), "position")
+    """Postings keyword, url, text of an index whose entries are objects or plain urls. Lists may be of any length: each entry is a row."""
+
+    def read() -> DataFrame:
+        rows, starts = pieces(spark, path, 2)
+        first = F.col("entry") == 0
+        own = F.from_json(F.concat(F.lit('["'), F.regexp_extract("value", HEAD, 1), F.lit('"]')), "array<string>")[0]
+        named = rows.withColumn("name", F.coalesce("name", F.when(first & F.col("value").rlike(HEAD), own)))
+        # Of the lists that blocks start in, one or none a block, the name stands in an earlier one.
+        heads = named.filter(first).join(F.broadcast(starts), ["file", "element"], "left_semi").select("file", "element", F.col("name").alias("head"))
+        known = named.join(F.broadcast(heads), ["file", "element"], "left").withColumn("keyword", F.coalesce("name", "head")).filter("keyword is not null")
+        text = F.when(first, F.regexp_replace("value", HEAD, "")).otherwise(F.col("value"))
+        text = F.trim(F.when(F.col("last"), F.regexp_replace(text, r"\]\s*$", "")).otherwise(text), F.lit(" \t\r\n"))
+        return known.select("keyword", F.col("entry").cast("int").alias("position"), text.alias("value")).filter("value != ''")
+
+    entries = _or_empty(read, spark, "keyword string, position int, value string")
+    one = F.from_json("value", "url string, text string")
+    plain = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0]
+    is_object = F.col("value").startswith("{")
+    return entries.select("keyword", F.when(is_object, one["url"]).otherwise(plain).alias("url"), F.when(is_object, one["text"]).alias("text"), "position")
 
 
 def coordinates(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import shutil
 
 import numpy as np
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quarrion import storage
 from quarrion.operators import graph, overlap, vectors
-from quarrion.plans import catalog, entities, ingestion
+from quarrion.plans import catalog, entities, ingestion, layouts
+from quarrion.sources import files
 
 
 @pytest.fixture
@@ -105,3 +107,30 @@ def test_sets_of_common_keys_meet_in_products(spark, monkeypatch, kind):
         assert sorted(map(tuple, found.collect())) == want
     monkeypatch.setattr(overlap, "ENTRIES", 0)
     assert sorted(map(tuple, overlap.overlapping(rows, "item", "key", 3).collect())) == want
+
+
+def test_a_long_list_of_an_index_is_read_by_entries(spark, tmp_path):
+    """Lists over many blocks, also one that starts at a block's end: an entry is a row, and nothing is ranged by its place."""
+    nasty = ["a,b", 'say "x, y"', "[{", "}]", "back\\slash,", "é,日", '\\",', "{ plain"]
+    index = {'first "k,': [nasty[i % 8] if i % 2 else {"url": f"u{i}", "text": nasty[i % 7]} for i in range(900)], "none": [], "word": "x", "object": {"a": 1, "b": 2}}
+    index |= {f"k{i}": [f"p{i}", {"url": nasty[i % 8]}, None] for i in range(200)} | {"last": [f"q{i}" for i in range(500)]}
+    want = {(k, at, x["url"] if isinstance(x, dict) else x, x.get("text") if isinstance(x, dict) else None) for k, own in index.items() if isinstance(own, list) for at, x in enumerate(own)}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/lines.json").write_text("\n" + json.dumps({f"l {k}": v for k, v in index.items()}, indent=1) + "\n", encoding="utf-8")
+    (tmp_path / "a/line.json").write_text(json.dumps(index, ensure_ascii=False), encoding="utf-8")
+    with storage.conf(spark, {"spark.sql.files.maxPartitionBytes": "1500"}):
+        posted = files.keyword_index(spark, str(tmp_path / "a"))
+        got = [(r.keyword, r.position, r.url, r.text) for r in posted.collect()]
+    assert len(got) == len(set(got)) == 2 * len(want)
+    assert set(got) == want | {(f"l {k}", *x) for k, *x in want}
+    assert "repartitionbyrange" not in posted._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_documents_are_written_by_rows(spark, tmp_path, monkeypatch):
+    """A document's rows are lines of its file: none holds all of them."""
+    monkeypatch.setattr(layouts, "shared_folder", lambda s: str(tmp_path / "out"))
+    catalog.QUERIES["keyword_index_files"](spark, DATA)
+    found = spark.read.text(str(tmp_path / "out"))
+    assert found.count() == entities.postings(spark, DATA).count() and found.agg(F.max(F.length("value"))).first()[0] < 200
+    whole = spark.read.text(str(tmp_path / "out"), wholetext=True).collect()
+    assert len({k for r in whole for k in json.loads(r.value)}) == len(whole) == 25
