@@ -126,7 +126,7 @@ def queue_of_urls(spark, sf_dir):
 
 @query(_STATUS)
 def streamed_queue_of_urls(spark, sf_dir):
-    """The same from a stream of the events, with the urls' states and timers for the ends of their waits."""
+    """The same from a stream of the events, with the urls' sums as its state; waits end by the stream's watermark."""
     schema, folder, pattern = _event_files(spark, sf_dir)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
     return Q.run_queue(_url_events(stream), shared_folder(spark), shared_folder(spark), wait_ms=86_400_000, late="10 minutes")

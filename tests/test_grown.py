@@ -15,6 +15,7 @@ from quarrion import storage
 from quarrion.operators import graph, overlap, vectors
 from quarrion.plans import catalog, entities, ingestion, layouts
 from quarrion.sources import files
+from quarrion.streaming import incremental, queue
 
 
 @pytest.fixture
@@ -134,3 +135,21 @@ def test_documents_are_written_by_rows(spark, tmp_path, monkeypatch):
     assert found.count() == entities.postings(spark, DATA).count() and found.agg(F.max(F.length("value"))).first()[0] < 200
     whole = spark.read.text(str(tmp_path / "out"), wholetext=True).collect()
     assert len({k for r in whole for k in json.loads(r.value)}) == len(whole) == 25
+
+
+def test_queue_state_is_summed_without_python(spark, tmp_path):
+    """The queue's stream sums urls by built-in state; the stream of changes with timers gives the same last statuses."""
+    at = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("minute") * 60)
+    rows = [("a", "failed", 0), ("a", "failed", 30), ("b", "failed", 95), ("c", "found", 5), ("d", "failed", 1), ("d", "done", 2), (None, "failed", 3), ("e", None, 4), ("f", "failed", None), *(("g", "failed", i) for i in range(3)), ("c", "found", 100)]
+    events = spark.createDataFrame(rows, "url string, kind string, minute int").select("url", "kind", at.alias("at"))
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    got = queue.run_queue(stream, str(tmp_path / "out"), str(tmp_path / "check"), wait_ms=30 * 60_000)
+    want = {"a": ("pending", 2), "b": ("waiting", 1), "c": ("pending", 0), "d": ("done", 1), "f": ("pending", 1), "g": ("dead", 3)}
+    assert {r.url: (r.status, r.failures) for r in got.collect()} == want
+    state = next((tmp_path / "check/state/0").iterdir(), None)
+    assert state is not None and not (tmp_path / "check/state/0/_stateSchema").exists()
+    changes: dict = {}
+    with storage.conf(spark, incremental.STATE):
+        queue.queue_stream(stream, wait_ms=30 * 60_000).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).foreachBatch(lambda df, n: changes.update({r.url: (r.status, r.failures) for r in df.collect()})).start().awaitTermination()
+    assert changes == want
