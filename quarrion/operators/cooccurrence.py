@@ -1,7 +1,8 @@
 """Pairs of items that occur in the same group.
 
-The join is on the group, so its cost follows the squared number of items in a group; max_items and max_groups drop
-groups or items above a bound, as the operators that need it ask for.
+The cost follows the squared number of items in a group; max_items and max_groups drop groups or items above a bound, as the
+operators that need it ask for. Counts are made from a row per group with its items, so a group's distinct items, not its pairs,
+should fit into a task's memory.
 """
 
 from __future__ import annotations
@@ -21,12 +22,20 @@ def pairs(df: DataFrame, group: str, item: str, also: Sequence[str] = ()) -> Dat
     return left.join(right, (F.col(group) == F.col("_g")) & (F.col("a") < F.col("b"))).drop("_g")
 
 
+def set_pair_counts(sets: DataFrame, items: str, min_count: int = 1) -> DataFrame:
+    """(a, b, weight) from a row per group with the array of its distinct items. Pairs are made one by one and summed before the shuffle."""
+    each = sets.select(F.array_sort(F.array_compact(items)).alias("s")).select("s", F.posexplode("s").alias("i", "a"))
+    each = each.select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    return each.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_count)
+
+
 def pair_counts(df: DataFrame, group: str, item: str, max_groups: int | None = None, min_count: int = 1) -> DataFrame:
     """(a, b, weight); items in more than max_groups groups are left out."""
-    rows = df.select(group, item).distinct()
+    rows = df.select(group, item).filter(F.col(group).isNotNull())
     if max_groups:
+        rows = rows.distinct()
         rows = rows.join(rows.groupBy(item).count().filter(F.col("count") <= max_groups).select(item), item)
-    return pairs(rows, group, item).groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_count)
+    return set_pair_counts(rows.groupBy(group).agg(F.collect_set(item).alias("_items")), "_items", min_count)
 
 
 def keyword_nodes(postings: DataFrame, item: str = "url", key: str = "keyword", most: int = 5) -> DataFrame:

@@ -22,7 +22,7 @@ POSTED = """posted as (select distinct l_orderkey as url, 'part' || l_partkey as
 
 
 def _edges(spark, sf_dir):
-    return O.pair_counts(E.labels(spark, sf_dir), "article_id", "label")
+    return O.set_pair_counts(E.label_sets(spark, sf_dir), "labels")
 
 
 def _posted(spark, sf_dir):
@@ -36,8 +36,8 @@ def label_pairs(spark, sf_dir):
 
 @query(f"with {EDGES} select a, b, weight from edges where a like 'Brand%' and b like 'Brand%' order by weight desc, a, b limit 50")
 def language_pairs(spark, sf_dir):
-    own = E.labels(spark, sf_dir).filter(F.col("label").startswith("Brand"))
-    return S.top(O.pair_counts(own, "article_id", "label"), [F.desc("weight"), F.col("a"), F.col("b")], 50)
+    own = E.label_sets(spark, sf_dir).select(F.filter("labels", lambda x: x.startswith("Brand")).alias("labels"))
+    return S.top(O.set_pair_counts(own, "labels"), [F.desc("weight"), F.col("a"), F.col("b")], 50)
 
 
 @query(f"with {EDGES}, n as (select label, count(*) as articles from labels group by 1) select label, articles, count(b) as degree, coalesce(avg(weight), 0) as avg_weight from n left join sym on a = label group by 1, 2", rounded="avg_weight", places=2)

@@ -45,6 +45,33 @@ def test_labels_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
         same(catalog.QUERIES[name](spark, DATA), catalog.ORACLE[name], connection())
 
 
+#: Queries over labels by article.
+OF_LABELS = ("label_stats",)
+
+
+@pytest.mark.parametrize("name", OF_LABELS)
+def test_tasks_of_labels_stay_small_in_a_session_of_many_partitions(spark, monkeypatch, name):
+    """The session's partitions would be merged to a few tasks, and joins of label rows would sort them twice over."""
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    with storage.conf(spark, {"spark.sql.shuffle.partitions": "200", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert n <= entities.labels(spark, DATA).rdd.getNumPartitions() < 200
+        df = catalog.QUERIES[name](spark, DATA)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        same(df, catalog.ORACLE[name], connection())
+    by_article = [line for line in plan.splitlines() if "hashpartitioning(article_id" in line or "hashpartitioning(url" in line]
+    assert all("REPARTITION_BY_NUM" in line for line in by_article)
+    assert not any("Join" in line and "article_id" in line for line in plan.splitlines())
+
+
+def test_an_article_that_is_listed_twice_has_its_labels_once(spark, tables):
+    orders = spark.read.parquet(f"{DATA}/orders.parquet")
+    twice = orders.unionByName(orders.filter("o_orderkey % 3 = 0")).withColumn("o_orderdate", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate")))
+    replaced(twice.filter("o_orderkey % 7 > 0"), tables, "orders")
+    for name in ("label_stats", "label_first_seen"):
+        same(catalog.QUERIES[name](spark, str(tables)), catalog.ORACLE[name], connection(str(tables)))
+
+
 def test_triangles_send_a_list_once_to_a_group(spark, monkeypatch):
     """Three complete graphs of 30 nodes: an edge's list goes to the group of its start, so few lists are moved."""
     rows = spark.range(3).select(F.explode(F.sequence(F.col("id") * 100, F.col("id") * 100 + 29)).alias("a"), (F.col("id") * 100).alias("k"))
