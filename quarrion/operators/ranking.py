@@ -22,10 +22,14 @@ def term_score(text: Column, weights: dict[str, float]) -> Column:
 def importance(articles: DataFrame, labels: DataFrame, excerpts: DataFrame, label_weights: dict[str, float], term_weights: dict[str, float], per_excerpt: float = 0.5, most_excerpts: float = 10.0, coordinates: float = 15.0) -> DataFrame:
     """Score per url: labels, terms in each excerpt, the number of excerpts up to a limit, and whether it has coordinates.
 
-    articles: url, has_coordinates; labels: url, label; excerpts: url, text.
+    articles: url, has_coordinates; labels: url, label, or a row per url with the array of its labels; excerpts: url, text.
     """
     weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, w in label_weights.items() for x in (k, float(w)))), F.col("label")), F.lit(0.0))
-    by_label = labels.select("url", F.when(F.col("label").isin(*label_weights), weight).otherwise(0.0).alias("w")).groupBy("url").agg(F.sum("w").alias("l"))
+    if "labels" in labels.columns:
+        of = F.map_from_arrays(F.array(*map(F.lit, label_weights)), F.array(*(F.lit(float(w)) for w in label_weights.values())))
+        by_label = labels.select("url", F.aggregate("labels", F.lit(0.0), lambda a, x: a + F.coalesce(of[x], F.lit(0.0))).alias("l"))
+    else:
+        by_label = labels.select("url", F.when(F.col("label").isin(*label_weights), weight).otherwise(0.0).alias("w")).groupBy("url").agg(F.sum("w").alias("l"))
     by_text = excerpts.groupBy("url").agg(F.sum(term_score(F.col("text"), term_weights)).alias("t"), F.least(F.count("*") * per_excerpt, F.lit(most_excerpts)).alias("e"))
     both = articles.join(by_label, "url", "left").join(by_text, "url", "left").na.fill(0, ["l", "t", "e"])
     return both.select("url", (F.col("l") + F.col("t") + F.col("e") + F.when(F.col("has_coordinates"), coordinates).otherwise(0.0)).alias("score"))
