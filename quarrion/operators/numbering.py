@@ -12,25 +12,25 @@ _AT, _RANGE, _BEFORE = "__at", "__range", "__before"
 _BITS = 33
 
 
-def _ranged(df: DataFrame, order: list[Column | str]) -> DataFrame:
+def _ranged(df: DataFrame, order: list[Column | str], ranges: int | None = None) -> DataFrame:
     """df written in ranges of the order, each sorted, with the place of each row: its range above _BITS, and the row below."""
-    return written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_AT, F.monotonically_increasing_id()))
+    return written((df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)).sortWithinPartitions(*order).withColumn(_AT, F.monotonically_increasing_id()))
 
 
 def _own(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
-def numbered(df: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column | str], name: str = "n", ranges: int | None = None) -> DataFrame:
     """df with a column of places 1, 2, 3... in the order, as row_number() over an unpartitioned window gives.
 
     Rows are range-partitioned by the order, sorted within their ranges and written; a range's rows are then numbered from
     the number of rows in the ranges before it. Only the counts, one per range, meet in one task. Rows that are equal in the
-    order share a range, so the order should end in a key; between them, any row may come first. An empty table gives none.
+    order share a range, so the order should end in a key; between them, any row may come first. An empty table gives none. ranges: how many, else the session's partitions.
     """
     if name in df.columns:
         raise ValueError(f"there is a column {name} already")
-    held = _ranged(df, order)
+    held = _ranged(df, order, ranges)
     task = F.shiftright(_AT, _BITS)
     counts = held.groupBy(task.alias(_RANGE)).agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrion.functions.text import cosine
 from quarrion.operators.numbering import numbered
+from quarrion.storage import dealt
 
 
 def term_score(text: Column, weights: dict[str, float]) -> Column:
@@ -19,10 +20,11 @@ def term_score(text: Column, weights: dict[str, float]) -> Column:
     return out
 
 
-def importance(articles: DataFrame, labels: DataFrame, excerpts: DataFrame, label_weights: dict[str, float], term_weights: dict[str, float], per_excerpt: float = 0.5, most_excerpts: float = 10.0, coordinates: float = 15.0) -> DataFrame:
+def importance(articles: DataFrame, labels: DataFrame, excerpts: DataFrame, label_weights: dict[str, float], term_weights: dict[str, float], per_excerpt: float = 0.5, most_excerpts: float = 10.0, coordinates: float = 15.0, tasks: int | None = None) -> DataFrame:
     """Score per url: labels, terms in each excerpt, the number of excerpts up to a limit, and whether it has coordinates.
 
     articles: url, has_coordinates; labels: url, label, or a row per url with the array of its labels; excerpts: url, text.
+    With tasks, articles and the scores of excerpts are dealt by url to so many, as labels should be.
     """
     weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, w in label_weights.items() for x in (k, float(w)))), F.col("label")), F.lit(0.0))
     if "labels" in labels.columns:
@@ -30,7 +32,10 @@ def importance(articles: DataFrame, labels: DataFrame, excerpts: DataFrame, labe
         by_label = labels.select("url", F.aggregate("labels", F.lit(0.0), lambda a, x: a + F.coalesce(of[x], F.lit(0.0))).alias("l"))
     else:
         by_label = labels.select("url", F.when(F.col("label").isin(*label_weights), weight).otherwise(0.0).alias("w")).groupBy("url").agg(F.sum("w").alias("l"))
-    by_text = excerpts.groupBy("url").agg(F.sum(term_score(F.col("text"), term_weights)).alias("t"), F.least(F.count("*") * per_excerpt, F.lit(most_excerpts)).alias("e"))
+    told = excerpts.select("url", term_score(F.col("text"), term_weights).alias("t"))
+    if tasks:
+        articles, told = dealt(articles, tasks, "url"), dealt(told, tasks, "url")
+    by_text = told.groupBy("url").agg(F.sum("t").alias("t"), F.least(F.count("*") * per_excerpt, F.lit(most_excerpts)).alias("e"))
     both = articles.join(by_label, "url", "left").join(by_text, "url", "left").na.fill(0, ["l", "t", "e"])
     return both.select("url", (F.col("l") + F.col("t") + F.col("e") + F.when(F.col("has_coordinates"), coordinates).otherwise(0.0)).alias("score"))
 
@@ -50,12 +55,13 @@ def topic_terms(topic: str, categories: dict[str, Sequence[str]]) -> list[str]:
     return list(dict.fromkeys(found)) or [topic]
 
 
-def topic_reading_list(topic: str, categories: dict[str, Sequence[str]], postings: DataFrame, excerpts: DataFrame, scores: DataFrame, most: int = 20, difficulty: str | None = None, easy: float = 0.2, middle: float = 0.6) -> DataFrame:
+def topic_reading_list(topic: str, categories: dict[str, Sequence[str]], postings: DataFrame, excerpts: DataFrame, scores: DataFrame, most: int = 20, difficulty: str | None = None, easy: float = 0.2, middle: float = 0.6, tasks: int | None = None) -> DataFrame:
     """The first rows of a topic's reading list: url, matched (the word that led to it), score, reading_order, difficulty.
 
     postings: keyword, url; excerpts: url, text; scores: url, score of every article. An article is found by the first of the
     topic's words that lists it, else by the first that occurs in its excerpts. The list goes by falling score, then by url; its
-    places come from ranges, so a topic may hold any number of articles. With a difficulty, only its rows are listed.
+    places come from ranges, so a topic may hold any number of articles. With a difficulty, only its rows are listed. With tasks, hits
+    are dealt by url to so many, as scores should be, and places come from as many ranges.
     """
     terms = topic_terms(topic, categories)
     order = F.create_map(*(F.lit(x) for k, w in enumerate(terms) for x in (w, k)))
@@ -63,9 +69,9 @@ def topic_reading_list(topic: str, categories: dict[str, Sequence[str]], posting
     low = F.lower("text")
     hits = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w.lower())), F.struct(F.lit(k).alias("ord"), F.lit(w).alias("matched"))) for k, w in enumerate(terms))))
     told = excerpts.select("url", F.get(hits, F.lit(0)).alias("hit")).filter("hit is not null").select("url", "hit.matched", "hit.ord")
-    found = hits_by_priority(listed, told).join(scores.select("url", "score"), "url").select("url", "matched", F.coalesce("score", F.lit(0.0)).alias("score"))
-    placed = numbered(found, [F.desc("score"), F.col("url")], "reading_order")
-    n = found.agg(F.count("*").alias("_n"))
+    found = hits_by_priority(listed, told, tasks=tasks).join(scores.select("url", "score"), "url").select("url", "matched", F.coalesce("score", F.lit(0.0)).alias("score"))
+    placed = numbered(found, [F.desc("score"), F.col("url")], "reading_order", tasks)
+    n = placed.agg(F.count("*").alias("_n"))
     at = F.col("reading_order") - 1
     tier = F.when(at < easy * F.col("_n"), "beginner").when(at < middle * F.col("_n"), "intermediate").otherwise("advanced")
     rows = placed.crossJoin(F.broadcast(n)).withColumn("difficulty", tier).drop("_n")
@@ -104,7 +110,8 @@ def similar_groups(vectors: DataFrame, group: str, value, k: int = 10, key: str
     return rows.groupBy(group).agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), group).limit(k)
 
 
-def hits_by_priority(keyword_hits: DataFrame, text_hits: DataFrame, key: str = "url") -> DataFrame:
+def hits_by_priority(keyword_hits: DataFrame, text_hits: DataFrame, key: str = "url", tasks: int | None = None) -> DataFrame:
     """One row per key: keyword hits come before text hits, then the order of the terms. Both have key, matched, ord."""
     both = keyword_hits.withColumn("kind", F.lit(0)).unionByName(text_hits.withColumn("kind", F.lit(1)))
+    both = dealt(both, tasks, key) if tasks else both
     return both.groupBy(key).agg(F.min(F.struct("kind", "ord", "matched")).alias("m")).select(key, "m.matched")

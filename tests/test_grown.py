@@ -46,7 +46,7 @@ def test_labels_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
 
 
 #: Queries over labels by article.
-OF_LABELS = ("label_stats", "topic_alignment", "mislabelled_articles", "aligned_label_totals", "bridge_labels_exact", "hub_labels", "unlinked_neighbors", "ego_network", "bridge_labels")
+OF_LABELS = ("label_stats", "topic_alignment", "mislabelled_articles", "aligned_label_totals", "bridge_labels_exact", "hub_labels", "unlinked_neighbors", "ego_network", "bridge_labels", "importance_scores", "topic_reading_list")
 
 
 @pytest.mark.parametrize("name", OF_LABELS)
