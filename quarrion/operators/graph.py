@@ -127,11 +127,11 @@ def triangles(edges: DataFrame) -> DataFrame:
     return found.join(nodes.select("id", "node"), "id").select("node", "triangles")
 
 
-def bridge_scores(edges: DataFrame, max_neighbors: int | None = 100, min_degree: int = 2) -> DataFrame:
+def bridge_scores(edges: DataFrame, max_neighbors: int | None = None, min_degree: int = 2) -> DataFrame:
     """Share of a node's neighbour pairs that aren't linked, and that share times the degree.
 
-    Of more than max_neighbors neighbours those with the largest weights count, ties by name; so wedges are bounded. With None
-    all count: pairs follow from the degree, and those that are linked are the node's triangles.
+    All neighbours count: pairs follow from the degree, and those that are linked are the node's triangles. With max_neighbors,
+    of more neighbours those with the largest weights count, ties by name.
     """
     edges = written(edges)
     both = symmetric(edges)

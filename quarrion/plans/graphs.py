@@ -70,6 +70,7 @@ def _strong(spark, sf_dir):
     rounded="bridge_score weighted_score",
 )
 def bridge_labels(spark, sf_dir):
+    """Over all neighbours on strong edges, however many; the SQL counts the 100 heaviest, which is the same up to that degree."""
     return G.bridge_scores(_strong(spark, sf_dir))
 
 

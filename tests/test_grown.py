@@ -72,6 +72,16 @@ def test_an_article_that_is_listed_twice_has_its_labels_once(spark, tables):
         same(catalog.QUERIES[name](spark, str(tables)), catalog.ORACLE[name], connection(str(tables)))
 
 
+def test_bridge_labels_count_all_neighbours(spark, tables):
+    """A brand that stands with 150 types, and types in twos: over 100 neighbours, and the SQL without its limit gives the same."""
+    part = spark.read.parquet(f"{DATA}/part.parquet")
+    n = F.col("p_partkey") % 150
+    replaced(part.withColumn("p_brand", F.when(F.col("p_partkey") % 2 == 0, F.lit("Brand#hub")).otherwise(F.concat(F.lit("Brand#"), n % 7))).withColumn("p_type", F.concat(F.lit("type"), n)), tables, "part")
+    df = catalog.QUERIES["bridge_labels"](spark, str(tables))
+    assert df.agg(F.max("degree"), F.max("pairs")).first() >= (101, 101 * 100 // 2)
+    same(df, catalog.ORACLE["bridge_labels"].replace("r <= 100 and ", ""), connection(str(tables)))
+
+
 def test_triangles_send_a_list_once_to_a_group(spark, monkeypatch):
     """Three complete graphs of 30 nodes: an edge's list goes to the group of its start, so few lists are moved."""
     rows = spark.range(3).select(F.explode(F.sequence(F.col("id") * 100, F.col("id") * 100 + 29)).alias("a"), (F.col("id") * 100).alias("k"))
