@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from quarrion.operators import cooccurrence as O
 from quarrion.operators import graph as G
 from quarrion.operators import search as S
+from quarrion.operators.cliques import group_triangles
 from quarrion.operators.overlap import overlapping
 from quarrion.plans import entities as E
 from quarrion.plans.registry import Registry
-from quarrion.storage import partitions
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -92,11 +92,7 @@ def bridge_labels_exact(spark, sf_dir):
     select node, count(*) as triangles from (select a as node from t union all select b from t union all select c from t) group by 1""")
 def supplier_triangles(spark, sf_dir):
     """Triangles of suppliers that deliver a part in common."""
-    near = E.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).filter("s is not null and p is not null")
-    # Ranges of parts, as parts next to each other share suppliers: most repeated pairs meet before the shuffle.
-    of = near.repartitionByRange(max(partitions(near), 4), "p").groupBy("p").agg(F.array_sort(F.collect_set("s")).alias("s"))
-    each = of.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
-    return G.triangles(each.distinct())
+    return group_triangles(E.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey")
 
 
 @query(

@@ -6,13 +6,14 @@ import json
 import shutil
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from oracle import DATA, connection, same
 from pyspark.sql import functions as F
 
 from quarrion import storage
-from quarrion.operators import graph, overlap, vectors
+from quarrion.operators import cliques, graph, overlap, vectors
 from quarrion.plans import catalog, entities, ingestion, layouts
 from quarrion.sources import files
 from quarrion.streaming import incremental, queue
@@ -96,6 +97,35 @@ def test_triangles_send_a_list_once_to_a_group(spark, monkeypatch):
     assert moved[0] <= 2 * edges.count()
 
 
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_triangles_of_groups(spark, monkeypatch, most):
+    """Nodes of three strips, by lists and by bits: random groups, repeated ones, a long one, null nodes and groups. Against sets of neighbours."""
+    monkeypatch.setattr(cliques, "SPARSE", most)
+    rng = np.random.default_rng(5)
+    groups = [rng.choice(40_000, size=k, replace=False) * 7 for k in (*rng.integers(2, 7, 6000), 60)]
+    groups += [groups[3], groups[4][:2], *(rng.choice(300, size=12, replace=False) * 7 for _ in range(300))]
+    near: dict = {}
+    for own in groups:
+        for x in map(int, own):
+            near.setdefault(x, set()).update(map(int, own))
+    want = {x: n for x, own in near.items() if (n := sum(len(own & near[y]) - 2 for y in own if y != x) // 2)}
+    rows = [(int(x), g) for g, own in enumerate(groups) for x in own] + [(None, 1), (14, None), (int(groups[0][0]), 0)] + [(x * 7, -x) for x in range(1, 40_000)]
+    got = {r.node: r.triangles for r in cliques.group_triangles(spark.createDataFrame(rows, "s long, p long"), "s", "p").collect()}
+    assert got == want
+
+
+def test_links_of_groups_take_two_bytes(spark, monkeypatch):
+    """Pairs that many groups have are sent once, and never as rows; the query of many links for its nodes makes no list of edges."""
+    lists = pa.array([list(range(0, 600, 3))] * 300 + [list(range(1, 3000))], pa.list_(pa.int32()))
+    sent = list(cliques._blocked(iter([pa.record_batch([lists.slice(at, 50)], ["members"]) for at in range(0, 301, 50)])))
+    links = {(a, b) for a in range(0, 600, 3) for b in range(a + 3, 600, 3)} | {(a, b) for a in range(1, 3000) for b in range(a + 1, 3000)}
+    assert sum(len(x.as_buffer()) for batch in sent for x in batch.column("places")) <= 2 * len(links) * 1.01 and sum(map(len, sent)) < 200
+    merged = [r for batch in cliques._merged(iter([pa.Table.from_batches(sent).sort_by("block").combine_chunks().to_batches()[0]])) for r in batch.to_pylist()]
+    assert sum(r["n"] for r in merged) == len(links) and sum(len(r["places"]) for r in merged) < 2 * len(links)
+    monkeypatch.setattr(cliques, "triangles", None)
+    same(catalog.QUERIES["supplier_triangles"](spark, DATA), catalog.ORACLE["supplier_triangles"], connection())
+
+
 def test_vectors_meet_in_blocks(spark, monkeypatch):
     """Cells are dealt to blocks, and copies are ranked by key, also over blocks; few rows leave a block."""
     monkeypatch.setattr(vectors, "BLOCK", 16)
