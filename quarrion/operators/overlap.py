@@ -19,9 +19,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrion import storage
+from quarrion.operators import subsets
 from quarrion.operators.numbering import numbered
 from quarrion.shipping import shipped
 from quarrion.storage import discard, written
@@ -119,6 +121,26 @@ def _multiplied(sets: DataFrame, n: int, keys: int, least: int) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "weight")
 
 
+def _looked_at(sets: DataFrame, n: int, least: int) -> float:
+    """Subsets of so many keys, up to three, and pairs of sets that share one: as many as if keys were held independently."""
+    size = F.size("keys").cast("double")
+    per = sets.select(F.explode("keys").alias("rank")).groupBy("rank").agg((F.count("*") / n).alias("p"))
+    p1, p2, p3 = per.agg(*(F.sum(F.pow("p", F.lit(2.0 * k))) for k in (1, 2, 3))).first()
+    three = least > 2
+    own = sets.agg(F.sum(size * (size - 1) * (size - 2) / 6 if three else size * (size - 1) / 2)).first()[0]
+    return own + n * n / 2 * ((p1**3 - 3 * p1 * p2 + 2 * p3) / 6 if three else (p1 * p1 - p2) / 2)
+
+
+def _by_subsets(sets: DataFrame, first: Column, keys: int, least: int) -> DataFrame:
+    """The pairs of sets that meet at each first key, in cells of at most subsets.SETS sets by as many."""
+    rows = written(_cells(sets.select("item", F.col("keys").cast("array<int>").alias("keys"), F.posexplode(first).alias("at", "rank")), subsets.SETS).drop("at"))
+    n, cells = rows.count(), rows.select("rank", "low", "high").distinct().count()
+    dealt = storage.dealt(shipped(rows), min(cells, -(-n // 20_000)), "rank", "low", "high").sortWithinPartitions("rank", "low", "high")
+    kind = sets.schema["item"].dataType.simpleString()
+    found = dealt.select("rank", "low", "high", "part", "item", "keys").mapInArrow(partial(subsets.met, keys=keys, least=least), f"x {kind}, y {kind}, weight long")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "weight")
+
+
 def overlapping(postings: DataFrame, item: str, key: str, least: int = 2, cell: int = CELL) -> DataFrame:
     """(a, b, weight) with a < b for each two items that share at least `least` keys. Null items and keys count for nothing."""
     if least < 1:
@@ -129,6 +151,8 @@ def overlapping(postings: DataFrame, item: str, key: str, least: int = 2, cell:
     met = lists.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
     n, keys = sets.agg(F.count("*"), F.max(F.element_at("keys", -1))).first()
     if keys and n * (n - 1) / 2 * keys <= ENTRIES * met:
+        if 2 <= least and keys <= subsets.KEYS and subsets.WORTH * _looked_at(sets, n, least) < n * (n - 1) / 2 * keys:
+            return _by_subsets(sets, first, keys, least)
         return _multiplied(sets, n, keys, least)
     dealt = written(_cells(sets.select("item", "keys", F.posexplode(first).alias("at", "rank")), cell))
     discard(sets)

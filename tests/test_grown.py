@@ -13,7 +13,7 @@ from oracle import DATA, connection, same
 from pyspark.sql import functions as F
 
 from quarrion import storage
-from quarrion.operators import cliques, graph, overlap, vectors
+from quarrion.operators import cliques, graph, overlap, subsets, vectors
 from quarrion.plans import catalog, entities, ingestion, layouts
 from quarrion.sources import files
 from quarrion.streaming import incremental, queue
@@ -177,6 +177,49 @@ def test_sets_of_common_keys_meet_in_products(spark, monkeypatch, kind):
     assert sorted(map(tuple, overlap.overlapping(rows, "item", "key", 3).collect())) == want
 
 
+def _shared(sets: list, least: int) -> dict:
+    held = np.zeros((len(sets), 1 + max(map(max, sets))), np.int64)
+    for i, own in enumerate(sets):
+        held[i, own] = 1
+    n = held @ held.T
+    return {(int(i), int(j)): int(n[i, j]) for i, j in zip(*np.nonzero(np.triu(n >= least, 1)), strict=True)}
+
+
+def test_sets_of_few_keys_meet_by_subsets(spark, monkeypatch):
+    """4,000 sets of eight keys of 340, some alike: no two blocks are multiplied, which takes time by the square of the sets."""
+    monkeypatch.setattr(overlap, "_multiplied", None)
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(340, size=8, replace=False) for _ in range(3900)]
+    sets += sets[:100]
+    rows = spark.createDataFrame([(i, int(k)) for i, own in enumerate(sets) for k in own] + [(None, 1), (3, None)], "item long, key long")
+    assert {(r.a, r.b): r.weight for r in overlap.overlapping(rows, "item", "key", 3).collect()} == _shared(sets, 3)
+
+
+@pytest.mark.parametrize(("least", "most", "cell", "kind"), [(2, 7, 50, "long"), (3, 7, 20, "string"), (4, 9, 1000, "long"), (3, 30, 40, "long")])
+def test_subsets_find_the_pairs_of_all_cells(spark, monkeypatch, least, most, cell, kind):
+    """Cells of one part and of two, sets that are alike in both, sets of so many keys that all pairs are looked at."""
+    for name, value in (("WORTH", 0), ("SETS", cell)):
+        monkeypatch.setattr(subsets, name, value)
+    monkeypatch.setattr(overlap, "ENTRIES", 10**9)
+    rng = np.random.default_rng(7)
+    sets = [rng.choice(70 if most < 30 else 35, size=rng.integers(1, most), replace=False) for _ in range(400)]
+    sets += sets[:60] + sets[:9] + [sets[0]] * 30
+    as_kind = {"long": int, "string": str}[kind]
+    rows = spark.createDataFrame([(as_kind(i), int(k)) for i, own in enumerate(sets) for k in own], f"item {kind}, key long")
+    got = sorted(map(tuple, overlap.overlapping(rows, "item", "key", least).collect()))
+    assert got == sorted((*sorted(map(as_kind, pair)), n) for pair, n in _shared(sets, least).items())
+
+
+def test_pairs_of_subsets_are_sent_in_pieces(monkeypatch):
+    monkeypatch.setattr(subsets, "PIECE", 7)
+    assert [list(zip(*map(list, x), strict=True)) for x in subsets._pieces(np.array([0, 3, 0, 9, 1, 0]), 7)] == [[(1, 0), (1, 1), (1, 2), (3, 0), (3, 1), (3, 2), (3, 3)], [(3, 4), (3, 5), (3, 6), (3, 7), (3, 8), (4, 0)]]
+    keys = [[1, 2, 3]] * 5 + [[1, 2, 3, 4]] * 4 + [[1, 3, 4], [1, 4]]
+    rows = pa.record_batch([pa.array([1] * 11, pa.int64()), *[pa.array([0] * 11, pa.int32())] * 3, pa.array(range(11)), pa.array(keys, pa.list_(pa.int32()))], ["rank", "low", "high", "part", "item", "keys"])
+    sent = list(subsets.met(iter([rows.slice(0, 4), rows.slice(4)]), 4, 3))
+    assert max(map(len, sent)) <= 7
+    assert {(min(r["x"], r["y"]), max(r["x"], r["y"])): r["weight"] for b in sent for r in b.to_pylist()} == _shared(keys, 3) and sum(map(len, sent)) == len(_shared(keys, 3))
+
+
 def test_a_long_list_of_an_index_is_read_by_entries(spark, tmp_path):
     """Lists over many blocks, also one that starts at a block's end: an entry is a row, and nothing is ranged by its place."""
     nasty = ["a,b", 'say "x, y"', "[{", "}]", "back\\slash,", "é,日", '\\",', "{ plain"]
